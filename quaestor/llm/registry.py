@@ -1,13 +1,15 @@
 """Registered queries of this subpackage and their SQL."""
 
-from quaestor.llm import decontaminate, mixing, quality
+from quaestor.llm import decontaminate, mixing, quality, substring
 
 QUERIES = {
+    "op1_substring_dedup": substring.op1_substring_dedup,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_quality_rules": quality.op6_quality_rules,
     "op10_source_mixing": mixing.op10_source_mixing,
 }
 ORACLES = {
+    "op1_substring_dedup": substring.SQL,
     "op5_benchmark_decontamination": decontaminate.SQL,
     "op6_quality_rules": quality.SQL,
     "op10_source_mixing": mixing.SQL,
