@@ -90,7 +90,7 @@ def packed(docs: DataFrame, limit: int = PACK_BYTES) -> DataFrame:
             data = b"\n".join(texts) + b"\n"
             ends = np.cumsum([len(t) + 1 for t in texts]).astype(np.int64)
             ids = np.array([NULL_ID if i is None else i for i in ids], np.int64)
-            yield batch(PACK_SCHEMA, [((part << 24) + seq, len(ids), squeeze(ids), squeeze(ends), squeeze(data))])
+            yield batch(PACK_SCHEMA, [((part << 16) + seq, len(ids), squeeze(ids), squeeze(ends), squeeze(data))])
 
     arrow_limits(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PACK_SCHEMA)

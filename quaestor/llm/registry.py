@@ -1,14 +1,16 @@
 """Registered queries of this subpackage and their SQL."""
 
-from quaestor.llm import decontaminate, mixing, quality, substring
+from quaestor.llm import decontaminate, jaccard, mixing, quality, substring
 
 QUERIES = {
+    "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op1_substring_dedup": substring.op1_substring_dedup,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_quality_rules": quality.op6_quality_rules,
     "op10_source_mixing": mixing.op10_source_mixing,
 }
 ORACLES = {
+    "op9_jaccard_join": jaccard.SQL,
     "op1_substring_dedup": substring.SQL,
     "op5_benchmark_decontamination": decontaminate.SQL,
     "op6_quality_rules": quality.SQL,
