@@ -1,8 +1,10 @@
 """Registered queries of this subpackage and their SQL."""
 
-from quaestor.llm import decontaminate, jaccard, mixing, quality, substring
+from quaestor.llm import decontaminate, jaccard, langid, lm, mixing, quality, substring
 
 QUERIES = {
+    "op4_language_id": langid.op4_language_id,
+    "op7_lm_scoring": lm.op7_lm_scoring,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op1_substring_dedup": substring.op1_substring_dedup,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
