@@ -46,9 +46,11 @@ class Encoder:
         if not self.by_pieces:
             starts = np.concatenate([[0], ends[:-1]])
         else:
-            cut = _SOLID[data[:-1]] & (data[1:] == 0x20) | _LETTER[data[:-1]] & _MARK[data[1:]]
-            starts = np.union1d(np.flatnonzero(cut) + 1, np.concatenate([[0], ends[:-1]]))
-            starts = starts[starts < len(data)]
+            cut = np.zeros(len(data) + 1, bool)
+            cut[1:-1] = _SOLID[data[:-1]] & (data[1:] == 0x20) | _LETTER[data[:-1]] & _MARK[data[1:]]
+            cut[0] = True
+            cut[ends] = True
+            starts = np.flatnonzero(cut[:-1])
         stops = np.append(starts[1:], len(data))
         return starts[stops > starts], stops[stops > starts]
 

@@ -1,8 +1,9 @@
 """Registered queries of this subpackage and their SQL."""
 
-from quaestor.llm import decontaminate, jaccard, langid, lm, mixing, quality, substring
+from quaestor.llm import decontaminate, jaccard, langid, lm, mixing, quality, substring, tokenfiles
 
 QUERIES = {
+    "op3_token_files": tokenfiles.op3_token_files,
     "op4_language_id": langid.op4_language_id,
     "op7_lm_scoring": lm.op7_lm_scoring,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
