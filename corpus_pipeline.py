@@ -1,11 +1,73 @@
-"""The corpus pipeline: documents through stages of quaestor.llm."""
+"""The corpus pipeline: documents through five stages of quaestor.llm.
 
-STAGES: list = []
+Rows that a stage keeps keep all their columns. Stages take any table with the columns of documents, also an empty one.
+"""
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from quaestor.llm.decontaminate import contamination
+from quaestor.llm.jaccard import link
+from quaestor.llm.mixing import mix
+from quaestor.llm.native import row_key
+from quaestor.llm.quality import quality
+from quaestor.llm.storage import written
+from quaestor.llm.tokenfiles import token_files
+
+
+def quality_rules(spark, docs, sf_dir):
+    """Keeps what passes the quality rules."""
+    return quality(docs).filter("kept").select(docs.columns)
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """Keeps the least doc_id of each group of near copies, as one row.
+
+    A row without a doc_id can't be named as a group's document; such rows stay.
+    """
+    names = docs.columns
+    linked = link(docs.select("doc_id", "text"))
+    first = written(linked.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")))
+    kept = docs.join(first, "doc_id")
+    once = kept.filter("_rows = 1").select(names)
+    by_id = Window.partitionBy("doc_id").orderBy(row_key(*names))
+    repeated = kept.filter("_rows > 1").withColumn("_n", F.row_number().over(by_id)).filter("_n = 1").select(names)
+    return once.union(repeated).union(docs.filter("doc_id is null").select(names))
+
+
+def decontamination(spark, docs, sf_dir):
+    """Keeps what shares no window with a benchmark item."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return contamination(docs, benchmark).filter(~F.col("contaminated")).select(docs.columns)
+
+
+def source_mixing(spark, docs, sf_dir):
+    """Repeats each document as often as the mix holds it; none of those that it doesn't."""
+    names = docs.columns
+    mixed = mix(docs).filter("copies > 0")
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(names)
+
+
+def token_output(spark, docs, sf_dir):
+    """Writes token files; returns doc_id, start, n_tokens and ids_crc32 of each document as read back from them."""
+    return token_files(docs.select("doc_id", "text"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("source_mixing", source_mixing),
+    ("token_output", token_output),
+]
+
+#: The last stage encodes by a tokenizer, which SQL can't; tests hold all stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        docs = written(docs) if i < len(STAGES) - 1 else docs
     return docs

@@ -1,8 +1,10 @@
 """Registered queries of this subpackage and their SQL."""
 
-from quaestor.llm import decontaminate, jaccard, langid, lm, mixing, quality, substring, tokenfiles
+from quaestor.llm import chat, decontaminate, jaccard, langid, lm, mixing, quality, substring, tokencounts, tokenfiles
 
 QUERIES = {
+    "op2_chat_formatting": chat.op2_chat_formatting,
+    "op8_token_counts": tokencounts.op8_token_counts,
     "op3_token_files": tokenfiles.op3_token_files,
     "op4_language_id": langid.op4_language_id,
     "op7_lm_scoring": lm.op7_lm_scoring,
