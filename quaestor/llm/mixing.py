@@ -23,7 +23,8 @@ def targets(sizes: DataFrame, share: float, max_epochs: int, weights: tuple[int,
     sizes: one row per source. A source is clamped at max_epochs times its size
     as soon as the level, which is what is left to share out per weight, would pass that.
     In the order of clamp per weight the clamped ones come first, so that two running
-    sums give the level for each source; it is one pass whatever the number of sources.
+    sums give the level for each source; it is one pass whatever the number of sources. The level of the first
+    free source holds for all free ones; it is the greatest of theirs, as later ones count free sources as clamped.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
@@ -37,7 +38,7 @@ def targets(sizes: DataFrame, share: float, max_epochs: int, weights: tuple[int,
         .withColumn("weight_left", F.sum("weight").over(filling.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
         .withColumn("level", (F.col("total") - F.col("clamped_before")) / F.col("weight_left"))
         .withColumn("free", F.col("clamp") / F.col("weight") > F.col("level"))
-        .withColumn("at", F.min(F.when(F.col("free"), F.col("level"))).over(everything))
+        .withColumn("at", F.max(F.when(F.col("free"), F.col("level"))).over(everything))
     )
     filled = F.when(F.col("free"), F.col("weight") * F.col("at")).otherwise(F.col("clamp").cast("double"))
     return out.select("source", "source_size", filled.alias("target"))
@@ -93,7 +94,7 @@ w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1)
 f AS (SELECT *, (total - coalesce((sum(clamp) OVER (ORDER BY clamp / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::BIGINT, 0))
         / (sum(weight) OVER (ORDER BY clamp / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS level FROM w),
 t AS (SELECT source, source_size,
-        CASE WHEN clamp / weight > level THEN weight * (min(level) FILTER (WHERE clamp / weight > level) OVER ()) ELSE clamp::DOUBLE END AS target FROM f),
+        CASE WHEN clamp / weight > level THEN weight * (max(level) FILTER (WHERE clamp / weight > level) OVER ()) ELSE clamp::DOUBLE END AS target FROM f),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
 r AS (SELECT doc_id, size, source_size, target, whole, target - whole * source_size AS rest,
         (sum(size) OVER (PARTITION BY d.source ORDER BY draw, doc_id))::BIGINT AS upto
