@@ -1,4 +1,312 @@
 """Registered queries of the question engine and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quaestor.functions.columns import cosine, tokens
+from quaestor.models import HashingEmbedder
+from quaestor.nl.grammar import structured_plan
+from quaestor.operators import aggregates as A
+from quaestor.operators import filters, profile, retrieval, search
+from quaestor.plans import steps as step_plans
+from quaestor.plans.plan import Filter, Measure, QueryPlan, Sort, compile_plan, from_dict
+from quaestor.sources.readers import RID, Dataset, numbered, sample
+from quaestor.streaming.windows import tumbling
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def ds(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> Dataset:
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return Dataset(df.select(*columns) if columns else df, f"{sf_dir}/{table}.parquet")
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def planned(name: str, table: str, plan: QueryPlan, sql: str):
+    query(name, sql)(lambda s, d: compile_plan(plan, ds(s, d, table)))
+
+
+def asked(name: str, table: str, question: str, sql: str):
+    """A question; the columns of its result are those of the SQL."""
+
+    def run(s, d):
+        data = ds(s, d, table)
+        plan = structured_plan(question, data)
+        if plan is None:
+            raise ValueError(f"not understood: {question}")
+        return compile_plan(plan, data)
+
+    query(name, sql)(run)
+
+
+def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+    return df.select(*[F.round(f"`{f.name}`", digits).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f"`{f.name}`") for f in df.schema])
+
+
+# --- scans and projections
+
+query("scan_preview", "SELECT * FROM nation ORDER BY n_nationkey LIMIT 10")(lambda s, d: sample(Dataset(s.read.parquet(f"{d}/nation.parquet").orderBy("n_nationkey")), 10))
+planned("project_columns", "orders", QueryPlan("list", ("o_orderkey", "o_orderstatus", "O_TOTALPRICE", "nothing")), "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+planned("show_column_values", "part", QueryPlan("list", ("p_brand",)), "SELECT p_brand FROM part")
+
+
+@query(
+    "column_profile",
+    " UNION ALL ".join(
+        f"SELECT {i} AS position, '{c}' AS \"column\", count(*) AS n_rows, count({c}) AS n_present, count(*) - count({c}) AS n_missing, count(DISTINCT {c}) AS n_distinct FROM customer"
+        for i, c in enumerate(("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"))
+    ),
+)
+def _profile(s, d):
+    return profile.profile(ds(s, d, "customer")).select("position", "column", "n_rows", "n_present", "n_missing", "n_distinct")
+
+
+# --- filters
+
+planned("filter_ci_equality", "customer", QueryPlan(filters=(Filter("C_MktSegment", "=", "building"),)), "SELECT * FROM customer WHERE lower(c_mktsegment) = 'building'")
+query("lookup_exact_then_contains", "SELECT * FROM supplier WHERE regexp_matches(lower(s_name), '00001')")(lambda s, d: filters.lookup(ds(s, d, "supplier"), "s_name", "00001").drop(RID))
+query("lookup_exact_hit", "SELECT * FROM region WHERE lower(r_name) = 'asia'")(lambda s, d: filters.lookup(ds(s, d, "region"), "r_name", "ASIA").drop(RID))
+for _name, _op in (("gt", ">"), ("lt", "<"), ("eq", "="), ("ge", ">="), ("le", "<="), ("ne", "!=")):
+    query(f"compare_{_name}", f"SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity {_op} 25")(
+        lambda s, d, op=_op: filters.by_comparison(ds(s, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity"), "L_Quantity", op, 25).drop(RID)
+    )
+planned(
+    "plan_filter_conjunction", "orders", QueryPlan(filters=(Filter("o_totalprice", ">=", 200000), Filter("o_orderstatus", "=", "o"), Filter("none", "=", 1), Filter("o_orderkey", "~", 1))),
+    "SELECT * FROM orders WHERE o_totalprice >= 200000 AND lower(o_orderstatus) = 'o'",
+)
+planned("filter_contains_regex", "orders", QueryPlan("list", ("o_orderkey",), filters=(Filter("o_orderdate", "contains", "1995-0[12]"),)), "SELECT o_orderkey FROM orders WHERE regexp_matches(o_orderdate::VARCHAR, '1995-0[12]')")
+planned("filter_contains_literal", "part", QueryPlan("list", ("p_partkey",), filters=(Filter("p_name", "contains", "re[d"),)), "SELECT p_partkey FROM part WHERE contains(lower(p_name), 're[d')")
+planned("filter_numeric_as_text", "customer", QueryPlan("list", ("c_custkey",), filters=(Filter("c_acctbal", "contains", "99\\."),)), "SELECT c_custkey FROM customer WHERE regexp_matches(c_acctbal::VARCHAR, '99\\.')")
+query("numeric_coercion", "SELECT p_partkey, try_cast(right(p_brand, 2) AS DOUBLE) AS v FROM part WHERE try_cast(right(p_brand, 2) AS DOUBLE) > 30")(
+    lambda s, d: filters.by_comparison(Dataset(s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.right("p_brand", F.lit(2)).alias("v"))), "v", ">", 30).select("p_partkey", F.col("v").cast("double").alias("v"))
+)
+planned("filter_not_equal_text", "orders", QueryPlan("list", ("o_orderkey",), filters=(Filter("o_orderstatus", "!=", "O"),)), "SELECT o_orderkey FROM orders WHERE lower(o_orderstatus) <> 'o' OR o_orderstatus IS NULL")
+
+# --- keyword search and set operations
+
+_TEXTS = ("p_name", "p_brand", "p_type")
+_PART = ("p_partkey", *_TEXTS)
+
+
+def _hit(term: str) -> str:
+    return "(" + " OR ".join(f"regexp_matches(lower({c}), '{term}')" for c in _TEXTS) + ")"
+
+
+_RANK = "least(" + ", ".join(f"CASE WHEN lower({c}) = 'red' THEN {2 * i} WHEN regexp_matches(lower({c}), 'red') THEN {2 * i + 1} END" for i, c in enumerate(_TEXTS)) + ")"
+_parts = lambda s, d: ds(s, d, "part", *_PART)
+query("keyword_search_all_columns", f"SELECT {', '.join(_PART)} FROM part WHERE {_hit('red')}")(lambda s, d: search.search(_parts(s, d), "red", list(_TEXTS)).select(*_PART))
+query("keyword_search_ranked", f"SELECT p_partkey, {_RANK} AS rank FROM part WHERE {_RANK} IS NOT NULL")(lambda s, d: search.search(_parts(s, d), "Red", list(_TEXTS)).select("p_partkey", F.col("_rank").alias("rank")))
+query("keyword_exclude", f"SELECT p_partkey FROM part WHERE NOT coalesce({_hit('red')}, false)")(lambda s, d: search.exclude(_parts(s, d), "red", list(_TEXTS)).select("p_partkey"))
+query("search_or", f"SELECT p_partkey FROM part WHERE {_hit('red')} OR {_hit('small')}")(lambda s, d: search.search_terms(_parts(s, d), ["red", "small"], "or", list(_TEXTS)).select("p_partkey"))
+query("search_and", f"SELECT p_partkey FROM part WHERE {_hit('red')} AND {_hit('small')}")(lambda s, d: search.search_terms(_parts(s, d), ["red", "small"], "and", list(_TEXTS)).select("p_partkey"))
+query("row_semi_join", f"SELECT p_partkey FROM part WHERE {_hit('red')} AND p_size > 25")(
+    lambda s, d: (lambda data: data.rows.join(search.search(data, "red", list(_TEXTS)).select(RID), RID, "left_semi").filter("p_size > 25").select("p_partkey"))(ds(s, d, "part"))
+)
+query("row_anti_join", f"SELECT p_partkey FROM part WHERE NOT {_hit('red')}")(
+    lambda s, d: (lambda data: data.rows.join(search.search(data, "red", list(_TEXTS)).select(RID), RID, "left_anti").select("p_partkey"))(ds(s, d, "part"))
+)
+query("fuzzy_suggestions")(lambda s, d: search.fuzzy(ds(s, d, "customer", "c_mktsegment"), "bulding"))
+
+# --- aggregations
+
+_SQL_OF = {"sum": "sum({0})", "mean": "avg({0})", "median": "median({0})", "max": "max({0})", "min": "min({0})", "std": "stddev_samp({0})", "count": "count({0})"}
+for _name, _sql in _SQL_OF.items():
+    query(f"agg_{_name}", f"SELECT round({_sql.format('l_extendedprice')}, 2)::DOUBLE AS value FROM lineitem")(
+        lambda s, d, f=_name: A.scalar(ds(s, d, "lineitem").rows, f, "l_extendedprice").select(F.round(F.col("value").cast("double"), 2).alias("value"))
+    )
+query("agg_text_extremes", "SELECT max(p_name) AS high, min(p_name) AS low FROM part")(lambda s, d: ds(s, d, "part").rows.agg(A.FUNCTIONS["max"](F.col("p_name")).alias("high"), A.FUNCTIONS["min"](F.col("p_name")).alias("low")))
+query("agg_empty_sum_zero", "SELECT 0::DOUBLE AS value, NULL::DOUBLE AS mean")(
+    lambda s, d: ds(s, d, "lineitem").rows.filter("l_quantity < 0").agg(A.FUNCTIONS["sum"](F.col("l_quantity")).cast("double").alias("value"), A.FUNCTIONS["mean"](F.col("l_quantity")).alias("mean"))
+)
+planned("count_records", "lineitem", QueryPlan("count"), 'SELECT count(*) AS "Count" FROM lineitem')
+planned("count_filtered", "lineitem", QueryPlan("count", filters=(Filter("l_returnflag", "=", "r"),)), "SELECT count(*) AS \"Count\" FROM lineitem WHERE lower(l_returnflag) = 'r'")
+planned("group_count", "orders", QueryPlan("count", groupby=("o_orderstatus",)), 'SELECT o_orderstatus, count(*) AS "Count" FROM orders WHERE o_orderstatus IS NOT NULL GROUP BY o_orderstatus')
+query(
+    "group_aggregate",
+    "SELECT l_returnflag, round(avg(l_quantity), 6) AS l_quantity, round(median(l_extendedprice), 6) AS l_extendedprice, round(stddev_samp(l_discount), 6) AS l_discount FROM lineitem GROUP BY l_returnflag",
+)(lambda s, d: rounded(compile_plan(QueryPlan("aggregate", measures=(Measure("l_quantity"), Measure("l_extendedprice", "median"), Measure("l_discount", "std")), groupby=("l_returnflag",)), ds(s, d, "lineitem")), 6))
+query("group_multi_key", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS l_quantity, max(l_shipdate) AS l_shipdate FROM lineitem GROUP BY ALL")(
+    lambda s, d: rounded(compile_plan(QueryPlan("aggregate", measures=(Measure("l_quantity", "sum"), Measure("l_shipdate", "max")), groupby=("l_returnflag", "l_linestatus")), ds(s, d, "lineitem")), 2)
+)
+query(
+    "group_aggregate_ops",
+    """SELECT l_linestatus, round(var_samp(l_quantity), 4) AS v, count(DISTINCT l_suppkey) AS n, count(*) AS size, round(stddev_samp(l_tax) / sqrt(count(l_tax)), 6) AS sem,
+       round(skewness(l_extendedprice), 4) AS skew, bool_or(l_discount <> 0) AS some, bool_and(l_discount <> 0) AS every, round(product(1 + l_tax / 1e6), 6) AS product
+       FROM lineitem GROUP BY l_linestatus""",
+)(
+    lambda s, d: rounded(
+        A.grouped(
+            ds(s, d, "lineitem").rows.withColumns({"nonzero": F.col("l_discount") != 0, "growth": 1 + F.col("l_tax") / 1e6}), ["l_linestatus"],
+            {"v": ("var", "l_quantity"), "n": ("nunique", "l_suppkey"), "size": ("size", "l_suppkey"), "sem": ("sem", "l_tax"), "skew": ("skew", "l_extendedprice"), "some": ("any", "nonzero"), "every": ("all", "nonzero"), "product": ("prod", "growth")},
+        ).select("l_linestatus", F.round("v", 4).alias("v"), "n", "size", F.round("sem", 6).alias("sem"), F.round("skew", 4).alias("skew"), "some", "every", F.round("product", 6).alias("product")), 6,
+    )
+)
+query("group_first_last", "SELECT n_regionkey, arg_min(n_name, n_nationkey) AS a, arg_max(n_name, n_nationkey) AS z FROM nation GROUP BY n_regionkey")(
+    lambda s, d: A.grouped(Dataset(s.read.parquet(f"{d}/nation.parquet").withColumn(RID, F.col("n_nationkey").cast("long"))).rows, ["n_regionkey"], {"a": ("first", "n_name"), "z": ("last", "n_name")})
+)
+
+
+def _describe_sql(table: str, column: str) -> str:
+    parts = (("count", "count({0})"), ("mean", "avg({0})"), ("std", "stddev_samp({0})"), ("min", "min({0})"), ("25%", "quantile_cont({0}, 0.25)"), ("50%", "quantile_cont({0}, 0.5)"), ("75%", "quantile_cont({0}, 0.75)"), ("max", "max({0})"))
+    return " UNION ALL ".join(f"SELECT '{n}' AS \"index\", round({x.format(column)}, 4)::DOUBLE AS {column} FROM {table}" for n, x in parts)
+
+
+query("describe_numeric", _describe_sql("events", "value"))(lambda s, d: rounded(compile_plan(QueryPlan("summarize", ("value",)), ds(s, d, "events"))))
+query(
+    "describe_text",
+    """SELECT 'count' AS "index", count(r_name)::VARCHAR AS r_name FROM region UNION ALL SELECT 'unique', count(DISTINCT r_name)::VARCHAR FROM region
+       UNION ALL SELECT 'top', min(r_name) FROM region UNION ALL SELECT 'freq', '1'""",
+)(lambda s, d: A.describe_text(Dataset(s.read.parquet(f"{d}/region.parquet").withColumn(RID, F.lit(0).cast("long"))).rows, ["r_name"]))
+query("statistics_first5", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", min({c})::DOUBLE AS low, max({c})::DOUBLE AS high, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std FROM lineitem" for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")))(
+    lambda s, d: rounded(profile.profile(ds(s, d, "lineitem")).filter("kind = 'numeric'").orderBy("position").limit(5).select("column", "low", "high", "mean", "std"))
+)
+query("analyze_columns", "SELECT c AS \"column\", round(lo, 4) AS low, round(hi, 4) AS high, round(m, 4) AS mean, round(md, 4) AS median, round(sd, 4) AS std FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS c, min({c})::DOUBLE AS lo, max({c})::DOUBLE AS hi, avg({c}) AS m, median({c})::DOUBLE AS md, stddev_samp({c}) AS sd FROM part WHERE lower(p_brand) = 'brand#23'" for c in ("p_size", "p_retailprice")) + ")")(
+    lambda s, d: rounded(profile.analyze(ds(s, d, "part"), "p_brand", "Brand#23", ["p_size", "p_retailprice"])["statistics"])
+)
+query("outliers_2sigma", "SELECT event_id, value FROM events, (SELECT avg(value) AS m, stddev_samp(value) AS sd FROM events) WHERE value < m - 2 * sd OR value > m + 2 * sd")(lambda s, d: profile.outliers(ds(s, d, "events").rows, "value").select("event_id", "value"))
+query("top_values", "SELECT o_orderpriority AS value, count(*) AS n FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY 1 ORDER BY n DESC, value LIMIT 3")(lambda s, d: profile.top_values(s.read.parquet(f"{d}/orders.parquet"), "o_orderpriority", 3))
+query(
+    "top_values_all_columns",
+    " UNION ALL ".join(f"SELECT * FROM (SELECT '{c}' AS \"column\", {c} AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, {c})::INT AS place FROM orders GROUP BY 2) WHERE place <= 3" for c in ("o_orderstatus", "o_orderpriority")),
+)(lambda s, d: profile.top_values_of(s.read.parquet(f"{d}/orders.parquet"), ["o_orderstatus", "o_orderpriority"], 3))
+query("distribution_percent", "SELECT event_type AS value, count(*) AS n, round(100 * count(*) / (SELECT count(*) FROM events), 1) AS percent FROM events GROUP BY 1")(lambda s, d: profile.shares(s.read.parquet(f"{d}/events.parquet"), "event_type"))
+planned("distinct_values", "events", QueryPlan("distinct", ("event_type",)), "SELECT DISTINCT event_type AS value FROM events")
+query("count_distinct", "SELECT count(DISTINCT user_id) AS value FROM events")(lambda s, d: A.scalar(ds(s, d, "events").rows, "nunique", "user_id"))
+query("context_filtered_agg", "SELECT max(l_extendedprice)::VARCHAR AS value FROM lineitem WHERE lower(l_returnflag) = 'r'")(lambda s, d: A.coerced(filters.apply_filters(ds(s, d, "lineitem"), [("l_returnflag", "=", "R")]), "max", "l_extendedprice"))
+query("context_text_agg", "SELECT max(c_mktsegment) AS value FROM customer WHERE c_nationkey = 3")(lambda s, d: A.coerced(filters.apply_filters(ds(s, d, "customer"), [("c_nationkey", "=", 3)]), "max", "c_mktsegment"))
+
+# --- order and limits
+
+planned("sort_limit", "orders", QueryPlan("list", ("o_orderkey", "o_totalprice"), sort=(Sort("o_totalprice", True), Sort("o_orderkey")), limit=10), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+query("plan_from_json", "SELECT l_returnflag, round(max(l_quantity), 4) AS l_quantity FROM lineitem WHERE l_discount <> 0.05 GROUP BY 1 ORDER BY 1 DESC LIMIT 2")(
+    lambda s, d: rounded(compile_plan(from_dict({"operation": "aggregate", "columns": [{"column": "L_QUANTITY", "operation": "max"}], "filters": [{"column": "l_discount", "operator": "!=", "value": 0.05}, "junk"], "groupby": ["l_returnflag"], "sort": [{"column": "l_returnflag", "order": "desc"}], "limit": 2}), ds(s, d, "lineitem")))
+)
+query("exact_duplicates", "SELECT md5(text) AS text_md5, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")(lambda s, d: s.read.parquet(f"{d}/documents.parquet").groupBy(F.md5("text").alias("text_md5")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+
+# --- steps
+
+_STEPS = [step_plans.Step("filter", "keyword_search", ("steel",)), step_plans.Step("filter", "keyword_search_exclude", ("small",)), step_plans.Step("filter", "column_filter", column="p_size", operator=">", value=10), step_plans.Step("list")]
+query("steps_narrowing", "SELECT * FROM part WHERE (contains(lower(p_name), 'steel') OR contains(lower(p_type), 'steel') OR contains(lower(p_brand), 'steel')) AND NOT (contains(lower(p_name), 'small') OR contains(lower(p_type), 'small')) AND p_size > 10")(
+    lambda s, d: step_plans.execute(ds(s, d, "part"), _STEPS)
+)
+
+# --- retrieval
+
+_COS = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
+
+
+def _scored(s, d) -> DataFrame:
+    vectors = s.read.parquet(f"{d}/embeddings.parquet")
+    one = vectors.filter("vec_id = 0").select(F.col("embedding").alias("q"))
+    return vectors.join(F.broadcast(one)).withColumn("score", cosine(F.col("embedding"), F.col("q")))
+
+
+query("vector_topk_cosine", f"SELECT e.vec_id, round({_COS}, 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY {_COS} DESC, e.vec_id LIMIT 5")(
+    lambda s, d: _scored(s, d).orderBy(F.desc("score"), "vec_id").limit(5).select("vec_id", F.round("score", 6).alias("score"))
+)
+query("vector_topk_threshold", f"SELECT e.vec_id, round({_COS}, 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE {_COS} >= 0.3")(
+    lambda s, d: _scored(s, d).filter("score >= 0.3").select("vec_id", F.round("score", 6).alias("score"))
+)
+query("row_group_chunks", "SELECT (n_nationkey // 15)::BIGINT AS g, min(n_nationkey)::VARCHAR AS start_row, max(n_nationkey)::VARCHAR AS end_row FROM nation GROUP BY 1")(
+    lambda s, d: retrieval.row_groups(s.read.parquet(f"{d}/nation.parquet").withColumn(RID, F.col("n_nationkey").cast("long")), ["n_nationkey", "n_name", "n_regionkey"]).select(
+        F.substring("chunk_id", 6, 20).cast("long").alias("g"), F.col("metadata")["start_row"].alias("start_row"), F.col("metadata")["end_row"].alias("end_row")
+    )
+)
+query("row_numbers", "SELECT count(*) AS n, min(i) AS low, max(i) AS high FROM (SELECT row_number() OVER () - 1 AS i FROM lineitem)")(
+    lambda s, d: numbered(s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey")).agg(F.count_distinct(RID).alias("n"), F.min(RID).alias("low"), F.max(RID).alias("high"))
+)
+query("column_descriptions")(lambda s, d: retrieval.column_descriptions(ds(s, d, "nation")))
+query("stat_summary")(lambda s, d: retrieval.statistics_chunks(ds(s, d, "events")))
+query("categorical_distribution")(lambda s, d: retrieval.distribution_chunks(ds(s, d, "events", "event_id", "event_type", "value")))
+query("chunk_kinds", "SELECT 'rows' AS chunk_type, 2 AS n UNION ALL SELECT 'column', 3 UNION ALL SELECT 'statistics', 2 UNION ALL SELECT 'distribution', 1")(lambda s, d: retrieval.build_chunks(ds(s, d, "nation")).groupBy("chunk_type").agg(F.count(F.lit(1)).cast("int").alias("n")))
+query("semantic_search")(lambda s, d: retrieval.nearest(retrieval.embedded(retrieval.build_chunks(ds(s, d, "nation")), HashingEmbedder()), HashingEmbedder().embed(["column n_name distinct values"])[0]).select("chunk_id", "score"))
+
+# --- conversations
+
+_TOKENS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda t: regexp_full_match(t, '[a-z]{2,}') AND t NOT IN (%s))"
+
+
+def _tokens_sql() -> str:
+    from quaestor.functions.columns import STOP_WORDS
+
+    return _TOKENS % ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+
+query("tokenize_counts", f"SELECT t, count(*) AS n FROM (SELECT unnest({_tokens_sql()}) AS t FROM benchmark) GROUP BY t")(
+    lambda s, d: s.read.parquet(f"{d}/benchmark.parquet").select(F.explode(tokens(F.col("text"))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+)
+
+
+@query(
+    "tfidf_similarity",
+    f"""WITH u AS (SELECT conv_id, turn, {_tokens_sql()} AS ts FROM conversations WHERE role = 'user'),
+    n AS (SELECT count(*) AS n FROM u), t AS (SELECT conv_id, turn, len(ts) AS l, unnest(ts) AS t FROM u),
+    f AS (SELECT conv_id, turn, t, count(*) / any_value(l) AS tf FROM t GROUP BY ALL), df AS (SELECT t, count(*) AS df FROM f GROUP BY t),
+    w AS (SELECT conv_id, turn, t, tf * (ln((1 + n.n) / (1 + df)) + 1) AS w FROM f JOIN df USING (t), n),
+    s AS (SELECT conv_id, turn, sqrt(sum(w * w)) AS s FROM w GROUP BY ALL),
+    q AS (SELECT t, w FROM w WHERE conv_id = 0 AND turn = (SELECT min(turn) FROM u WHERE conv_id = 0))
+    SELECT w.conv_id, w.turn, round(sum(w.w * q.w) / any_value(s.s) / (SELECT sqrt(sum(w * w)) FROM q), 6) AS score
+    FROM w JOIN q USING (t) JOIN s ON s.conv_id = w.conv_id AND s.turn = w.turn GROUP BY ALL""",
+)
+def _tfidf(s, d):
+    users = s.read.parquet(f"{d}/conversations.parquet").filter("role = 'user'").select("conv_id", "turn", tokens(F.col("text")).alias("ts"))
+    words = users.select("conv_id", "turn", F.size("ts").alias("l"), F.explode("ts").alias("t"))
+    tf = words.groupBy("conv_id", "turn", "t").agg((F.count(F.lit(1)) / F.first("l")).alias("tf"))
+    df = tf.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    total = users.agg(F.count(F.lit(1)).alias("n"))
+    w = tf.join(df, "t").crossJoin(F.broadcast(total)).select("conv_id", "turn", "t", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
+    norm = w.groupBy("conv_id", "turn").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("s"))
+    first = users.filter("conv_id = 0").agg(F.min("turn").alias("turn"))
+    q = w.filter("conv_id = 0").join(first, "turn").select("t", F.col("w").alias("qw"))
+    size = q.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qs"))
+    dot = w.join(q, "t").groupBy("conv_id", "turn").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    return dot.join(norm, ["conv_id", "turn"]).crossJoin(F.broadcast(size)).select("conv_id", "turn", F.round(F.col("dot") / F.col("s") / F.col("qs"), 6).alias("score"))
+
+
+@query("last_n_turns", "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k <= 2")
+def _last(s, d):
+    turns = s.read.parquet(f"{d}/conversations.parquet")
+    k = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
+    return turns.withColumn("k", k).filter("k <= 2").select("conv_id", "turn", "role")
+
+
+query("turn_role_counts", "SELECT role, count(*) AS n FROM conversations GROUP BY role")(lambda s, d: s.read.parquet(f"{d}/conversations.parquet").groupBy("role").agg(F.count(F.lit(1)).alias("n")))
+
+# --- questions
+
+asked("nl_average_by", "lineitem", "What is the average l_quantity by l_returnflag?", "SELECT l_returnflag, avg(l_quantity) AS l_quantity FROM lineitem GROUP BY l_returnflag")
+asked("nl_average", "lineitem", "what is the average l_quantity", "SELECT avg(l_quantity) AS l_quantity FROM lineitem")
+asked("nl_where", "lineitem", "show records where l_returnflag is R", "SELECT * FROM lineitem WHERE lower(l_returnflag) = 'r'")
+asked("nl_above", "customer", "customers with c_acctbal above 9000 and c_mktsegment is building", "SELECT * FROM customer WHERE c_acctbal > 9000 AND lower(c_mktsegment) = 'building'")
+asked("nl_at_least", "part", "list parts where p_size is at least 49", "SELECT * FROM part WHERE p_size >= 49")
+asked("nl_how_many", "orders", "how many records are there?", 'SELECT count(*) AS "Count" FROM orders')
+asked("nl_count_where", "orders", "count records where o_orderstatus is O", "SELECT count(*) AS \"Count\" FROM orders WHERE lower(o_orderstatus) = 'o'")
+asked("nl_count_by", "orders", "count by o_orderpriority", 'SELECT o_orderpriority, count(*) AS "Count" FROM orders GROUP BY 1')
+asked("nl_unique", "events", "unique event_type", "SELECT DISTINCT event_type AS value FROM events")
+asked("nl_max_where", "part", "what is the maximum p_retailprice where p_brand is Brand#23", "SELECT max(p_retailprice) AS p_retailprice FROM part WHERE lower(p_brand) = 'brand#23'")
+asked("nl_top", "orders", "list the top 5 sorted by o_orderkey descending", "SELECT * FROM orders ORDER BY o_orderkey DESC LIMIT 5")
+asked("nl_column", "nation", "show n_name", "SELECT n_name FROM nation")
+query("nl_statistics", _describe_sql("customer", "c_acctbal"))(lambda s, d: rounded(compile_plan(structured_plan("statistics of c_acctbal", ds(s, d, "customer")), ds(s, d, "customer"))))
+query("nl_steps", "SELECT * FROM part WHERE contains(lower(p_name), 'steel') OR contains(lower(p_type), 'steel') OR contains(lower(p_brand), 'steel')")(
+    lambda s, d: (lambda data: step_plans.execute(data, step_plans.default_steps("show records containing steel", data.columns)))(ds(s, d, "part"))
+)
+
+# --- extension: event time
+
+query("ext_tumbling_daily", "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")(
+    lambda s, d: tumbling(s.read.parquet(f"{d}/events.parquet")).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+)
