@@ -48,8 +48,9 @@ def question_type(question: str) -> str:
 def entities(question: str) -> list[str]:
     """Quoted texts, capitalised words after the first, and names with underscores."""
     quoted = [a or b for a, b in re.findall(r"\"([^\"]+)\"|'([^']+)'", question)]
-    rest = question.split(None, 1)[1] if len(question.split(None, 1)) > 1 else ""
-    named = re.findall(r"\b[A-Z][A-Za-z0-9]+\b", rest) + re.findall(r"\b[a-z0-9]+(?:_[a-z0-9]+)+\b", question)
+    bare = re.sub(r"\"[^\"]+\"|'[^']+'", " ", question)
+    rest = bare.split(None, 1)[1] if len(bare.split(None, 1)) > 1 else ""
+    named = re.findall(r"\b[A-Z][A-Za-z0-9]+\b", rest) + re.findall(r"\b[a-z0-9]+(?:_[a-z0-9]+)+\b", bare)
     return list(dict.fromkeys(quoted + named))
 
 
