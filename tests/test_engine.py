@@ -207,3 +207,8 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     assert {tuple(r)[:3] for r in spark.table("w").collect()} == {tuple(r)[:3] for r in tumbling(events).collect()}
     assert sessions(events).agg(F.sum("n")).head()[0] == events.count()
+
+
+def test_profile_by_sketches(ds):
+    key = lambda df: [(r.column, r.n_present, r.n_distinct, r.high) for r in df.orderBy("position").collect()]
+    assert key(profile.profile(ds, exact=False)) == key(profile.profile(ds))
