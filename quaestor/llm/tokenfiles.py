@@ -88,7 +88,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     cuts = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10_000)).head()[0] if parts > 1 else []
     encoded = docs.mapInArrow(_encode(tokenizer, sorted(set(cuts or []))), ENCODED_SCHEMA)
-    ordered = encoded.repartition(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_last(), "ids")
+    ordered = encoded.repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_last(), "ids")
     ordered.mapInArrow(_shards(tokenizer, end_id), SHARD_SCHEMA).write.parquet(path)
     return path
 
