@@ -117,10 +117,12 @@ def verified(pairs: DataFrame, packs: DataFrame, size: int, percent: int) -> Dat
 
 
 def _fits(a: str, b: str, percent: int):
-    """Of a shared token at place p of n: sizes are near enough, and enough members are left after it."""
+    """Of a shared token at place p of n: sizes are near enough, and enough members are left from it on.
+
+    Alike sets pass this at the first token that they share, so it is enough to look at tokens that do."""
     na, nb, pa_, pb = (F.col(f"{t}.{c}") for c in ("n", "p") for t in (a, b))
     need = F.ceil(percent * (na + nb) / F.lit(100 + percent) - F.lit(1e-9))
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(na - pa_, nb - pb) >= need - F.least(pa_, pb))
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(na - pa_, nb - pb) >= need)
 
 
 def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
