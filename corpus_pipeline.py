@@ -27,7 +27,7 @@ def near_duplicates(spark, docs, sf_dir):
     """
     names = docs.columns
     linked = link(docs.select("doc_id", "text"))
-    first = written(linked.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")))
+    first = written(linked.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")), release=True)
     kept = docs.join(first, "doc_id")
     once = kept.filter("_rows = 1").select(names)
     by_id = Window.partitionBy("doc_id").orderBy(row_key(*names))

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from quaestor.llm.components import components
 from quaestor.llm.packs import NULL_ID, SENT_SCHEMA, Words, batch, each_pack, exchange, grouped, mixed, n_buckets, packed, replied, send, with_replies, words_of, window_hashes
-from quaestor.llm.storage import written
+from quaestor.llm.storage import discard, written
 
-SHINGLE, PERCENT = 4, 85
+SHINGLE, PERCENT = 5, 80
 KEY_BITS = 48  # of the keys whose document counts are exchanged; a clash only changes the order of shingles
 DOC_SCHEMA = "uid long, doc_id long, n int, sig1 long, sig2 long, prefix long, tokens array<long>, places array<int>"
 SET_SCHEMA = "uid long, members binary"
@@ -84,6 +84,8 @@ def _documents(row: dict, counts: np.ndarray, size: int, percent: int) -> list[p
 
 
 def _members(row: dict, wanted: pa.Table, size: int) -> list[pa.RecordBatch]:
+    if not wanted.num_rows:
+        return []
     w = words_of(row, lower=True)
     doc, full = _sets(w, size)
     at = np.searchsorted(doc, np.arange(len(w.ids) + 1))
@@ -113,7 +115,9 @@ def verified(pairs: DataFrame, packs: DataFrame, size: int, percent: int) -> Dat
     sets = written(with_replies(packs, wanted, lambda row, t: _members(row, t, size), SET_SCHEMA), release=True)
     x, y = (sets.select(F.col("uid").alias(k), F.col("members").alias(v)) for k, v in (("a", "x"), ("b", "y")))
     both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-    return both.mapInArrow(_alike(percent), "a long, b long")
+    out = written(both.mapInArrow(_alike(percent), "a long, b long"), release=True)
+    discard(sets)
+    return out
 
 
 def _fits(a: str, b: str, percent: int):
@@ -154,6 +158,7 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     counts = written(exchange(each_pack(packs, send_counts, SENT_SCHEMA), np.uint32, _merge_counts), release=True)
     rows = with_replies(packs, counts, lambda row, t: _documents(row, replied(t, np.uint32), size, percent), DOC_SCHEMA)
     rows = written(rows, release=True)
+    discard(counts)
 
     shared = rows.filter(F.size("tokens") > 0)
     sig = ["sig1", "sig2", "n"]
@@ -173,7 +178,7 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     inside = members.filter("gid != uid").select(F.col("gid").alias("a"), F.col("uid").alias("b"))
     pairs = pairs.union(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = written(pairs)
-    edges = written(verified(pairs, packs, size, percent), release=True)
+    edges = verified(pairs, packs, size, percent)
     nodes = texts.select(F.col("uid").alias("node"))
     label = components(nodes, edges)
 
@@ -193,7 +198,8 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     wide = wide.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     wide = written(wide)
     rest = verified(wide, packs, size, percent)
-    label = components(nodes, written(edges.union(rest), release=True))
+    discard(packs)
+    label = components(nodes, edges.union(rest))
 
     of_text = reps.select(*sig, F.col("uid").alias("rep")).join(label, F.col("rep") == F.col("node")).select(*sig, "label")
     in_groups = written(shared.select("uid", "doc_id", *sig).join(of_text, sig).select("uid", "doc_id", "n", "label"))
@@ -205,7 +211,7 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return link(docs)
+    return link(docs, size=4, percent=85)
 
 
 _WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"

@@ -31,4 +31,14 @@ def written(df: DataFrame, release: bool = False) -> DataFrame:
         del df
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-    return spark.read.parquet(path)
+    table = spark.read.parquet(path)
+    table._written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that written() made, once nothing reads them any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -34,13 +34,13 @@ def substring(rows, k=13):
     return out
 
 
-def shingles(text, k=4):
+def shingles(text, k):
     w = words(text, lower=True)
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
 
-def components(rows, percent=85):
-    sets = [shingles(t) for _, t in rows]
+def components(rows, percent=80, k=5):
+    sets = [shingles(t, k) for _, t in rows]
     parent = list(range(len(rows)))
 
     def find(x):

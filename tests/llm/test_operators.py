@@ -68,8 +68,9 @@ def test_substring(docs, rows):
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in found)
 
 
-def test_jaccard(docs, rows):
-    same(jaccard.link(docs).collect(), brute.components(pairs(rows)))
+@pytest.mark.parametrize(("size", "percent"), [(5, 80), (4, 85)])
+def test_jaccard(docs, rows, size, percent):
+    same(jaccard.link(docs, size, percent).collect(), brute.components(pairs(rows), percent, size))
 
 
 def test_jaccard_of_a_chain(spark):
