@@ -74,7 +74,7 @@ class Engine:
         return self._card
 
     def suggest(self) -> list[str]:
-        return render.suggestions(profile.profile(self.ds), self._tops())
+        return render.suggestions(profile.profile(self.ds), self._tops(), profile.date_columns(self.ds))
 
     def status(self) -> dict:
         return {"loaded": self.ds is not None, "enhanced": self.enhanced, "indexed": self.index._vectors is not None, "memory": self.memory is not None}

@@ -31,6 +31,11 @@ def is_text_like(kind: T.DataType) -> bool:
     return not isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))
 
 
+def date_like(value: Column) -> Column:
+    """A text that begins with year, month and day, between dashes or slashes."""
+    return value.rlike(r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}")
+
+
 def equals_ci(name: str, value: object) -> Column:
     return F.lower(text(name)) == str(value).lower()
 

@@ -171,6 +171,11 @@ class Memory:
     def text(self) -> str:
         return "\n\n".join(f"Q: {t.question}\nA: {t.answer}" for t in self.turns)
 
+    def export(self, path: str) -> None:
+        """Questions and answers as plain text."""
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(self.text() + "\n")
+
     def save(self, path: str) -> None:
         body = {"session_start": self.started, "current_focus": self.focus, "mentioned_entities": dict(self.mentioned), "conversation_history": [asdict(t) for t in self.turns]}
         with open(path, "w", encoding="utf-8") as f:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaestor.functions.columns import col, text
+from quaestor.functions.columns import col, date_like, text
 from quaestor.sources.readers import RID, Dataset
 
 
@@ -86,3 +86,13 @@ def analyze(ds: Dataset, filter_column: str | None = None, filter_value: object
         "distributions": top_values_of(rows, others, 10) if others else None,
         "targets": targets,
     }
+
+
+def date_columns(ds: Dataset) -> list[str]:
+    """Columns of a date type, and text columns whose values that are there all look like dates. One pass, one row."""
+    typed = [f.name for f in ds.rows.schema if f.dataType.typeName() in ("date", "timestamp", "timestamp_ntz")]
+    texts = [c for c in ds.textual if c not in typed]
+    if not texts:
+        return typed
+    row = ds.rows.agg(*[F.coalesce(F.bool_and(date_like(text(c))), F.lit(False)).alias(c) for c in texts]).head()
+    return typed + [c for c, yes in zip(texts, row) if yes]

@@ -60,17 +60,19 @@ def card(profile: DataFrame, tops: DataFrame | None, example: DataFrame) -> str:
     return "\n".join(lines)
 
 
-def suggestions(profile: DataFrame, tops: DataFrame | None) -> list[str]:
+def suggestions(profile: DataFrame, tops: DataFrame | None, dates: list[str] | None = None) -> list[str]:
     """Questions that this table can answer."""
     rows = profile.orderBy("position").collect()
     top: dict[str, list[str]] = {}
     for r in tops.orderBy("column", "place").collect() if tops is not None else []:
         top.setdefault(r.column, []).append(r.value)
-    groups = [r.column for r in rows if r.kind == "text" and 1 < r.n_distinct <= 15][:3]
+    dates = dates or []
+    groups = [r.column for r in rows if r.kind == "text" and 1 < r.n_distinct <= 15 and r.column not in dates][:3]
     numbers = [r.column for r in rows if r.kind == "numeric"][:3]
     out = ["How many records are there?", "Show statistics"]
     out += [f"Show records where {c} is {v}" for c in groups for v in top.get(c, [])[:2]]
     for c in numbers:
         out += [f"What is the average {c}?", f"What is the maximum {c}?"]
+    out += [f"What is the maximum {c}?" for c in dates[:2]]
     out += [f"Average {n} by {g}" for g in groups[:1] for n in numbers[:2]]
     return out

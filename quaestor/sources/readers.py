@@ -97,3 +97,8 @@ def save(df: DataFrame, path: str, kind: str = "parquet", mode: str = "errorifex
 
 def sample(ds: Dataset, n: int = 5) -> DataFrame:
     return ds.table.limit(n)
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a table's size; nothing is read."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())

@@ -12,7 +12,7 @@ from quaestor.errors import DataLoadError
 from quaestor.models import HashingEmbedder
 from quaestor.operators import aggregates, filters, profile, retrieval, search
 from quaestor.plans.plan import Filter, QueryPlan, Sort, compile_plan
-from quaestor.sources.readers import RID, Dataset, load, numbered, save
+from quaestor.sources.readers import RID, Dataset, estimated_bytes, load, numbered, save
 from quaestor.streaming.windows import sessions, tumbling
 
 ROWS = [
@@ -212,3 +212,10 @@ def test_streams(spark, tmp_path):
 def test_profile_by_sketches(ds):
     key = lambda df: [(r.column, r.n_present, r.n_distinct, r.high) for r in df.orderBy("position").collect()]
     assert key(profile.profile(ds, exact=False)) == key(profile.profile(ds))
+
+
+def test_dates_and_size(spark):
+    data = Dataset(spark.createDataFrame([("2024-01-02", "x", 1), (None, "2024/1/3", 2)], "day string, other string, n int"))
+    assert profile.date_columns(data) == ["day"]
+    assert profile.date_columns(Dataset(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))) == ["ts"]
+    assert estimated_bytes(data.table) > 0

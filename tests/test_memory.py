@@ -59,6 +59,8 @@ def test_files_keep_filters(memory, tmp_path):
     other.load(str(tmp_path / "h.json"))
     assert other.turns == memory.turns and other.mentioned == memory.mentioned
     assert other.summary()["turns"] == 1 and "Urban Park" in other.text()
+    other.export(str(tmp_path / "h.txt"))
+    assert (tmp_path / "h.txt").read_text().startswith("Q: where")
     other.clear()
     assert other.turns == []
 
