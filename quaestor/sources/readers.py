@@ -101,4 +101,4 @@ def sample(ds: Dataset, n: int = 5) -> DataFrame:
 
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of a table's size; nothing is read."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
