@@ -14,7 +14,7 @@ import numpy as np
 from quaestor.llm.packs import hash_spans
 
 #: Pieces that a worker remembers (about 40 bytes each); further ones are encoded again when they return.
-REMEMBER = 3_000_000
+REMEMBER = 1_500_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
