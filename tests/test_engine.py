@@ -16,10 +16,10 @@ from quaestor.sources.readers import RID, Dataset, estimated_bytes, load, number
 from quaestor.streaming.windows import sessions, tumbling
 
 ROWS = [
-    ("Night festival", "Urban Park", "Event", 79.5, 60),
-    ("Rush hour", "Main Street", "Traffic", 88.0, 30),
+    ("Late festival", "River Meadow", "Event", 79.5, 60),
+    ("Busy hour", "Main Street", "Traffic", 88.0, 30),
     ("festival", "Main Street", "Event", 65.0, 120),
-    ("Birds", "Urban Park", "Ambient", 42.0, None),
+    ("Birds", "River Meadow", "Ambient", 42.0, None),
     (None, "Harbour (north)", "Traffic", 70.5, 45),
     ("Drill", "Harbour (north)", None, 95.0, 10),
 ]
@@ -61,7 +61,7 @@ def test_load(spark, ds, path, tmp_path):
 
 def test_filters(ds):
     assert notes(filters.lookup(ds, "notes", "FESTIVAL")) == ["festival"]
-    assert notes(filters.lookup(ds, "location", "park")) == ["Night festival", "Birds"]
+    assert notes(filters.lookup(ds, "location", "meadow")) == ["Late festival", "Birds"]
     assert notes(filters.lookup(ds, "location", "harbour (")) == [None, "Drill"]  # no pattern, so as it stands
     assert filters.by_comparison(ds, "Location", ">", 3).count() == 0
     assert filters.by_comparison(ds, "decibelsa", ">=", 79.5).count() == 3
@@ -70,11 +70,11 @@ def test_filters(ds):
 
 
 def test_search(ds):
-    assert notes(search.ordered(search.search(ds, "festival"))) == ["festival", "Night festival"]
+    assert notes(search.ordered(search.search(ds, "festival"))) == ["festival", "Late festival"]
     assert search.search(ds, "nan").count() == 0
     assert search.exclude(ds, "festival").count() == 4
-    assert notes(search.ordered(search.search_terms(ds, ["rush", "festival"]))) == ["Rush hour", "festival", "Night festival"]
-    assert notes(search.search_terms(ds, ["festival", "park"], "and")) == ["Night festival"]
+    assert notes(search.ordered(search.search_terms(ds, ["busy", "festival"]))) == ["Busy hour", "festival", "Late festival"]
+    assert notes(search.search_terms(ds, ["festival", "meadow"], "and")) == ["Late festival"]
     assert search.any_row_contains(ds, "drill") and not search.any_row_contains(ds, "decibelsa")
     assert [r.value for r in search.fuzzy(ds, "festivl").collect()][0] == "festival"
     assert "Main Street" in [r.value for r in search.fuzzy(ds, "mian stret").collect()]
@@ -104,7 +104,7 @@ def test_profile(ds, spark):
 
 def test_plan_order(ds):
     plan = QueryPlan("list", ("notes", "DecibelsA"), filters=(Filter("DecibelsA", ">", 50),), sort=(Sort("Notes"),), limit=2)
-    assert [tuple(r) for r in compile_plan(plan, ds).collect()] == [("Drill", 95.0), ("Night festival", 79.5)]
+    assert [tuple(r) for r in compile_plan(plan, ds).collect()] == [("Drill", 95.0), ("Late festival", 79.5)]
 
 
 def test_plans_push_down(spark):
@@ -140,7 +140,7 @@ def test_engine_answers(engine):
     assert engine.ask("what is the average DecibelsA?").text == "The mean of DecibelsA is 73.33."
     assert engine.ask("how many records").count == 6
     found = engine.ask("all records with festival")
-    assert "Night festival" in found.text and "Birds" not in found.text
+    assert "Late festival" in found.text and "Birds" not in found.text
     assert engine.ask("DecibelsA above 200").text == "No rows match."
     assert "Event" in engine.ask("count by EventType").text
     assert engine.ask("records not containing festival").count == 4
@@ -182,7 +182,7 @@ def test_a_model_can_plan(spark, path):
             return {"operation": "aggregate", "columns": [{"column": "Duration", "operation": "sum"}], "groupby": ["Location"]}
 
         def steps(self, q, card):
-            return {"steps": [{"operation": "filter", "type": "keyword_search", "keyword": "rush"}, {"operation": "list"}]}
+            return {"steps": [{"operation": "filter", "type": "keyword_search", "keyword": "busy"}, {"operation": "list"}]}
 
     e = Engine(spark, Planner())
     e.load(path)

@@ -53,12 +53,12 @@ def test_similar_and_relevant(memory):
 
 
 def test_files_keep_filters(memory, tmp_path):
-    memory.add('where "Urban Park" is', "Found 2 rows", (Filter("a", "=", 1),), 2)
+    memory.add('where "River Meadow" is', "Found 2 rows", (Filter("a", "=", 1),), 2)
     memory.save(str(tmp_path / "h.json"))
     other = Memory(clock=memory.clock)
     other.load(str(tmp_path / "h.json"))
     assert other.turns == memory.turns and other.mentioned == memory.mentioned
-    assert other.summary()["turns"] == 1 and "Urban Park" in other.text()
+    assert other.summary()["turns"] == 1 and "River Meadow" in other.text()
     other.export(str(tmp_path / "h.txt"))
     assert (tmp_path / "h.txt").read_text().startswith("Q: where")
     other.clear()
@@ -67,7 +67,7 @@ def test_files_keep_filters(memory, tmp_path):
 
 def test_classifiers():
     assert question_type("summarize all") == "summary" and question_type("how many") == "count" and question_type("hm") == "unknown"
-    assert entities("show 'Urban Park' for Traffic and l_tax") == ["Urban Park", "Traffic", "l_tax"]
+    assert entities("show 'River Meadow' for Traffic and l_tax") == ["River Meadow", "Traffic", "l_tax"]
     assert (confidence_of("No rows match."), confidence_of("Found 3 rows"), confidence_of("x")) == (0.3, 0.9, 0.6)
 
 
@@ -76,7 +76,7 @@ def test_embedder_and_offline_model():
     a, b, c, empty = e.embed(["night festival noise", "noise of the festival", "zzz", ""])
     dot = lambda x, y: sum(p * q for p, q in zip(x, y))
     assert dot(a, a) == pytest.approx(1) and dot(a, b) > dot(a, c) and not any(empty)
-    assert "festival" in OfflineModel().ask("where is the festival", "Night festival in June\nother line")
+    assert "festival" in OfflineModel().ask("where is the festival", "Late festival in June\nother line")
     assert "".join(OfflineModel().ask_stream("festival?", "a festival")) == OfflineModel().ask("festival?", "a festival")
     assert grounding("", "x") == 0 and grounding("short", "x") == 0.2 and grounding("festival lasted 12 days", "festival lasted 12 days") == 1.0
 
