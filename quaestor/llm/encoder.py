@@ -8,14 +8,18 @@ stands around; so pieces between such places can be encoded apart, and equal one
 from __future__ import annotations
 
 import json
+import re
+from itertools import chain
 
 import numpy as np
 
 from quaestor.llm.packs import hash_spans
 
-#: Pieces that a worker remembers (about 40 bytes each); further ones are encoded again when they return.
-REMEMBER = 1_500_000
+#: Pieces that a worker remembers (about 25 bytes each); further ones are encoded again when they return.
+REMEMBER = 600_000
+STEP = 4_000  # pieces encoded at once
 
+_PLAIN = re.compile(rb" ?[A-Za-z]+")
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _SOLID = np.zeros(256, bool)  # printable ASCII
@@ -37,9 +41,10 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.keys = np.empty(0, np.uint64)
         self.at = np.zeros(1, np.int64)  # of each remembered piece in ids
-        self.ids = np.empty(0, np.uint32)
+        self.ids = np.empty(0, self.kind)
 
     def pieces(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Byte spans that cover all texts; data holds them one after another."""
@@ -54,8 +59,18 @@ class Encoder:
         stops = np.append(starts[1:], len(data))
         return starts[stops > starts], stops[stops > starts]
 
-    def _encode(self, texts: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+    def _encode(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of each piece. ASCII letters, with or without a space before, are one part for the model, which needs no pattern then."""
+        out, rest = [], []
+        for i, piece in enumerate(pieces):
+            plain = self.by_pieces and _PLAIN.fullmatch(piece)
+            out.append([t.id for t in self.tokenizer.model.tokenize(piece.decode().replace(" ", "\u0120"))] if plain else None)
+            if not plain:
+                rest.append(i)
+        found = self.tokenizer.encode_batch_fast([pieces[i].decode("utf-8", "replace") for i in rest], add_special_tokens=False)
+        for i, e in zip(rest, found):
+            out[i] = e.ids
+        return out
 
     def _look_up(self, data, start, stop, keys) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place of each key, offsets, ids) with all keys of this call in the table."""
@@ -65,26 +80,25 @@ class Encoder:
         inside = spot < len(self.keys)
         known[inside] = self.keys[spot[inside]] == fresh[inside]
         fresh, first = fresh[~known], first[~known]
-        found, step = [], 20_000
-        for lo in range(0, len(first), step):
-            found += self._encode([data[start[i] : stop[i]].tobytes() for i in first[lo : lo + step]])
-        n = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter((i for x in found for i in x), np.uint32, int(n.sum()))
+        counts, ids = [np.diff(self.at)], [self.ids]
+        for lo in range(0, len(first), STEP):
+            found = self._encode([data[start[i] : stop[i]].tobytes() for i in first[lo : lo + STEP]])
+            counts.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(chain.from_iterable(found), self.kind, int(counts[-1].sum())))
+        lengths, all_ids = np.concatenate(counts), np.concatenate(ids)
         merged = np.concatenate([self.keys, fresh])
         order = np.argsort(merged, kind="stable")
-        lengths = np.concatenate([np.diff(self.at), n])
-        begins = np.concatenate([self.at[:-1], len(self.ids) + np.cumsum(n) - n])
-        keys_, begins, lengths, all_ids = merged[order], begins[order], lengths[order], np.concatenate([self.ids, ids])
-        packed, at = gather(all_ids, begins, lengths)
-        if len(keys_) <= REMEMBER:
-            self.keys, self.at, self.ids = keys_, at, packed
-        return np.searchsorted(keys_, keys), at, packed
+        merged, begins = merged[order], (np.cumsum(lengths) - lengths)[order]
+        packed, at = gather(all_ids, begins, lengths[order])
+        if len(merged) <= REMEMBER:
+            self.keys, self.at, self.ids = merged, at, packed
+        return np.searchsorted(merged, keys), at, packed
 
     def spans(self, data: np.ndarray, ends: np.ndarray):
         """(piece starts, piece stops, tokens of each piece, all ids) of texts in data that end at ends."""
         start, stop = self.pieces(data, ends)
         if not len(start):
-            return start, stop, np.empty(0, np.int64), np.empty(0, np.uint32)
+            return start, stop, np.empty(0, np.int64), np.empty(0, self.kind)
         place, at, ids = self._look_up(data, start, stop, hash_spans(data, start, stop))
         lengths = at[place + 1] - at[place]
         out, _ = gather(ids, at[place], lengths)
@@ -101,8 +115,9 @@ class Encoder:
 def gather(values: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """values[begins[i] : begins[i] + lengths[i]] one after another, and where each begins."""
     at = np.concatenate([[0], np.cumsum(lengths)])
-    index = np.arange(at[-1], dtype=np.int64)
-    index += np.repeat(begins - at[:-1], lengths)
+    narrow = np.int32 if max(len(values), at[-1]) < 1 << 31 else np.int64
+    index = np.arange(at[-1], dtype=narrow)
+    index += np.repeat((begins - at[:-1]).astype(narrow), lengths)
     return values[index], at
 
 

@@ -142,7 +142,7 @@ class Words:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
 
-def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1 << 18) -> np.ndarray:
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1 << 16) -> np.ndarray:
     """64-bit multilinear hash of data[start:end] for each span (none empty, in order, without overlap)."""
     out = np.empty(len(start), np.uint64)
     length = end - start
@@ -171,7 +171,7 @@ def words_of(row: dict, lower: bool = False) -> Words:
     return Words(data, ids, start, end, doc, first, hash_spans(data, start, end) if len(start) else np.empty(0, np.uint64))
 
 
-def joined(w: Words, which: np.ndarray, block: int = 1 << 18) -> tuple[bytes, np.ndarray]:
+def joined(w: Words, which: np.ndarray, block: int = 1 << 16) -> tuple[bytes, np.ndarray]:
     """Words ``which`` each followed by a space, and where each begins (and the length at last)."""
     length = w.end[which] - w.start[which] + 1
     at = np.concatenate([[0], np.cumsum(length)])

@@ -11,7 +11,7 @@ from quaestor.llm.packs import arrow_limits, batch
 
 RULES = ("first", "last", "most")
 COUNT_SCHEMA = "doc_id long, section int, begin long, end long, n_tokens long, n_crossing long"
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def char_spans(data: np.ndarray, token_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

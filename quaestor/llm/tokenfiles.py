@@ -16,6 +16,7 @@ from quaestor.llm.storage import shared_dir, written
 from quaestor.llm.wavelet import WaveletMatrix
 
 END_ID = 0
+BLOCK_BYTES = 2 << 20  # of text encoded at once
 #: Tokens after which a shard ends; a longer document is a shard of its own.
 SHARD_TOKENS = 1_000_000
 ENCODED_SCHEMA = "doc_id long, part int, ids binary"
@@ -28,9 +29,8 @@ def _encode(path: str, edges: list[int]):
 
     def run(batches):
         own = encoder(path)
-        for ids, texts in doc_batches(batches):
+        for ids, texts in doc_batches(batches, BLOCK_BYTES):
             tokens, at = own.encode(texts)
-            tokens = tokens.astype(np.uint16) if own.tokenizer.get_vocab_size() <= 1 << 16 else tokens
             part = np.searchsorted(bounds, [NULL_ID if i is None else i for i in ids], side="right")
             yield batch(ENCODED_SCHEMA, [(i, int(p), tokens[lo:hi].tobytes()) for i, p, lo, hi in zip(ids, part, at[:-1], at[1:])])
 
@@ -52,7 +52,7 @@ def _shards(path: str, end_id: int):
         return batch(SHARD_SCHEMA, [(part, shard, len(flat), squeeze(np.array(ids, np.int64)), squeeze(offsets), squeeze(matrix.to_bytes()))])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        kind = np.uint16 if encoder(path).tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        kind = encoder(path).kind
         part, shard, ids, tokens, size = None, 0, [], [], 0
         for b in batches:
             for i, p, data in zip(*(b.column(k).to_pylist() for k in range(3))):
