@@ -50,6 +50,15 @@ def unsqueeze_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def squeeze_counts(counts: np.ndarray) -> bytes:
+    """uint32 numbers that are mostly small: byte plane by byte plane."""
+    return squeeze(np.ascontiguousarray(counts, np.uint32).view(np.uint8).reshape(-1, 4).T)
+
+
+def unsqueeze_counts(data: bytes, kind=None) -> np.ndarray:
+    return np.ascontiguousarray(unsqueeze(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
 def arrow_limits(spark) -> None:
     """Arrow batches of few rows: rows here are texts or packs."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
@@ -206,19 +215,19 @@ def cuts(keys: np.ndarray, buckets: int, bits: int = 64) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]).astype(np.int64)
 
 
-def send(pack: int, keys: np.ndarray, attributes: np.ndarray, buckets: int, bits: int = 64) -> Iterator[pa.RecordBatch]:
+def send(pack: int, keys: np.ndarray, attributes: np.ndarray, buckets: int, bits: int = 64, shrink: Callable = squeeze) -> Iterator[pa.RecordBatch]:
     """Rows of SENT_SCHEMA: sorted distinct keys with one attribute each, by bucket."""
     at, rows = cuts(keys, buckets, bits), []
     for b in range(buckets):
         lo, hi = at[b], at[b + 1]
         if hi > lo:
             body = squeeze_sorted(keys[lo:hi])
-            rows.append((b, pack, int(hi - lo), len(body).to_bytes(4, "little") + body + squeeze(attributes[lo:hi])))
+            rows.append((b, pack, int(hi - lo), len(body).to_bytes(4, "little") + body + shrink(attributes[lo:hi])))
     if rows:
         yield batch(SENT_SCHEMA, rows)
 
 
-def exchange(sent: DataFrame, kind, merge: Callable, reply_schema: str = REPLY_SCHEMA) -> DataFrame:
+def exchange(sent: DataFrame, kind, merge: Callable, reply_schema: str = REPLY_SCHEMA, shrink: Callable = squeeze, grow: Callable = unsqueeze) -> DataFrame:
     """merge(keys, attributes, which) -> replies, once for each bucket.
 
     keys and attributes are what all packs sent, one after another; which[i] is the
@@ -232,10 +241,10 @@ def exchange(sent: DataFrame, kind, merge: Callable, reply_schema: str = REPLY_S
         for d in data:
             size = int.from_bytes(d[:4], "little")
             keys.append(unsqueeze_sorted(d[4 : 4 + size]))
-            attributes.append(unsqueeze(d[4 + size :], kind))
+            attributes.append(grow(d[4 + size :], kind))
         replies = merge(np.concatenate(keys), np.concatenate(attributes), np.repeat(np.arange(len(n)), n))
         parts = np.split(replies, np.cumsum(n)[:-1])
-        return pa.Table.from_batches([batch(REPLY_SCHEMA, [(p, bucket, squeeze(x)) for p, x in zip(packs, parts)])])
+        return pa.Table.from_batches([batch(REPLY_SCHEMA, [(p, bucket, shrink(x)) for p, x in zip(packs, parts)])])
 
     return sent.groupBy("bucket").applyInArrow(run, reply_schema)
 
@@ -250,10 +259,10 @@ def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, begins, group
 
 
-def replied(table: pa.Table, kind, **where) -> np.ndarray:
+def replied(table: pa.Table, kind, grow: Callable = unsqueeze, **where) -> np.ndarray:
     """A pack's replies in the order of its keys."""
     rows = [r for r in table.to_pylist() if all(r[k] == v for k, v in where.items())]
-    parts = [unsqueeze(r["data"], kind) for r in sorted(rows, key=lambda r: r["bucket"])]
+    parts = [grow(r["data"], kind) for r in sorted(rows, key=lambda r: r["bucket"])]
     return np.concatenate(parts) if parts else np.empty(0, kind)
 
 

@@ -177,6 +177,26 @@ def test_lm_learns(spark):
     assert out[0] > out[1]
 
 
+def test_lm_words_follow_their_contexts(spark):
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    out, train = [i for i in range(1000) if held(i)], [i for i in range(1000) if not held(i)]
+    # All words of a place have one class and one frequency, so that only the words before tell them apart.
+    n = 40
+    rows = [(i, f"red{k % n:02d}q plum{k % n:02d}q") for k, i in enumerate(train[: 10 * n])]
+    rows += [(out[k], f"red{k:02d}q plum{k:02d}q") for k in range(n)] + [(out[n + k], f"red{k:02d}q plum{(k + 7) % n:02d}q") for k in range(n)]
+    score = {r.doc_id: r.score for r in lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(score[out[k]] > score[out[n + j]] + 0.2 for k in range(n) for j in range(n))
+
+
+def test_lm_given_is_a_distribution():
+    rng = np.random.default_rng(3)
+    prior = rng.random(50)
+    prior /= prior.sum()
+    counts = [rng.integers(0, 3, 50) * (rng.random(50) < 0.3) for _ in range(lm.CONTEXTS)]
+    assert lm._given(prior, [(c.sum(), c) for c in counts]).sum() == pytest.approx(1)
+    assert lm._given(prior, [(0, np.zeros(50))] * lm.CONTEXTS) == pytest.approx(prior)
+
+
 def test_encoder_agrees_with_whole_texts():
     from tokenizers import Tokenizer
 
