@@ -2,7 +2,8 @@
 
 A byte-level BPE tokenizer cuts a text by a pattern and encodes each part alone. Where an ASCII letter, digit or mark is followed
 by a space, and where an ASCII letter is followed by an ASCII mark, the pattern always cuts, whatever
-stands around; so pieces between such places can be encoded apart, and equal ones share their ids.
+stands around; so pieces between such places can be encoded apart, and equal ones share their ids. A text that holds the content of
+an added token (as <|endoftext|>) is one piece, for the library alone to cut.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ _MARK[48:58] = False
 
 
 class Encoder:
-    def __init__(self, path: str):
+    """added: the content of an added token in a text is that token, as by the library's plain encode; else it is encoded as any text."""
+
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -38,7 +41,10 @@ class Encoder:
         #: The cuts above hold for this kind of tokenizer only; others encode whole texts.
         self.by_pieces = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        contents = [t["content"] for t in spec.get("added_tokens") or []] if added else []
+        #: Finds the added tokens' contents.
+        self.added = re.compile(b"|".join(re.escape(t.encode()) for t in contents)) if contents else None
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
@@ -53,6 +59,13 @@ class Encoder:
         else:
             cut = np.zeros(len(data) + 1, bool)
             cut[1:-1] = _SOLID[data[:-1]] & (data[1:] == 0x20) | _LETTER[data[:-1]] & _MARK[data[1:]]
+            if self.added:
+                raw, after = data.tobytes(), 0
+                for found in self.added.finditer(raw):
+                    if found.start() >= after:
+                        text = np.searchsorted(ends, found.start(), side="right")
+                        after = int(ends[text])
+                        cut[int(ends[text - 1]) if text else 0 : after] = False
             cut[0] = True
             cut[ends] = True
             starts = np.flatnonzero(cut[:-1])
@@ -121,14 +134,14 @@ def gather(values: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> tuple
     return values[index], at
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One for each file and worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, added: bool = False) -> Encoder:
+    """One for each file, kind and worker."""
+    if (path, added) not in _ENCODERS:
+        _ENCODERS[path, added] = Encoder(path, added)
+    return _ENCODERS[path, added]
 
 
 def default_path() -> str:

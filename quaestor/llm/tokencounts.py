@@ -64,7 +64,7 @@ def token_counts(docs: DataFrame, rule: str = "first", tokenizer: str | None = N
     def run(batches):
         from quaestor.llm.chat import _byte_table
 
-        own = encoder(path)
+        own = encoder(path, added=True)
         sizes = np.array([len(x) for x in _byte_table(own)])
         for b in batches:
             ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]

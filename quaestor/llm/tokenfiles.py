@@ -28,7 +28,7 @@ def _encode(path: str, edges: list[int]):
     bounds = np.array(edges, np.int64)
 
     def run(batches):
-        own = encoder(path)
+        own = encoder(path, added=True)
         for ids, texts in doc_batches(batches, BLOCK_BYTES):
             tokens, at = own.encode(texts)
             part = np.searchsorted(bounds, [NULL_ID if i is None else i for i in ids], side="right")
@@ -52,7 +52,7 @@ def _shards(path: str, end_id: int):
         return batch(SHARD_SCHEMA, [(part, shard, len(flat), squeeze(np.array(ids, np.int64)), squeeze(offsets), squeeze(matrix.to_bytes()))])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        kind = encoder(path).kind
+        kind = encoder(path, added=True).kind
         part, shard, ids, tokens, size = None, 0, [], [], 0
         for b in batches:
             for i, p, data in zip(*(b.column(k).to_pylist() for k in range(3))):

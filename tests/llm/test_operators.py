@@ -210,6 +210,19 @@ def test_encoder_agrees_with_whole_texts():
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == wanted
 
 
+def test_encoder_keeps_added_tokens():
+    from tokenizers import Tokenizer
+
+    own, plain = Encoder(default_path(), added=True), Tokenizer.from_file(default_path())
+    rng = random.Random(4)
+    parts = ["a", "B", " ", "\n", ".", "don't", "12", "中", "<|endoftext|>", "<|endoftext", "|>", "x y. z", "", " word"]
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "<|endoftext|><|endoftext|>", "<|endo", "ftext|>"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(2000)]
+    ids, at = own.encode([t.encode() for t in texts])
+    wanted = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == wanted
+
+
 def test_wavelet():
     rng = np.random.default_rng(4)
     for n, top in ((0, 5), (1, 1), (64, 2), (1000, 7), (5000, 60_000)):
