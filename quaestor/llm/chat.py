@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.llm.encoder import default_path, encoder
+from quaestor.llm.encoder import SYMBOLS, default_path, encoder
 from quaestor.llm.packs import arrow_limits, batch, squeeze, unsqueeze
 from quaestor.llm.storage import written
 
@@ -82,8 +82,7 @@ def format_turns(conversations: DataFrame, tokenizer: str | None = None, loss_ro
 
 def _byte_table(own) -> list[bytes]:
     """Bytes of each id of a byte-level vocabulary, whose symbols stand for bytes one by one."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    symbol = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    symbol = {c: b for b, c in enumerate(SYMBOLS)}
     table = [b""] * own.tokenizer.get_vocab_size()
     for token, i in own.tokenizer.get_vocab().items():
         table[i] = bytes(symbol[c] for c in token) if all(c in symbol for c in token) else token.encode()

@@ -1,9 +1,11 @@
 """Token ids by the tokenizers library, each distinct piece of text encoded once in a worker.
 
-A byte-level BPE tokenizer cuts a text by a pattern and encodes each part alone. Where an ASCII letter, digit or mark is followed
-by a space, and where an ASCII letter is followed by an ASCII mark, the pattern always cuts, whatever
-stands around; so pieces between such places can be encoded apart, and equal ones share their ids. A text that holds the content of
-an added token (as <|endoftext|>) is one piece, for the library alone to cut.
+A byte-level BPE tokenizer cuts a text by a pattern and encodes each part alone. Between two parts a text can be cut if both sides are cut
+alike without the other; that holds, whatever stands around, (a) after a letter, digit or mark, before a blank; (b) before a space with one of
+these behind it; (c) after another blank that stands between two of these; (d) after a letter, before a mark. Letters,
+digits and marks here are those of ASCII and of the Latin letters U+00C0 to U+00FF. So pieces between such places are encoded apart, and equal
+ones share their ids. A text that holds the content of an added token (as <|endoftext|>) is one piece, for the library alone to cut.
+Equal pieces are known by a 64-bit hash and their length.
 """
 
 from __future__ import annotations
@@ -16,17 +18,43 @@ import numpy as np
 
 from quaestor.llm.packs import hash_spans
 
-#: Pieces that a worker remembers (about 25 bytes each); further ones are encoded again when they return.
-REMEMBER = 600_000
+#: Places for remembered pieces in a worker (20 bytes each); a piece goes to one place by its hash, and a later one with that place takes it over.
+PLACES = 1 << 21
+#: Ids of remembered pieces. When they fill up, a worker forgets all pieces.
+POOL = 8 << 20
 STEP = 4_000  # pieces encoded at once
 
-_PLAIN = re.compile(rb" ?[A-Za-z]+")
-_LETTER = np.zeros(256, bool)
-_LETTER[65:91] = _LETTER[97:123] = True
-_SOLID = np.zeros(256, bool)  # printable ASCII
-_SOLID[0x21:0x7F] = True
-_MARK = _SOLID & ~_LETTER
-_MARK[48:58] = False
+_PLAIN = re.compile(rb" ?(?:[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+")
+_LATIN = 0xC3  # first byte of U+00C0 to U+00FF
+_NO_LETTER = (0x97, 0xB7)  # second byte of the two of these that are marks
+
+
+def _symbols() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(other)) for b in range(256)]
+
+
+SYMBOLS = _symbols()
+
+
+def _places(data: np.ndarray) -> np.ndarray:
+    """Whether a text can be cut before each byte; data has two bytes or more."""
+    latin = np.zeros(len(data), bool)  # second byte of a Latin letter or mark
+    latin[1:] = data[:-1] == _LATIN
+    sign = latin & ((data == _NO_LETTER[0]) | (data == _NO_LETTER[1]))
+    within = lambda x, low, n: x - np.uint8(low) < n
+    solid, letter, digit = within(data, 0x21, 94), within(data | np.uint8(0x20), 97, 26), within(data, 48, 10)
+    space = data == 0x20
+    other = within(data, 9, 2) | (data == 13)
+    ends, begins = solid | latin, solid | (data == _LATIN)
+    cut = np.zeros(len(data), bool)
+    cut[1:] = ends[:-1] & (space | other)[1:] | (letter | latin & ~sign)[:-1] & (solid & ~letter & ~digit)[1:]
+    cut[1:-1] |= space[1:-1] & begins[2:]
+    cut[2:] |= ends[:-2] & other[1:-1] & begins[2:]
+    return cut
+
 
 
 class Encoder:
@@ -48,9 +76,14 @@ class Encoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.keys = np.empty(0, np.uint64)
-        self.at = np.zeros(1, np.int64)  # of each remembered piece in ids
-        self.ids = np.empty(0, self.kind)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys = np.zeros(PLACES, np.uint64)
+        self.begins = np.zeros(PLACES, np.int32)
+        self.lengths = np.zeros(PLACES, np.int32)
+        self.widths = np.zeros(PLACES, np.int32)  # bytes of each piece, which must agree too
+        self.pool, self.filled = np.empty(POOL, self.kind), 0
 
     def pieces(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Byte spans that cover all texts; data holds them one after another."""
@@ -58,7 +91,12 @@ class Encoder:
             starts = np.concatenate([[0], ends[:-1]])
         else:
             cut = np.zeros(len(data) + 1, bool)
-            cut[1:-1] = _SOLID[data[:-1]] & (data[1:] == 0x20) | _LETTER[data[:-1]] & _MARK[data[1:]]
+            # Neighbours from another text must not count: a line feed that ends one stands before no letter of the next.
+            cut[:-1] = _places(data) if len(data) > 1 else False
+            if len(data) > 1:
+                inner = ends[ends < len(data)]
+                near = np.unique(np.concatenate([inner - 1, inner + 1]))
+                cut[near[(near > 0) & (near < len(data))]] = False
             if self.added:
                 raw, after = data.tobytes(), 0
                 for found in self.added.finditer(raw):
@@ -73,11 +111,11 @@ class Encoder:
         return starts[stops > starts], stops[stops > starts]
 
     def _encode(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of each piece. ASCII letters, with or without a space before, are one part for the model, which needs no pattern then."""
+        """Ids of each piece. Letters, with or without a space before, are one part for the model, which needs no pattern then."""
         out, rest = [], []
         for i, piece in enumerate(pieces):
             plain = self.by_pieces and _PLAIN.fullmatch(piece)
-            out.append([t.id for t in self.tokenizer.model.tokenize(piece.decode().replace(" ", "\u0120"))] if plain else None)
+            out.append([t.id for t in self.tokenizer.model.tokenize(piece.decode("latin-1").translate(SYMBOLS))] if plain else None)
             if not plain:
                 rest.append(i)
         found = self.tokenizer.encode_batch_fast([pieces[i].decode("utf-8", "replace") for i in rest], add_special_tokens=False)
@@ -85,36 +123,46 @@ class Encoder:
             out[i] = e.ids
         return out
 
-    def _look_up(self, data, start, stop, keys) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place of each key, offsets, ids) with all keys of this call in the table."""
-        fresh, first = np.unique(keys, return_index=True)
-        spot = np.searchsorted(self.keys, fresh)
-        known = np.zeros(len(fresh), bool)
-        inside = spot < len(self.keys)
-        known[inside] = self.keys[spot[inside]] == fresh[inside]
-        fresh, first = fresh[~known], first[~known]
-        counts, ids = [np.diff(self.at)], [self.ids]
-        for lo in range(0, len(first), STEP):
-            found = self._encode([data[start[i] : stop[i]].tobytes() for i in first[lo : lo + STEP]])
+    def _missing(self, data, start, stop) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(where each piece's ids begin, their number, all ids) of pieces that aren't remembered."""
+        counts, ids = [np.zeros(0, np.int64)], [np.empty(0, self.kind)]
+        for lo in range(0, len(start), STEP):
+            found = self._encode([data[a:b].tobytes() for a, b in zip(start[lo : lo + STEP], stop[lo : lo + STEP])])
             counts.append(np.fromiter(map(len, found), np.int64, len(found)))
             ids.append(np.fromiter(chain.from_iterable(found), self.kind, int(counts[-1].sum())))
-        lengths, all_ids = np.concatenate(counts), np.concatenate(ids)
-        merged = np.concatenate([self.keys, fresh])
-        order = np.argsort(merged, kind="stable")
-        merged, begins = merged[order], (np.cumsum(lengths) - lengths)[order]
-        packed, at = gather(all_ids, begins, lengths[order])
-        if len(merged) <= REMEMBER:
-            self.keys, self.at, self.ids = merged, at, packed
-        return np.searchsorted(merged, keys), at, packed
+        lengths = np.concatenate(counts)
+        return np.cumsum(lengths) - lengths, lengths, np.concatenate(ids)
+
+    def _remember(self, keys, widths, begins, lengths, ids) -> None:
+        if self.filled + len(ids) > POOL:
+            self._forget()
+        if len(ids) > POOL:
+            return
+        at = (keys & np.uint64(PLACES - 1)).astype(np.int64)
+        self.pool[self.filled : self.filled + len(ids)] = ids
+        # Of keys with one place the last is written by each of these, so that they agree.
+        self.keys[at], self.widths[at] = keys, widths
+        self.begins[at], self.lengths[at] = self.filled + begins, lengths
+        self.filled += len(ids)
 
     def spans(self, data: np.ndarray, ends: np.ndarray):
         """(piece starts, piece stops, tokens of each piece, all ids) of texts in data that end at ends."""
         start, stop = self.pieces(data, ends)
         if not len(start):
             return start, stop, np.empty(0, np.int64), np.empty(0, self.kind)
-        place, at, ids = self._look_up(data, start, stop, hash_spans(data, start, stop))
-        lengths = at[place + 1] - at[place]
-        out, _ = gather(ids, at[place], lengths)
+        keys, widths = hash_spans(data, start, stop), stop - start
+        at = (keys & np.uint64(PLACES - 1)).astype(np.int64)
+        known = (self.keys[at] == keys) & (self.widths[at] == widths)
+        begins, lengths, values = self.begins[at].astype(np.int64), self.lengths[at].astype(np.int64), self.pool
+        lost = np.flatnonzero(~known)
+        if len(lost):
+            fresh, first, place = np.unique(keys[lost], return_index=True, return_inverse=True)
+            first = lost[first]
+            own_begins, own_lengths, ids = self._missing(data, start[first], stop[first])
+            values = np.concatenate([values[: self.filled], ids])
+            begins[lost], lengths[lost] = self.filled + own_begins[place], own_lengths[place]
+            self._remember(fresh, widths[first], own_begins, own_lengths, ids)
+        out, _ = gather(values, begins, lengths)
         return start, stop, lengths, out
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,9 @@ BLOCK_BYTES = 2 << 20  # of text encoded at once
 #: Tokens after which a shard ends; a longer document is a shard of its own.
 SHARD_TOKENS = 1_000_000
 ENCODED_SCHEMA = "doc_id long, part int, ids binary"
-SHARD_SCHEMA = "part int, shard int, n_tokens long, ids binary, offsets binary, matrix binary"
+#: Text bytes for each part of the order; there are at least as many parts as shuffle partitions.
+PART_BYTES = 256 << 20
+SHARD_SCHEMA = "part int, shard int, n_tokens long, first_doc long, last_doc long, ids binary, offsets binary, matrix binary"
 READ_SCHEMA = "doc_id long, part int, shard int, at long, n_tokens long, ids_crc32 long"
 
 
@@ -49,7 +51,7 @@ def _shards(path: str, end_id: int):
         flat[keep] = np.concatenate(tokens) if tokens else []
         matrix = WaveletMatrix.build(flat.astype(np.uint16) if flat.max(initial=0) < 1 << 16 else flat)
         offsets = np.concatenate([[0], last + 1])
-        return batch(SHARD_SCHEMA, [(part, shard, len(flat), squeeze(np.array(ids, np.int64)), squeeze(offsets), squeeze(matrix.to_bytes()))])
+        return batch(SHARD_SCHEMA, [(part, shard, len(flat), ids[0], ids[-1], squeeze(np.array(ids, np.int64)), squeeze(offsets), squeeze(matrix.to_bytes()))])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         kind = encoder(path, added=True).kind
@@ -73,9 +75,9 @@ def _shards(path: str, end_id: int):
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> str:
     """Writes docs (doc_id, text) to ``path``, a Parquet container with one row for each shard, and returns the path.
 
-    A row: part and shard (their order is that of doc_id), n_tokens, the doc_ids, where each document begins
-    within the shard, and the wavelet matrix of all its ids, each document followed by end_id; the last three are compressed
-    with zstd. Bounds between parts are quantiles of doc_id, so the order needs no global sort; documents of a part
+    A row: part and shard (their order is that of doc_id), n_tokens, the first and last doc_id, all doc_ids, where each document begins
+    within the shard, and the wavelet matrix with its rank directory of all its ids, each document followed by end_id; the last three are
+    compressed with zstd. Bounds between parts are quantiles of doc_id, so the order needs no global sort; documents of a part
     are sorted and cut to shards as they stream through a task.
 
     Null or empty text: end_id only. Null doc_id: after all others. Rows with equal doc_id follow each other,
@@ -84,9 +86,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     spark = docs.sparkSession
     tokenizer = tokenizer or default_path()
     arrow_limits(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10_000)).head()[0] if parts > 1 else []
+    size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    cuts = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], max(10_000, 10 * parts))).head()[0] if parts > 1 else []
     encoded = docs.mapInArrow(_encode(tokenizer, sorted(set(cuts or []))), ENCODED_SCHEMA)
     ordered = encoded.repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_last(), "ids")
     ordered.mapInArrow(_shards(tokenizer, end_id), SHARD_SCHEMA).write.parquet(path)
@@ -104,17 +107,12 @@ def read_token_files(spark, path: str) -> DataFrame:
     start: the ids of all documents before. Shards are decoded in the tasks; their totals are summed within each part, and over parts.
     """
 
-    def run(batches):
-        for b in batches:
-            for k in range(b.num_rows):
-                row = {c: v[0].as_py() for c, v in zip(b.schema.names, b.slice(k, 1).columns)}
-                ids, offsets, matrix = open_shard(row)
-                flat = matrix.to_array().astype("<u4").tobytes()
-                rows = [
-                    (None if i == NULL_ID else i, row["part"], row["shard"], lo, hi - lo, zlib.crc32(flat[4 * lo : 4 * hi]))
-                    for i, lo, hi in zip(ids.tolist(), offsets[:-1].tolist(), offsets[1:].tolist())
-                ]
-                yield batch(READ_SCHEMA, rows)
+    def documents(row, ids, offsets, matrix):
+        flat = matrix.to_array().astype("<u4").tobytes()
+        return [
+            (None if i == NULL_ID else i, row["part"], row["shard"], lo, hi - lo, zlib.crc32(flat[4 * lo : 4 * hi]))
+            for i, lo, hi in zip(ids.tolist(), offsets[:-1].tolist(), offsets[1:].tolist())
+        ]
 
     shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
     totals = shards.select("part", "shard", "n_tokens")
@@ -122,21 +120,58 @@ def read_token_files(spark, path: str) -> DataFrame:
     of_part = totals.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).select("part", upto(Window.orderBy("part")).alias("before_part"))
     within = totals.select("part", "shard", upto(Window.partitionBy("part").orderBy("shard")).alias("before"))
     before = written(within.join(of_part, "part").select("part", "shard", (F.col("before") + F.col("before_part")).alias("before")))
-    docs = shards.select("part", "shard", "ids", "offsets", "matrix").mapInArrow(run, READ_SCHEMA)
+    docs = shards.select("part", "shard", "ids", "offsets", "matrix").mapInArrow(_each_shard(documents, READ_SCHEMA), READ_SCHEMA)
     out = docs.join(before, ["part", "shard"])
     return out.select("doc_id", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def count_token(spark, path: str, token: int) -> DataFrame:
-    """part, shard, n: occurrences of a token id in each shard, by rank alone."""
+def _each_shard(apply, schema: str):
+    """A mapInArrow function: apply(row, doc_ids, offsets, matrix) -> rows of schema, a shard at a time."""
 
     def run(batches):
         for b in batches:
             for k in range(b.num_rows):
                 row = {c: v[0].as_py() for c, v in zip(b.schema.names, b.slice(k, 1).columns)}
-                yield batch("part int, shard int, n long", [(row["part"], row["shard"], open_shard(row)[2].rank(token))])
+                yield batch(schema, apply(row, *open_shard(row)))
+
+    return run
+
+
+def count_token(spark, path: str, token: int) -> DataFrame:
+    """part, shard, n: occurrences of a token id in each shard, by rank alone."""
+    schema = "part int, shard int, n long"
+    count = lambda row, ids, offsets, matrix: [(row["part"], row["shard"], matrix.rank(token))]
+    return spark.read.schema(SHARD_SCHEMA).parquet(path).mapInArrow(_each_shard(count, schema), schema)
+
+
+def find_token(spark, path: str, token: int) -> DataFrame:
+    """doc_id, at: each occurrence of a token id, as its place in its document, by rank and select; a document's end counts as its last place."""
+    schema = "doc_id long, at long"
+
+    def find(row, ids, offsets, matrix):
+        at = matrix.occurrences(token)
+        doc = np.searchsorted(offsets, at, side="right") - 1
+        return [(None if i == NULL_ID else i, p) for i, p in zip(ids[doc].tolist(), (at - offsets[doc]).tolist())]
+
+    return spark.read.schema(SHARD_SCHEMA).parquet(path).mapInArrow(_each_shard(find, schema), schema)
+
+
+def read_tokens(spark, path: str, doc_id: int, begin: int = 0, end: int | None = None) -> DataFrame:
+    """doc_id, tokens: the ids at places begin to end (of all, with the document's end, by default) of each row of a document, by access.
+
+    Only shards whose range of doc_ids holds it are read.
+    """
+    schema = "doc_id long, tokens array<long>"
+
+    def cut(row, ids, offsets, matrix):
+        out = []
+        for d in np.flatnonzero(ids == doc_id):
+            lo, hi = int(offsets[d]), int(offsets[d + 1])
+            out.append((doc_id, matrix.access(np.arange(lo + begin, hi if end is None else min(hi, lo + end))).tolist()))
+        return out
 
-    return spark.read.schema(SHARD_SCHEMA).parquet(path).mapInArrow(run, "part int, shard int, n long")
+    shards = spark.read.schema(SHARD_SCHEMA).parquet(path).filter((F.col("first_doc") <= doc_id) & (F.col("last_doc") >= doc_id))
+    return shards.mapInArrow(_each_shard(cut, schema), schema)
 
 
 def token_files(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

@@ -4,44 +4,48 @@ from __future__ import annotations
 
 import numpy as np
 
-MAGIC = b"QWM1"
-WORD = 64
+MAGIC = b"QWM2"
+WORD, SPAN = 64, 8  # bits of a word, words of an entry of the rank directory
 
 
 class WaveletMatrix:
     """Access, rank and select over non-negative integers of ``bits`` bits.
 
-    Plane k holds bit (bits - 1 - k) of the values as ordered by all planes before it, zeros first. ``ones`` counts
-    the ones before each 64-bit word.
+    Plane k holds bit (bits - 1 - k) of the values as ordered by all planes before it, zeros first. ``ones[k]`` is its rank
+    directory: the ones before each 512 bits, and in all. Both are stored, so opening a matrix counts nothing.
     """
 
-    def __init__(self, n: int, planes: list[np.ndarray]):
-        self.n, self.planes, self.bits = n, planes, len(planes)
-        self.ones = []
-        for words in planes:
-            counts = np.bitwise_count(words).astype(np.int64)
-            self.ones.append(np.concatenate([[0], np.cumsum(counts)]))
-        self.zeros = [n - int(o[-1]) for o in self.ones]
+    def __init__(self, n: int, planes: np.ndarray, ones: np.ndarray):
+        self.n, self.planes, self.ones, self.bits = n, planes, ones, len(planes)
+        self.zeros = [n - int(o[-1]) for o in ones]
 
     @classmethod
     def build(cls, values: np.ndarray, bits: int | None = None) -> WaveletMatrix:
         bits = bits or max(1, int(values.max(initial=0)).bit_length())
-        planes, now = [], np.asarray(values)
+        planes = np.zeros((bits, -(-len(values) // (WORD * SPAN)) * SPAN), np.uint64)
+        now = np.asarray(values)
         for k in range(bits - 1, -1, -1):
             bit = (now >> now.dtype.type(k)) & now.dtype.type(1) == 1
             raw = np.packbits(bit, bitorder="little")
-            planes.append(np.frombuffer(raw.tobytes() + b"\0" * (-len(raw) % 8), np.uint64))
+            planes[bits - 1 - k].view(np.uint8)[: len(raw)] = raw
             now = np.concatenate([now[~bit], now[bit]])
-        return cls(len(values), planes)
+        counts = np.bitwise_count(planes).reshape(bits, -1, SPAN).sum(axis=2, dtype=np.uint32)
+        ones = np.concatenate([np.zeros((bits, 1), np.uint32), np.cumsum(counts, axis=1, dtype=np.uint32)], axis=1)
+        return cls(len(values), planes, ones)
 
     def _bit(self, k: int, i: np.ndarray) -> np.ndarray:
         return (self.planes[k][i // WORD] >> (i % WORD).astype(np.uint64)) & np.uint64(1) == 1
 
     def _ones_before(self, k: int, i: np.ndarray) -> np.ndarray:
-        word, rest = i // WORD, (i % WORD).astype(np.uint64)
-        padded = self.planes[k][np.minimum(word, max(0, len(self.planes[k]) - 1))] if len(self.planes[k]) else np.zeros(len(i), np.uint64)
-        part = np.where(rest > 0, padded & ((np.uint64(1) << rest) - np.uint64(1)), np.uint64(0))
-        return self.ones[k][word] + np.bitwise_count(part)
+        span, word, rest = i // (WORD * SPAN), i // WORD, (i % WORD).astype(np.uint64)
+        total = self.ones[k][span].astype(np.int64)
+        for j in range(SPAN):
+            at = span * SPAN + j
+            inside = np.flatnonzero(at < len(self.planes[k]))  # at the end of a full last span there is no word
+            full, part = at[inside] < word[inside], at[inside] == word[inside]
+            mask = np.where(full, ~np.uint64(0), np.where(part, (np.uint64(1) << rest[inside]) - np.uint64(1), np.uint64(0)))
+            total[inside] += np.bitwise_count(self.planes[k][at[inside]] & mask)
+        return total
 
     def access(self, i) -> np.ndarray:
         """Values at positions i."""
@@ -67,13 +71,18 @@ class WaveletMatrix:
         lo, hi = self._range(value, self.n if i is None else i)
         return hi - lo
 
-    def _select_bit(self, k: int, one: bool, j: np.ndarray) -> np.ndarray:
+    def _select_bit(self, k: int, one: bool, j: np.ndarray, block: int = 1 << 12) -> np.ndarray:
         """Positions of the j-th (from 0) ones or zeros of plane k."""
-        before = self.ones[k] if one else np.minimum(np.arange(len(self.ones[k])) * WORD, self.n) - self.ones[k]
-        word = np.searchsorted(before, j, side="right") - 1
-        bits = np.unpackbits(self.planes[k][word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        hits = np.cumsum(bits == one, axis=1)
-        return word * WORD + np.argmax(hits > (j - before[word])[:, None], axis=1)
+        before = self.ones[k].astype(np.int64)
+        before = before if one else np.arange(len(before)) * WORD * SPAN - before
+        out = np.empty(len(j), np.int64)
+        for lo in range(0, len(j), block):
+            want = j[lo : lo + block]
+            span = np.searchsorted(before, want, side="right") - 1
+            bits = np.unpackbits(self.planes[k].reshape(-1, SPAN)[span].view(np.uint8), axis=1, bitorder="little")
+            hits = np.cumsum(bits == one, axis=1, dtype=np.int16)
+            out[lo : lo + block] = span * WORD * SPAN + np.argmax(hits > (want - before[span])[:, None], axis=1)
+        return out
 
     def select(self, value: int, j) -> np.ndarray:
         """Positions of the j-th (from 0) occurrences of value."""
@@ -106,14 +115,14 @@ class WaveletMatrix:
         return now if now is not None else np.empty(0, np.uint32)
 
     def to_bytes(self) -> bytes:
-        head = MAGIC + np.array([self.n, self.bits], np.int64).tobytes()
-        return head + b"".join(p.tobytes() for p in self.planes)
+        return MAGIC + np.array([self.n, self.bits], np.int64).tobytes() + self.ones.tobytes() + self.planes.tobytes()
 
     @classmethod
     def from_bytes(cls, data: bytes) -> WaveletMatrix:
         if data[:4] != MAGIC:
             raise ValueError("not a wavelet matrix")
-        n, bits = np.frombuffer(data, np.int64, 2, 4)
-        size = -(-int(n) // WORD)
-        words = np.frombuffer(data, np.uint64, size * int(bits), 20)
-        return cls(int(n), list(words.reshape(int(bits), size)))
+        n, bits = map(int, np.frombuffer(data, np.int64, 2, 4))
+        spans = -(-n // (WORD * SPAN))
+        ones = np.frombuffer(data, np.uint32, bits * (spans + 1), 20).reshape(bits, spans + 1)
+        planes = np.frombuffer(data, np.uint64, bits * spans * SPAN, 20 + ones.nbytes).reshape(bits, spans * SPAN)
+        return cls(n, planes, ones)

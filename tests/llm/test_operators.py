@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quaestor.llm import chat, decontaminate, jaccard, langid, lm, mixing, quality, substring, tokencounts, tokenfiles
+from quaestor.llm import chat, decontaminate, jaccard, langid, lm, mixing, packs, quality, substring, tokencounts, tokenfiles
 from quaestor.llm.components import components
 from quaestor.llm.encoder import Encoder, default_path
 from quaestor.llm.wavelet import WaveletMatrix
@@ -215,17 +215,41 @@ def test_encoder_keeps_added_tokens():
 
     own, plain = Encoder(default_path(), added=True), Tokenizer.from_file(default_path())
     rng = random.Random(4)
-    parts = ["a", "B", " ", "\n", ".", "don't", "12", "中", "<|endoftext|>", "<|endoftext", "|>", "x y. z", "", " word"]
+    parts = ["a", "B", " ", "\n", ".", "don't", "12", "中", "<|endoftext|>", "<|endoftext", "|>", "x y. z", "", " word", "É", "×", "÷'s", "\n\n", "\t", "\u00a0", "\u3000", "\x85", "\x1c", "ñ", "-", "'ll", "  "]
     texts = ["a<|endoftext|>b", "<|endoftext|>", "<|endoftext|><|endoftext|>", "<|endo", "ftext|>"]
-    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(2000)]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(4000)] + ["word" * 3000 + " a" + "é" * 2000]
     ids, at = own.encode([t.encode() for t in texts])
     wanted = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == wanted
 
 
+def test_encoder_forgets(monkeypatch):
+    from quaestor.llm import encoder
+
+    monkeypatch.setattr(encoder, "PLACES", 8)
+    monkeypatch.setattr(encoder, "POOL", 50)
+    own, plain, rng = Encoder(default_path()), Encoder(default_path()).tokenizer, random.Random(6)
+    for _ in range(30):
+        texts = [" ".join(rng.choice(["abc", "zebra", "naïve", "x,y", "qqq", "Wort"]) + str(rng.randint(0, 9)) for _ in range(rng.randint(0, 30))) for _ in range(5)]
+        ids, at = own.encode([t.encode() for t in texts])
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_hashes_tell_spans_apart():
+    rng = np.random.default_rng(1)
+    width = np.concatenate([rng.integers(1, 40, 20_000), [600, 601, 5000]])
+    end = np.cumsum(width)
+    data = rng.integers(0, 3, end[-1]).astype(np.uint8)
+    found = packs.hash_spans(data, end - width, end)
+    by_span = {}
+    for a, b, h in zip(end - width, end, found.tolist()):
+        by_span.setdefault(data[a:b].tobytes(), set()).add(h)
+    assert all(len(h) == 1 for h in by_span.values()) and len(set(found.tolist())) == len(by_span)
+
+
 def test_wavelet():
     rng = np.random.default_rng(4)
-    for n, top in ((0, 5), (1, 1), (64, 2), (1000, 7), (5000, 60_000)):
+    for n, top in ((0, 5), (1, 1), (64, 2), (512, 3), (1000, 7), (1024, 9), (5000, 60_000)):
         values = rng.integers(0, top, n).astype(np.uint16)
         m = WaveletMatrix.from_bytes(WaveletMatrix.build(values).to_bytes())
         assert (m.to_array() == values).all()
@@ -233,13 +257,15 @@ def test_wavelet():
         for v in [*set(values[:20].tolist()), top + 1]:
             at = np.flatnonzero(values == v)
             assert m.rank(v) == len(at) and (m.occurrences(v) == at).all() and m.rank(v, n // 2) == (values[: n // 2] == v).sum()
+            assert m.rank(v, n) == len(at)
 
 
 def test_token_files(spark, docs, rows, tmp_path):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(default_path())
-    plain.encode_special_tokens = True
+    rows = [*rows, (90_001, "a<|endoftext|> b <|endoftext|>", None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
     small, tokenfiles.SHARD_TOKENS = tokenfiles.SHARD_TOKENS, 500
     try:
         path = tokenfiles.write_token_files(docs, str(tmp_path / "t"))
@@ -256,6 +282,15 @@ def test_token_files(spark, docs, rows, tmp_path):
         assert r.start == start and (r.n_tokens, r.ids_crc32) in by_id[r.doc_id]
         start += r.n_tokens
     assert tokenfiles.count_token(spark, path, 0).agg(F.sum("n")).head()[0] >= len(rows)
+    own = {i: [*plain.encode(t or "", add_special_tokens=False).ids, 0] for i, t in pairs(rows)}
+    assert 50256 in own[90_001]
+    for token in (50256, 0, own[rows[7][0]][0], 40_000):
+        once = [i for i, t in pairs(rows) if i is not None and sum(j == i for j, _ in pairs(rows)) == 1]
+        places = {(r.doc_id, r.at) for r in tokenfiles.find_token(spark, path, token).collect()}
+        assert {(i, p) for i, p in places if i in once} == {(i, p) for i in once for p, t in enumerate(own[i]) if t == token}
+    longest = max((i for i, _ in pairs(rows) if i is not None), key=lambda i: len(own[i]))
+    assert tokenfiles.read_tokens(spark, path, longest).head().tokens == own[longest]
+    assert tokenfiles.read_tokens(spark, path, longest, 5, 9).head().tokens == own[longest][5:9]
 
 
 def test_chat_round_trip(spark):
