@@ -113,10 +113,6 @@ def n_buckets(packs: DataFrame) -> int:
 
 # --- texts as arrays -------------------------------------------------------------------------------------------------
 
-BLANK = np.zeros(256, bool)
-BLANK[[0x20, 9, 10, 11, 12, 13]] = True
-TO_LOWER = np.arange(256, dtype=np.uint8)
-TO_LOWER[65:91] += 32
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -182,16 +178,17 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, block: int
 
 def words_of(row: dict, lower: bool = False) -> Words:
     """Words of a row of PACK_SCHEMA: runs of bytes that are not ASCII blanks."""
-    raw = np.frombuffer(unsqueeze(row["data"]), np.uint8)
-    data = TO_LOWER[raw] if lower else raw
+    data = np.frombuffer(unsqueeze(row["data"]), np.uint8)
+    if lower:
+        data = data + (((data - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5))
     ids, ends = unsqueeze(row["ids"], np.int64), unsqueeze(row["ends"], np.int64)
-    blank = BLANK[data]  # each text ends with a line feed, so words don't run over
+    blank = (data == 0x20) | ((data - np.uint8(9)) < 5)  # each text ends with a line feed, so words don't run over
     edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
     if len(blank) and not blank[0]:
         edge = np.concatenate([[0], edge])
     start, end = edge[0::2], edge[1::2]
-    doc = np.searchsorted(ends, start, side="right").astype(np.int32)
-    first = np.searchsorted(doc, np.arange(len(ids) + 1))
+    first = np.concatenate([[0], np.searchsorted(start, ends)])
+    doc = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(first))
     return Words(data, ids, start, end, doc, first, hash_spans(data, start, end) if len(start) else np.empty(0, np.uint64))
 
 
@@ -230,14 +227,14 @@ def cuts(keys: np.ndarray, buckets: int, bits: int = 64) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]).astype(np.int64)
 
 
-def send(pack: int, keys: np.ndarray, attributes: np.ndarray, buckets: int, bits: int = 64, shrink: Callable = squeeze) -> Iterator[pa.RecordBatch]:
-    """Rows of SENT_SCHEMA: sorted distinct keys with one attribute each, by bucket."""
+def send(pack: int, keys: np.ndarray, attributes: np.ndarray, buckets: int, bits: int = 64, shrink: Callable = squeeze, offset: int = 0) -> Iterator[pa.RecordBatch]:
+    """Rows of SENT_SCHEMA: sorted distinct keys with one attribute each, by bucket; buckets are numbered from ``offset`` on."""
     at, rows = cuts(keys, buckets, bits), []
     for b in range(buckets):
         lo, hi = at[b], at[b + 1]
         if hi > lo:
             body = squeeze_sorted(keys[lo:hi])
-            rows.append((b, pack, int(hi - lo), len(body).to_bytes(4, "little") + body + shrink(attributes[lo:hi])))
+            rows.append((offset + b, pack, int(hi - lo), len(body).to_bytes(4, "little") + body + shrink(attributes[lo:hi])))
     if rows:
         yield batch(SENT_SCHEMA, rows)
 
@@ -274,9 +271,9 @@ def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, begins, group
 
 
-def replied(table: pa.Table, kind, grow: Callable = unsqueeze, **where) -> np.ndarray:
-    """A pack's replies in the order of its keys."""
-    rows = [r for r in table.to_pylist() if all(r[k] == v for k, v in where.items())]
+def replied(table: pa.Table, kind, grow: Callable = unsqueeze, low: int = 0, high: float = math.inf, **where) -> np.ndarray:
+    """A pack's replies from the buckets from low to below high, in the order of its keys."""
+    rows = [r for r in table.to_pylist() if low <= r["bucket"] < high and all(r[k] == v for k, v in where.items())]
     parts = [grow(r["data"], kind) for r in sorted(rows, key=lambda r: r["bucket"])]
     return np.concatenate(parts) if parts else np.empty(0, kind)
 
