@@ -261,11 +261,16 @@ def exchange(sent: DataFrame, kind, merge: Callable, reply_schema: str = REPLY_S
     return sent.groupBy("bucket").applyInArrow(run, reply_schema)
 
 
-def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, begins, group): keys[order] is sorted, group i starts at begins[i], and group[j] is the group of keys[j]."""
-    order = np.argsort(keys, kind="stable")
+def grouped(keys: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, begins, group): keys[order] is sorted, group i starts at begins[i], and group[j] is the group of keys[j]. more: a second part of the keys."""
+    if not len(keys):
+        return (np.empty(0, np.int64),) * 3
+    order = np.argsort(keys, kind="stable") if more is None else np.lexsort((more, keys))
     s = keys[order]
-    begins = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    fresh = s[1:] != s[:-1]
+    if more is not None:
+        fresh |= more[order][1:] != more[order][:-1]
+    begins = np.flatnonzero(np.concatenate([[True], fresh]))
     group = np.empty(len(keys), np.int64)
     group[order] = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(s))))
     return order, begins, group

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where it is unset, as in local tests."""
+    """spark.checkpoint.dir; a temporary folder only where it is unset and all tasks run on this machine, as in local tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         found = "file://" + tempfile.mkdtemp(prefix="quaestor-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -21,21 +23,29 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, release: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, has a known size.
 
-    release: afterwards let go of the shuffle files that only this table needed. Spark
-    deletes them once the JVM collects their handles, which would else happen by chance.
+    release: also lets go of shuffle files of tables that aren't needed any more (the caller may hold this one's for a moment).
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     if release:
         del df
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        _collect(spark)
     table = spark.read.parquet(path)
     table._written_to = path
     return table
 
 
+def _collect(spark: SparkSession) -> None:
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of plans that nothing refers to. Spark deletes them once the JVM collects their handles, which would else happen by chance."""
+    _collect(spark)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that written() made, once nothing reads them any more."""
     for table in tables:

@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaestor.llm.packs import (
-    NULL_ID, REPLY_SCHEMA, SENT_SCHEMA, Words, batch, each_pack, exchange, grouped, joined, n_buckets, packed, replied, send, window_hashes, with_replies, words_of,
+    NULL_ID, REPLY_SCHEMA, SENT_SCHEMA, Words, batch, each_pack, exchange, grouped, joined, n_buckets, packed, replied, send, squeeze, unsqueeze, window_hashes, with_replies, words_of,
 )
-from quaestor.llm.storage import written
+from quaestor.llm.storage import discard, written
 
 WINDOW = 13
-ANCHOR_BITS = 48  # an anchor is a hint; a false one costs a comparison
+ANCHOR_BITS = 48  # an anchor is a hint; a false one costs a look at a window
+WINDOW_KIND = np.dtype([("least", "<i8"), ("check", "<u4")])
 OUT_SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
@@ -49,7 +50,7 @@ def _merge_anchors(keys, flags, which):
 
 
 def _candidates(w: Words, window: int, block: int, hits: np.ndarray):
-    """(start, keys, place): windows that hold a hit anchor, extended to all starts around it."""
+    """(start, keys, checks, place): windows that hold a hit anchor, extended to all starts around it. A window is known by 96 bits, its key and its check."""
     _, _, start, place = _anchors(w, window, block)
     near = np.zeros(len(w.hash) + 1, np.int64)
     at = start[hits[place] > 0] if len(place) else start
@@ -59,19 +60,36 @@ def _candidates(w: Words, window: int, block: int, hits: np.ndarray):
     starts, full = window_hashes(w, window, seed=4)
     keep = covered[starts]
     starts, full = starts[keep], full[keep]
-    keys, inverse = np.unique(full, return_inverse=True)
-    return starts, keys, inverse
+    check = (window_hashes(w, window, seed=5)[1][keep] >> np.uint64(32)).astype(np.uint32)
+    order, begins, place = grouped(full, check)
+    first = order[begins] if len(order) else order
+    return starts, full[first], check[first], place
 
 
-def _least_ids(w: Words, starts, keys, place):
+def _least_ids(w: Words, starts, keys, check, place):
     least = np.full(len(keys), NULL_ID, np.int64)
     np.minimum.at(least, place, w.ids[w.doc[starts]])
-    return least
+    out = np.empty(len(keys), WINDOW_KIND)
+    out["least"], out["check"] = least, check
+    return out
 
 
-def _merge_least(keys, ids, which):
-    order, begins, group = grouped(keys)
-    return np.minimum.reduceat(ids[order], begins)[group]
+def _merge_least(keys, sent, which):
+    order, begins, group = grouped(keys, sent["check"])
+    return np.minimum.reduceat(sent["least"][order], begins)[group]
+
+
+def _shrink(sent: np.ndarray) -> bytes:
+    """What a pack sends with its windows, or the least ids that come back."""
+    return squeeze(sent["least"].tobytes() + sent["check"].tobytes() if sent.dtype == WINDOW_KIND else sent)
+
+
+def _grow(data: bytes, kind) -> np.ndarray:
+    raw = unsqueeze(data)
+    n = len(raw) // WINDOW_KIND.itemsize
+    out = np.empty(n, WINDOW_KIND)
+    out["least"], out["check"] = np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.uint32, n, 8 * n)
+    return out
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> DataFrame:
@@ -80,7 +98,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Tru
     A word goes if a window of ``window`` words over it also starts in a document with a smaller doc_id.
     Blocks are half a window long, so every window of the reference holds a whole one: the exchange of anchors
     marks rolling windows that are a block of another document, and only around those are whole windows
-    hashed (64 bits) and their least doc_id looked up. Neighbouring removed windows make up the maximal repeats.
+    hashed (96 bits) and their least doc_id looked up. Neighbouring removed windows make up the maximal repeats.
 
     Null text: no words. Null doc_id: counts as greater than any other, so its repeats of others go. Rows
     with equal doc_id don't remove from each other. Other columns of docs aren't read.
@@ -98,15 +116,15 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Tru
 
     def send_windows(row, replies):
         w = words_of(row)
-        starts, keys, place = _candidates(w, window, block, replied(replies, np.uint8))
-        return send(row["pack"], keys, _least_ids(w, starts, keys, place), buckets)
+        starts, keys, check, place = _candidates(w, window, block, replied(replies, np.uint8))
+        return send(row["pack"], keys, _least_ids(w, starts, keys, check, place), buckets, shrink=_shrink)
 
-    least = exchange(with_replies(packs, hits.select(*_names(REPLY_SCHEMA)), send_windows, SENT_SCHEMA), np.int64, _merge_least)
+    least = exchange(with_replies(packs, hits.select(*_names(REPLY_SCHEMA)), send_windows, SENT_SCHEMA), WINDOW_KIND, _merge_least, shrink=_shrink, grow=_grow)
     least = written(least.withColumn("round", F.lit(2)), release=True)
 
     def finish(row, replies):
         w = words_of(row)
-        starts, keys, place = _candidates(w, window, block, replied(replies, np.uint8, round=1))
+        starts, _, _, place = _candidates(w, window, block, replied(replies, np.uint8, round=1))
         found = replied(replies, np.int64, round=2)
         gone = starts[found[place] < w.ids[w.doc[starts]]] if len(starts) else starts
         marks = np.zeros(len(w.hash) + 1, np.int64)
@@ -123,7 +141,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Tru
             rows.append((None if w.ids[d] == NULL_ID else int(w.ids[d]), n, n - int(hi - lo), hashlib.sha256(text).hexdigest(), text.decode("utf-8", "replace") if with_text else None))
         return [batch(OUT_SCHEMA, rows)]
 
-    return with_replies(packs, hits.unionByName(least), finish, OUT_SCHEMA)
+    out = written(with_replies(packs, hits.unionByName(least), finish, OUT_SCHEMA))
+    discard(packs, hits, least)
+    return out
 
 
 def _names(schema: str) -> list[str]:
