@@ -21,7 +21,7 @@ from quaestor.llm.storage import written
 MARKS = ("### ", ": ", "</turn>\n")  # of the three reserved ids, in order
 LOSS_ROLES = ("assistant",)
 _CONTROL, _ROLE_CONTROL, _ESCAPED = re.compile(r"###|</turn>"), re.compile(r"###|</turn>|:"), re.compile(r"\\(.)", re.S)
-FORMATTED_SCHEMA = "conv_id long, turn long, role string, n_ids long, ids binary, mask binary"
+FORMATTED_SCHEMA = "conv_id long, turn long, role string, text_sha256 string, n_ids long, ids binary, mask binary"
 READ_SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
@@ -47,7 +47,7 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 def format_turns(conversations: DataFrame, tokenizer: str | None = None, loss_roles: tuple[str, ...] = LOSS_ROLES) -> DataFrame:
-    """conv_id, turn, role, n_ids, ids, mask of each row of conversations (conv_id, turn, role, text).
+    """conv_id, turn, role, text_sha256, n_ids, ids, mask of each row of conversations (conv_id, turn, role, text).
 
     ids (uint32) and mask (one byte for each id) are compressed; a conversation's sequence is its rows' in the
     order of turn. The mask covers the ids of a text whose role is in loss_roles, no marks. Null role or text: empty.
@@ -73,7 +73,7 @@ def format_turns(conversations: DataFrame, tokenizer: str | None = None, loss_ro
                     change[edge[2]] += 1
                     change[edge[3]] -= 1
                 mask = np.cumsum(change[:-1], dtype=np.int8)
-                rows.append((c, turn, role, int(edge[-1]), squeeze(np.concatenate(parts).astype(np.uint32)), squeeze(mask)))
+                rows.append((c, turn, role, hashlib.sha256((texts[k] or "").encode()).hexdigest(), int(edge[-1]), squeeze(np.concatenate(parts).astype(np.uint32)), squeeze(mask)))
             yield batch(FORMATTED_SCHEMA, rows)
 
     arrow_limits(conversations.sparkSession)
@@ -93,7 +93,7 @@ def read_back(formatted: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, from ids and masks alone.
 
     Rows stream by (conv_id, turn); a task holds one turn and the running digests, however long the conversation.
-    Equal turns follow each other by role and ids.
+    Rows of one turn follow each other by role and the digest of their text. A null conv_id is a conversation like any other.
     """
     path = tokenizer or default_path()
 
@@ -131,7 +131,7 @@ def read_back(formatted: DataFrame, tokenizer: str | None = None) -> DataFrame:
         yield batch(READ_SCHEMA, done)
 
     n = int(formatted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = formatted.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "ids")
+    ordered = formatted.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text_sha256")
     return ordered.select("conv_id", "ids", "mask").mapInArrow(run, READ_SCHEMA)
 
 
