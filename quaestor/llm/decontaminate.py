@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.llm.native import ascii_lower, let, positions, row_key
+from quaestor.llm.native import apart, ascii_lower, let, positions, row_key, together
 from quaestor.llm.storage import written
 
 #: All but ASCII letters, ASCII digits and non-ASCII characters separates words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW, GRAM = 10, 5
+ADDED = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 #: A benchmark of more fingerprints or windows than this is joined by shuffle instead of broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -68,35 +69,41 @@ def _window_text(w: Column, start: Column, m: Column) -> Column:
     return ascii_lower(F.concat_ws(" ", F.slice(w, start + 1, m)))
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """A written table; broadcast only if it is counted to be small."""
-    table = written(df)
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+def _small(table: DataFrame) -> bool:
+    """Whether a written table may be broadcast."""
+    return table.count() <= BROADCAST_ROWS
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(hits, items): hits has _k, doc_id, start, m, content for each window of an item in a document; items has content, item_id."""
+    """(hits, items): hits has _k, doc_id, start, m, content for each window of an item in a document (doc_id, text, _k); items has content, item_id.
+
+    Fingerprints of a benchmark of bounded size are broadcast, and a place that meets one takes its words along. Those of a larger one are
+    joined by shuffle, with keys and places only; words are fetched for the places that met.
+    """
     items = benchmark.select("item_id", _words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     items = items.withColumn("m", F.least(F.size("w"), F.lit(window)))
     short = sorted(r.m for r in items.filter(F.col("m") < window).select("m").distinct().collect())  # fewer than window values
     cut = items.withColumn("start", F.explode(positions(0, F.size("w") - F.col("m"))))
     of_item = written(cut.select("item_id", _window_text(F.col("w"), F.col("start"), F.col("m")).alias("content")).distinct())
-    contents = _bounded(of_item.select("content").distinct())
+    contents = written(of_item.select("content").distinct())
     keys = items.select("w", "m", F.explode(_fingerprints(F.col("w"), window, gram, short)).alias("f"))
-    keys = _bounded(keys.filter(F.col("f.m") == F.col("m")).select(F.col("m").alias("_m"), F.col("f.h").alias("_h")).distinct())
-
-    prints = docs.select("doc_id", row_key("doc_id", "text").alias("_k"), _words(F.col("text")).alias("w"))
-    prints = prints.select("*", F.explode(_fingerprints(F.col("w"), window, gram, short)).alias("f"))
-    prints = prints.select("*", F.col("f.m").alias("m"), F.col("f.h").alias("h"))
-    anchors = prints.join(keys, (F.col("m") == F.col("_m")) & (F.col("h") == F.col("_h")))
-    # Here only a few rows are left; each takes the words of its windows along.
-    anchors = anchors.select(
-        "_k", "doc_id", F.col("f.start").alias("s"), F.col("f.run").alias("run"), "m",
-        F.slice("w", F.col("f.start") + 1, F.col("f.run") + F.col("m") - 1).alias("near"),
-    )
+    keys = written(keys.filter(F.col("f.m") == F.col("m")).select(F.col("m").alias("_m"), F.col("f.h").alias("_h")).distinct())
+
+    words = docs.select("doc_id", "_k", _words(F.col("text")).alias("w"))
+    prints = words.select("*", F.explode(_fingerprints(F.col("w"), window, gram, short)).alias("f"))
+    place = ["_k", "doc_id", F.col("f.start").alias("s"), F.col("f.run").alias("run"), F.col("f.m").alias("m")]
+    near = F.slice("w", F.col("s") + 1, F.col("run") + F.col("m") - 1).alias("near")
+    if _small(keys):
+        met = (F.col("f.m") == F.col("_m")) & (F.col("f.h") == F.col("_h"))
+        anchors = prints.join(F.broadcast(keys), met).select(*place, "w").select("_k", "doc_id", "s", "run", "m", near)
+    else:
+        spots = prints.select(*place, F.col("f.h").alias("h"))
+        spots = written(spots.join(keys, (F.col("m") == F.col("_m")) & (F.col("h") == F.col("_h"))).select("_k", "doc_id", "s", "run", "m").distinct())
+        own = words.select("w", F.col("_k").alias("_of"), F.col("doc_id").alias("_id"))
+        anchors = spots.join(own, (F.col("_k") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("_k", "doc_id", "s", "run", "m", near).distinct()
     wide = anchors.withColumn("j", F.explode(positions(0, F.col("run") - 1)))
     wide = wide.select("_k", "doc_id", (F.col("s") + F.col("j")).alias("start"), "m", _window_text(F.col("near"), F.col("j"), F.col("m")).alias("content"))
-    return written(wide.join(contents, "content").distinct()), of_item
+    return written(wide.join(F.broadcast(contents) if _small(contents) else contents, "content").distinct()), of_item
 
 
 def _covered(spans: Column) -> Column:
@@ -120,15 +127,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     Null or wordless text: no words, nothing hit; null or wordless item: no window. Items without an id make words hit but
     aren't listed. Rows with equal doc_id and text get equal results. Columns of docs with names of added ones are replaced.
     """
-    hits, of_item = find_hits(docs, benchmark, window, gram)
+    rows, names = apart(docs, doc_id="doc_id", text="text")
+    rows = rows.withColumn("_k", row_key("doc_id", "text"))
+    hits, of_item = find_hits(rows, benchmark, window, gram)
     spans = hits.groupBy("_k", "doc_id").agg(_covered(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("m")).alias("end"))))).alias("_hit"))
     found = hits.select("_k", "doc_id", "content").distinct().join(of_item, "content").filter(F.col("item_id").isNotNull())
     listed = found.groupBy("_k", "doc_id").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("_items"))
     same = lambda a, b: (a["_k"] == b["_k"]) & a["doc_id"].eqNullSafe(b["doc_id"])
-    marked = spans.join(listed, same(spans, listed), "left").select(spans["_k"], spans["doc_id"].alias("_id"), "_hit", "_items")
-    added = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    keyed = docs.drop(*added).withColumns({"_k": row_key("doc_id", "text"), "n_words": F.size(_words(F.col("text"))).cast("long")})
-    out = keyed.join(marked, (keyed["_k"] == marked["_k"]) & keyed["doc_id"].eqNullSafe(marked["_id"]), "left").drop(marked["_k"])
+    marked = spans.join(listed, same(spans, listed), "left").select(spans["_k"].alias("_of"), spans["doc_id"].alias("_id"), "_hit", "_items")
+    keyed = rows.withColumn("n_words", F.size(_words(F.col("text"))).cast("long")).drop("text")
+    out = keyed.join(marked, (F.col("_k") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     ids = F.coalesce(F.col("_items"), F.array().cast("array<string>"))
     out = out.withColumns(
         {
@@ -137,7 +145,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
             "items_sha256": F.sha2(F.concat_ws(",", ids), 256),
         }
     )
-    return out.withColumn("contaminated", F.col("n_hit") > 0).drop("_k", "_id", "_hit", "_items")
+    return together(out.withColumn("contaminated", F.col("n_hit") > 0), names, ADDED)
 
 
 def op5_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

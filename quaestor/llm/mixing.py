@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaestor.llm.native import n_words
+from quaestor.llm.native import apart, n_words, together
 from quaestor.llm.storage import written
 
 WEIGHTS = (5, 2, 1)
+ADDED = ("size", "source_size", "target", "taken", "copies")
 BIN_CHARS = 3  # 4,096 bins of the draw for each source
 
 
@@ -21,6 +22,7 @@ def targets(sizes: DataFrame, share: float, max_epochs: int, weights: tuple[int,
     """source, source_size, target by water-filling.
 
     sizes: one row per source. A source is clamped at max_epochs times its size
+    (a handful of rows: sources are the parts of a mix, not a key of the data)
     as soon as the level, which is what is left to share out per weight, would pass that.
     In the order of clamp per weight the clamped ones come first, so that two running
     sums give the level for each source; it is one pass whatever the number of sources. The level of the first
@@ -57,7 +59,8 @@ def mix(docs: DataFrame, share: float = 1.5, max_epochs: int = 2, weights: tuple
     Rows with equal doc_id have equal draws and go in or stay out together. An
     empty table gives an empty result. Added columns replace columns of docs of those names.
     """
-    sized = docs.withColumns({"size": n_words(F.col("text")), "_src": F.col(source), "_draw": _draw(seed)})
+    rows, names = apart(docs, doc_id="doc_id", text="text", _src=source)
+    sized = rows.withColumns({"size": n_words(F.col("text")), "_draw": _draw(seed)})
     sized = sized.withColumn("_bin", F.substring("_draw", 1, BIN_CHARS))
     bins = written(sized.groupBy("_src", "_bin").agg(F.sum("size").alias("n")))
     plan = targets(bins.groupBy(F.col("_src").alias("source")).agg(F.sum("n").alias("source_size")), share, max_epochs, weights)
@@ -69,14 +72,14 @@ def mix(docs: DataFrame, share: float = 1.5, max_epochs: int = 2, weights: tuple
     plan = plan.join(last, F.col("source").eqNullSafe(F.col("_src")), "left")
     # A written table has a known size; Spark broadcasts it by that, or joins by shuffle.
     plan = written(plan.select(F.col("source").alias("_s"), "source_size", "target", "whole", "rest", F.col("m._bin").alias("_last"), F.col("m.before").alias("_before")))
-    rows = sized.drop("source_size", "target", "taken", "copies").join(plan, F.col("_src").eqNullSafe(F.col("_s")), "left")
+    rows = sized.join(plan, F.col("_src").eqNullSafe(F.col("_s")), "left")
     inside = F.coalesce(F.col("_bin") == F.col("_last"), F.lit(False))
     more = F.coalesce((F.col("_bin") < F.col("_last")).cast("long"), F.lit(0))
     outer = rows.filter(~inside).withColumn("copies", F.col("whole") + more)
     upto = F.col("_before") + F.sum("size").over(Window.partitionBy("_src", "_bin").orderBy("_draw", "doc_id"))
     inner = rows.filter(inside).withColumn("copies", F.col("whole") + (upto - F.col("size") / 2 <= F.col("rest")).cast("long"))
     both = outer.unionByName(inner).withColumn("taken", F.col("size") * F.col("copies"))
-    return both.drop("_src", "_draw", "_bin", "_s", "whole", "rest", "_last", "_before")
+    return together(both, names, ADDED)
 
 
 def op10_source_mixing(spark, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLANKS = " \t\n\x0b\f\r"
@@ -44,3 +45,23 @@ def positions(first: Column | int, last: Column) -> Column:
 def row_key(*columns: str) -> Column:
     """A key of a row's values; equal rows share it."""
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in columns])
+
+
+def exact(name: str) -> Column:
+    """A column by its exact name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def apart(docs: DataFrame, **needed: str) -> tuple[DataFrame, dict[str, str]]:
+    """The needed columns of docs by the given names (null where docs has none), and all columns of docs by names that
+    nothing else has, so that no name of theirs meets one of an operator; with those names by column."""
+    mark = f"c{uuid.uuid4().hex}"
+    names = {c: f"{mark}_{i}" for i, c in enumerate(docs.columns)}
+    own = [(exact(c) if c in names else F.lit(None).cast("string")).alias(n) for n, c in needed.items()]
+    return docs.select(*own, *[exact(c).alias(n) for c, n in names.items()]), names
+
+
+def together(rows: DataFrame, names: dict[str, str], added: Iterable[str] = ()) -> DataFrame:
+    """The columns that apart put aside, by their own names, and the added ones, which replace columns of the same name."""
+    lowered = {a.lower() for a in added}
+    return rows.select(*[F.col(n).alias(c) for c, n in names.items() if c.lower() not in lowered], *added)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.llm.native import BLANKS, ascii_lower, let, positions, words
+from quaestor.llm.native import BLANKS, apart, ascii_lower, let, positions, together, words
 
 SYMBOLS = "#*$%&|<>"
 #: Frequent function words of English, French, German and Spanish.
@@ -128,8 +128,8 @@ def quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES
     rows, repeated rows and nulls in other columns pass through row by row. Columns
     of docs that have the name of an added column are replaced by it.
     """
-    found = measures(F.col(text))
-    out = docs.withColumns(found)
+    rows, names = apart(docs, text=text)
+    out = rows.withColumns(measures(F.col("text")))
     out = out.withColumns({c: F.col(f"_w.{c}") for c in ("n_words", "n_repeat_words")} | {"n_dup_lines": F.col("_l.n_dup_lines")})
     out = out.withColumns(
         {
@@ -137,7 +137,7 @@ def quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES
             "_rules": compile_rules(rules, _shares()),
         }
     )
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("_rules")).drop("_w", "_l", "_rules")
+    return together(out.withColumn("kept", ~F.col("base_failed") & F.col("_rules")), names, COLUMNS)
 
 
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
