@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.llm.storage import written
+from quaestor.llm.storage import discard, written
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -16,6 +16,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     label = written(nodes.select("node", F.col("node").alias("label")))
+    done = [label]
     while True:
         near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         step = label.join(near, label["node"] == near["a"], "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
@@ -24,6 +25,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         after = step.join(jump, step["label"] == jump["via"], "left").select("node", "old", F.least("label", "further").alias("label"))
         after = written(after)
         changed = after.filter("old != label").limit(1).count()
-        label = after.select("node", "label")
+        discard(step, *done)
+        label, done = after.select("node", "label"), [after]
         if not changed:
+            discard(both)
             return label

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaestor.llm.components import components
@@ -120,6 +120,22 @@ def verified(pairs: DataFrame, packs: DataFrame, size: int, percent: int) -> Dat
     return out
 
 
+def spread_join(many: DataFrame, one: DataFrame, on: list[str], row: str) -> DataFrame:
+    """many joined with one, which has each key once. Keys whose rows would fill a task more than the mean one are dealt over several.
+
+    Rows are counted by 65,536 hash values of the keys. Where a value has more than its share, both sides
+    add a salt: many by its column ``row``, one by repeating its rows. The counts that matter are fewer than 65,536, so they may be broadcast.
+    """
+    value = F.pmod(F.xxhash64(*on), F.lit(1 << 16)).alias("_value")
+    counts = many.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+    share = F.greatest(F.lit(64), F.ceil(F.sum("_n").over(Window.partitionBy()) / F.lit(2 * int(many.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    hot = written(counts.withColumn("_salts", F.ceil(F.col("_n") / share).cast("long")).filter("_salts > 1").select("_value", "_salts"))
+    with_salts = lambda df: df.withColumn("_value", value).join(F.broadcast(hot), "_value", "left").withColumn("_salts", F.coalesce("_salts", F.lit(1).cast("long")))
+    left = with_salts(many).withColumn("_salt", F.pmod(F.xxhash64(row), F.col("_salts"))).drop("_value", "_salts")
+    right = with_salts(one).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1))).drop("_value", "_salts")
+    return left.join(right, [*on, "_salt"]).drop("_salt")
+
+
 def _fits(a: str, b: str, percent: int):
     """Of a shared token at place p of n: sizes are near enough, and enough members are left from it on.
 
@@ -189,7 +205,12 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     mixed_tokens = known.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo != hi").select("token")
     known = written(known.join(mixed_tokens, "token").select("token", "gid", "n", "p", "lo", "hi"))
     apart = (F.col("x.lo") != F.col("x.hi")) | (F.col("y.lo") != F.col("y.hi")) | (F.col("x.lo") != F.col("y.lo"))
-    more = known.alias("x").join(known.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid")) & apart & _fits("x", "y", percent))
+    # Which sizes and places of a token fit is found among those that occur, so that a token's groups meet only where they can be alike.
+    kinds = known.select("token", "n", "p").distinct()
+    fitting = kinds.alias("x").join(kinds.alias("y"), (F.col("x.token") == F.col("y.token")) & _fits("x", "y", percent))
+    fitting = fitting.select(F.col("x.token").alias("token"), *[F.col(f"{t}.{c}").alias(f"{t}{c}") for t in "xy" for c in "np"])
+    at = lambda t: (F.col(f"{t}.token") == F.col("f.token")) & (F.col(f"{t}.n") == F.col(f"f.{t}n")) & (F.col(f"{t}.p") == F.col(f"f.{t}p"))
+    more = known.alias("x").join(fitting.alias("f"), at("x")).join(known.alias("y"), at("y") & (F.col("x.gid") < F.col("y.gid")) & apart)
     more = more.select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb"))
     within = group.filter("lo != hi").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
     more = more.union(within).distinct()
@@ -202,11 +223,15 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     label = components(nodes, edges.union(rest))
 
     of_text = reps.select(*sig, F.col("uid").alias("rep")).join(label, F.col("rep") == F.col("node")).select(*sig, "label")
-    in_groups = written(shared.select("uid", "doc_id", *sig).join(of_text, sig).select("uid", "doc_id", "n", "label"))
-    least = in_groups.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    linked = in_groups.join(least, "label").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    least = shared.groupBy(*sig).agg(F.min("doc_id").alias("least")).join(of_text, sig)
+    of_label = least.groupBy("label").agg(F.min("least").alias("component_id"))
+    of_sig = written(least.join(of_label, "label").select(*sig, "component_id"))
+    linked = spread_join(shared.select("uid", "doc_id", *sig), of_sig, sig, "uid")
+    linked = linked.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     alone = rows.filter(F.size("tokens") == 0).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.union(alone)
+    out = written(linked.union(alone))
+    discard(rows, texts, tokens, pairs, group, known, wide, of_sig, edges, rest)
+    return out
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
