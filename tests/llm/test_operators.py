@@ -82,6 +82,15 @@ def test_jaccard_of_a_chain(spark):
     same(jaccard.link(spark.createDataFrame(texts, "doc_id long, text string")).collect(), brute.components(texts))
 
 
+def test_jaccard_of_a_common_header(spark):
+    rng = random.Random(9)
+    header = [f"h{i}" for i in range(30)]
+    rows = [(i, " ".join(header + [f"x{i}_{k}" for k in range(rng.randint(3, 30))])) for i in range(80)]
+    rows += [(100 + i, rows[i][1] + " one more") for i in range(20)] + [(200 + i, rows[3][1]) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    same(jaccard.link(docs, 4, 85).collect(), brute.components(rows, 85, 4))
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(50, 90), rng.randrange(50, 90)) for _ in range(25)]
@@ -93,17 +102,25 @@ def test_components(spark):
     assert found == dict(enumerate(label))
 
 
-def test_decontamination(spark, docs, rows):
+def test_decontamination(spark, docs, rows, monkeypatch):
     texts = [t for _, t in pairs(rows) if t and len(t.split()) > 30]
     items = [(1, " ".join(texts[0].split()[3:20])), (12, texts[1].upper()), (2, "one"), (3, "ONE two"), (4, None), (5, "###"), (None, "one two three"), (7, "a a a"), (7, "a a a"), (8, "été 中文")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     same(decontaminate.contamination(docs, benchmark).select(*columns).collect(), brute.contamination(pairs(rows), items))
-    shuffled, decontaminate.BROADCAST_ROWS = decontaminate.BROADCAST_ROWS, -1
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", -1)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
+        plans = []
+        real = decontaminate.written
+        monkeypatch.setattr(decontaminate, "written", lambda df, **k: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, **k))
         same(decontaminate.contamination(docs, benchmark).select(*columns).collect(), brute.contamination(pairs(rows), items))
     finally:
-        decontaminate.BROADCAST_ROWS = shuffled
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert not any("BroadcastHashJoin" in p for p in plans)
+    joins = [p for p in plans if "run#" in p and "h#" in p]
+    assert joins and all("Generate" in p for p in joins[:1])
     assert decontaminate.contamination(docs, benchmark.limit(0)).filter("contaminated").count() == 0
 
 
@@ -120,11 +137,24 @@ def test_quality_has_no_shuffle(spark):
 
 def test_mixing(docs, rows):
     found = mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken").collect()
-    wanted = brute.mixing([(r[0], r[2], r[1]) for r in rows if r[0] is not None])
     assert len(found) == len(rows)
     same([(r.doc_id, r.size) for r in found], [(r[0], len(brute.words(r[1]))) for r in rows])
     assert all(r.taken <= 2 * r.size for r in found)
-    assert wanted
+    taken, target, largest = {}, {}, max(r.size for r in found)
+    for r in found:
+        key = r.source_size
+        taken[key], target[key] = taken.get(key, 0) + r.taken, r.target
+    assert all(abs(taken[k] - target[k]) <= largest for k in taken)
+
+
+def test_names_of_other_columns_are_safe(spark):
+    text = " ".join(f"word{i} of the text" for i in range(40))
+    kept = ["rest", "whole", "_s", "_src", "_draw", "_w", "_l", "_rules", "_k", "_id", "_hit", "_items", "_of", "w", "f", "n", "a.b", "row_id", "_rows", "Source2"]
+    docs = spark.createDataFrame([(i, f"{text} {i}", "a", *[f"{c}{i}" for c in kept]) for i in range(3)], ["doc_id", "text", "source", *kept])
+    items = spark.createDataFrame([(1, "word1 of the text word2 of the text word3 of the text word4")], "item_id long, text string")
+    for out in (quality.quality(docs), mixing.mix(docs), decontaminate.contamination(docs, items)):
+        assert set(docs.columns) <= set(out.columns)
+        assert {tuple(r) for r in out.select("doc_id", *[f"`{c}`" for c in kept]).collect()} == {(i, *[f"{c}{i}" for c in kept]) for i in range(3)}
 
 
 def test_mixing_against_brute_force(spark, rows):
@@ -136,14 +166,62 @@ def test_mixing_against_brute_force(spark, rows):
     assert sum(t for t, _ in target.values()) == pytest.approx(1.5 * sum(len(brute.words(t)) for _, _, t in named))
 
 
-def test_language(docs, rows):
-    langs, logp = langid.train(docs)
-    assert langs == ["en", "fr"]
-    found = langid.predict(docs, langs, logp).collect()
-    assert len(found) == len(rows)
-    letters = {r[0]: any(c.isalpha() for c in r[1] or "") for r in rows}
-    assert all((r.lang_pred == "und") != letters[r.doc_id] for r in found if r.doc_id is not None)
-    assert all(0 <= r.score <= 1 for r in found)
+def language_brute(rows, learnt, bits):
+    """(doc_id, lang_pred) by naive Bayes over the n-grams of whole texts, in plain Python; slots are the operator's own hashes of them."""
+    import math
+    import unicodedata
+    from collections import Counter
+
+    def grams(text):
+        shown = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in f" {(text or '').lower()} ")
+        while "  " in shown:
+            shown = shown.replace("  ", " ")
+        return Counter(shown[i : i + n] for n in langid.ORDERS for i in range(len(shown) - n + 1)) if shown.strip() else Counter()
+
+    def slot(gram):
+        key = 0
+        for n, c in enumerate(gram, 1):
+            key = (key * 0x9E3779B97F4A7C15 + ord(c) + n) % 2**64
+        return int(packs.mixed(np.array([key], np.uint64))[0]) >> (64 - bits)
+
+    counts, texts = {}, Counter()
+    for text, lang in learnt:
+        if text is not None and lang is not None:
+            texts[lang] += 1
+            at = counts.setdefault(lang, Counter())
+            for g, n in grams(text).items():
+                at[slot(g)] += n
+    out = []
+    for i, text in rows:
+        found, best = grams(text), ("und", None)
+        for lang in sorted(counts) if found else ():
+            whole = sum(counts[lang].values()) + langid.SMOOTHING * 2**bits
+            p = math.log(texts[lang] / sum(texts.values())) + sum(n * math.log((counts[lang][slot(g)] + langid.SMOOTHING) / whole) for g, n in found.items())
+            if best[1] is None or p > best[1]:
+                best = (lang, p)
+        out.append((i, best[0]))
+    return out
+
+
+def test_language(docs, rows, monkeypatch):
+    wanted = language_brute(pairs(rows), [(r[1], r[3]) for r in rows], 10)
+    counts = langid.train(docs, bits=10)
+    found = langid.predict(docs, counts, bits=10).collect()
+    same([(r.doc_id, r.lang_pred) for r in found], wanted)
+    assert all(0 <= r.score <= 1 and (r.score == 0) == (r.lang_pred == "und") for r in found)
+    monkeypatch.setattr(langid, "MATRIX_BYTES", 4 << 10)  # one language a block
+    apart = langid.predict(docs, counts, bits=10).collect()
+    same([(r.doc_id, r.lang_pred) for r in apart], wanted)
+    assert sorted(r.score for r in apart) == pytest.approx(sorted(r.score for r in found), abs=1e-6)
+
+
+def test_language_slots_of_blocks(monkeypatch):
+    text = "Ünïcode 中文 words, don't  split\u3000here 123 a b  ~~ \U00030000 end"
+    whole = sorted(np.concatenate(list(langid.slots(text))))
+    for block in (1, 2, 3, 7):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        assert sorted(np.concatenate(list(langid.slots(text)))) == whole
+    assert not list(langid.slots("1234 ... \u3000")) and list(langid.slots("\U00030000"))
 
 
 def test_language_accuracy(spark):
@@ -413,6 +491,31 @@ def test_chat_round_trip(spark):
         assert tuple(found[c])[1:] == (len(turns), digest, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(shown))
 
 
+def test_token_counts_against_offsets(spark, docs, rows):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(default_path())
+    for rule in tokencounts.RULES:
+        wanted = []
+        for i, t in pairs(rows):
+            t = t or ""
+            lines = t.split("\n")
+            edges = [0]
+            for k, x in enumerate(lines):
+                edges.append(edges[-1] + len(x) + (k < len(lines) - 1))
+            if len(lines) > 1 and not lines[-1]:
+                edges.pop()
+            found = [[a, b, 0, 0] for a, b in zip(edges[:-1], edges[1:])]
+            for a, b in plain.encode(t, add_special_tokens=False).offsets:
+                held = [max(0, min(b, y) - max(a, x)) for x, y, *_ in found]
+                inside = [k for k, n in enumerate(held) if n]
+                goes = {"first": inside[0], "last": inside[-1], "most": held.index(max(held))}[rule]
+                found[goes][2] += 1
+                found[goes][3] += len(inside) > 1
+            wanted += [(i, k, *x) for k, x in enumerate(found)]
+        same(tokencounts.token_counts(docs, rule).collect(), wanted)
+
+
 @pytest.mark.parametrize("rule", tokencounts.RULES)
 def test_token_counts(docs, rows, rule):
     found = tokencounts.token_counts(docs, rule).groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.max("end").alias("end")).collect()
@@ -436,7 +539,7 @@ def test_empty_tables(spark):
     items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     for out in (
         substring.substring_dedup(docs), jaccard.link(docs), decontaminate.contamination(docs, items), quality.quality(docs), mixing.mix(docs),
-        lm.lm_scores(docs), tokenfiles.token_files(docs), tokencounts.token_counts(docs), langid.predict(docs, *langid.train(docs)),
+        lm.lm_scores(docs), tokenfiles.token_files(docs), tokencounts.token_counts(docs), langid.predict(docs, langid.train(docs)),
         chat.read_back(chat.format_turns(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))),
     ):
         assert out.count() == 0
