@@ -1,51 +1,57 @@
 """The corpus pipeline: documents through five stages of quaestor.llm.
 
-Rows that a stage keeps keep all their columns. Stages take any table with the columns of documents, also an empty one.
+Rows that a stage keeps keep all their columns, also those whose names an operator gives to its own. Stages take any table with the
+columns of documents, also an empty one.
 """
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quaestor.llm.decontaminate import contamination
 from quaestor.llm.jaccard import link
 from quaestor.llm.mixing import mix
-from quaestor.llm.native import row_key
+from quaestor.llm.native import apart, together
 from quaestor.llm.quality import quality
-from quaestor.llm.storage import written
+from quaestor.llm.storage import discard, written
 from quaestor.llm.tokenfiles import token_files
 
 
+def _rows(docs):
+    return apart(docs, doc_id="doc_id", text="text", source="source")
+
+
 def quality_rules(spark, docs, sf_dir):
     """Keeps what passes the quality rules."""
-    return quality(docs).filter("kept").select(docs.columns)
+    rows, names = _rows(docs)
+    return together(quality(rows).filter("kept"), names)
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """Keeps the least doc_id of each group of near copies, as one row.
+    """Keeps one row of each group of near copies: that with the least doc_id, any one of several; a row without a doc_id only if no other has one.
 
-    A row without a doc_id can't be named as a group's document; such rows stay.
+    Rows are told apart by a number of their own, so that rows of one doc_id with unlike texts all stay.
     """
-    names = docs.columns
-    linked = link(docs.select("doc_id", "text"))
-    first = written(linked.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")), release=True)
-    kept = docs.join(first, "doc_id")
-    once = kept.filter("_rows = 1").select(names)
-    by_id = Window.partitionBy("doc_id").orderBy(row_key(*names))
-    repeated = kept.filter("_rows > 1").withColumn("_n", F.row_number().over(by_id)).filter("_n = 1").select(names)
-    return once.union(repeated).union(docs.filter("doc_id is null").select(names))
+    rows, names = _rows(docs)
+    numbered = written(rows.select(*names.values(), F.monotonically_increasing_id().alias("row_id")))
+    doc_id, text = (F.col(names[c]) if c in names else F.lit(None).cast("string") for c in ("doc_id", "text"))
+    linked = link(numbered.select(F.col("row_id").alias("doc_id"), text.alias("text")))
+    named = numbered.select("row_id", doc_id.alias("doc_id")).join(linked.select(F.col("doc_id").alias("row_id"), "component_id"), "row_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")
+    kept = named.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.row_id").alias("row_id"))
+    return together(numbered.join(written(kept, release=True), "row_id"), names)
 
 
 def decontamination(spark, docs, sf_dir):
     """Keeps what shares no window with a benchmark item."""
+    rows, names = _rows(docs)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    return contamination(docs, benchmark).filter(~F.col("contaminated")).select(docs.columns)
+    return together(contamination(rows, benchmark).filter(~F.col("contaminated")), names)
 
 
 def source_mixing(spark, docs, sf_dir):
     """Repeats each document as often as the mix holds it; none of those that it doesn't."""
-    names = docs.columns
-    mixed = mix(docs).filter("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(names)
+    rows, names = _rows(docs)
+    mixed = mix(rows).filter("copies > 0")
+    return together(mixed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))), names)
 
 
 def token_output(spark, docs, sf_dir):
@@ -66,8 +72,12 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        docs = written(docs) if i < len(STAGES) - 1 else docs
+        if i < len(STAGES) - 1:
+            docs = written(docs)
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
