@@ -6,13 +6,15 @@ import re
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
+from queue import Queue
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 
 from quaestor import render
 from quaestor.errors import QUERY_MESSAGES, ModelError, QueryResult
 from quaestor.memory import Memory
-from quaestor.models import Embedder, HashingEmbedder, LanguageModel, OfflineModel, grounding
+from quaestor.models import Embedder, HashingEmbedder, LanguageModel, OfflineModel, Told, grounding
 from quaestor.nl import grammar
 from quaestor.operators import aggregates, profile, search
 from quaestor.operators.retrieval import Index
@@ -107,9 +109,30 @@ class Engine:
         return answer
 
     def stream(self, question: str) -> Iterator[str]:
-        """The answer in pieces; a model's as they come."""
-        answer = self.ask(question)
-        yield from re.findall(r"\S+\s*|\s+", answer.text)
+        """The answer in pieces: a model's as they come, any other's word by word. What was added to a model's words follows them."""
+        pieces: Queue = Queue()
+        model, self.model = self.model, Told(self.model, pieces.put)
+
+        def run() -> None:
+            try:
+                pieces.put(self.ask(question))
+            except BaseException as error:  # goes on where the pieces are read
+                pieces.put(error)
+
+        try:
+            worker = InheritableThread(run)
+            worker.start()
+            told = ""
+            while isinstance(piece := pieces.get(), str):
+                told += piece
+                yield piece
+            worker.join()
+        finally:
+            self.model = model
+        if isinstance(piece, BaseException):
+            raise piece
+        rest = piece.text if told.strip() not in piece.text else piece.text.replace(told.strip(), "", 1)
+        yield from re.findall(r"\S+\s*|\s+", rest)
 
     def _answer(self, question: str, carried: tuple[plans.Filter, ...]) -> Answer:
         ds, columns = self.ds, self.ds.columns

@@ -46,7 +46,8 @@ def safe_pattern(pattern: str) -> str | None:
         re.compile(pattern)
     except re.error:
         return None
-    return None if re.search(r"\(\?P|\(\?\(|\\Z", pattern) else pattern
+    # Python reads these otherwise than Java: named groups, conditions, the end, and a brace that bounds no repetition.
+    return None if re.search(r"\(\?P|\(\?\(|\\Z|(?<!\\)\{(?!\d+(?:,\d*)?\})", pattern) else pattern
 
 
 def contains_ci(name: str, value: object) -> Column:
@@ -65,7 +66,7 @@ def cosine(a: Column, b: Column) -> Column:
     return dot / F.when(size == 0, F.lit(1e-10)).otherwise(size)
 
 
-#: Words that carry no topic.
+#: Words that carry no topic.
 STOP_WORDS = (
     "the a an and or but in on at to for of with by from as is was are were be been being have has had do does did will would "
     "could should may might must can this that these those it its they them their what which who when where why how all each not no"

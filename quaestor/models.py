@@ -71,6 +71,23 @@ class OfflineModel:
         return None
 
 
+class Told:
+    """A model whose answers are also told piece by piece as they come."""
+
+    def __init__(self, model: LanguageModel, tell: Callable[[str], None]):
+        self._model, self._tell = model, tell
+
+    def __getattr__(self, name: str):
+        return getattr(self._model, name)
+
+    def ask(self, question: str, context: str) -> str:
+        pieces = []
+        for piece in self._model.ask_stream(question, context):
+            self._tell(piece)
+            pieces.append(piece)
+        return "".join(pieces)
+
+
 def retried(call: Callable[[], dict], attempts: int = 3, first: float = 0.5, sleep: Callable[[float], None] = time.sleep) -> dict:
     """call(), again after first * 2 ** n seconds and up to half a second more while the service is unreachable, busy or failing."""
     for n in range(attempts):

@@ -49,9 +49,9 @@ def top_values_of(df: DataFrame, columns: list[str], k: int = 10) -> DataFrame:
 
 
 def shares(df: DataFrame, name: str, k: int = 10) -> DataFrame:
-    """value, n, percent of all rows with one decimal."""
+    """value, n, percent of all rows with one decimal, halves to even."""
     total = df.agg(F.count(F.lit(1)).alias("total"))
-    return top_values(df, name, k).crossJoin(F.broadcast(total)).select("value", "n", F.round(100 * F.col("n") / F.col("total"), 1).alias("percent"))
+    return top_values(df, name, k).crossJoin(F.broadcast(total)).select("value", "n", F.bround(100 * F.col("n") / F.col("total"), 1).alias("percent"))
 
 
 def distinct_in_order(df: DataFrame, name: str) -> DataFrame:

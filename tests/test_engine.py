@@ -104,7 +104,7 @@ def test_profile(ds, spark):
 
 def test_plan_order(ds):
     plan = QueryPlan("list", ("notes", "DecibelsA"), filters=(Filter("DecibelsA", ">", 50),), sort=(Sort("Notes"),), limit=2)
-    assert [tuple(r) for r in compile_plan(plan, ds).collect()] == [("Drill", 95.0), ("Late festival", 79.5)]
+    assert [tuple(r) for r in compile_plan(plan, ds).collect()] == [("Busy hour", 88.0), ("Drill", 95.0)]
 
 
 def test_plans_push_down(spark):
@@ -191,6 +191,32 @@ def test_a_model_can_plan(spark, path):
     assert e.ask("records with something odd").count == 1
 
 
+def test_a_model_answers_in_pieces(spark, path):
+    class Slow:
+        told = 0
+
+        def ask(self, q, c):
+            return "".join(self.ask_stream(q, c))
+
+        def ask_stream(self, q, c):
+            for piece in ("It ", "was ", "loud."):
+                self.told += 1
+                yield piece
+
+        def plan(self, q, card):
+            return None
+
+        def steps(self, q, card):
+            return None
+
+    model = Slow()
+    e = Engine(spark, model)
+    e.load(path)
+    pieces = list(e.stream("why is it so, and what does it tell about the birds"))
+    assert pieces[:3] == ["It ", "was ", "loud."] and model.told == 3 and e.model is model
+    assert pieces.count("It ") == 1
+
+
 def test_cli(path, capsys, spark, tmp_path, monkeypatch):
     history = str(tmp_path / "h.json")
     monkeypatch.setattr(spark.__class__, "stop", lambda self: None)
