@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quaestor.functions.columns import cosine, tokens
+from quaestor.functions.columns import tokens
 from quaestor.models import HashingEmbedder
 from quaestor.nl.grammar import structured_plan
 from quaestor.operators import aggregates as A
@@ -72,7 +72,7 @@ planned("show_column_values", "part", QueryPlan("list", ("p_brand",)), "SELECT p
     ),
 )
 def _profile(s, d):
-    return profile.profile(ds(s, d, "customer")).select("position", "column", "n_rows", "n_present", "n_missing", "n_distinct")
+    return profile.profile(ds(s, d, "customer"), median=False).select("position", "column", "n_rows", "n_present", "n_missing", "n_distinct")
 
 
 # --- filters
@@ -172,7 +172,7 @@ query(
        UNION ALL SELECT 'top', min(r_name) FROM region UNION ALL SELECT 'freq', '1'""",
 )(lambda s, d: A.describe_text(Dataset(s.read.parquet(f"{d}/region.parquet").withColumn(RID, F.lit(0).cast("long"))).rows, ["r_name"]))
 query("statistics_first5", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", min({c})::DOUBLE AS low, max({c})::DOUBLE AS high, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std FROM lineitem" for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")))(
-    lambda s, d: rounded(profile.profile(ds(s, d, "lineitem")).filter("kind = 'numeric'").orderBy("position").limit(5).select("column", "low", "high", "mean", "std"))
+    lambda s, d: rounded(profile.profile(ds(s, d, "lineitem"), distinct=False, median=False).filter("kind = 'numeric'").orderBy("position").limit(5).select("column", "low", "high", "mean", "std"))
 )
 query("analyze_columns", "SELECT c AS \"column\", round(lo, 4) AS low, round(hi, 4) AS high, round(m, 4) AS mean, round(md, 4) AS median, round(sd, 4) AS std FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS c, min({c})::DOUBLE AS lo, max({c})::DOUBLE AS hi, avg({c}) AS m, median({c})::DOUBLE AS md, stddev_samp({c}) AS sd FROM part WHERE lower(p_brand) = 'brand#23'" for c in ("p_size", "p_retailprice")) + ")")(
     lambda s, d: rounded(profile.analyze(ds(s, d, "part"), "p_brand", "Brand#23", ["p_size", "p_retailprice"])["statistics"])
@@ -209,18 +209,26 @@ query("steps_narrowing", "SELECT * FROM part WHERE (contains(lower(p_name), 'pro
 _COS = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 
 
-def _scored(s, d) -> DataFrame:
+def _nearest(s, d, k: int | None, least: float | None) -> DataFrame:
     vectors = s.read.parquet(f"{d}/embeddings.parquet")
-    one = vectors.filter("vec_id = 0").select(F.col("embedding").alias("q"))
-    return vectors.join(F.broadcast(one)).withColumn("score", cosine(F.col("embedding"), F.col("q")))
+    one = vectors.filter("vec_id = 0").select("embedding").head()[0]
+    return retrieval.nearest(vectors, one, k, least, tie="vec_id").select("vec_id", F.round("score", 6).alias("score"))
 
 
-query("vector_topk_cosine", f"SELECT e.vec_id, round({_COS}, 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY {_COS} DESC, e.vec_id LIMIT 5")(
-    lambda s, d: _scored(s, d).orderBy(F.desc("score"), "vec_id").limit(5).select("vec_id", F.round("score", 6).alias("score"))
-)
-query("vector_topk_threshold", f"SELECT e.vec_id, round({_COS}, 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE {_COS} >= 0.3")(
-    lambda s, d: _scored(s, d).filter("score >= 0.3").select("vec_id", F.round("score", 6).alias("score"))
+query("vector_topk_cosine", f"SELECT e.vec_id, round({_COS}, 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY {_COS} DESC, e.vec_id LIMIT 5")(lambda s, d: _nearest(s, d, 5, None))
+query("vector_topk_threshold", f"SELECT e.vec_id, round({_COS}, 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE {_COS} >= 0.3")(lambda s, d: _nearest(s, d, None, 0.3))
+
+
+@query(
+    "vector_topk_each",
+    f"""SELECT query, vec_id, round(score, 6) AS score, place FROM (SELECT q.vec_id AS query, e.vec_id, {_COS} AS score,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS}, 12) DESC, e.vec_id)::INT AS place FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) WHERE place <= 5""",
 )
+def _nearest_each(s, d):
+    vectors = s.read.parquet(f"{d}/embeddings.parquet")
+    return retrieval.nearest_each(vectors, vectors.filter("vec_id % 50 = 0"), 5).select("query", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), "place")
+
+
 query("row_group_chunks", "SELECT (n_nationkey // 15)::BIGINT AS g, min(n_nationkey)::VARCHAR AS start_row, max(n_nationkey)::VARCHAR AS end_row FROM nation GROUP BY 1")(
     lambda s, d: retrieval.row_groups(s.read.parquet(f"{d}/nation.parquet").withColumn(RID, F.col("n_nationkey").cast("long")), ["n_nationkey", "n_name", "n_regionkey"]).select(
         F.substring("chunk_id", 6, 20).cast("long").alias("g"), F.col("metadata")["start_row"].alias("start_row"), F.col("metadata")["end_row"].alias("end_row")
@@ -229,9 +237,52 @@ query("row_group_chunks", "SELECT (n_nationkey // 15)::BIGINT AS g, min(n_nation
 query("row_numbers", "SELECT count(*) AS n, min(i) AS low, max(i) AS high FROM (SELECT row_number() OVER () - 1 AS i FROM lineitem)")(
     lambda s, d: numbered(s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey")).agg(F.count_distinct(RID).alias("n"), F.min(RID).alias("low"), F.max(RID).alias("high"))
 )
-query("column_descriptions")(lambda s, d: retrieval.column_descriptions(ds(s, d, "nation")))
-query("stat_summary")(lambda s, d: retrieval.statistics_chunks(ds(s, d, "events")))
-query("categorical_distribution")(lambda s, d: retrieval.distribution_chunks(ds(s, d, "events", "event_id", "event_type", "value")))
+
+
+def _about(s, d, table: str, chunks, *columns: str) -> DataFrame:
+    return chunks(ds(s, d, table, *columns)).select("chunk_id", "text", "chunk_type")
+
+
+def _tops_sql(table: str, column: str, key: str, k: int, entry: str, separator: str) -> str:
+    """The k most frequent values of a column as one text; ties by the table's order."""
+    return (
+        f"(SELECT string_agg({entry}, {separator} ORDER BY n DESC, seen) FROM "
+        f"(SELECT {column}::VARCHAR AS v, count(*) AS n, min({key}) AS seen FROM {table} WHERE {column} IS NOT NULL GROUP BY 1 ORDER BY n DESC, seen LIMIT {k}))"
+    )
+
+
+_ENTRY, _LINE = "v || ': ' || n", "E'\\n'"
+query(
+    "column_descriptions",
+    " UNION ALL ".join(
+        [
+            f"SELECT 'column-{c}' AS chunk_id, printf('Column ''{c}'' (numeric): from %s to %s, mean %.2f, missing %d', min({c})::DOUBLE::VARCHAR, max({c})::DOUBLE::VARCHAR, avg({c}), count(*) - count({c})) AS text, 'column' AS chunk_type FROM customer"
+            for c in ("c_custkey", "c_nationkey", "c_acctbal")
+        ]
+        + [
+            f"SELECT 'column-{c}', printf('Column ''{c}'' (text): %d distinct values, most frequent: %s, missing %d', count(DISTINCT {c}), {_tops_sql('customer', c, 'c_custkey', 5, 'v', chr(39) + ', ' + chr(39))}, count(*) - count({c})), 'column' FROM customer"
+            for c in ("c_name", "c_mktsegment")
+        ]
+    ),
+)(lambda s, d: _about(s, d, "customer", retrieval.column_descriptions))
+query(
+    "stat_summary",
+    " UNION ALL ".join(
+        f"SELECT 'statistics-{c}' AS chunk_id, printf('Statistics of ''{c}'': minimum %s, maximum %s, mean %.2f, standard deviation %.2f, median %s', min({c})::DOUBLE::VARCHAR, max({c})::DOUBLE::VARCHAR, avg({c}), stddev_samp({c}), median({c})::DOUBLE::VARCHAR) AS text, 'statistics' AS chunk_type FROM part"
+        for c in ("p_size", "p_retailprice")
+    ),
+)(lambda s, d: _about(s, d, "part", retrieval.statistics_chunks, "p_size", "p_retailprice", "p_brand"))
+query(
+    "categorical_distribution",
+    f"SELECT 'distribution-event_type' AS chunk_id, 'Distribution of ''event_type'':' || chr(10) || {_tops_sql('events', 'event_type', 'event_id', 10, _ENTRY, _LINE)} AS text, 'distribution' AS chunk_type",
+)(lambda s, d: _about(s, d, "events", retrieval.distribution_chunks, "event_id", "event_type", "value"))
+query(
+    "column_info",
+    " UNION ALL ".join(
+        f"SELECT {i}::INT AS position, '{c}' AS \"column\", '{t}' AS type, count({c}) AS n_present, (SELECT string_agg(v, ' / ' ORDER BY seen) FROM (SELECT {c}::VARCHAR AS v, min(c_custkey) AS seen FROM customer WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY seen LIMIT 3)) AS samples FROM customer"
+        for i, (c, t) in enumerate((("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "double"), ("c_mktsegment", "string")))
+    ),
+)(lambda s, d: profile.column_info(ds(s, d, "customer")).withColumn("samples", F.array_join("samples", " / ")))
 query("chunk_kinds", "SELECT 'rows' AS chunk_type, 2 AS n UNION ALL SELECT 'column', 3 UNION ALL SELECT 'statistics', 2 UNION ALL SELECT 'distribution', 1")(lambda s, d: retrieval.build_chunks(ds(s, d, "nation")).groupBy("chunk_type").agg(F.count(F.lit(1)).cast("int").alias("n")))
 query("semantic_search")(lambda s, d: retrieval.nearest(retrieval.embedded(retrieval.build_chunks(ds(s, d, "nation")), HashingEmbedder()), HashingEmbedder().embed(["column n_name distinct values"])[0]).select("chunk_id", "score"))
 

@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from quaestor import render
 from quaestor.errors import QUERY_MESSAGES, ModelError, QueryResult
 from quaestor.memory import Memory
-from quaestor.models import Embedder, HashingEmbedder, LanguageModel, OfflineModel, Told, grounding
+from quaestor.models import Embedder, HashingEmbedder, LanguageModel, OfflineModel, Told, grounding, semantic_confidence, structured_confidence
 from quaestor.nl import grammar
-from quaestor.operators import aggregates, profile, search
+from quaestor.operators import aggregates, filters, profile, search
 from quaestor.operators.retrieval import Index
 from quaestor.plans import plan as plans
 from quaestor.plans import steps as step_plans
@@ -36,6 +36,11 @@ class Answer:
     suggestions: list[str] = field(default_factory=list)
 
 
+def _sure(result: QueryResult) -> bool:
+    """A structured answer that needs no other engine: a confident one, one that found something, or none for filters that the question states."""
+    return result.success and bool(result.confidence > ACCEPT or result.data.count or result.data.plan.filters)
+
+
 class Engine:
     """One table and a conversation about it.
 
@@ -72,15 +77,23 @@ class Engine:
 
     def card(self) -> str:
         if self._card is None:
-            self._card = render.card(profile.profile(self.ds), self._tops(), self.ds.table)
+            self._card = render.card(profile.profile(self.ds, exact=False, median=False), self._tops(), self.ds.table)
         return self._card
 
     def suggest(self) -> list[str]:
-        return render.suggestions(profile.profile(self.ds), self._tops(), profile.date_columns(self.ds))
+        return render.suggestions(profile.profile(self.ds, exact=False, median=False), self._tops(), profile.date_columns(self.ds))
 
     def status(self) -> dict:
         return {"loaded": self.ds is not None, "enhanced": self.enhanced, "indexed": self.index._vectors is not None, "memory": self.memory is not None}
 
+    def preview(self, n: int = 10) -> tuple[list[dict], int, int]:
+        """(first n rows, rows, columns)."""
+        return [r.asDict() for r in self.ds.table.limit(n).collect()], self.ds.table.count(), len(self.ds.columns)
+
+    def info(self) -> DataFrame:
+        """Type, values that are there and samples of each column."""
+        return profile.column_info(self.ds).orderBy("position")
+
     # --- answering
 
     def ask(self, question: str) -> Answer:
@@ -143,12 +156,19 @@ class Engine:
             return self._steps(question)
         if self.enhanced:
             result = self.structured(question, carried)
-            if result.success and result.confidence > ACCEPT:
+            if _sure(result):
                 return result.data
         if grammar.is_analysis(question, columns):
             return self._analysis(question, carried)
         keyword = grammar.keyword_of(question) or (question.strip("?.! ") if len(question.split()) <= 2 else None)
         corrected = grammar.corrected_command(question)
+        asked = grammar.question_info(question, columns)
+        if asked.id_column and asked.id_value and not carried and not corrected and grammar.mentions(question, columns):
+            found = filters.lookup(ds, asked.id_column, asked.id_value).select(*[f"`{c}`" for c in columns])
+            text, n = render.matches(found, asked.target_column, asked.id_column, asked.id_value)
+            if n:
+                plan = plans.QueryPlan("list", filters=(plans.Filter(asked.id_column, "contains", asked.id_value),), source=question)
+                return Answer(text, "lookup", 0.9, found, plan, n)
         if keyword and not carried:
             found = search.ordered(search.search(ds, keyword)).select(*[f"`{c}`" for c in columns])
             text, n = render.table(found)
@@ -171,10 +191,7 @@ class Engine:
         if plan is None:
             return QueryResult.fail("NO_MATCH", "structured")
         answer = self._run(plan, carried, "structured")
-        score = 0.9 * (1 if answer.count else 0.95)
-        if grammar.has(question, ("max", "min", "count", "show")):
-            score = min(1.0, score * 1.1)
-        answer.confidence = score
+        score = answer.confidence = structured_confidence(question, answer.text, answer.count)
         return QueryResult.ok(answer, "structured", score)
 
     def _run(self, plan: plans.QueryPlan, carried: tuple[plans.Filter, ...], engine: str) -> Answer:
@@ -221,14 +238,13 @@ class Engine:
             return QueryResult.fail("NO_CONTEXT", "semantic")
         context = self.card() + "\n\n" + "\n\n".join(r.text for r in reversed(rows))
         text = self.model.ask(question, context)
-        score = 0.7 + 0.1 * bool(re.search(r"\d", text))
-        score = min(1.0, score * (0.5 if "doesn't say" in text else 1.0))
+        score = semantic_confidence(text, self.ds.columns)
         return QueryResult.ok(Answer(text, "semantic", score, found, count=len(rows)), "semantic", score, grounding=grounding(text, context))
 
     def hybrid(self, question: str) -> Answer:
         """Structured if it is sure, else with what search finds, else the model on the table's card."""
         first = self.structured(question) if self.enhanced else QueryResult.fail("NO_MATCH")
-        if first.success and first.confidence > ACCEPT:
+        if _sure(first):
             return first.data
         second = self.semantic(question)
         if first.success and second.success:

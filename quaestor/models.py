@@ -202,3 +202,18 @@ def grounding(answer: str, context: str) -> float:
     of_words = sum(w in held for w in words) / len(words)
     of_numbers = sum(n in held for n in numbers) / len(numbers) if numbers else 1.0
     return 0.4 + 0.4 * of_words + 0.2 * of_numbers
+
+
+def structured_confidence(question: str, answer: str, rows: int) -> float:
+    """0.9, less for no rows (0.7) and for a text under 20 characters (0.8), more (1.1) for questions of plain commands; at most 1."""
+    score = 0.9 * (1.0 if rows else 0.7) * (0.8 if len(answer) < 20 else 1.0)
+    return min(1.0, score * (1.1 if any(w in question.lower() for w in ("max", "min", "count", "show")) else 1.0))
+
+
+def semantic_confidence(answer: str, columns: list[str]) -> float:
+    """0.7, more for digits (0.1), columns named (0.05 each) and words of measures (0.1), half for an answer that has none; at most 1."""
+    low = answer.lower()
+    score = 0.7 + 0.1 * any(c.isdigit() for c in low) + 0.05 * sum(c.lower() in low for c in columns)
+    if any(p in low for p in ("doesn't say", "i don't have", "cannot determine", "not enough information")):
+        score *= 0.5
+    return min(1.0, score + 0.1 * any(w in low for w in ("statistics", "average", "maximum", "minimum", "records")))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaestor.functions.columns import col, number, text
+from quaestor.operators.quantiles import medians, quantiles
 from quaestor.sources.readers import RID
 
 
@@ -44,8 +47,22 @@ FUNCTIONS = {
 FUNCTIONS |= {"avg": FUNCTIONS["mean"], "average": FUNCTIONS["mean"], "stddev": FUNCTIONS["std"], "variance": FUNCTIONS["var"], "count_distinct": FUNCTIONS["nunique"]}
 
 
+def measured(df: DataFrame, keys: list[str], measures: dict[str, tuple[str, str]]) -> DataFrame:
+    """Keys, then measures (alias -> (function, column)). Keys mustn't be null. Medians are ranked apart: their values meet in no single task."""
+    ranked = [a for a, (f, _) in measures.items() if f == "median"]
+    plain = {a: m for a, m in measures.items() if a not in ranked}
+    aliases = {a: f"m{i}" for i, a in enumerate(measures)}  # names of columns and measures may be anything
+    ks = [f"k{i}" for i in range(len(keys))]
+    base = df.groupBy(*[col(k).alias(a) for k, a in zip(keys, ks)])
+    out = base.agg(*[FUNCTIONS[f](col(c)).alias(aliases[a]) for a, (f, c) in plain.items()] or [F.lit(0).alias("none")])
+    if ranked:
+        middle = medians(df, keys, [measures[a][1] for a in ranked], [aliases[a] for a in ranked])
+        out = out.join(middle, ks, "left") if keys else out.crossJoin(F.broadcast(middle))  # one row each
+    return out.select(*[F.col(a).alias(k) for k, a in zip(keys, ks)], *[F.col(aliases[a]).alias(a) for a in measures])
+
+
 def scalar(df: DataFrame, function: str, name: str, alias: str = "value") -> DataFrame:
-    return df.agg(FUNCTIONS[function](col(name)).alias(alias))
+    return measured(df, [], {alias: (function, name)})
 
 
 def coerced(df: DataFrame, function: str, name: str, alias: str = "value") -> DataFrame:
@@ -55,14 +72,17 @@ def coerced(df: DataFrame, function: str, name: str, alias: str = "value") -> Da
     return df.agg(F.when(F.count(number(name)) > 0, of_numbers).otherwise(of_texts).alias(alias))
 
 
+def _present(keys: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [col(k).isNotNull() for k in keys])
+
+
 def grouped(df: DataFrame, keys: list[str], measures: dict[str, tuple[str, str]]) -> DataFrame:
     """measures: alias -> (function, column). Rows with a null key go; keys ascend."""
-    out = df.dropna(subset=keys).groupBy(*[col(k) for k in keys])
-    return out.agg(*[FUNCTIONS[f](col(c)).alias(a) for a, (f, c) in measures.items()]).orderBy(*[col(k) for k in keys])
+    return measured(df.filter(_present(keys)), keys, measures).orderBy(*[col(k) for k in keys])
 
 
 def group_sizes(df: DataFrame, keys: list[str], alias: str = "Count") -> DataFrame:
-    return df.dropna(subset=keys).groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias(alias)).orderBy(*[col(k) for k in keys])
+    return df.filter(_present(keys)).groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias(alias)).orderBy(*[col(k) for k in keys])
 
 
 def counted(df: DataFrame, alias: str = "Count") -> DataFrame:
@@ -73,13 +93,14 @@ STATISTICS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """index, then a column for each of ``columns``: count, mean, std, min, quartiles, max; all in one pass."""
+    """index, then a column for each of ``columns``: count, mean, std, min, quartiles, max; quartiles are ranked apart."""
     stats = []
-    for c in columns:
+    for i, c in enumerate(columns):
         v = col(c).cast("double")
-        q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        stats.append(F.array(F.count(v).cast("double"), F.avg(v), F.stddev_samp(v), F.min(v), q[0], q[1], q[2], F.max(v)).alias(c))
-    one = df.agg(*stats)
+        stats.append(F.struct(F.count(v).cast("double").alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("low"), F.max(v).alias("high")).alias(f"s{i}"))
+    both = df.agg(*stats).crossJoin(F.broadcast(quantiles(df, [], columns, [0.25, 0.5, 0.75], [f"q{i}" for i in range(len(columns))])))  # one row each
+    lines = [F.array(F.col(f"s{i}.n"), F.col(f"s{i}.mean"), F.col(f"s{i}.std"), F.col(f"s{i}.low"), *[F.col(f"q{i}")[j] for j in range(3)], F.col(f"s{i}.high")).alias(c) for i, c in enumerate(columns)]
+    one = both.select(*lines)
     named = F.explode(F.arrays_zip(F.array(*map(F.lit, STATISTICS)).alias("index"), *[col(c) for c in columns])).alias("s")
     return one.select(named).select(F.col("s.index").alias("index"), *[F.col(f"s.`{c}`").alias(c) for c in columns])
 

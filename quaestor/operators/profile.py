@@ -6,29 +6,48 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaestor.functions.columns import col, date_like, text
+from quaestor.operators.quantiles import medians
 from quaestor.sources.readers import RID, Dataset
 
 
-def profile(ds: Dataset, exact: bool = True) -> DataFrame:
-    """One row for each column: kind, n_rows, n_present, n_missing, n_distinct, low, high, mean, std, median. One aggregation.
+def profile(ds: Dataset, exact: bool = True, distinct: bool = True, median: bool = True) -> DataFrame:
+    """One row for each column: position, column, kind, n_rows, n_present, n_missing, n_distinct, low, high, mean, std, median.
 
-    Exact distinct counts and medians make Spark shuffle every value; on very large tables exact=False takes sketches of
-    fixed size for both (2 % and 0.01 % off), which are merged from partial ones.
+    distinct, median: whether these two are computed (else null); each costs passes and shuffles of its own. exact=False takes
+    sketches of fixed size for both (2 % and 0.01 % off), merged from partial ones in the same pass as the rest.
     """
-    distinct = F.count_distinct if exact else (lambda v: F.approx_count_distinct(v, 0.02))
-    median = F.median if exact else (lambda v: F.percentile_approx(v, 0.5, 10_000))
     out = []
     for i, (c, kind) in enumerate(ds.kinds.items()):
         v = text(c) if kind != "nested" else F.to_json(F.struct(col(c)))
         x = col(c).cast("double") if kind == "numeric" else F.lit(None).cast("double")
+        many = F.lit(None).cast("long") if not distinct else F.count_distinct(v) if exact else F.approx_count_distinct(v, 0.02)
+        middle = F.percentile_approx(x, 0.5, 10_000) if median and not exact else F.lit(None).cast("double")
         out.append(
             F.struct(
                 F.lit(i).alias("position"), F.lit(c).alias("column"), F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n_rows"),
-                F.count(col(c)).alias("n_present"), F.count_if(col(c).isNull()).alias("n_missing"), distinct(v).alias("n_distinct"),
-                F.min(x).alias("low"), F.max(x).alias("high"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), median(x).alias("median"),
+                F.count(col(c)).alias("n_present"), F.count_if(col(c).isNull()).alias("n_missing"), many.alias("n_distinct"),
+                F.min(x).alias("low"), F.max(x).alias("high"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), middle.alias("median"),
             )
         )
-    return ds.rows.agg(F.array(*out).alias("p")).select(F.inline("p"))
+    rows = ds.rows.agg(F.array(*out).alias("p")).select(F.inline("p"))
+    if not (median and exact and ds.numeric):
+        return rows
+    middles = medians(ds.rows, [], ds.numeric, [f"m{i}" for i in range(len(ds.numeric))])
+    tall = middles.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("middle")) for i, c in enumerate(ds.numeric)])))
+    return rows.join(F.broadcast(tall), "column", "left").withColumn("median", F.col("middle")).select(*rows.columns)  # a row a column
+
+
+def column_info(ds: Dataset, k: int = 3) -> DataFrame:
+    """One row for each column: position, column, type, n_present, and samples, its first k distinct values that are there, as texts in order of first sight."""
+    kinds = {f.name: f.dataType.simpleString() for f in ds.rows.schema if f.name != RID}
+    views = [text(c) if ds.kinds[c] != "nested" else F.to_json(col(c)) if kinds[c].startswith(("array", "map", "struct")) else F.hex(col(c)) for c in ds.columns]
+    counts = ds.rows.agg(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.lit(kinds[c]).alias("type"), F.count(col(c)).alias("n_present")) for i, c in enumerate(ds.columns)]).alias("x")).select(F.inline("x"))
+    tall = ds.rows.select(F.col(RID), F.inline(F.array(*[F.struct(F.lit(i).alias("position"), v.alias("value")) for i, v in enumerate(views)]))).filter("value is not null")
+    seen = tall.groupBy("position", "value").agg(F.min(RID).alias("at"))
+    place = F.row_number().over(Window.partitionBy("position").orderBy("at", "value"))  # Spark keeps k rows of each task before the shuffle
+    first = seen.withColumn("place", place).filter(F.col("place") <= k)
+    samples = first.groupBy("position").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("samples"))
+    return counts.join(samples, "position", "left").withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
 
 
 def top_values(df: DataFrame, name: str, k: int = 10) -> DataFrame:
@@ -76,8 +95,8 @@ def analyze(ds: Dataset, filter_column: str | None = None, filter_value: object
         rows = rows.filter(col(found) == filter_value) if ds.kinds[found] == "numeric" and not isinstance(filter_value, str) else rows.filter(equals_ci(found, filter_value))
     targets = [c for c in (ds.find(t) for t in targets or ds.numeric) if c and ds.kinds[c] == "numeric"]
     others = [c for c in ds.columns if c not in targets and ds.kinds[c] != "nested"][:5]
-    part = Dataset(rows, ds.source, ds.fingerprint)
-    stats = profile(part).filter(F.col("column").isin(*targets) if targets else F.lit(False)).select("column", "low", "high", "mean", "median", "std")
+    measured = Dataset(rows.select(RID, *[col(c) for c in targets]))
+    stats = profile(measured, distinct=False).select("column", "low", "high", "mean", "median", "std")
     return {
         "rows": rows,
         "count": rows.agg(F.count(F.lit(1)).alias("n")),

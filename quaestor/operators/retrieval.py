@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaestor.functions.columns import col, cosine, labelled_row
@@ -40,10 +44,10 @@ def _about(kind: str, text: Column) -> list[Column]:
     ]
 
 
-def column_descriptions(ds: Dataset) -> DataFrame:
-    """Of numbers: range, mean, missing; of others: distinct values, the five most frequent, missing."""
+def column_descriptions(ds: Dataset, known: DataFrame | None = None) -> DataFrame:
+    """Of numbers: range, mean, missing; of others: distinct values, the five most frequent, missing. known: the profile, if there is one."""
     top = top_values_of(ds.rows, ds.textual, 5) if ds.textual else None
-    prof = profile(ds)
+    prof = profile(ds, median=False) if known is None else known
     if top is not None:
         named = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]), ", ")
         prof = prof.join(top.groupBy("column").agg(named.alias("top")), "column", "left")
@@ -54,28 +58,31 @@ def column_descriptions(ds: Dataset) -> DataFrame:
     return prof.select(*_about("column", F.when((F.col("kind") == "numeric") & F.col("mean").isNotNull(), numeric).otherwise(other)))
 
 
-def statistics_chunks(ds: Dataset) -> DataFrame:
+def statistics_chunks(ds: Dataset, known: DataFrame | None = None) -> DataFrame:
     text = F.format_string(
         "Statistics of '%s': minimum %s, maximum %s, mean %.2f, standard deviation %s, median %s", "column",
         F.col("low").cast("string"), F.col("high").cast("string"), "mean", F.coalesce(F.format_string("%.2f", "std"), F.lit("none")), F.col("median").cast("string"),
     )
-    return profile(ds).filter("kind = 'numeric' and mean is not null").select(*_about("statistics", text))
+    prof = profile(ds, distinct=False) if known is None else known
+    return prof.filter("kind = 'numeric' and mean is not null").select(*_about("statistics", text))
 
 
-def distribution_chunks(ds: Dataset, most: int = 50, k: int = 10) -> DataFrame:
+def distribution_chunks(ds: Dataset, most: int = 50, k: int = 10, known: DataFrame | None = None) -> DataFrame:
     """Of columns that aren't numbers and have at most ``most`` distinct values."""
-    few = profile(ds).filter((F.col("kind") == "text") & (F.col("n_distinct") <= most) & (F.col("n_distinct") > 0)).select("column")
+    prof = profile(Dataset(ds.rows.select(RID, *[col(c) for c in ds.textual])), median=False) if known is None else known
+    few = prof.filter((F.col("kind") == "text") & (F.col("n_distinct") <= most) & (F.col("n_distinct") > 0)).select("column")
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "value", "n"))), lambda x: F.concat(x["value"], F.lit(": "), x["n"].cast("string"))), "\n")
     tops = top_values_of(ds.rows, ds.textual, k).join(few, "column").groupBy("column").agg(lines.alias("lines"))
     return tops.select(*_about("distribution", F.concat(F.lit("Distribution of '"), F.col("column"), F.lit("':\n"), F.col("lines"))))
 
 
 def build_chunks(ds: Dataset) -> DataFrame:
-    """chunk_id, text, chunk_type, metadata: rows, columns, statistics, distributions."""
+    """chunk_id, text, chunk_type, metadata: rows, columns, statistics, distributions. The last three read one profile, whose exchanges Spark runs once."""
     plain = [c for c in ds.columns if ds.kinds[c] != "nested"]
-    parts = [row_groups(numbered(ds.table), plain), column_descriptions(ds)]
-    parts += [statistics_chunks(ds)] if ds.numeric else []
-    parts += [distribution_chunks(ds)] if ds.textual else []
+    known = profile(ds)
+    parts = [row_groups(numbered(ds.table), plain), column_descriptions(ds, known)]
+    parts += [statistics_chunks(ds, known)] if ds.numeric else []
+    parts += [distribution_chunks(ds, known=known)] if ds.textual else []
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -99,19 +106,65 @@ def embedded(chunks: DataFrame, embedder: Embedder) -> DataFrame:
     return keyed.join(vectors, "text_md5")
 
 
-def nearest(vectors: DataFrame, query: list[float], k: int = 5, least: float | None = None, vector: str = "embedding", tie: str = "chunk_id") -> DataFrame:
-    """vectors with ``score``, the k highest of at least ``least``; ties by ``tie``. The query is a literal, so rows don't move but for the top k."""
+def nearest(vectors: DataFrame, query: list[float], k: int | None = 5, least: float | None = None, vector: str = "embedding", tie: str = "chunk_id") -> DataFrame:
+    """vectors with ``score``, the k highest (None: all, in no order) of at least ``least``; ties by ``tie``. The query is a literal, so rows don't move but for the top k."""
     q = F.array(*[F.lit(float(x)) for x in query])
     scored = vectors.withColumn("score", cosine(col(vector), q))
     scored = scored.filter(F.col("score") >= least) if least is not None else scored
-    return scored.orderBy(F.desc("score"), tie).limit(k)
+    return scored if k is None else scored.orderBy(F.desc("score"), tie).limit(k)
+
+
+#: Vectors of a block: with 1,000 numbers each, 8 MB.
+BLOCK = 1024
+
+
+def _blocks(vectors: DataFrame, ids: str, vector: str, name: str) -> DataFrame:
+    """Vectors by BLOCK to a row, within the tasks that hold them: nothing is shuffled."""
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, BLOCK):
+                part = b.slice(lo, BLOCK)
+                rows = part.column(1).to_pylist()
+                yield pa.RecordBatch.from_pydict({f"{name}_ids": [part.column(0).to_pylist()], f"{name}_vectors": [rows]}, schema)
+
+    schema = pa.schema([(f"{name}_ids", pa.list_(pa.int64())), (f"{name}_vectors", pa.list_(pa.list_(pa.float64())))])
+    chosen = vectors.select(col(ids).cast("long").alias("i"), col(vector).cast("array<double>").alias("v")).filter("i is not null and v is not null")
+    return chosen.mapInArrow(run, f"{name}_ids array<long>, {name}_vectors array<array<double>>")
+
+
+def nearest_each(vectors: DataFrame, queries: DataFrame, k: int = 5, least: float | None = None, ids: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query, id, score, place: for each row of ``queries`` the k rows of ``vectors`` with the highest cosine, of at least ``least``; ties by id.
+
+    Exact. Blocks of queries meet blocks of vectors as matrices; a pair of blocks gives k rows a query, so what is shuffled is k rows for
+    each query and block of vectors. Rows without id or vector take no part; vectors must be equally long.
+    """
+
+    def run(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                q, v = np.array(row["q_vectors"], float), np.array(row["v_vectors"], float)
+                qi, vi = np.array(row["q_ids"], np.int64), np.array(row["v_ids"], np.int64)
+                size = np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1))
+                scores = (q @ v.T) / np.where(size == 0, 1e-10, size)
+                order = np.lexsort((np.broadcast_to(vi, scores.shape), -np.round(scores, 12)), axis=1)[:, :k]
+                found = np.take_along_axis(scores, order, 1)
+                keep = found >= (-np.inf if least is None else least)
+                at = np.nonzero(keep)
+                yield pa.RecordBatch.from_pydict({"query": qi[at[0]], "id": vi[order[at]], "score": found[at]})
+
+    left, right = _blocks(vectors, ids, vector, "v"), _blocks(queries, ids, vector, "q")
+    pairs = left.crossJoin(right).mapInArrow(run, "query long, id long, score double")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 12)), "id"))
+    return pairs.withColumn("place", place).filter(F.col("place") <= k)
 
 
 class Index:
-    """Embedded chunks of one dataset, cached by its fingerprint."""
+    """Embedded chunks of one dataset, cached by its fingerprint; vectors of single questions are kept too."""
 
     def __init__(self, embedder: Embedder):
         self.embedder, self._of, self._vectors = embedder, None, None
+        self._single = lru_cache(1000)(lambda text: embedder.embed([text])[0])
 
     def build(self, ds: Dataset) -> DataFrame:
         if self._vectors is None or self._of != ds.fingerprint or not ds.fingerprint:
@@ -123,7 +176,7 @@ class Index:
         if self._vectors is None:
             return None
         single = self._vectors.dropDuplicates(["text_md5"])
-        return nearest(single, self.embedder.embed([question])[0], k, least).select(*CHUNK_COLUMNS, "score")
+        return nearest(single, self._single(question), k, least).select(*CHUNK_COLUMNS, "score")
 
     def clear(self) -> None:
         if self._vectors is not None:

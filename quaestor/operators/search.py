@@ -62,8 +62,11 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def distinct_values(ds: Dataset, columns: list[str] | None = None) -> DataFrame:
-    """value: each distinct value of the columns as text."""
-    columns = columns or ds.textual
+    """value: each distinct value of the columns as text; of texts and fractional numbers unless columns are given."""
+    fractional = {f.name for f in ds.rows.schema if f.dataType.typeName() in ("float", "double", "decimal")}
+    columns = columns or [c for c in ds.columns if ds.kinds[c] == "text" or c in fractional]
+    if not columns:
+        return ds.rows.sparkSession.createDataFrame([], "value string")
     return ds.rows.select(F.explode(F.array(*[text(c) for c in columns])).alias("value")).filter("value is not null").distinct()
 
 

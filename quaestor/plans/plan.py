@@ -108,7 +108,7 @@ def compile_plan(plan: QueryPlan, ds: Dataset) -> DataFrame:
         elif keys:
             out = aggregates.grouped(rows, keys, chosen)
         else:
-            out = rows.agg(*[aggregates.FUNCTIONS[f](col(c)).alias(a) for a, (f, c) in chosen.items()])
+            out = aggregates.measured(rows, [], chosen)
     elif plan.operation == "summarize":
         names = [c for c in map(ds.find, plan.columns) if c] or ds.columns
         numbers = [c for c in names if ds.kinds[c] == "numeric"]

@@ -12,14 +12,37 @@ def cell(value: object) -> str:
 
 
 def table(df: DataFrame, rows: int = ROWS) -> tuple[str, int]:
-    """(markdown of the first rows, rows in all)."""
+    """(text, rows in all): columns of fixed width if all rows are shown, else markdown of the first ones."""
     shown = df.take(rows + 1)
-    names = df.columns
-    lines = ["| " + " | ".join(names) + " |", "|" + " --- |" * len(names)]
+    if len(shown) <= rows:
+        return fixed(df.columns, shown), len(shown)
+    lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
     lines += ["| " + " | ".join(cell(v).replace("|", "\\|") for v in r) + " |" for r in shown[:rows]]
+    total = df.count()
+    return "\n".join([*lines, f"... and {total - rows} more rows"]), total
+
+
+def fixed(names: list[str], rows: list) -> str:
+    """Each column as wide as its widest text, two blanks between."""
+    lines = [names, *[[cell(v) for v in r] for r in rows]]
+    widths = [max(map(len, texts)) for texts in zip(*lines)]
+    head, *body = ["  ".join(t.ljust(w) for t, w in zip(line, widths)).rstrip() for line in lines]
+    return "\n".join([head, "-" * (sum(widths) + 2 * max(0, len(widths) - 1)), *body])
+
+
+def matches(df: DataFrame, target: str | None = None, id_column: str | None = None, id_value: str | None = None, rows: int = ROWS) -> tuple[str, int]:
+    """(text, rows in all) of rows looked up: one as its wanted value or as a list of its values, several one below the other."""
+    shown = df.take(rows + 1)
+    told = f"{id_column} {id_value}" if id_column and id_value else ""
+    if not shown:
+        return f"Nothing is known of {told}." if told else "No rows match.", 0
+    listed = ["\n".join(f"- {c}: {cell(v)}" for c, v in zip(df.columns, r)) for r in shown[:rows]]
+    if len(shown) == 1:
+        return (f"{target} for {told}: {cell(shown[0][target])}" if target else listed[0]), 1
     total = len(shown) if len(shown) <= rows else df.count()
-    more = total - min(rows, len(shown))
-    return "\n".join(lines + ([f"... and {more} more rows"] if more > 0 else [])), total
+    parts = [f"Found {total} matches" + (f" for {told or target}:" if told or target else ":")]
+    parts += [f"Match {i}:\n{text}" for i, text in enumerate(listed, 1)]
+    return "\n\n".join(parts + ([f"... and {total - rows} more"] if total > rows else [])), total
 
 
 def scalar(value: object) -> str:
