@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaestor.functions.columns import tokens
 from quaestor.models import HashingEmbedder
 from quaestor.nl.grammar import structured_plan
 from quaestor.operators import aggregates as A
-from quaestor.operators import filters, profile, retrieval, search
+from quaestor.operators import conversations, filters, profile, retrieval, search
 from quaestor.plans import steps as step_plans
 from quaestor.plans.plan import Filter, Measure, QueryPlan, Sort, compile_plan, from_dict
 from quaestor.sources.readers import RID, Dataset, numbered, sample
@@ -114,10 +114,10 @@ query("keyword_exclude", f"SELECT p_partkey FROM part WHERE NOT coalesce({_hit('
 query("search_or", f"SELECT p_partkey FROM part WHERE {_hit('red')} OR {_hit('small')}")(lambda s, d: search.search_terms(_parts(s, d), ["red", "small"], "or", list(_TEXTS)).select("p_partkey"))
 query("search_and", f"SELECT p_partkey FROM part WHERE {_hit('red')} AND {_hit('small')}")(lambda s, d: search.search_terms(_parts(s, d), ["red", "small"], "and", list(_TEXTS)).select("p_partkey"))
 query("row_semi_join", f"SELECT p_partkey FROM part WHERE {_hit('red')} AND p_size > 25")(
-    lambda s, d: (lambda data: data.rows.join(search.search(data, "red", list(_TEXTS)).select(RID), RID, "left_semi").filter("p_size > 25").select("p_partkey"))(ds(s, d, "part"))
+    lambda s, d: search.within(ds(s, d, "part"), F.col("p_size") > 25, "red", columns=list(_TEXTS)).select("p_partkey")
 )
 query("row_anti_join", f"SELECT p_partkey FROM part WHERE NOT {_hit('red')}")(
-    lambda s, d: (lambda data: data.rows.join(search.search(data, "red", list(_TEXTS)).select(RID), RID, "left_anti").select("p_partkey"))(ds(s, d, "part"))
+    lambda s, d: search.within(ds(s, d, "part"), None, "red", keep=False, columns=list(_TEXTS)).select("p_partkey")
 )
 query("fuzzy_suggestions")(lambda s, d: search.fuzzy(ds(s, d, "customer", "c_mktsegment"), "bulding"))
 
@@ -195,7 +195,7 @@ planned("sort_limit", "orders", QueryPlan("list", ("o_orderkey", "o_totalprice")
 query("plan_from_json", "SELECT l_returnflag, round(max(l_quantity), 4) AS l_quantity FROM lineitem WHERE l_discount <> 0.05 GROUP BY 1 ORDER BY 1 DESC LIMIT 2")(
     lambda s, d: rounded(compile_plan(from_dict({"operation": "aggregate", "columns": [{"column": "L_QUANTITY", "operation": "max"}], "filters": [{"column": "l_discount", "operator": "!=", "value": 0.05}, "junk"], "groupby": ["l_returnflag"], "sort": [{"column": "l_returnflag", "order": "desc"}], "limit": 2}), ds(s, d, "lineitem")))
 )
-query("exact_duplicates", "SELECT md5(text) AS text_md5, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")(lambda s, d: s.read.parquet(f"{d}/documents.parquet").groupBy(F.md5("text").alias("text_md5")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+query("exact_duplicates", "SELECT md5(text) AS text_md5, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")(lambda s, d: profile.duplicates(s.read.parquet(f"{d}/documents.parquet"), "text"))
 
 # --- steps
 
@@ -314,28 +314,23 @@ query("tokenize_counts", f"SELECT t, count(*) AS n FROM (SELECT unnest({_tokens_
     FROM w JOIN q USING (t) JOIN s ON s.conv_id = w.conv_id AND s.turn = w.turn GROUP BY ALL""",
 )
 def _tfidf(s, d):
-    users = s.read.parquet(f"{d}/conversations.parquet").filter("role = 'user'").select("conv_id", "turn", tokens(F.col("text")).alias("ts"))
-    words = users.select("conv_id", "turn", F.size("ts").alias("l"), F.explode("ts").alias("t"))
-    tf = words.groupBy("conv_id", "turn", "t").agg((F.count(F.lit(1)) / F.first("l")).alias("tf"))
-    df = tf.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    total = users.agg(F.count(F.lit(1)).alias("n"))
-    w = tf.join(df, "t").crossJoin(F.broadcast(total)).select("conv_id", "turn", "t", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
-    norm = w.groupBy("conv_id", "turn").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("s"))
-    first = users.filter("conv_id = 0").agg(F.min("turn").alias("turn"))
-    q = w.filter("conv_id = 0").join(first, "turn").select("t", F.col("w").alias("qw"))
-    size = q.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qs"))
-    dot = w.join(q, "t").groupBy("conv_id", "turn").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    return dot.join(norm, ["conv_id", "turn"]).crossJoin(F.broadcast(size)).select("conv_id", "turn", F.round(F.col("dot") / F.col("s") / F.col("qs"), 6).alias("score"))
+    """Turns like the first that a user wrote in conversation 0."""
+    users = s.read.parquet(f"{d}/conversations.parquet").filter("role = 'user'")
+    first = users.filter("conv_id = 0").agg(F.min("turn")).head()[0]
+    return conversations.similar(users, (F.col("conv_id") == 0) & (F.col("turn") == F.lit(first))).withColumn("score", F.round("score", 6))
 
 
 @query("last_n_turns", "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k <= 2")
 def _last(s, d):
-    turns = s.read.parquet(f"{d}/conversations.parquet")
-    k = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
-    return turns.withColumn("k", k).filter("k <= 2").select("conv_id", "turn", "role")
+    return conversations.latest(s.read.parquet(f"{d}/conversations.parquet"), 2).select("conv_id", "turn", "role")
 
 
-query("turn_role_counts", "SELECT role, count(*) AS n FROM conversations GROUP BY role")(lambda s, d: s.read.parquet(f"{d}/conversations.parquet").groupBy("role").agg(F.count(F.lit(1)).alias("n")))
+query("turn_role_counts", "SELECT role, count(*) AS n FROM conversations GROUP BY role")(lambda s, d: conversations.counters(s.read.parquet(f"{d}/conversations.parquet"), "role"))
+query(
+    "mentioned_names",
+    """SELECT entity, count(*) AS n FROM (SELECT unnest(list_concat(regexp_extract_all(text, '"([^"]+)"', 1),
+    list_filter(regexp_split_to_array(text, '[^A-Za-z0-9_]+'), lambda w: regexp_full_match(w, '[a-z0-9]+(_[a-z0-9]+)+')))) AS entity FROM documents) GROUP BY 1 ORDER BY n DESC, entity LIMIT 5""",
+)(lambda s, d: conversations.mentioned(s.read.parquet(f"{d}/documents.parquet"), "text"))
 
 # --- questions
 

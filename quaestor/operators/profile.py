@@ -73,6 +73,12 @@ def shares(df: DataFrame, name: str, k: int = 10) -> DataFrame:
     return top_values(df, name, k).crossJoin(F.broadcast(total)).select("value", "n", F.bround(100 * F.col("n") / F.col("total"), 1).alias("percent"))
 
 
+def duplicates(df: DataFrame, name: str) -> DataFrame:
+    """<name>_md5, n of each text that stands more than once; digests are shuffled, not texts."""
+    key = f"{name}_md5"
+    return df.groupBy(F.md5(text(name)).alias(key)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
 def distinct_in_order(df: DataFrame, name: str) -> DataFrame:
     """Each value once, null too, in order of first sight."""
     return df.groupBy(col(name).alias("value")).agg(F.min(RID).alias("_first")).orderBy("_first").select("value")

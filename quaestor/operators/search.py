@@ -32,6 +32,12 @@ def exclude(ds: Dataset, term: str, columns: list[str] | None = None) -> DataFra
     return ds.rows.filter(keyword_rank(columns or _searched(ds), term).isNull())
 
 
+def within(ds: Dataset, condition: Column | None, term: str, keep: bool = True, columns: list[str] | None = None) -> DataFrame:
+    """Rows for which the condition holds and that are (``keep``) or aren't among those of a search. Both sides are of the same rows, so no join is needed."""
+    part = ds if condition is None else Dataset(ds.rows.filter(condition), ds.source)
+    return search(part, term, columns).drop("_rank") if keep else exclude(part, term, columns)
+
+
 def search_terms(ds: Dataset, terms: list[str], how: str = "or", columns: list[str] | None = None) -> DataFrame:
     """Union ("or") or intersection ("and") of searches, each row once; _rank puts earlier terms first."""
     columns = columns or _searched(ds)

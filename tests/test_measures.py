@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quaestor import render
 from quaestor.models import HashingEmbedder, semantic_confidence, structured_confidence
 from quaestor.nl.grammar import question_info
-from quaestor.operators import aggregates, profile, retrieval, search
+from quaestor.operators import aggregates, conversations, profile, retrieval, search
 from quaestor.operators.quantiles import quantiles
 from quaestor.sources.readers import Dataset
 
@@ -133,3 +133,25 @@ def test_confidence():
     assert semantic_confidence("The price is 3", ["Price", "Item"]) == pytest.approx(0.85)
     assert semantic_confidence("I don't have that", []) == pytest.approx(0.35)
     assert semantic_confidence("The average of price and item is 3", ["Price", "Item"]) == pytest.approx(1.0)
+
+
+def test_conversations(spark):
+    rows = [(1, 1, "user", "red apples and red pears"), (1, 2, "bot", 'the "big one" of unit_price'), (2, 1, "user", "red plums"), (2, 2, "user", None), (3, 1, "user", "blue sky"), (3, 2, "user", 'unit_price "big one" unit_price')]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert {tuple(r) for r in conversations.counters(turns, "role").collect()} == {("user", 5), ("bot", 1)}
+    assert [tuple(r) for r in conversations.mentioned(turns, "text").collect()] == [("unit_price", 3), ("big one", 2)]
+    assert {(r.conv_id, r.turn) for r in conversations.latest(turns, 1).collect()} == {(1, 2), (2, 2), (3, 2)}
+    scores = {(r.conv_id, r.turn): r.score for r in conversations.similar(turns, (F.col("conv_id") == 1) & (F.col("turn") == 1)).collect()}
+    assert set(scores) == {(1, 1), (2, 1)} and scores[1, 1] == pytest.approx(1) and 0 < scores[2, 1] < 1
+    assert conversations.similar(turns.limit(0), F.lit(True)).count() == 0 and conversations.similar(turns, F.col("conv_id") == 9).count() == 0
+
+
+def test_rows_within_a_search(spark):
+    ds = Dataset(spark.createDataFrame([(1, "red"), (2, "blue"), (3, None), (4, "dark red")], "n int, s string"))
+    assert [r.n for r in search.within(ds, F.col("n") > 1, "red").collect()] == [4]
+    assert sorted(r.n for r in search.within(ds, None, "red", keep=False).collect()) == [2, 3]
+
+
+def test_duplicates(spark):
+    df = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "s string")
+    assert [r.n for r in profile.duplicates(df, "s").collect()] == [2]
