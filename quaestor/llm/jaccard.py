@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaestor.llm.components import components
-from quaestor.llm.packs import NULL_ID, SENT_SCHEMA, Words, batch, each_pack, exchange, grouped, mixed, n_buckets, packed, replied, send, with_replies, words_of, window_hashes
+from quaestor.llm.packs import (
+    NULL_ID, SENT_SCHEMA, Channel, Layout, Words, batch, combine_counts, each_pack, exchange, mixed, packed, replied, send, squeeze, unsqueeze, window_hashes, with_replies, words_of,
+)
 from quaestor.llm.storage import discard, written
 
 SHINGLE, PERCENT = 5, 80
@@ -45,11 +49,12 @@ def _prefix_lengths(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (percent * n + 99) // 100 + 1
 
 
-def _merge_counts(keys, counts, which):
+def _of_several(keys, counts):
     """Documents that have the key; 0 for one."""
-    order, begins, group = grouped(keys)
-    total = np.add.reduceat(counts[order].astype(np.int64), begins)
-    return np.where(total > 1, np.minimum(total, 2**32 - 1), 0).astype(np.uint32)[group]
+    return np.where(counts > 1, counts, np.uint32(0)), None
+
+
+COUNTS = Channel(KEY_BITS, combine_counts, _of_several, squeeze, partial(unsqueeze, kind=np.uint32), squeeze, partial(unsqueeze, kind=np.uint32))
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -164,15 +169,15 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     least id reachable, null if there is none. Repeated rows are one text. Other columns aren't read.
     """
     packs = written(packed(docs), release=True)
-    buckets = n_buckets(packs)
+    layout = Layout.of(packs)
 
     def send_counts(row):
         _, full = _sets(words_of(row, lower=True), size)
         keys, counts = np.unique(full >> np.uint64(64 - KEY_BITS), return_counts=True)
-        yield from send(row["pack"], keys, counts.astype(np.uint32), buckets, KEY_BITS)
+        yield from send(row["pack"], keys, counts.astype(np.uint32), layout, COUNTS)
 
-    counts = written(exchange(each_pack(packs, send_counts, SENT_SCHEMA), np.uint32, _merge_counts), release=True)
-    rows = with_replies(packs, counts, lambda row, t: _documents(row, replied(t, np.uint32), size, percent), DOC_SCHEMA)
+    counts = exchange(each_pack(packs, send_counts, SENT_SCHEMA), layout, [COUNTS])
+    rows = with_replies(packs, counts, lambda row, t: _documents(row, replied(t, COUNTS), size, percent), DOC_SCHEMA)
     rows = written(rows, release=True)
     discard(counts)
 

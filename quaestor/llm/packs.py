@@ -2,9 +2,11 @@
 
 A pack is one row that holds a few MB of texts. Operators that compare words between
 documents work on whole packs with array operations, and meet over an exchange:
-each pack sends its distinct keys, sorted and cut into ranges (buckets), as compressed arrays; a bucket merges
-what all packs sent for its range and replies to each. A key that every
-document has comes once from each pack, so no bucket grows with the frequency of one key.
+each pack sends its distinct keys, sorted and cut into ranges, as compressed arrays. Beyond FAN buckets
+the way there has levels: a node merges what about FAN packs sent for one range, and sends its distinct keys on, cut into FAN smaller ranges;
+a bucket, the last one, merges what all its senders sent and replies to each, and replies go back the same way. So a pack or node sends at most
+FAN messages, their number grows in proportion to the input (times the levels), and a key that every
+document has comes to its bucket once from each node, whose number a level divides by FAN.
 """
 
 from __future__ import annotations
@@ -19,10 +21,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quaestor.llm.storage import discard, written
+
 #: Text bytes of a pack. A longer document is a pack of its own.
 PACK_BYTES = 4 << 20
 #: Keys that a bucket holds on average, and with it the memory of its task.
 BUCKET_KEYS = 1_500_000
+#: Ranges that a pack or node sends to, and about as many senders that a node merges.
+FAN = 256
 NULL_ID = np.iinfo(np.int64).max
 
 PACK_SCHEMA = "pack long, n int, ids binary, ends binary, data binary"
@@ -55,7 +61,7 @@ def squeeze_counts(counts: np.ndarray) -> bytes:
     return squeeze(np.ascontiguousarray(counts, np.uint32).view(np.uint8).reshape(-1, 4).T)
 
 
-def unsqueeze_counts(data: bytes, kind=None) -> np.ndarray:
+def unsqueeze_counts(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(unsqueeze(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
@@ -105,10 +111,35 @@ def packed(docs: DataFrame, limit: int = PACK_BYTES) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PACK_SCHEMA)
 
 
-def n_buckets(packs: DataFrame) -> int:
-    """From the packs' number and size; at least one bucket for each shuffle partition up to one for each pack."""
-    n = packs.count()
-    return max(1, math.ceil(n * (PACK_BYTES / 6) / BUCKET_KEYS), min(n, int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+def n_buckets(n: int, partitions: int) -> int:
+    """For so many packs; at least one bucket for each shuffle partition up to one for each pack."""
+    return max(1, math.ceil(n * (PACK_BYTES / 6) / BUCKET_KEYS), min(n, partitions))
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How a channel's keys are dealt: to ``first`` ranges, each of them cut into ``fan`` at each further level; those of the last level are the buckets."""
+
+    packs: int
+    first: int
+    levels: int
+    fan: int
+
+    @classmethod
+    def of(cls, packs: DataFrame) -> Layout:
+        n = packs.count()
+        buckets, levels = n_buckets(n, int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 1
+        while FAN**levels < buckets:
+            levels += 1
+        return cls(n, math.ceil(buckets / FAN ** (levels - 1)), levels, FAN)
+
+    def ranges(self, level: int) -> int:
+        """Of one channel."""
+        return self.first * self.fan**level
+
+    def nodes(self, level: int) -> int:
+        """That the senders of a level come together in, for each range."""
+        return max(1, math.ceil(self.packs / self.fan ** (level + 1)))
 
 
 # --- texts as arrays -------------------------------------------------------------------------------------------------
@@ -221,44 +252,101 @@ def window_hashes(w: Words, k: int, seed: int = 3) -> tuple[np.ndarray, np.ndarr
 # --- the exchange ----------------------------------------------------------------------------------------------------
 
 
-def cuts(keys: np.ndarray, buckets: int, bits: int = 64) -> np.ndarray:
-    """Where each bucket begins in sorted keys of so many bits, and the number of keys at last."""
-    edges = np.array([(b << bits) // buckets for b in range(1, buckets)], np.uint64)
+@dataclass(frozen=True)
+class Channel:
+    """Keys of one meaning. combine(keys, attributes) -> distinct keys in order, an attribute for each, and the place of each key's among them; it is
+    applied again to what it gave, in any order. answer(keys, attributes) -> a reply for each distinct key, and a summary for pack -1 or None."""
+
+    bits: int
+    combine: Callable
+    answer: Callable
+    shrink: Callable
+    grow: Callable
+    shrink_reply: Callable
+    grow_reply: Callable
+
+
+def cuts(keys: np.ndarray, low: int, high: int, ranges: int, bits: int) -> np.ndarray:
+    """Where each of the ranges from low to below high (of so many) begins in sorted keys of so many bits, and the number of keys at last."""
+    edges = np.array([(b << bits) // ranges for b in range(low + 1, high)], np.uint64)
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]).astype(np.int64)
 
 
-def send(pack: int, keys: np.ndarray, attributes: np.ndarray, buckets: int, bits: int = 64, shrink: Callable = squeeze, offset: int = 0) -> Iterator[pa.RecordBatch]:
-    """Rows of SENT_SCHEMA: sorted distinct keys with one attribute each, by bucket; buckets are numbered from ``offset`` on."""
-    at, rows = cuts(keys, buckets, bits), []
-    for b in range(buckets):
-        lo, hi = at[b], at[b + 1]
+def _messages(sender: int, keys: np.ndarray, attributes: np.ndarray, at: np.ndarray, first: int, channel: Channel) -> pa.RecordBatch:
+    rows = []
+    for b, (lo, hi) in enumerate(zip(at[:-1], at[1:])):
         if hi > lo:
             body = squeeze_sorted(keys[lo:hi])
-            rows.append((offset + b, pack, int(hi - lo), len(body).to_bytes(4, "little") + body + shrink(attributes[lo:hi])))
-    if rows:
-        yield batch(SENT_SCHEMA, rows)
+            rows.append((first + b, sender, int(hi - lo), len(body).to_bytes(4, "little") + body + channel.shrink(attributes[lo:hi])))
+    return batch(SENT_SCHEMA, rows)
 
 
-def exchange(sent: DataFrame, kind, merge: Callable, reply_schema: str = REPLY_SCHEMA, shrink: Callable = squeeze, grow: Callable = unsqueeze) -> DataFrame:
-    """merge(keys, attributes, which) -> replies, once for each bucket.
+def send(pack: int, keys: np.ndarray, attributes: np.ndarray, layout: Layout, channel: Channel, index: int = 0) -> Iterator[pa.RecordBatch]:
+    """Rows of SENT_SCHEMA: a pack's sorted distinct keys with one attribute each, by range; index is the channel's place among those that share the exchange."""
+    ranges = layout.ranges(0)
+    if len(keys):
+        yield _messages(pack, keys, attributes, cuts(keys, 0, ranges, ranges, channel.bits), index * ranges, channel)
 
-    keys and attributes are what all packs sent, one after another; which[i] is the
-    pack's place. merge returns an array for each key in the same order; each pack gets its own back.
-    """
 
-    def run(table: pa.Table) -> pa.Table:
-        data, packs, n = table.column("data").to_pylist(), table.column("pack").to_pylist(), table.column("n").to_numpy()
+def _opened(table: pa.Table, channel: Channel) -> tuple[np.ndarray, np.ndarray]:
+    keys, attributes = [], []
+    for d in table.column("data").to_pylist():
+        size = int.from_bytes(d[:4], "little")
+        keys.append(unsqueeze_sorted(d[4 : 4 + size]))
+        attributes.append(channel.grow(d[4 + size :]))
+    return np.concatenate(keys), np.concatenate(attributes)
+
+
+def _replies(table: pa.Table, replies: np.ndarray, channel: Channel, more: list[tuple] = []) -> pa.Table:  # noqa: B006
+    bucket = table.column("bucket")[0].as_py()
+    parts = np.split(replies, np.cumsum(table.column("n").to_numpy())[:-1])
+    rows = [(p, bucket, channel.shrink_reply(x)) for p, x in zip(table.column("pack").to_pylist(), parts)]
+    return pa.Table.from_batches([batch(REPLY_SCHEMA, rows + more)])
+
+
+def exchange(sent: DataFrame, layout: Layout, channels: list[Channel], level: int = 0) -> DataFrame:
+    """Rows of REPLY_SCHEMA, written: to each pack, by range, the answers for its keys in their order; and summaries to pack -1."""
+    ranges, fan = layout.ranges(level), layout.fan
+
+    def meet(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        keys, attributes = [], []
-        for d in data:
-            size = int.from_bytes(d[:4], "little")
-            keys.append(unsqueeze_sorted(d[4 : 4 + size]))
-            attributes.append(grow(d[4 + size :], kind))
-        replies = merge(np.concatenate(keys), np.concatenate(attributes), np.repeat(np.arange(len(n)), n))
-        parts = np.split(replies, np.cumsum(n)[:-1])
-        return pa.Table.from_batches([batch(REPLY_SCHEMA, [(p, bucket, shrink(x)) for p, x in zip(packs, parts)])])
+        channel = channels[bucket // ranges]
+        keys, attributes, group = channel.combine(*_opened(table, channel))
+        replies, summary = channel.answer(keys, attributes)
+        return _replies(table, replies[group], channel, [] if summary is None else [(-1, bucket, squeeze(summary))])
+
+    if level == layout.levels - 1:
+        return written(sent.groupBy("bucket").applyInArrow(meet, REPLY_SCHEMA), release=True)
+
+    def pass_on(table: pa.Table) -> pa.Table:
+        at = table.column("bucket")[0].as_py()
+        index, place = divmod(at, ranges)
+        channel = channels[index]
+        keys, attributes, _ = channel.combine(*_opened(table, channel))
+        edges = cuts(keys, place * fan, (place + 1) * fan, ranges * fan, channel.bits)
+        return pa.Table.from_batches([_messages(table.column("node")[0].as_py(), keys, attributes, edges, at * fan, channel)])
+
+    def pass_back(table: pa.Table, found: pa.Table) -> pa.Table:
+        channel = channels[table.column("bucket")[0].as_py() // ranges]
+        _, _, group = channel.combine(*_opened(table, channel))
+        return _replies(table, replied(found, channel)[group], channel)
+
+    node = F.pmod(F.xxhash64("pack"), F.lit(layout.nodes(0))) if level == 0 else F.floor(F.col("pack") / fan)
+    sent = written(sent.withColumn("node", node.cast("long")), release=True)
+    of_nodes = sent.groupBy("bucket", "node").applyInArrow(pass_on, SENT_SCHEMA)
+    found = exchange(of_nodes, layout, channels, level + 1)
+    to_nodes = found.filter("pack >= 0").select("bucket", F.floor(F.col("bucket") / fan).cast("int").alias("at"), F.col("pack").alias("node"), "data")
+    back = sent.groupBy("bucket", "node").cogroup(to_nodes.groupBy("at", "node")).applyInArrow(pass_back, REPLY_SCHEMA)
+    out = written(back.union(found.filter("pack = -1")), release=True)
+    discard(sent, found)
+    return out
+
 
-    return sent.groupBy("bucket").applyInArrow(run, reply_schema)
+def combine_counts(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For a channel whose attributes are uint32 counts; they stop at the greatest one."""
+    order, begins, group = grouped(keys)
+    total = np.add.reduceat(counts[order].astype(np.int64), begins)
+    return keys[order][begins], np.minimum(total, 2**32 - 1).astype(np.uint32), group
 
 
 def grouped(keys: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -276,11 +364,11 @@ def grouped(keys: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarra
     return order, begins, group
 
 
-def replied(table: pa.Table, kind, grow: Callable = unsqueeze, low: int = 0, high: float = math.inf, **where) -> np.ndarray:
-    """A pack's replies from the buckets from low to below high, in the order of its keys."""
+def replied(table: pa.Table, channel: Channel, low: int = 0, high: float = math.inf, **where) -> np.ndarray:
+    """A sender's replies from the ranges from low to below high, in the order of its keys."""
     rows = [r for r in table.to_pylist() if low <= r["bucket"] < high and all(r[k] == v for k, v in where.items())]
-    parts = [grow(r["data"], kind) for r in sorted(rows, key=lambda r: r["bucket"])]
-    return np.concatenate(parts) if parts else np.empty(0, kind)
+    parts = [channel.grow_reply(r["data"]) for r in sorted(rows, key=lambda r: r["bucket"])]
+    return np.concatenate(parts) if parts else np.empty(0, np.int64)
 
 
 def with_replies(packs: DataFrame, replies: DataFrame, apply: Callable[[dict, pa.Table], list[pa.RecordBatch]], schema: str) -> DataFrame:

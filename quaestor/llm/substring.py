@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaestor.llm.packs import (
-    NULL_ID, REPLY_SCHEMA, SENT_SCHEMA, Words, batch, each_pack, exchange, grouped, joined, n_buckets, packed, replied, send, squeeze, unsqueeze, window_hashes, with_replies, words_of,
+    NULL_ID, SENT_SCHEMA, Channel, Layout, Words, batch, each_pack, exchange, grouped, joined, packed, replied, send, squeeze, unsqueeze, window_hashes, with_replies, words_of,
 )
 from quaestor.llm.storage import discard, written
 
@@ -40,13 +41,15 @@ def _anchors(w: Words, window: int, block: int):
     return keys, flags, start, place
 
 
-def _merge_anchors(keys, flags, which):
-    """Hit: a block of some document, and in two documents."""
+def _combine_anchors(keys, flags):
+    """Flag 1: a block of some document. Flag 2: in two documents."""
     order, begins, group = grouped(keys)
-    block = np.bitwise_or.reduceat(flags[order], begins)
     many = np.diff(np.append(begins, len(keys))) > 1
-    hit = (block & 1 > 0) & (many | (block & 2 > 0))
-    return hit[group].astype(np.uint8)
+    return keys[order][begins], np.bitwise_or.reduceat(flags[order], begins) | (many.astype(np.uint8) << 1), group
+
+
+def _hits(keys, flags):
+    return (flags == 3).astype(np.uint8), None
 
 
 def _candidates(w: Words, window: int, block: int, hits: np.ndarray):
@@ -74,17 +77,22 @@ def _least_ids(w: Words, starts, keys, check, place):
     return out
 
 
-def _merge_least(keys, sent, which):
+def _combine_least(keys, sent):
     order, begins, group = grouped(keys, sent["check"])
-    return np.minimum.reduceat(sent["least"][order], begins)[group]
+    out = sent[order][begins]
+    out["least"] = np.minimum.reduceat(sent["least"][order], begins)
+    return keys[order][begins], out, group
+
+
+def _least(keys, sent):
+    return sent["least"], None
 
 
 def _shrink(sent: np.ndarray) -> bytes:
-    """What a pack sends with its windows, or the least ids that come back."""
-    return squeeze(sent["least"].tobytes() + sent["check"].tobytes() if sent.dtype == WINDOW_KIND else sent)
+    return squeeze(sent["least"].tobytes() + sent["check"].tobytes())
 
 
-def _grow(data: bytes, kind) -> np.ndarray:
+def _grow(data: bytes) -> np.ndarray:
     raw = unsqueeze(data)
     n = len(raw) // WINDOW_KIND.itemsize
     out = np.empty(n, WINDOW_KIND)
@@ -92,6 +100,10 @@ def _grow(data: bytes, kind) -> np.ndarray:
     return out
 
 
+ANCHORS = Channel(ANCHOR_BITS, _combine_anchors, _hits, squeeze, partial(unsqueeze, kind=np.uint8), squeeze, partial(unsqueeze, kind=np.uint8))
+WINDOWS = Channel(64, _combine_least, _least, _shrink, _grow, squeeze, partial(unsqueeze, kind=np.int64))
+
+
 def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text of each row of docs (doc_id, text).
 
@@ -105,27 +117,25 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Tru
     """
     block = (window + 1) // 2
     packs = written(packed(docs), release=True)
-    buckets = n_buckets(packs)
+    layout = Layout.of(packs)
 
     def send_anchors(row):
         keys, flags, _, _ = _anchors(words_of(row), window, block)
-        yield from send(row["pack"], keys, flags, buckets, ANCHOR_BITS)
+        yield from send(row["pack"], keys, flags, layout, ANCHORS)
 
-    hits = exchange(each_pack(packs, send_anchors, SENT_SCHEMA), np.uint8, _merge_anchors)
-    hits = written(hits.withColumn("round", F.lit(1)), release=True)
+    hits = exchange(each_pack(packs, send_anchors, SENT_SCHEMA), layout, [ANCHORS])
 
     def send_windows(row, replies):
         w = words_of(row)
-        starts, keys, check, place = _candidates(w, window, block, replied(replies, np.uint8))
-        return send(row["pack"], keys, _least_ids(w, starts, keys, check, place), buckets, shrink=_shrink)
+        starts, keys, check, place = _candidates(w, window, block, replied(replies, ANCHORS))
+        return send(row["pack"], keys, _least_ids(w, starts, keys, check, place), layout, WINDOWS)
 
-    least = exchange(with_replies(packs, hits.select(*_names(REPLY_SCHEMA)), send_windows, SENT_SCHEMA), WINDOW_KIND, _merge_least, shrink=_shrink, grow=_grow)
-    least = written(least.withColumn("round", F.lit(2)), release=True)
+    least = exchange(with_replies(packs, hits, send_windows, SENT_SCHEMA), layout, [WINDOWS])
 
     def finish(row, replies):
         w = words_of(row)
-        starts, _, _, place = _candidates(w, window, block, replied(replies, np.uint8, round=1))
-        found = replied(replies, np.int64, round=2)
+        starts, _, _, place = _candidates(w, window, block, replied(replies, ANCHORS, round=1))
+        found = replied(replies, WINDOWS, round=2)
         gone = starts[found[place] < w.ids[w.doc[starts]]] if len(starts) else starts
         marks = np.zeros(len(w.hash) + 1, np.int64)
         np.add.at(marks, gone, 1)
@@ -141,15 +151,12 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Tru
             rows.append((None if w.ids[d] == NULL_ID else int(w.ids[d]), n, n - int(hi - lo), hashlib.sha256(text).hexdigest(), text.decode("utf-8", "replace") if with_text else None))
         return [batch(OUT_SCHEMA, rows)]
 
-    out = written(with_replies(packs, hits.unionByName(least), finish, OUT_SCHEMA))
+    both = hits.withColumn("round", F.lit(1)).unionByName(least.withColumn("round", F.lit(2)))
+    out = written(with_replies(packs, both, finish, OUT_SCHEMA))
     discard(packs, hits, least)
     return out
 
 
-def _names(schema: str) -> list[str]:
-    return [f.rsplit(" ", 1)[0] for f in schema.split(", ")]
-
-
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return substring_dedup(docs, with_text=False).drop("kept_text")

@@ -91,6 +91,30 @@ def test_jaccard_of_a_common_header(spark):
     same(jaccard.link(docs, 4, 85).collect(), brute.components(rows, 85, 4))
 
 
+@pytest.mark.parametrize("fan", [2, 3])
+def test_exchange_over_levels(docs, rows, monkeypatch, fan):
+    """Many more buckets than a pack sends to: nodes merge and pass on, and the results are those of one level."""
+    many = docs.repartition(23)
+    flat = {r.doc_id: (r.n_known, r.base_score, r.score) for r in lm.lm_scores(many).filter("doc_id IS NOT NULL").collect()}
+    monkeypatch.setattr(packs, "FAN", fan)
+    monkeypatch.setattr(packs, "BUCKET_KEYS", packs.PACK_BYTES)
+    layout = packs.Layout.of(packs.packed(many))
+    assert layout.levels > 1 and layout.ranges(layout.levels - 1) >= packs.n_buckets(layout.packs, 4) and layout.first <= fan
+    same([r[:4] for r in substring.substring_dedup(many, with_text=False).collect()], brute.substring(pairs(rows)))
+    same(jaccard.link(many, 4, 85).collect(), brute.components(pairs(rows), 85, 4))
+    for r in lm.lm_scores(many).filter("doc_id IS NOT NULL").collect():
+        assert (r.n_known, r.base_score, r.score) == pytest.approx(flat[r.doc_id], rel=1e-6)
+
+
+def test_messages_of_a_level():
+    """A pack and a node send no more than ``fan`` messages for a channel, whatever the number of buckets; keys reach the bucket of their range."""
+    layout, channel = packs.Layout(1000, 3, 3, 4), jaccard.COUNTS
+    keys = np.unique(np.random.default_rng(3).integers(0, 1 << 48, 5000, dtype=np.uint64))
+    (sent,) = packs.send(7, keys, np.ones(len(keys), np.uint32), layout, channel, 1)
+    assert set(sent.column("bucket").to_pylist()) == {3, 4, 5} and sum(sent.column("n").to_pylist()) == len(keys)
+    assert [layout.ranges(k) for k in range(3)] == [3, 12, 48] and [layout.nodes(k) for k in range(3)] == [250, 63, 16]
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(50, 90), rng.randrange(50, 90)) for _ in range(25)]
