@@ -1,6 +1,6 @@
 """Registered queries of this subpackage and their SQL."""
 
-from quaestor.llm import chat, decontaminate, jaccard, langid, lm, mixing, quality, substring, tokencounts, tokenfiles
+from quaestor.llm import chat, decontaminate, jaccard, langid, lm, mixing, quality, substring, tokencounts, tokenfiles, trie
 
 QUERIES = {
     "op2_chat_formatting": chat.op2_chat_formatting,
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_quality_rules": quality.op6_quality_rules,
     "op10_source_mixing": mixing.op10_source_mixing,
+    "op13_prefix_trie": trie.op13_prefix_trie,
 }
 ORACLES = {
     "op9_jaccard_join": jaccard.SQL,
@@ -20,4 +21,5 @@ ORACLES = {
     "op5_benchmark_decontamination": decontaminate.SQL,
     "op6_quality_rules": quality.SQL,
     "op10_source_mixing": mixing.SQL,
+    "op13_prefix_trie": trie.SQL,
 }

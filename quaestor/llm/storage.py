@@ -8,15 +8,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders made for local sessions that name none, by application.
+_OWN_DIRS: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a temporary folder only where it is unset and all tasks run on this machine, as in local tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        context = spark.sparkContext
+        if not context.master.startswith("local[") and context.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
-        found = "file://" + tempfile.mkdtemp(prefix="quaestor-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if context.applicationId not in _OWN_DIRS:
+            _OWN_DIRS[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="quaestor-")
+        found = _OWN_DIRS[context.applicationId]
     return found.rstrip("/")
 
 
