@@ -1,6 +1,6 @@
 """Registered queries of this subpackage and their SQL."""
 
-from quaestor.llm import chat, clustering, decontaminate, jaccard, langid, lm, mixing, quality, substring, tokencounts, tokenfiles, trie
+from quaestor.llm import chat, clustering, decontaminate, forest, jaccard, langid, lm, mixing, quality, substring, tokencounts, tokenfiles, trie
 
 QUERIES = {
     "op2_chat_formatting": chat.op2_chat_formatting,
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_quality_rules": quality.op6_quality_rules,
     "op10_source_mixing": mixing.op10_source_mixing,
+    "op11_embedding_near_dedup": forest.op11_embedding_near_dedup,
     "op12_centroid_clustering": clustering.op12_centroid_clustering,
     "op13_prefix_trie": trie.op13_prefix_trie,
 }
@@ -22,6 +23,7 @@ ORACLES = {
     "op5_benchmark_decontamination": decontaminate.SQL,
     "op6_quality_rules": quality.SQL,
     "op10_source_mixing": mixing.SQL,
+    "op11_embedding_near_dedup": forest.SQL,
     "op12_centroid_clustering": clustering.SQL,
     "op13_prefix_trie": trie.SQL,
 }
