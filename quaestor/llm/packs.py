@@ -57,12 +57,12 @@ def unsqueeze_sorted(data: bytes) -> np.ndarray:
 
 
 def squeeze_counts(counts: np.ndarray) -> bytes:
-    """uint32 numbers that are mostly small: byte plane by byte plane."""
-    return squeeze(np.ascontiguousarray(counts, np.uint32).view(np.uint8).reshape(-1, 4).T)
+    """Whole numbers from 0 that are mostly small, as uint64: byte plane by byte plane, of which the upper ones take no room."""
+    return squeeze(np.ascontiguousarray(counts, np.uint64).view(np.uint8).reshape(-1, 8).T)
 
 
 def unsqueeze_counts(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(unsqueeze(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+    return np.ascontiguousarray(unsqueeze(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
 def arrow_limits(spark) -> None:
@@ -343,10 +343,10 @@ def exchange(sent: DataFrame, layout: Layout, channels: list[Channel], level: in
 
 
 def combine_counts(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For a channel whose attributes are uint32 counts; they stop at the greatest one."""
+    """For a channel whose attributes are counts: uint64 ones are exact, uint32 ones stop at the greatest one and tell an order only."""
     order, begins, group = grouped(keys)
-    total = np.add.reduceat(counts[order].astype(np.int64), begins)
-    return keys[order][begins], np.minimum(total, 2**32 - 1).astype(np.uint32), group
+    total = np.add.reduceat(counts[order].astype(np.uint64), begins)
+    return keys[order][begins], np.minimum(total, np.uint64(np.iinfo(counts.dtype).max)).astype(counts.dtype), group
 
 
 def grouped(keys: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -289,12 +289,24 @@ def test_lm_given_is_a_distribution():
     rng = np.random.default_rng(3)
     prior = rng.random(50)
     prior /= prior.sum()
-    counts = [rng.integers(0, 3, 50) * (rng.random(50) < 0.3) for _ in lm.PRIOR]
-    assert lm.given(prior, [(c.sum(), c) for c in counts]).sum() == pytest.approx(1)
-    assert lm.given(prior, [(0, np.zeros(50))] * 2) == pytest.approx(prior)
+    counts = [rng.integers(0, 3, 50) * (rng.random(50) < 0.3) for _ in lm.STRENGTHS]
+    for strengths in ((32.0, 0.5), (8192.0, 32.0)):
+        assert lm.given(prior, [(c.sum(), c) for c in counts], strengths).sum() == pytest.approx(1)
+        assert lm.given(prior, [(0, np.zeros(50))] * 2, strengths) == pytest.approx(prior)
 
 
-def lm_brute(rows, rounds):
+def test_counts_beyond_32_bits():
+    for pack in (lm.WORDS, lm.PAIRS):
+        keys = np.array([5, 5, 9], np.uint64)
+        counts = np.array([4 << 32, 4 << 32, 1], np.uint64)
+        sent = counts << np.uint64(4) if pack is lm.WORDS else counts
+        sent = pack.grow(pack.shrink(sent))
+        distinct, total, group = pack.combine(keys, sent)
+        reply = pack.grow_reply(pack.shrink_reply(pack.answer(distinct, total)[0]))
+        assert reply.tolist() == [8 << 32, 1] and group.tolist() == [0, 0, 1]
+
+
+def lm_brute(rows, rounds, strengths):
     """log10 P of rows by the same model in plain Python: dicts of weights, token by token."""
     import math
     from collections import Counter
@@ -356,15 +368,14 @@ def lm_brute(rows, rounds):
                 three[b, a, x] += 1
     out, at = [0.0] * len(rows), 0
     for k, w in enumerate(texts):
-        own = int(trains[k])
         for n, x in enumerate(w):
             _, c, s, on_c, on_s = tokens[at]
             at += 1
             p = (one[x] + 0.1) / (table.n[c, s] + 0.1 * (table.v[c, s] + 1)) if x is not None else 1.0
             p *= softmax(0, on_c, class_prior)[c] * (softmax(1, on_s, slot_prior[c])[s] if x is not None else 1.0)
             a, b = w[n - 1] if n else "<", w[n - 2] if n > 1 else "<"
-            p = (two[a, x] - own + lm.PRIOR[0] * p) / ((one[a] if n else one[None]) - own + lm.PRIOR[0])
-            p = (three[b, a, x] - own + lm.PRIOR[1] * p) / ((two[b, a] if n else one[None]) - own + lm.PRIOR[1])
+            p = (two[a, x] + strengths[0] * p) / ((one[a] if n else one[None]) + strengths[0])
+            p = (three[b, a, x] + strengths[1] * p) / ((two[b, a] if n else one[None]) + strengths[1])
             out[k] += math.log10(p)
     return out
 
@@ -395,8 +406,9 @@ def test_lm_against_brute_force(spark):
     vocabulary = [f"w{i}" for i in range(12)] + ["Été", "long-winded-word", ",", "x.", "W1"]
     rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 25)))) for i in range(60)] + [(None, "w1 w2"), (3, None), (7, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    one, many = (lm.lm_scores(d, rounds=2).collect() for d in (docs.coalesce(1), docs.repartition(8)))
-    wanted = sorted(lm_brute(rows, 2))
+    strengths = (512.0, 8.0)
+    one, many = (lm.lm_scores(d, rounds=2, strengths=strengths).collect() for d in (docs.coalesce(1), docs.repartition(8)))
+    wanted = sorted(lm_brute(rows, 2, strengths))
     assert sorted(r.score for r in one) == pytest.approx(wanted, rel=1e-4)
     assert sorted(r.score for r in one) == pytest.approx(sorted(r.score for r in many), rel=1e-6)
 
