@@ -1,7 +1,7 @@
 """The corpus pipeline: documents through five stages of quaestor.llm.
 
 Rows that a stage keeps keep all their columns, also those whose names an operator gives to its own. Stages take any table with the
-columns of documents, also an empty one.
+columns of documents, also an empty one; names are found as Spark finds them (in any case, by default), and a missing one is an error.
 """
 
 from pyspark.sql import functions as F
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quaestor.llm.decontaminate import contamination
 from quaestor.llm.jaccard import link
 from quaestor.llm.mixing import mix
-from quaestor.llm.native import apart, together
+from quaestor.llm.native import apart, find_column, together
 from quaestor.llm.quality import quality
 from quaestor.llm.storage import discard, written
 from quaestor.llm.tokenfiles import token_files
@@ -32,7 +32,7 @@ def near_duplicates(spark, docs, sf_dir):
     """
     rows, names = _rows(docs)
     numbered = written(rows.select(*names.values(), F.monotonically_increasing_id().alias("row_id")))
-    doc_id, text = (F.col(names[c]) if c in names else F.lit(None).cast("string") for c in ("doc_id", "text"))
+    doc_id, text = (F.col(names[find_column(docs, c)]) for c in ("doc_id", "text"))
     linked = link(numbered.select(F.col("row_id").alias("doc_id"), text.alias("text")))
     named = numbered.select("row_id", doc_id.alias("doc_id")).join(linked.select(F.col("doc_id").alias("row_id"), "component_id"), "row_id")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")

@@ -52,12 +52,21 @@ def exact(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def find_column(df: DataFrame, name: str) -> str:
+    """The column that Spark would take for this name, as df spells it. An error if there is none, or none alone."""
+    sensitive = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+    found = [c for c in df.columns if c == name] or ([] if sensitive else [c for c in df.columns if c.lower() == name.lower()])
+    if len(found) != 1:
+        raise ValueError(f"{'no column' if not found else 'more than one column'} {name!r} among {df.columns}")
+    return found[0]
+
+
 def apart(docs: DataFrame, **needed: str) -> tuple[DataFrame, dict[str, str]]:
-    """The needed columns of docs by the given names (null where docs has none), and all columns of docs by names that
-    nothing else has, so that no name of theirs meets one of an operator; with those names by column."""
+    """The needed columns of docs by the given names, and all columns of docs by names that
+    nothing else has, so that no name of theirs meets one of an operator; with those names by column. Columns are found as Spark finds them; one that isn't there is an error."""
     mark = f"c{uuid.uuid4().hex}"
     names = {c: f"{mark}_{i}" for i, c in enumerate(docs.columns)}
-    own = [(exact(c) if c in names else F.lit(None).cast("string")).alias(n) for n, c in needed.items()]
+    own = [exact(find_column(docs, c)).alias(n) for n, c in needed.items()]
     return docs.select(*own, *[exact(c).alias(n) for c, n in names.items()]), names
 
 
