@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaestor.llm.components import components
-from quaestor.llm.jaccard import spread_join
 from quaestor.llm.packs import batch, mixed
+from quaestor.llm.spread import spread_join
 from quaestor.llm.storage import discard, written
 
 COSINE = 0.9
@@ -406,7 +406,7 @@ def near_duplicates(vectors: DataFrame, bound: float = COSINE, trees: int = TREE
     rest = rows.filter("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = linked.select("vec_id", "n_links", "component_id").unionByName(rest)
     out = written(out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))))
-    discard(vertices, *found, members, balls, edges, known, named, result)
+    discard(vertices, *found, members, balls, edges, label, known, named, result)
     return out
 
 

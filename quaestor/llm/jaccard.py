@@ -6,13 +6,14 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaestor.llm.components import components
 from quaestor.llm.packs import (
     NULL_ID, SENT_SCHEMA, Channel, Layout, Words, batch, combine_counts, each_pack, exchange, mixed, packed, replied, send, squeeze, unsqueeze, window_hashes, with_replies, words_of,
 )
+from quaestor.llm.spread import spread_join
 from quaestor.llm.storage import discard, written
 
 SHINGLE, PERCENT = 5, 80
@@ -119,28 +120,13 @@ def verified(pairs: DataFrame, packs: DataFrame, size: int, percent: int) -> Dat
     wanted = uids.withColumn("pack", F.shiftright("uid", 22))
     sets = written(with_replies(packs, wanted, lambda row, t: _members(row, t, size), SET_SCHEMA), release=True)
     x, y = (sets.select(F.col("uid").alias(k), F.col("members").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+    # A text with very many pairs would else bring all their sets into one task.
+    both = spread_join(spread_join(pairs, x, ["a"], "b"), y, ["b"], "a").select("a", "b", "x", "y")
     out = written(both.mapInArrow(_alike(percent), "a long, b long"), release=True)
     discard(sets)
     return out
 
 
-def spread_join(many: DataFrame, one: DataFrame, on: list[str], row: str) -> DataFrame:
-    """many joined with one, which has each key once. Keys whose rows would fill a task more than the mean one are dealt over several.
-
-    Rows are counted by 65,536 hash values of the keys. Where a value has more than its share, both sides
-    add a salt: many by its column ``row``, one by repeating its rows. The counts that matter are fewer than 65,536, so they may be broadcast.
-    """
-    value = F.pmod(F.xxhash64(*on), F.lit(1 << 16)).alias("_value")
-    counts = many.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    share = F.greatest(F.lit(64), F.ceil(F.sum("_n").over(Window.partitionBy()) / F.lit(2 * int(many.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
-    hot = written(counts.withColumn("_salts", F.ceil(F.col("_n") / share).cast("long")).filter("_salts > 1").select("_value", "_salts"))
-    with_salts = lambda df: df.withColumn("_value", value).join(F.broadcast(hot), "_value", "left").withColumn("_salts", F.coalesce("_salts", F.lit(1).cast("long")))
-    left = with_salts(many).withColumn("_salt", F.pmod(F.xxhash64(row), F.col("_salts"))).drop("_value", "_salts")
-    right = with_salts(one).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1))).drop("_value", "_salts")
-    return left.join(right, [*on, "_salt"]).drop("_salt")
-
-
 def _fits(a: str, b: str, percent: int):
     """Of a shared token at place p of n: sizes are near enough, and enough members are left from it on.
 
@@ -193,8 +179,9 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
 
     hubs = tokens.groupBy("token").agg(F.min(F.struct("p", -F.col("gweight"), "gid", "n")).alias("h"), F.count(F.lit(1)).alias("c"))
     hubs = hubs.filter("c > 1").select("token", F.col("h.gid").alias("gid"), F.col("h.n").alias("n"), F.col("h.p").alias("p"))
-    stars = tokens.alias("y").join(hubs.alias("x"), (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") != F.col("y.gid")) & _fits("x", "y", percent))
-    stars = stars.select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).distinct()
+    hubs = hubs.select("token", F.struct("gid", "n", "p").alias("x"))
+    near = spread_join(tokens.select("token", "gid", F.struct("gid", "n", "p").alias("y")), hubs, ["token"], "gid")
+    stars = near.filter((F.col("x.gid") != F.col("y.gid")) & _fits("x", "y", percent)).select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).distinct()
     pairs = stars.join(members.withColumnRenamed("gid", "gb"), "gb").select(F.col("ga").alias("a"), F.col("uid").alias("b"))
     inside = members.filter("gid != uid").select(F.col("gid").alias("a"), F.col("uid").alias("b"))
     pairs = pairs.union(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -208,7 +195,7 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     group = written(member.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi")))
     known = tokens.join(group, "gid")
     mixed_tokens = known.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo != hi").select("token")
-    known = written(known.join(mixed_tokens, "token").select("token", "gid", "n", "p", "lo", "hi"))
+    known = written(spread_join(known, mixed_tokens, ["token"], "gid").select("token", "gid", "n", "p", "lo", "hi"))
     apart = (F.col("x.lo") != F.col("x.hi")) | (F.col("y.lo") != F.col("y.hi")) | (F.col("x.lo") != F.col("y.lo"))
     # Which sizes and places of a token fit is found among those that occur, so that a token's groups meet only where they can be alike.
     kinds = known.select("token", "n", "p").distinct()
@@ -225,6 +212,7 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     wide = written(wide)
     rest = verified(wide, packs, size, percent)
     discard(packs)
+    discard(label)
     label = components(nodes, edges.union(rest))
 
     of_text = reps.select(*sig, F.col("uid").alias("rep")).join(label, F.col("rep") == F.col("node")).select(*sig, "label")
@@ -235,7 +223,7 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     linked = linked.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     alone = rows.filter(F.size("tokens") == 0).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     out = written(linked.union(alone))
-    discard(rows, texts, tokens, pairs, group, known, wide, of_sig, edges, rest)
+    discard(rows, texts, tokens, pairs, group, known, wide, of_sig, edges, rest, label)
     return out
 
 

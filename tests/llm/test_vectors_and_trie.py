@@ -223,3 +223,46 @@ def test_members_of_a_node_are_cut_over_chunks(spark, monkeypatch):
     rows = [(c, t, "user", "again") for c in range(200) for t in range(2)] + [(c, 0, "user", "again") for c in range(200, 230)]
     df = spark.createDataFrame([(*r, 1, "o", 2) for r in rows], TURNS)
     assert sorted(map(tuple, trie.prefix_trie(trie.turn_digests(df)).collect()), key=_key) == _plain_trie(rows, False)
+
+
+def test_tables_in_the_shared_folder_go(spark, monkeypatch, tmp_path):
+    """Without spark.checkpoint.dir a local session has a folder of its own; an operator leaves its result there and nothing else."""
+    import os
+
+    from quaestor.llm import jaccard, storage
+
+    kept = spark.conf.get("spark.checkpoint.dir", None)
+    monkeypatch.setattr(storage, "shared_dir", lambda _: f"file://{tmp_path}")
+    docs = spark.createDataFrame([(i, f"a b c d e f g {i % 3}") for i in range(20)], "doc_id long, text string")
+    jaccard.link(docs).collect()
+    assert len(os.listdir(tmp_path / "tables")) == 1
+    assert spark.conf.get("spark.checkpoint.dir", None) == kept
+
+
+def test_folder_where_none_is_set(spark):
+    from quaestor.llm import storage
+
+    class Conf:
+        get = staticmethod(lambda key, default: default)
+
+    class Session:
+        conf, sparkContext = Conf, spark.sparkContext
+
+    found = storage.shared_dir(Session)
+    assert found.startswith("file:///") and storage.shared_dir(Session) == found
+
+
+def test_names_are_found_as_spark_finds_them(spark):
+    from quaestor.llm import decontaminate, mixing, quality
+
+    text = " ".join(f"word{i} of" for i in range(60))
+    docs = spark.createDataFrame([(1, text, "web")], "DOC_ID long, Text string, SOURCE string")
+    assert quality.quality(docs).head().n_words == 120
+    assert decontaminate.contamination(docs, spark.createDataFrame([(1, text)], "item_id long, text string")).head().contaminated
+    assert mixing.mix(docs).head()["size"] == 120
+    bare = docs.drop("Text")
+    for run in (quality.quality, mixing.mix, lambda d: decontaminate.contamination(d, docs.selectExpr("1 AS item_id", "Text AS text"))):
+        with pytest.raises(ValueError, match="no column 'text'"):
+            run(bare)
+    with pytest.raises(ValueError, match="no column 'source'"):
+        mixing.mix(docs.drop("SOURCE"))
