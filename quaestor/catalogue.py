@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,8 @@ from quaestor.operators import conversations, filters, profile, retrieval, searc
 from quaestor.plans import steps as step_plans
 from quaestor.plans.plan import Filter, Measure, QueryPlan, Sort, compile_plan, from_dict
 from quaestor.sources.readers import RID, Dataset, numbered, sample
+from quaestor.sources.shared import shared_dir
+from quaestor.sources.split_csv import read_csv
 from quaestor.streaming.windows import tumbling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +67,15 @@ planned("project_columns", "orders", QueryPlan("list", ("o_orderkey", "o_orderst
 planned("show_column_values", "part", QueryPlan("list", ("p_brand",)), "SELECT p_brand FROM part")
 
 
+@query("csv_scan", "SELECT doc_id, text, lang, source, n_chars FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(13))")
+def _csv(s, d):
+    """All documents as CSV, with their quotes and line feeds, read back by blocks."""
+    path = f"{shared_dir(s)}/csv/{uuid.uuid4().hex}"
+    docs = s.read.parquet(f"{d}/documents.parquet").filter(F.col("text").isNotNull() & ~F.col("text").contains("\r"))
+    docs.write.csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return read_csv(s, path).drop(RID).withColumns({c: F.col(c).cast("long") for c in ("doc_id", "n_chars")})
+
+
 @query(
     "column_profile",
     " UNION ALL ".join(

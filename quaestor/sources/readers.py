@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from quaestor.errors import DataLoadError
 from quaestor.functions.columns import is_numeric, is_text_like
+from quaestor.sources.shared import listed
+from quaestor.sources.split_csv import read_csv, splits
 
 RID = "_rid"
 
@@ -51,11 +53,12 @@ class Dataset:
 
 
 def load(spark: SparkSession, path: str, kind: str | None = None) -> Dataset:
-    """Reads a table; its kind is that of the file's name unless given. CSV takes a header and infers types."""
+    """Reads a table; its kind is that of the file's name unless given. CSV takes a header and infers types; its large files are read by many tasks, also where fields hold line feeds."""
     kind = kind or ("csv" if path.rstrip("/").lower().endswith((".csv", ".csv.gz", ".txt")) else "json" if ".json" in path.lower() else "orc" if path.lower().endswith(".orc") else "parquet")
     try:
         if kind == "csv":
-            df = spark.read.csv(path, header=True, inferSchema=True, multiLine=True, escape='"')
+            # A file of one block is one task in any case.
+            df = read_csv(spark, path, RID) if splits(spark, path) else spark.read.csv(path, header=True, inferSchema=True, multiLine=True, escape='"')
         else:
             df = spark.read.format(kind).load(path)
     except Exception as error:
@@ -67,10 +70,7 @@ def fingerprint(spark: SparkSession, path: str, df: DataFrame) -> str:
     """Of the path, its files' sizes and times, and the schema; works for any store Spark reads."""
     parts = [path, df.schema.simpleString()]
     try:
-        hadoop = spark._jvm.org.apache.hadoop.fs
-        where = hadoop.Path(path)
-        for s in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where):
-            parts.append(f"{s.getPath()}:{s.getLen()}:{s.getModificationTime()}")
+        parts += [":".join(map(str, f)) for f in listed(spark, path)]
     except Exception as error:  # a store without listings
         parts.append(type(error).__name__)
     return hashlib.md5("|".join(parts).encode()).hexdigest()
