@@ -240,7 +240,7 @@ def test_tables_in_the_shared_folder_go(spark, monkeypatch, tmp_path):
 
 
 def test_folder_where_none_is_set(spark):
-    from quaestor.llm import storage
+    from quaestor.sources import shared
 
     class Conf:
         get = staticmethod(lambda key, default: default)
@@ -248,8 +248,8 @@ def test_folder_where_none_is_set(spark):
     class Session:
         conf, sparkContext = Conf, spark.sparkContext
 
-    found = storage.shared_dir(Session)
-    assert found.startswith("file:///") and storage.shared_dir(Session) == found
+    found = shared.shared_dir(Session)
+    assert found.startswith("file:///") and shared.shared_dir(Session) == found
 
 
 def test_names_are_found_as_spark_finds_them(spark):
