@@ -340,8 +340,11 @@ def _last(s, d):
 query("turn_role_counts", "SELECT role, count(*) AS n FROM conversations GROUP BY role")(lambda s, d: conversations.counters(s.read.parquet(f"{d}/conversations.parquet"), "role"))
 query(
     "mentioned_names",
-    """SELECT entity, count(*) AS n FROM (SELECT unnest(list_concat(regexp_extract_all(text, '"([^"]+)"', 1),
-    list_filter(regexp_split_to_array(text, '[^A-Za-z0-9_]+'), lambda w: regexp_full_match(w, '[a-z0-9]+(_[a-z0-9]+)+')))) AS entity FROM documents) GROUP BY 1 ORDER BY n DESC, entity LIMIT 5""",
+    r"""SELECT entity, count(*) AS n FROM (SELECT unnest(list_concat(
+      list_filter(list_concat(regexp_extract_all(t, '"([^"]+)"|''([^'']+)''', 1), regexp_extract_all(t, '"([^"]+)"|''([^'']+)''', 2)), lambda x: x != ''),
+      list_filter(regexp_split_to_array(regexp_replace(b, '^\s*\S+', ''), '[^\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[A-Z][A-Za-z0-9]+')),
+      list_filter(regexp_split_to_array(b, '[^\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[a-z0-9]+(_[a-z0-9]+)+')))) AS entity
+      FROM (SELECT text AS t, regexp_replace(text, '"([^"]+)"|''([^'']+)''', ' ', 'g') AS b FROM documents)) GROUP BY 1 ORDER BY n DESC, entity LIMIT 5""",
 )(lambda s, d: conversations.mentioned(s.read.parquet(f"{d}/documents.parquet"), "text"))
 
 # --- questions

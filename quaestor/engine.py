@@ -7,6 +7,7 @@ from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from queue import Queue
+from threading import Event
 
 from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,7 @@ from quaestor.plans import steps as step_plans
 from quaestor.sources.readers import Dataset, load
 
 CACHED, ACCEPT = 100, 0.8
+TOLD = 300  # characters of an earlier answer that a model is told
 
 
 @dataclass
@@ -33,6 +35,7 @@ class Answer:
     df: DataFrame | None = None
     plan: plans.QueryPlan | None = None
     count: int = 0
+    intent: grammar.Intent | None = None
     suggestions: list[str] = field(default_factory=list)
 
 
@@ -96,7 +99,8 @@ class Engine:
 
     # --- answering
 
-    def ask(self, question: str) -> Answer:
+    def ask(self, question: str, model: LanguageModel | None = None) -> Answer:
+        """The answer; ``model`` stands in for the engine's model for this question."""
         question = (question or "").strip()
         if self.ds is None:
             return Answer("No table is loaded.")
@@ -109,7 +113,7 @@ class Engine:
         carried = self.memory.carried(question) if self.memory and self.memory.follow_up(question) else ()
         asked = self.memory.resolved(question) if carried else question
         try:
-            answer = self._answer(asked, carried)
+            answer = replace(self._answer(asked, carried, model or self.model), intent=grammar.intent(question, self.ds.columns))
         except ModelError as error:
             answer = Answer(str(error), "model")
         if self.memory is not None:
@@ -124,11 +128,16 @@ class Engine:
     def stream(self, question: str) -> Iterator[str]:
         """The answer in pieces: a model's as they come, any other's word by word. What was added to a model's words follows them."""
         pieces: Queue = Queue()
-        model, self.model = self.model, Told(self.model, pieces.put)
+        stopped = Event()
+
+        def tell(piece: str) -> None:
+            if stopped.is_set():
+                raise ModelError("nobody reads the answer")
+            pieces.put(piece)
 
         def run() -> None:
             try:
-                pieces.put(self.ask(question))
+                pieces.put(self.ask(question, Told(self.model, tell)))
             except BaseException as error:  # goes on where the pieces are read
                 pieces.put(error)
 
@@ -141,20 +150,33 @@ class Engine:
                 yield piece
             worker.join()
         finally:
-            self.model = model
+            stopped.set()
         if isinstance(piece, BaseException):
             raise piece
         rest = piece.text if told.strip() not in piece.text else piece.text.replace(told.strip(), "", 1)
         yield from re.findall(r"\S+\s*|\s+", rest)
 
-    def _answer(self, question: str, carried: tuple[plans.Filter, ...]) -> Answer:
+    def _told(self, question: str, *parts: str) -> str:
+        """What a model is told: the table's card, more parts, and the earlier turns that bear on the question."""
+        turns = self.memory.relevant(question) if self.memory else []
+        earlier = ["Earlier in this conversation:\n" + "\n".join(f"Q: {t.question}\nA: {t.answer[:TOLD]}" for t in turns)] if turns else []
+        return "\n\n".join([self.card(), *parts, *earlier])
+
+    def _open(self, question: str) -> bool:
+        """A question that the router sends to the semantic engine, and that states no filter, measure or group."""
+        if grammar.route(question, self.ds.columns) != "semantic":
+            return False
+        plan = grammar.structured_plan(question, self.ds)
+        return plan is None or not (plan.filters or plan.measures or plan.groupby or plan.operation == "summarize")
+
+    def _answer(self, question: str, carried: tuple[plans.Filter, ...], model: LanguageModel) -> Answer:
         ds, columns = self.ds, self.ds.columns
         if grammar.is_help(question):
             found = self.suggest()
             return Answer("You can ask:\n" + "\n".join(f"- {s}" for s in found), "help", 1.0, suggestions=found)
         if grammar.is_complex(question, columns) and not carried:
-            return self._steps(question)
-        if self.enhanced:
+            return self._steps(question, model)
+        if self.enhanced and (carried or not self._open(question)):
             result = self.structured(question, carried)
             if _sure(result):
                 return result.data
@@ -181,10 +203,10 @@ class Engine:
             near = [r.value for r in search.fuzzy(ds, keyword).collect()]
             if near:
                 return Answer(f"'{keyword}' was not found. Did you mean: {', '.join(near)}?", "suggestion", 0.5, suggestions=near)
-        planned = self.model.plan(question, self.card())
+        planned = model.plan(question, self._told(question))
         if planned:
             return self._run(replace(plans.from_dict(planned), source=question), carried, "plan")
-        return self.hybrid(question)
+        return self.hybrid(question, model)
 
     def structured(self, question: str, carried: tuple[plans.Filter, ...] = ()) -> QueryResult:
         plan = grammar.structured_plan(question, self.ds)
@@ -212,8 +234,8 @@ class Engine:
         text, n = render.table(df)
         return Answer(f"Found {n} rows:\n{text}" if n else QUERY_MESSAGES["EMPTY_RESULT"], engine, 0.9, df, plan, n)
 
-    def _steps(self, question: str) -> Answer:
-        steps = step_plans.from_dict(self.model.steps(question, self.card())) or step_plans.default_steps(question, self.ds.columns)
+    def _steps(self, question: str, model: LanguageModel) -> Answer:
+        steps = step_plans.from_dict(model.steps(question, self._told(question))) or step_plans.default_steps(question, self.ds.columns)
         filters = tuple(plans.Filter(s.column, s.operator, s.value) for s in steps if s.type == "column_filter" and s.column)
         plan = plans.QueryPlan("list", filters=filters, source=question)
         found = step_plans.execute(self.ds, steps)
@@ -230,23 +252,23 @@ class Engine:
         text, n = render.analysis(parts)
         return Answer(text, "analysis", 0.9, parts["statistics"], plans.QueryPlan("list", filters=carried), n)
 
-    def semantic(self, question: str) -> QueryResult:
+    def semantic(self, question: str, model: LanguageModel | None = None) -> QueryResult:
         self.index.build(self.ds)
         found = self.index.search(question)
         rows = found.collect() if found is not None else []  # at most five
         if not rows:
             return QueryResult.fail("NO_CONTEXT", "semantic")
-        context = self.card() + "\n\n" + "\n\n".join(r.text for r in reversed(rows))
-        text = self.model.ask(question, context)
+        context = self._told(question, *[r.text for r in reversed(rows)])
+        text = (model or self.model).ask(question, context)
         score = semantic_confidence(text, self.ds.columns)
         return QueryResult.ok(Answer(text, "semantic", score, found, count=len(rows)), "semantic", score, grounding=grounding(text, context))
 
-    def hybrid(self, question: str) -> Answer:
-        """Structured if it is sure, else with what search finds, else the model on the table's card."""
-        first = self.structured(question) if self.enhanced else QueryResult.fail("NO_MATCH")
+    def hybrid(self, question: str, model: LanguageModel | None = None) -> Answer:
+        """Structured if it is sure and the question isn't an open one, else with what search finds, else the model on the table's card."""
+        first = self.structured(question) if self.enhanced and not self._open(question) else QueryResult.fail("NO_MATCH")
         if _sure(first):
             return first.data
-        second = self.semantic(question)
+        second = self.semantic(question, model)
         if first.success and second.success:
             a, b = first.data.text, second.data.text
             text = f"{a}\n\n{b}" if len(a) > 50 and len(b) > 50 else max(a, b, key=len)
@@ -255,5 +277,5 @@ class Engine:
             return second.data
         if first.success:
             return first.data
-        text = self.model.ask(question, self.card())
+        text = (model or self.model).ask(question, self._told(question))
         return Answer(text or QUERY_MESSAGES["ALL_ENGINES_FAILED"], "model", 0.6)

@@ -66,10 +66,10 @@ def cosine(a: Column, b: Column) -> Column:
     return dot / F.when(size == 0, F.lit(1e-10)).otherwise(size)
 
 
-#: Words that carry no topic.
+# Words that carry no topic. Similarities of questions depend on exactly these.
 STOP_WORDS = (
-    "the a an and or but in on at to for of with by from as is was are were be been being have has had do does did will would "
-    "could should may might must can this that these those it its they them their what which who when where why how all each not no"
+    "a an the and or but is are was were in on at to for of with by from as i me my we our you your it its be been being have has had do does did "
+    "will would shall should may might can could not no nor so yet both either neither what which who whom this that these those"
 ).split()
 
 
@@ -79,6 +79,19 @@ def tokens(value: Column) -> Column:
     return F.filter(parts, lambda t: t.rlike(r"^[a-z]{2,}$") & ~t.isin(*STOP_WORDS))
 
 
+def names_in(value: Column) -> Column:
+    """Names in a text: quoted texts, capitalised words after the first word, and names with underscores; in that order, repeats stay."""
+    value = F.coalesce(value, F.lit(""))
+    quotes = r"\"([^\"]+)\"|'([^']+)'"
+    quoted = F.filter(F.concat(*[F.regexp_extract_all(value, F.lit(quotes), F.lit(i)) for i in (1, 2)]), lambda x: x != "")
+    bare = F.regexp_replace(value, quotes, " ")
+    later = F.regexp_replace(bare, r"^\s*\S+", "")
+    words = lambda v: F.split(v, r"[^\p{L}\p{N}_]+")
+    named = F.filter(words(later), lambda w: w.rlike(r"^[A-Z][A-Za-z0-9]+$"))
+    joined = F.filter(words(bare), lambda w: w.rlike(r"^[a-z0-9]+(_[a-z0-9]+)+$"))
+    return F.concat(quoted, named, joined)
+
+
 def char_jaccard(a: Column, b: Column) -> Column:
     """Jaccard similarity of two texts' sets of characters, lowered; 0 for two empty ones."""
     chars = lambda c: F.array_remove(F.array_distinct(F.split(F.lower(c), "")), "")

@@ -71,8 +71,13 @@ class OfflineModel:
         return None
 
 
+def finished(text: str) -> bool:
+    """Whether an answer is whole. At least ten characters, with an end mark."""
+    return len(text.strip()) >= 10 and text.strip().endswith((".", "?", "!"))
+
+
 class Told:
-    """A model whose answers are also told piece by piece as they come."""
+    """A model whose answers are also told piece by piece as they come. ``tell`` may raise to end an answer."""
 
     def __init__(self, model: LanguageModel, tell: Callable[[str], None]):
         self._model, self._tell = model, tell
@@ -100,6 +105,24 @@ def retried(call: Callable[[], dict], attempts: int = 3, first: float = 0.5, sle
     raise AssertionError("unreachable")
 
 
+def joined_reply(text: str) -> dict:
+    """A reply's JSON object; of several, one to a line, the last with the ``response`` of all."""
+    try:
+        return json.loads(text)
+    except ValueError:
+        pass
+    parts = []
+    for line in text.splitlines():
+        try:
+            found = json.loads(line)
+        except ValueError:
+            continue
+        parts += [found] if isinstance(found, dict) else []
+    if not parts:
+        raise ModelResponseError("the reply is no JSON")
+    return parts[-1] | {"response": "".join(str(p.get("response", "")) for p in parts)}
+
+
 class HttpService:
     """JSON over HTTP. The base URL is an argument, or the environment variable QUAESTOR_MODEL_URL."""
 
@@ -123,10 +146,7 @@ class HttpService:
     def call(self, path: str, body: dict | None, timeout: float) -> dict:
         def once() -> dict:
             with self.open(path, body, timeout) as reply:
-                try:
-                    return json.loads(reply.read())
-                except ValueError as error:
-                    raise ModelResponseError("the reply is no JSON") from error
+                return joined_reply(reply.read().decode("utf-8", "replace"))
 
         return retried(once)
 
@@ -167,9 +187,18 @@ class HttpModel:
 
     def ask(self, question: str, context: str) -> str:
         text = self._generate(f"Answer from this data only.\n\n{context}\n\nQuestion: {question}", 60)
-        return text if len(text) > 2 else OfflineModel().ask(question, context)
+        return text if finished(text) else OfflineModel().ask(question, context)
 
     def ask_stream(self, question: str, context: str) -> Iterator[str]:
+        """The answer as it comes; what the data says follows an answer that breaks off."""
+        told = ""
+        for piece in self._streamed(question, context):
+            told += piece
+            yield piece
+        if not finished(told):
+            yield ("\n" if told else "") + OfflineModel().ask(question, context)
+
+    def _streamed(self, question: str, context: str) -> Iterator[str]:
         body = {"model": self.model, "prompt": f"Answer from this data only.\n\n{context}\n\nQuestion: {question}", "stream": True}
         with self.service.open("/api/generate", body, 60) as reply:
             for line in reply:

@@ -217,6 +217,54 @@ def test_a_model_answers_in_pieces(spark, path):
     assert pieces.count("It ") == 1
 
 
+class Listening:
+    """Answers with one sentence and keeps what it was told."""
+
+    def __init__(self):
+        self.told = []
+
+    def ask(self, q, c):
+        self.told.append(c)
+        return "It was loud there."
+
+    def ask_stream(self, q, c):
+        self.told.append(c)
+        yield from ("It ", "was ", "loud ", "there.")
+
+    def plan(self, q, card):
+        return None
+
+    def steps(self, q, card):
+        return None
+
+
+def test_open_questions_go_to_the_model_with_the_turns_that_bear_on_them(spark, path):
+    model = Listening()
+    e = Engine(spark, model)
+    e.load(path)
+    assert e.ask("show records where EventType is Traffic").intent.kind == "structured"
+    first = e.ask("why is the Traffic so remarkable")
+    assert first.engine in ("semantic", "model") and first.intent.kind == "semantic"
+    assert "Earlier in this conversation" in model.told[-1] and "Q: show records where EventType is Traffic" in model.told[-1]
+    bare = Engine(spark, Listening(), memory=False)
+    bare.load(path)
+    bare.ask("why is the Traffic so remarkable")
+    assert "Earlier" not in bare.model.told[-1]
+
+
+def test_a_question_while_another_streams(spark, path):
+    e = Engine(spark, Listening(), memory=False)
+    e.load(path)
+    stream = e.stream("why is it so remarkable")
+    assert next(stream) == "It "
+    assert e.ask("what does it reveal about birds").text == "It was loud there."  # told to this caller only
+    assert "".join(stream) == "was loud there."
+    again = e.stream("why is that so remarkable")
+    next(again)
+    again.close()
+    assert e.ask("how many records").count == 6
+
+
 def test_cli(path, capsys, spark, tmp_path, monkeypatch):
     history = str(tmp_path / "h.json")
     monkeypatch.setattr(spark.__class__, "stop", lambda self: None)

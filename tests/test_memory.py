@@ -100,3 +100,26 @@ def test_results():
     assert QueryResult.ok(1, "structured").success
     assert QueryResult.fail("NO_MATCH").error_message
     assert str(StructuredQueryError("x")) == "[STRUCT_QUERY_ERR] x"
+
+
+def test_answers_that_break_off(monkeypatch):
+    from quaestor import models
+
+    context = "The festival was loud. Birds sang."
+    for text, whole in (("Yes.", False), ("It was a loud night at the", False), ("It was a loud night.", True), ("", False)):
+        model = models.HttpModel("m")
+        monkeypatch.setattr(model, "_generate", lambda *_, text=text: text)
+        monkeypatch.setattr(model, "_streamed", lambda *_, text=text: iter(text.split(" ")))
+        fallback = models.OfflineModel().ask("festival?", context)
+        assert model.ask("festival?", context) == (text if whole else fallback)
+        assert ("".join(model.ask_stream("festival?", context)).endswith(fallback)) is not whole
+
+
+def test_replies_of_several_lines():
+    from quaestor.errors import ModelResponseError
+    from quaestor.models import joined_reply
+
+    assert joined_reply('{"response": "a"}') == {"response": "a"}
+    assert joined_reply('{"response": "It "}\nnoise\n{"response": "rains.", "done": true}') == {"response": "It rains.", "done": True}
+    with pytest.raises(ModelResponseError):
+        joined_reply("no json")
