@@ -180,8 +180,9 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     hubs = tokens.groupBy("token").agg(F.min(F.struct("p", -F.col("gweight"), "gid", "n")).alias("h"), F.count(F.lit(1)).alias("c"))
     hubs = hubs.filter("c > 1").select("token", F.col("h.gid").alias("gid"), F.col("h.n").alias("n"), F.col("h.p").alias("p"))
     hubs = hubs.select("token", F.struct("gid", "n", "p").alias("x"))
-    near = spread_join(tokens.select("token", "gid", F.struct("gid", "n", "p").alias("y")), hubs, ["token"], "gid")
-    stars = near.filter((F.col("x.gid") != F.col("y.gid")) & _fits("x", "y", percent)).select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).distinct()
+    fit = (F.col("x.gid") != F.col("y.gid")) & _fits("x", "y", percent)
+    near = spread_join(tokens.select("token", "gid", F.struct("gid", "n", "p").alias("y")), hubs, ["token"], "gid", fit)
+    stars = near.select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).distinct()
     pairs = stars.join(members.withColumnRenamed("gid", "gb"), "gb").select(F.col("ga").alias("a"), F.col("uid").alias("b"))
     inside = members.filter("gid != uid").select(F.col("gid").alias("a"), F.col("uid").alias("b"))
     pairs = pairs.union(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
