@@ -11,6 +11,7 @@ from quaestor import render
 from quaestor.models import HashingEmbedder, semantic_confidence, structured_confidence
 from quaestor.nl.grammar import question_info
 from quaestor.operators import aggregates, conversations, profile, retrieval, search
+from quaestor.operators import quantiles as quantile_module
 from quaestor.operators.quantiles import quantiles
 from quaestor.sources.readers import Dataset
 
@@ -40,13 +41,31 @@ def test_quantiles_of_groups(spark):
     assert aggregates.scalar(df.limit(0), "median", "total").head().value is None
 
 
-def test_no_task_holds_all_values_for_a_median(spark):
-    """Beyond the sketch's size only brackets are counted value by value."""
+def test_no_task_holds_all_values_for_a_median(spark, monkeypatch):
+    """Of a table that isn't small only brackets are counted value by value."""
     df = spark.range(100_000).select(F.rand(1).alias("v"))
+    at_once = aggregates.scalar(df, "median", "v")._jdf.queryExecution().executedPlan().toString()
+    assert "percentile(" in at_once
+    monkeypatch.setattr(quantile_module, "SMALL_BYTES", 0)
     plan = aggregates.scalar(df, "median", "v")._jdf.queryExecution().executedPlan().toString()
     assert "percentile_approx" in plan and "percentile(" not in plan and "median(" not in plan
 
 
+@pytest.mark.parametrize("broadcast_cuts", [1000, 0])
+def test_a_group_with_half_of_all_rows(spark, broadcast_cuts):
+    """Its rows aren't brought together by group: they meet their brackets where they are, or by a salt."""
+    rng = np.random.default_rng(2)
+    group, value = np.where(rng.random(60_000) < 0.5, 0, rng.integers(1, 50, 60_000)), np.round(rng.standard_normal(60_000) * 50, 1)
+    df = spark.createDataFrame([(int(g), float(v)) for g, v in zip(group, value)], "g int, v double").repartition(6)
+    found = quantiles(df, ["g"], ["v"], [0.25, 0.5, 0.99], ["q"], small_bytes=0, broadcast_cuts=broadcast_cuts)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    for r in found.collect():
+        assert r.q == pytest.approx(list(np.quantile(value[group == r.k0], [0.25, 0.5, 0.99])))
+    assert ("salt" in plan) is (broadcast_cuts == 0)
+    small = {r.k0: r.q for r in quantiles(df, ["g"], ["v"], [0.25, 0.5, 0.99], ["q"], small_bytes=1 << 62).collect()}
+    assert all(small[r.k0] == pytest.approx(r.q) for r in found.collect())
+
+
 def test_profile_of_what_is_asked(spark):
     ds = Dataset(spark.createDataFrame([(1.0, "x"), (2.0, "y"), (9.0, None)], "a double, median string"))
     full = {r.column: r for r in profile.profile(ds).collect()}
