@@ -69,3 +69,52 @@ def test_empty_csv(spark, tmp_path):
     (tmp_path / "a.csv").write_text("a,b\n")
     assert split_csv.read_csv(spark, str(tmp_path / "a.csv")).drop(RID).schema.names == ["a", "b"]
     assert split_csv.read_csv(spark, str(tmp_path / "a.csv")).count() == 0
+
+
+def _vectors(spark, n=3000, size=16):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((30, size))
+    pick = np.where(rng.random(n) < 0.4, 0, rng.integers(0, 30, n))  # one list holds more than a third
+    x = centres[pick] + rng.standard_normal((n, size)) * 0.6
+    rows = [(i * 2, v.tolist(), "x") for i, v in enumerate(x)] + [(None, [1.0] * size, "x"), (9_999_999, None, "x")]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, list string").repartition(5)
+
+
+def test_vector_index_finds_the_nearest(spark, tmp_path):
+    from quaestor.operators.retrieval import nearest_each
+    from quaestor.operators.vector_index import VectorIndex
+
+    vectors = _vectors(spark)
+    path = f"file://{tmp_path}/index"
+    index = VectorIndex.build(vectors, path=path, fingerprint="one", recall=0.95)
+    asked = vectors.filter("vec_id % 50 = 0")
+    key = lambda df: sorted((r["query"], r["id"], round(r["score"], 9), r["place"]) for r in df.collect())
+    exact = key(nearest_each(vectors, asked))
+    assert key(index.search(asked, probes=len(index.centres))) == exact  # every row is in it
+    found = {x[:2] for x in key(index.search(asked))}
+    assert len(found & {x[:2] for x in exact}) >= 0.9 * len(exact) and index.recall >= 0.95
+    assert index.probes < len(index.centres) / 2
+    again = VectorIndex.open(spark, path, "one")
+    assert key(again.search(asked)) == key(index.search(asked)) and again.probes == index.probes
+    assert VectorIndex.open(spark, path, "another") is None
+
+
+def test_vector_index_of_more_queries_than_are_broadcast(spark, monkeypatch):
+    from quaestor.operators import vector_index
+    from quaestor.operators.retrieval import nearest_each
+
+    vectors = _vectors(spark, 600)
+    index = vector_index.VectorIndex.build(vectors, lists=8)
+    monkeypatch.setattr(vector_index, "BROADCAST_QUERIES", 0)
+    monkeypatch.setattr(vector_index, "BLOCK", 50)
+    key = lambda df: sorted((r["query"], r["id"], round(r["score"], 9)) for r in df.collect())
+    assert key(index.search(vectors, probes=8)) == key(nearest_each(vectors, vectors))
+
+
+def test_vector_index_of_nothing(spark):
+    from quaestor.operators.vector_index import VectorIndex
+
+    empty = spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")
+    assert VectorIndex.build(empty).search(empty).count() == 0
