@@ -15,6 +15,7 @@ from quaestor.operators import aggregates as A
 from quaestor.operators import conversations, filters, profile, retrieval, search
 from quaestor.plans import steps as step_plans
 from quaestor.plans.plan import Filter, Measure, QueryPlan, Sort, compile_plan, from_dict
+from quaestor.sources.file_index import FileIndex
 from quaestor.sources.readers import RID, Dataset, numbered, sample
 from quaestor.sources.shared import shared_dir
 from quaestor.sources.split_csv import read_csv
@@ -123,6 +124,27 @@ _RANK = "least(" + ", ".join(f"CASE WHEN lower({c}) = 'red' THEN {2 * i} WHEN re
 _parts = lambda s, d: ds(s, d, "part", *_PART)
 query("keyword_search_all_columns", f"SELECT {', '.join(_PART)} FROM part WHERE {_hit('red')}")(lambda s, d: search.search(_parts(s, d), "red", list(_TEXTS)).select(*_PART))
 query("keyword_search_ranked", f"SELECT p_partkey, {_RANK} AS rank FROM part WHERE {_RANK} IS NOT NULL")(lambda s, d: search.search(_parts(s, d), "Red", list(_TEXTS)).select("p_partkey", F.col("_rank").alias("rank")))
+
+
+def _parted(s, d, table: str, by: str):
+    """A table in 16 files by ranges of a column, and its index."""
+    path = f"{shared_dir(s)}/parted/{uuid.uuid4().hex}"
+    s.read.parquet(f"{d}/{table}.parquet").repartitionByRange(16, by).write.parquet(path)
+    return FileIndex.build(s, path), Dataset(s.read.parquet(path), path)
+
+
+@query("indexed_search", "SELECT p_partkey, p_name FROM part WHERE " + " OR ".join(f"contains(lower({c}::VARCHAR), 'brand#12')" for c in ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")))
+def _indexed_search(s, d):
+    index, parts = _parted(s, d, "part", "p_brand")
+    return index.searched(parts, "Brand#12").select("p_partkey", "p_name")
+
+
+@query("indexed_filters", "SELECT o_orderkey, o_totalprice FROM orders WHERE lower(o_orderpriority) = '1-urgent' AND o_totalprice > 300000 AND o_orderkey <= 4000")
+def _indexed_filters(s, d):
+    index, orders = _parted(s, d, "orders", "o_orderkey")
+    return index.filtered(orders, [("o_orderpriority", "=", "1-URGENT"), ("o_totalprice", ">", 300000), ("o_orderkey", "<=", 4000)]).select("o_orderkey", "o_totalprice")
+
+
 query("keyword_exclude", f"SELECT p_partkey FROM part WHERE NOT coalesce({_hit('red')}, false)")(lambda s, d: search.exclude(_parts(s, d), "red", list(_TEXTS)).select("p_partkey"))
 query("search_or", f"SELECT p_partkey FROM part WHERE {_hit('red')} OR {_hit('small')}")(lambda s, d: search.search_terms(_parts(s, d), ["red", "small"], "or", list(_TEXTS)).select("p_partkey"))
 query("search_and", f"SELECT p_partkey FROM part WHERE {_hit('red')} AND {_hit('small')}")(lambda s, d: search.search_terms(_parts(s, d), ["red", "small"], "and", list(_TEXTS)).select("p_partkey"))

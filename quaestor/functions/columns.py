@@ -18,9 +18,9 @@ def text(name: str) -> Column:
     return col(name).cast("string")
 
 
-def number(name: str) -> Column:
-    """Lenient: null where the text is no number."""
-    return col(name).try_cast("double")
+def number(name: str, numeric: bool = True) -> Column:
+    """Lenient: null where the text is no number. numeric: whether the column's type is that of a number or a text; other types are read as texts."""
+    return (col(name) if numeric else text(name)).try_cast("double")
 
 
 def is_numeric(kind: T.DataType) -> bool:

@@ -36,7 +36,7 @@ def all_numbers(ds: Dataset, name: str) -> bool:
         return True
     if ds.kinds[name] != "text":
         return False
-    return ds.rows.filter(text(name).isNotNull() & number(name).isNull()).isEmpty()
+    return ds.rows.filter(text(name).isNotNull() & number(name, False).isNull()).isEmpty()
 
 
 def lookup(ds: Dataset, name: str, value: object, exact: bool = False) -> DataFrame:
@@ -56,7 +56,7 @@ def by_comparison(ds: Dataset, name: str, op: str, value: float) -> DataFrame:
     found = ds.find(name)
     if found is None or op not in COMPARE or not all_numbers(ds, found):
         return ds.rows.limit(0)
-    return ds.rows.filter(COMPARE[op](number(found), float(value)))
+    return ds.rows.filter(COMPARE[op](number(found, ds.kinds[found] == "numeric"), float(value)))
 
 
 def predicate(ds: Dataset, name: str, op: str, value: object) -> Column | None:
@@ -73,7 +73,7 @@ def predicate(ds: Dataset, name: str, op: str, value: object) -> Column | None:
         return None
     v = as_number(value)
     if v is not None and all_numbers(ds, found):
-        return COMPARE[op](number(found), v)
+        return COMPARE[op](number(found, ds.kinds[found] == "numeric"), v)
     if op in ("=", "=="):
         return equals_ci(found, value)
     if op == "!=":

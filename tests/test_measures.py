@@ -174,3 +174,11 @@ def test_rows_within_a_search(spark):
 def test_duplicates(spark):
     df = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "s string")
     assert [r.n for r in profile.duplicates(df, "s").collect()] == [2]
+
+
+def test_a_number_asked_of_a_date(spark):
+    from quaestor.operators.filters import apply_filters, by_comparison
+
+    ds = Dataset(spark.sql("SELECT timestamp_ntz'2024-01-01 00:00:00' AS t, date'2024-01-01' AS d, 1 AS n UNION ALL SELECT null, null, 2"))
+    assert by_comparison(ds, "t", ">", 5).count() == 0 and apply_filters(ds, [("d", ">", 5)]).count() == 2
+    assert apply_filters(ds, [("d", "=", "2024-01-01")]).count() == 1

@@ -118,3 +118,52 @@ def test_vector_index_of_nothing(spark):
 
     empty = spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")
     assert VectorIndex.build(empty).search(empty).count() == 0
+
+
+@pytest.fixture()
+def indexed(spark, tmp_path):
+    from quaestor.sources.file_index import FileIndex
+    from quaestor.sources.readers import Dataset
+
+    words = ["Größe", "red apple", "GREEN pear", "blue", "x", None, "", "a+b", "naïve 🙂 end"]
+    rows = [(i, f"{words[i % 9]} {i // 40}" if words[i % 9] is not None else None, f"code{i // 40}", str(i // 40) if i % 2 else None, [i]) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, text string, code string, digits string, nested array<long>")
+    df.repartitionByRange(10, "id").write.parquet(str(tmp_path / "t"))
+    index = FileIndex.build(spark, str(tmp_path / "t"), path=str(tmp_path / "i"))
+    return index, Dataset(spark.read.parquet(str(tmp_path / "t")))
+
+
+@pytest.mark.parametrize(
+    ("filters", "most"),
+    [
+        ([("code", "=", "CODE3")], 1), ([("code", "=", "code77")], 0), ([("id", ">", 380)], 1), ([("id", "<=", 39), ("code", "=", "code0")], 1), ([("id", "=", 100)], 1),
+        ([("digits", "=", 4)], 1), ([("digits", ">=", 8)], 2), ([("text", "contains", "größe 5")], 1), ([("text", "contains", "🙂 END 7")], 1), ([("text", "contains", "a+b")], 10),
+        ([("text", "contains", "x")], 10), ([("text", "contains", "gr.+ 5")], 10), ([("code", "!=", "code3")], 10), ([("none", "=", 1)], 10), ([("id", ">", "text")], 10),
+    ],
+)
+def test_files_are_skipped_and_no_row_is_lost(indexed, filters, most):
+    from quaestor.operators.filters import apply_filters
+
+    index, ds = indexed
+    found, wanted = index.filtered(ds, filters), apply_filters(ds, filters)
+    assert sorted(r.id for r in found.collect()) == sorted(r.id for r in wanted.collect())
+    assert len(found.inputFiles()) <= most or (most == 0 and found.count() == 0)
+
+
+@pytest.mark.parametrize(("term", "most"), [("code7", 1), ("größe 3", 1), ("Pear 9", 1), ("399", 1), ("zzz", 0), ("x", 10), ("red|blue", 10)])
+def test_searches_skip_files(indexed, term, most):
+    from quaestor.operators.search import search
+
+    index, ds = indexed
+    found = index.searched(ds, term)
+    assert sorted((r.id, r._rank) for r in found.collect()) == sorted((r.id, r._rank) for r in search(ds, term).collect())
+    assert len(found.inputFiles()) <= most or (most == 0 and found.count() == 0)
+
+
+def test_an_index_of_another_state_is_refused(spark, indexed):
+    from quaestor.sources.file_index import FileIndex
+
+    index, ds = indexed
+    assert FileIndex.open(spark, index.path).fingerprint == index.fingerprint
+    ds.table.limit(3).write.mode("append").parquet(index.source)
+    assert FileIndex.open(spark, index.path) is None
