@@ -154,6 +154,24 @@ query("row_semi_join", f"SELECT p_partkey FROM part WHERE {_hit('red')} AND p_si
 query("row_anti_join", f"SELECT p_partkey FROM part WHERE NOT {_hit('red')}")(
     lambda s, d: search.within(ds(s, d, "part"), None, "red", keep=False, columns=list(_TEXTS)).select("p_partkey")
 )
+def _bound(term: str, value: str) -> str:
+    shared = " + ".join(f"least({term.count(c)}, length({value}) - length(replace({value}, '{c}', '')))" for c in dict.fromkeys(term))
+    return f"2.0::DOUBLE * ({shared}) / (length({value}) + {len(term)})"
+
+
+def _jaccard(term: str, value: str) -> str:
+    mine = ", ".join(f"'{c}'" for c in dict.fromkeys(term))
+    return f"len(list_intersect([{mine}], string_split({value}, '')))::DOUBLE / len(list_distinct(list_concat([{mine}], string_split({value}, ''))))"
+
+
+query(
+    "fuzzy_candidates",
+    f"""SELECT value, round(greatest(inside, words, CASE WHEN whole >= 0.4 THEN whole END, CASE WHEN near > 0.6 THEN near END), 9) AS bound FROM (
+    SELECT value, CASE WHEN contains(value, 'burnishd') OR contains('burnishd', value) THEN 0.9 END AS inside,
+      CASE WHEN list_contains(w, 'burnishd') AND 1.0 / len(list_distinct(w)) > 0.5 THEN 1.0 / len(list_distinct(w)) END AS words, {_bound("burnishd", "value")} AS whole,
+      list_max(list_transform(list_filter(w, lambda x: length(x) >= 3), lambda x: ({_jaccard("burnishd", "x")} + {_bound("burnishd", "x")}) / 2)) AS near
+    FROM (SELECT DISTINCT lower(p_type) AS value, regexp_split_to_array(lower(p_type), '\\s+') AS w FROM part WHERE p_type IS NOT NULL)) WHERE bound IS NOT NULL""",
+)(lambda s, d: search.fuzzy_candidates(ds(s, d, "part", "p_type"), "Burnishd").select(F.col("low").alias("value"), F.round("bound", 9).alias("bound")).distinct())
 query("fuzzy_suggestions")(lambda s, d: search.fuzzy(ds(s, d, "customer", "c_mktsegment"), "bulding"))
 
 # --- aggregations

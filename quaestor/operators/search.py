@@ -76,26 +76,55 @@ def distinct_values(ds: Dataset, columns: list[str] | None = None) -> DataFrame:
     return ds.rows.select(F.explode(F.array(*[text(c) for c in columns])).alias("value")).filter("value is not null").distinct()
 
 
-def fuzzy(ds: Dataset, term: str, k: int = 3, columns: list[str] | None = None) -> DataFrame:
-    """(value, score) of the k values most like the term: close as a whole, one within the other, or with a close word.
+#: Values of the highest bounds whose exact scores set the bar for all others.
+FIRST = 64
+WHOLE, OVERLAP, NEAR, INSIDE = 0.4, 0.5, 0.6, 0.9  # the least score as a whole, by shared words, by a close word; the score of one within the other
 
-    Distinct values are compared once; ties by value.
-    """
+
+def ratio_bound(term: str, value: Column) -> Column:
+    """At least sequence_ratio(term, value): twice the characters that both have, as often as both have them, over all characters."""
+    shared = [F.least(F.lit(term.count(c)), F.char_length(value) - F.char_length(F.replace(value, F.lit(c), F.lit("")))) for c in dict.fromkeys(term)]
+    total = F.char_length(value) + len(term)
+    return F.when(total > 0, 2.0 * reduce(lambda a, b: a + b, shared, F.lit(0)) / total).otherwise(F.lit(1.0))
+
+
+def fuzzy_candidates(ds: Dataset, term: str, columns: list[str] | None = None) -> DataFrame:
+    """value, low, sure, bound: distinct values that can be like the term. sure: the score that needs no comparison, if any; bound: what the score is at most.
+
+    No Python: one value within the other, shared words, and for the rest bounds of the ratios by characters."""
     low = term.lower()
     values = distinct_values(ds, columns).withColumn("low", F.lower("value"))
-    whole = sequence_ratio(F.lit(low), F.col("low"))
     inside = F.col("low").contains(low) if len(low) >= 3 else F.lit(False)
     if len(low) > 5:
         inside = inside | F.lit(low).contains(F.col("low"))
     terms, words = F.split(F.lit(low), r"\s+"), F.split("low", r"\s+")
     overlap = F.size(F.array_intersect(terms, words)) / F.greatest(F.size(F.array_union(terms, words)), F.lit(1))
-    scored = values.withColumns({"whole": whole, "overlap": overlap}).withColumn("word", F.explode_outer(F.filter(words, lambda w: F.length(w) >= 3)))
+    sure = F.greatest(F.when(inside, F.lit(INSIDE)), F.when(overlap > OVERLAP, overlap))
+    near = F.array_max(F.transform(F.filter(words, lambda w: F.length(w) >= 3), lambda w: (char_jaccard(F.lit(low), w) + ratio_bound(low, w)) / 2))
+    whole = ratio_bound(low, F.col("low"))
+    bound = F.greatest(sure, F.when(whole >= WHOLE, whole), F.when(near > NEAR, near))
+    return values.withColumns({"sure": sure, "bound": bound}).filter("bound is not null")
+
+
+def _scored(candidates: DataFrame, low: str) -> DataFrame:
+    """value, score: candidates compared in full. Only ratios are computed in Python."""
+    words = F.filter(F.split("low", r"\s+"), lambda w: F.length(w) >= 3)
+    each = candidates.withColumn("whole", sequence_ratio(F.lit(low), F.col("low"))).withColumn("word", F.explode_outer(words))
     near = (char_jaccard(F.lit(low), F.col("word")) + sequence_ratio(F.lit(low), F.coalesce("word", F.lit("")))) / 2
-    scored = scored.withColumn("near", near).groupBy("value", "low", "whole", "overlap").agg(F.max("near").alias("near"))
-    best = F.greatest(
-        F.when(F.col("whole") >= 0.4, F.col("whole")),
-        F.when(inside, F.lit(0.9)),
-        F.when(F.col("overlap") > 0.5, F.col("overlap")),
-        F.when(F.col("near") > 0.6, F.col("near")),
-    )
-    return scored.select("value", best.alias("score")).filter("score is not null").orderBy(F.desc("score"), "value").limit(k)
+    scored = each.withColumn("near", near).groupBy("value", "sure", "whole").agg(F.max("near").alias("near"))
+    best = F.greatest("sure", F.when(F.col("whole") >= WHOLE, F.col("whole")), F.when(F.col("near") > NEAR, F.col("near")))
+    return scored.select("value", best.alias("score")).filter("score is not null")
+
+
+def fuzzy(ds: Dataset, term: str, k: int = 3, columns: list[str] | None = None) -> DataFrame:
+    """(value, score) of the k values most like the term: close as a whole, one within the other, or with a close word.
+
+    Distinct values are compared once; ties by value. The values of the highest bounds are compared first; then only those whose bound reaches the k-th best score of these, so
+    that few values reach Python, and the result is that of comparing all.
+    """
+    low = term.lower()
+    candidates = fuzzy_candidates(ds, term, columns)
+    order = [F.desc("score"), F.asc("value")]
+    first = _scored(candidates.orderBy(F.desc("bound"), "value").limit(max(k, FIRST)), low).orderBy(*order).limit(k).collect()
+    bar = first[-1].score if len(first) == k else 0.0
+    return _scored(candidates.filter(F.col("bound") >= bar - 1e-9), low).orderBy(*order).limit(k)

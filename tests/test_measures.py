@@ -182,3 +182,43 @@ def test_a_number_asked_of_a_date(spark):
     ds = Dataset(spark.sql("SELECT timestamp_ntz'2024-01-01 00:00:00' AS t, date'2024-01-01' AS d, 1 AS n UNION ALL SELECT null, null, 2"))
     assert by_comparison(ds, "t", ">", 5).count() == 0 and apply_filters(ds, [("d", ">", 5)]).count() == 2
     assert apply_filters(ds, [("d", "=", "2024-01-01")]).count() == 1
+
+
+def _plain_fuzzy(values, term, k):
+    """As fuzzy, by comparing all."""
+    from difflib import SequenceMatcher
+
+    low, out = term.lower(), []
+    ratio = lambda x: SequenceMatcher(None, low, x).ratio()
+    for value in {v for v in values if v is not None}:
+        v = value.lower()
+        scores = [ratio(v)] if ratio(v) >= 0.4 else []
+        scores += [0.9] if (len(low) >= 3 and low in v) or (len(low) > 5 and v in low) else []
+        a, b = set(low.split()), set(v.split())
+        scores += [len(a & b) / len(a | b)] if a | b and len(a & b) / len(a | b) > 0.5 else []
+        near = [(len(set(low) & set(w)) / len(set(low) | set(w)) + ratio(w)) / 2 for w in v.split() if len(w) >= 3]
+        scores += [max(near)] if near and max(near) > 0.6 else []
+        if scores:
+            out.append((value, max(scores)))
+    return sorted(out, key=lambda r: (-r[1], r[0]))[:k]
+
+
+@pytest.mark.parametrize("term", ["festivel", "Rush houre", "ab", "night market concert", "zzzzq", "é中", "aaaaaaaaab"])
+def test_fuzzy_is_what_comparing_all_gives(spark, monkeypatch, term):
+    rng = random.Random(11)
+    parts = ["festival", "rush", "hour", "night", "market", "concert", "Birds", "é中文", "aaaa", "morning", "x"]
+    values = [" ".join("".join(c for c in rng.choice(parts) if rng.random() > 0.1) for _ in range(rng.randint(1, 3))).strip() or "y" for _ in range(600)] + [None, "festival"]
+    ds = Dataset(spark.createDataFrame([(v,) for v in values], "v string"))
+    monkeypatch.setattr(search, "FIRST", 8)
+    for k in (1, 3):
+        found = [(r.value, r.score) for r in search.fuzzy(ds, term, k).collect()]
+        wanted = _plain_fuzzy(values, term, k)
+        assert [v for v, _ in found] == [v for v, _ in wanted] and [s for _, s in found] == pytest.approx([s for _, s in wanted])
+
+
+def test_few_values_are_compared(spark):
+    values = [f"{w} {i:04d}" for i in range(500) for w in ("quartz", "lumber", "pigment")] + ["festival ground"]
+    ds = Dataset(spark.createDataFrame([(v,) for v in values], "v string"))
+    bounds = {r.value: r.bound for r in search.fuzzy_candidates(ds, "festivals").collect()}
+    best = search.fuzzy(ds, "festivals", 1).head()
+    assert best.value == "festival ground" and sum(b >= best.score for b in bounds.values()) < 5
