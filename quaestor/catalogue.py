@@ -12,7 +12,7 @@ from quaestor.functions.columns import tokens
 from quaestor.models import HashingEmbedder
 from quaestor.nl.grammar import structured_plan
 from quaestor.operators import aggregates as A
-from quaestor.operators import conversations, filters, profile, retrieval, search
+from quaestor.operators import conversations, filters, profile, retrieval, search, temporal
 from quaestor.plans import steps as step_plans
 from quaestor.plans.plan import Filter, Measure, QueryPlan, Sort, compile_plan, from_dict
 from quaestor.sources.file_index import FileIndex
@@ -402,6 +402,29 @@ query(
       FROM (SELECT text AS t, regexp_replace(text, '"([^"]+)"|''([^'']+)''', ' ', 'g') AS b FROM documents)) GROUP BY 1 ORDER BY n DESC, entity LIMIT 5""",
 )(lambda s, d: conversations.mentioned(s.read.parquet(f"{d}/documents.parquet"), "text"))
 
+# --- joins by time
+
+
+@query(
+    "asof_join",
+    """SELECT e.event_id, user_id, p.o.id AS last_id, p.o.v AS last_value FROM events e LEFT JOIN (
+      SELECT a.event_id, max({'t': b.ts, 'id': b.event_id, 'v': b.value}) AS o
+      FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts <= a.ts AND b.event_type = 'purchase' GROUP BY a.event_id) p USING (event_id)""",
+)
+def _asof(s, d):
+    """Each event with its user's last purchase as of its time."""
+    events = s.read.parquet(f"{d}/events.parquet")
+    bought = events.filter("event_type = 'purchase'").selectExpr("user_id AS buyer", "ts AS at", "event_id AS last_id", "value AS last_value")
+    return temporal.asof_join(events.select("event_id", "user_id", "ts"), bought, {"user_id": "buyer"}, ("ts", "at"), ["last_id"], 2 * 86_400).select("event_id", "user_id", "last_id", "last_value")
+
+
+@query("range_join", "SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey AND o_orderdate + INTERVAL 30 DAY <= l_shipdate AND l_shipdate < o_orderdate + INTERVAL 400 DAY")
+def _ranged(s, d):
+    """Lines shipped from 30 to 400 days after their order."""
+    due = s.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderkey", "o_custkey", "o_orderdate + INTERVAL 30 DAY AS begins", "o_orderdate + INTERVAL 400 DAY AS ends")
+    return temporal.range_join(s.read.parquet(f"{d}/lineitem.parquet"), due, {"l_orderkey": "o_orderkey"}, "l_shipdate", ("begins", "ends"), 370 * 86_400).select("l_orderkey", "l_linenumber", "o_custkey")
+
+
 # --- questions
 
 asked("nl_average_by", "lineitem", "What is the average l_quantity by l_returnflag?", "SELECT l_returnflag, avg(l_quantity) AS l_quantity FROM lineitem GROUP BY l_returnflag")

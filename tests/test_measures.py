@@ -222,3 +222,27 @@ def test_few_values_are_compared(spark):
     bounds = {r.value: r.bound for r in search.fuzzy_candidates(ds, "festivals").collect()}
     best = search.fuzzy(ds, "festivals", 1).head()
     assert best.value == "festival ground" and sum(b >= best.score for b in bounds.values()) < 5
+
+
+@pytest.mark.parametrize("width", [7, 1000, 10**7])
+def test_joins_by_time_against_comparing_all(spark, width):
+    """A key that holds most rows, ties, nulls, times before 1970, and rows without a match."""
+    from datetime import datetime, timedelta
+
+    from quaestor.operators.temporal import asof_join, range_join
+
+    rng = random.Random(width)
+    at = lambda: None if rng.random() < 0.05 else datetime(1970, 1, 1) + timedelta(seconds=rng.randint(-300, 900) / 2)
+    key = lambda: rng.choice([1, 1, 1, 1, 2, 3, None])
+    left, right = [(i, key(), at()) for i in range(150)], [(key(), at(), i) for i in range(120)]
+    right += [(1, datetime(1970, 1, 1, 0, 0, 30), 900 + i) for i in range(3)]
+    a = spark.createDataFrame(left, "id long, k int, t timestamp_ntz")
+    b = spark.createDataFrame(right, "k int, t timestamp_ntz, v int")
+    found = {r.id: r.r_v for r in asof_join(a, b, {"k": "k"}, ("t", "t"), ["v"], width, "r_").collect()}
+    for i, k, t in left:
+        fit = [(u, v) for j, u, v in right if k is not None and j == k and t is not None and u is not None and u <= t]
+        assert found[i] == (max(fit)[1] if fit else None)
+    spans = [(k, t, t and t + timedelta(seconds=rng.choice([0, 1, 5, 40])), v) for k, t, v in right]
+    c = spark.createDataFrame(spans, "k int, s timestamp_ntz, e timestamp_ntz, v int")
+    met = sorted((r.id, r.v) for r in range_join(a, c, {"k": "k"}, "t", ("s", "e"), width, "").select("id", "v").collect())
+    assert met == sorted((i, v) for i, k, t in left for j, u, e, v in spans if k is not None and j == k and t is not None and u is not None and u <= t < e)
