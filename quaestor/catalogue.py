@@ -402,6 +402,29 @@ query(
       FROM (SELECT text AS t, regexp_replace(text, '"([^"]+)"|''([^'']+)''', ' ', 'g') AS b FROM documents)) GROUP BY 1 ORDER BY n DESC, entity LIMIT 5""",
 )(lambda s, d: conversations.mentioned(s.read.parquet(f"{d}/documents.parquet"), "text"))
 
+# --- groups of groups, filters of groups, aggregates of one's own
+
+planned(
+    "group_rollup", "lineitem", QueryPlan("aggregate", (), (Measure("l_quantity", "sum"), Measure("l_discount", "count")), groupby=("l_returnflag", "l_linestatus"), grouping="rollup"),
+    "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS l_quantity, count(l_discount) AS l_discount FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
+)
+planned(
+    "group_cube_median", "lineitem", QueryPlan("aggregate", (), (Measure("l_quantity", "median"), Measure("l_tax", "max")), groupby=("l_returnflag", "l_linestatus"), grouping="cube"),
+    "SELECT l_returnflag, l_linestatus, median(l_quantity) AS l_quantity, max(l_tax) AS l_tax FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
+)
+planned(
+    "group_having", "orders", QueryPlan("aggregate", (), (Measure("o_totalprice", "mean"),), groupby=("o_custkey",), having=(Filter("o_totalprice", ">", 300000), Filter("o_custkey", "<=", 1000))),
+    "SELECT o_custkey, avg(o_totalprice) AS o_totalprice FROM orders GROUP BY o_custkey HAVING avg(o_totalprice) > 300000 AND o_custkey <= 1000",
+)
+
+
+@query("agg_registered", "SELECT l_returnflag, round(exp(avg(ln(l_quantity))), 6) AS l_quantity FROM lineitem GROUP BY l_returnflag")
+def _registered(s, d):
+    if "geometric_mean" not in A.FUNCTIONS:
+        A.register("geometric_mean", lambda c: F.round(F.exp(F.avg(F.log(c))), 6))
+    return compile_plan(QueryPlan("aggregate", (), (Measure("l_quantity", "geometric_mean"),), groupby=("l_returnflag",)), ds(s, d, "lineitem"))
+
+
 # --- joins by time
 
 
@@ -449,3 +472,12 @@ query("nl_steps", "SELECT * FROM part WHERE contains(lower(p_name), 'economy') O
 query("ext_tumbling_daily", "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")(
     lambda s, d: tumbling(s.read.parquet(f"{d}/events.parquet")).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 )
+asked(
+    "nl_having", "orders", "average o_totalprice by o_custkey having o_totalprice above 300000",
+    "SELECT o_custkey, avg(o_totalprice) AS o_totalprice FROM orders GROUP BY o_custkey HAVING avg(o_totalprice) > 300000",
+)
+asked("nl_having_count", "orders", "how many records by o_custkey having count at least 20", 'SELECT o_custkey, count(*) AS "Count" FROM orders GROUP BY o_custkey HAVING count(*) >= 20')
+asked(
+    "nl_subtotals", "lineitem", "total l_quantity by l_returnflag and l_linestatus with subtotals",
+    "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS l_quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
+)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -81,6 +82,48 @@ def grouped(df: DataFrame, keys: list[str], measures: dict[str, tuple[str, str]]
     return measured(df.filter(_present(keys)), keys, measures).orderBy(*[col(k) for k in keys])
 
 
+def register(name: str, make: Callable[[Column], Column]) -> None:
+    """An aggregate of one's own, by name, for plans and measures: from a column to an expression of Spark's aggregates, which are merged from partial ones.
+
+    ``register("geometric_mean", lambda c: F.exp(F.avg(F.log(c))))``. A name that is taken is refused.
+    """
+    key = name.strip().lower()
+    if not key or key in FUNCTIONS:
+        raise ValueError(f"{name!r} is no free name for an aggregate")
+    FUNCTIONS[key] = make
+
+
+def group_sets(kind: str, keys: list[str]) -> list[list[str]]:
+    """rollup: all keys, all but the last, and so on to none; cube: every part of the keys."""
+    if kind == "rollup":
+        return [keys[:n] for n in range(len(keys), -1, -1)]
+    if kind == "cube":
+        return [[k for i, k in enumerate(keys) if not bits >> i & 1] for bits in range(1 << len(keys))]
+    raise ValueError(f"no grouping {kind!r}")
+
+
+def grouped_sets(df: DataFrame, keys: list[str], sets: list[list[str]], measures: dict[str, tuple[str, str]]) -> DataFrame:
+    """Keys, then measures (alias -> (function, column)), for each of the sets of keys; a key that a set leaves out is null. Rows with a null key go, so a null means all.
+
+    One pass over the rows, but for medians, which are ranked set by set. Keys ascend, totals last.
+    """
+    rows = df.filter(_present(keys))
+    if any(f == "median" for f, _ in measures.values()):
+        kinds = {f.name: f.dataType for f in df.schema}
+        parts = []
+        for chosen in sets:
+            part = measured(rows, chosen, measures)
+            parts.append(part.select(*[col(k) if k in chosen else F.lit(None).cast(kinds[k]).alias(k) for k in keys], *[col(a) for a in measures]))
+        out = reduce(lambda a, b: a.unionByName(b), parts)
+    else:
+        aliases = {a: f"m{i}" for i, a in enumerate(measures)}
+        named = rows.select("*", *[col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+        at = {k: F.col(f"_k{i}") for i, k in enumerate(keys)}
+        base = named.groupingSets([[at[k] for k in chosen] for chosen in sets], *at.values()).agg(*[FUNCTIONS[f](col(c)).alias(aliases[a]) for a, (f, c) in measures.items()])
+        out = base.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], *[F.col(aliases[a]).alias(a) for a in measures])
+    return out.orderBy(*[col(k).asc_nulls_last() for k in keys])
+
+
 def group_sizes(df: DataFrame, keys: list[str], alias: str = "Count") -> DataFrame:
     return df.filter(_present(keys)).groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias(alias)).orderBy(*[col(k) for k in keys])
 

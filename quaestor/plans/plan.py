@@ -36,13 +36,17 @@ OPERATIONS = ("list", "filter", "count", "aggregate", "summarize", "distinct")
 
 @dataclass(frozen=True)
 class QueryPlan:
-    """filters -> operation -> sort -> limit, always in this order."""
+    """filters -> operation -> having -> sort -> limit, always in this order.
+
+    grouping: rollup or cube gives subtotals too; having: filters of the groups, on their keys, measures and counts."""
 
     operation: str = "list"
     columns: tuple[str, ...] = ()
     measures: tuple[Measure, ...] = ()
     filters: tuple[Filter, ...] = ()
     groupby: tuple[str, ...] = ()
+    grouping: str = ""
+    having: tuple[Filter, ...] = ()
     sort: tuple[Sort, ...] = ()
     limit: int | None = None
     description: str = ""
@@ -69,7 +73,8 @@ def _many(value: object) -> list:
 
 def from_dict(d: dict) -> QueryPlan:
     """A plan from loose JSON; parts that make no sense are left out."""
-    filters_ = [Filter(str(f["column"]), str(f.get("operator", "=")), f["value"]) for f in _many(d.get("filters")) if isinstance(f, dict) and "column" in f and "value" in f]
+    filters_, having = ([Filter(str(f["column"]), str(f.get("operator", "=")), f["value"]) for f in _many(d.get(k)) if isinstance(f, dict) and "column" in f and "value" in f] for k in ("filters", "having"))
+    grouping = str(d.get("grouping") or "").lower()
     columns, measures = [], []
     for c in _many(d.get("columns")):
         if isinstance(c, dict) and "column" in c:
@@ -87,7 +92,7 @@ def from_dict(d: dict) -> QueryPlan:
     operation = str(d.get("operation") or "list").lower()
     return QueryPlan(
         operation if operation in OPERATIONS else "list", tuple(columns), tuple(measures), tuple(filters_), tuple(map(str, _many(d.get("groupby")))),
-        tuple(sorts), limit if isinstance(limit, int) and not isinstance(limit, bool) and limit > 0 else None, str(d.get("description") or ""),
+        grouping if grouping in ("rollup", "cube") else "", tuple(having), tuple(sorts), limit if isinstance(limit, int) and not isinstance(limit, bool) and limit > 0 else None, str(d.get("description") or ""),
     )
 
 
@@ -95,8 +100,10 @@ def compile_plan(plan: QueryPlan, ds: Dataset) -> DataFrame:
     """The plan as a lazy DataFrame; the optimizer does the rest."""
     rows = filters.apply_filters(ds, [(f.column, f.operator, f.value) for f in plan.filters])
     keys = [c for c in map(ds.find, plan.groupby) if c]
+    sets = aggregates.group_sets(plan.grouping, keys) if plan.grouping and keys else None
     if plan.operation == "count":
-        out = aggregates.group_sizes(rows, keys) if keys else aggregates.counted(rows)
+        sized = lambda: aggregates.grouped_sets(rows, keys, sets, {"Count": ("size", keys[0])}) if sets else aggregates.group_sizes(rows, keys)
+        out = sized() if keys else aggregates.counted(rows)
     elif plan.operation == "aggregate" and plan.measures:
         chosen = {}
         for m in plan.measures:  # a later one for the same column wins
@@ -106,7 +113,7 @@ def compile_plan(plan: QueryPlan, ds: Dataset) -> DataFrame:
         if not chosen:
             out = rows.drop(RID)
         elif keys:
-            out = aggregates.grouped(rows, keys, chosen)
+            out = aggregates.grouped_sets(rows, keys, sets, chosen) if sets else aggregates.grouped(rows, keys, chosen)
         else:
             out = aggregates.measured(rows, [], chosen)
     elif plan.operation == "summarize":
@@ -121,6 +128,10 @@ def compile_plan(plan: QueryPlan, ds: Dataset) -> DataFrame:
     else:
         names = [c for c in map(ds.find, plan.columns) if c]
         out = rows.select(*[col(c) for c in names]) if names else rows.drop(RID)
+    for f in plan.having:
+        found = next((c for c in out.columns if c.lower() == f.column.lower()), None)
+        condition = filters.predicate(Dataset(out), found, f.operator, f.value) if found else None
+        out = out.filter(condition) if condition is not None else out
     orders = []
     for s in plan.sort:
         found = next((c for c in out.columns if c.lower() == s.column.lower()), None)

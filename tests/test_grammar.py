@@ -83,3 +83,23 @@ def test_plans_from_loose_json():
     assert from_dict(parse_json('Sure: {"operation": "list", "limit": 3, "sort": [{"column": "a", "order": "DESC"}, 5]} done')) == QueryPlan("list", sort=(Sort("a", True),), limit=3)
     assert from_dict({"operation": "explode", "limit": -1, "filters": [{"column": "a"}, None]}) == QueryPlan()
     assert parse_json("no json {here") is None
+
+
+@pytest.mark.parametrize(
+    ("question", "plan"),
+    [
+        ("average DecibelsA by Location having DecibelsA above 60", QueryPlan("aggregate", ("DecibelsA",), (Measure("DecibelsA", "mean"),), groupby=("Location",), having=(f("DecibelsA", ">", 60),))),
+        ("how many records by Location having count at least 3", QueryPlan("count", groupby=("Location",), having=(f("Count", ">=", 3),))),
+        ("total unit price by Country and Location with subtotals", QueryPlan("aggregate", ("unit_price",), (Measure("unit_price", "sum"),), groupby=("Country", "Location"), grouping="rollup")),
+        ("total unit price by Country and Location in all combinations", QueryPlan("aggregate", ("unit_price",), (Measure("unit_price", "sum"),), groupby=("Country", "Location"), grouping="cube")),
+        ("average DecibelsA with subtotals", QueryPlan("aggregate", ("DecibelsA",), (Measure("DecibelsA", "mean"),))),
+    ],
+)
+def test_groups_of_groups(question, plan):
+    assert g.structured_plan(question, DS) == plan
+
+
+def test_groups_of_groups_from_json():
+    plan = from_dict({"operation": "aggregate", "columns": [{"column": "a", "operation": "sum"}], "groupby": ["b", "c"], "grouping": "CUBE", "having": [{"column": "a", "operator": ">", "value": 1}, {"column": "b"}, "x"]})
+    assert plan.grouping == "cube" and plan.having == (f("a", ">", 1),)
+    assert from_dict({"operation": "aggregate", "grouping": "none"}).grouping == ""

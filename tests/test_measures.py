@@ -246,3 +246,30 @@ def test_joins_by_time_against_comparing_all(spark, width):
     c = spark.createDataFrame(spans, "k int, s timestamp_ntz, e timestamp_ntz, v int")
     met = sorted((r.id, r.v) for r in range_join(a, c, {"k": "k"}, "t", ("s", "e"), width, "").select("id", "v").collect())
     assert met == sorted((i, v) for i, k, t in left for j, u, e, v in spans if k is not None and j == k and t is not None and u is not None and u <= t < e)
+
+
+def test_grouping_sets_with_nulls_and_odd_names(spark):
+    rows = [("x", "a", 1.0), ("x", "b", 2.0), ("y", "a", None), (None, "a", 9.0), ("y", None, 9.0)]
+    df = spark.createDataFrame(rows, "`k.1` string, m0 string, v double")
+    key = lambda df: sorted(map(str, df.collect()))
+    sets = aggregates.group_sets("rollup", ["k.1", "m0"])
+    plain = aggregates.grouped_sets(df, ["k.1", "m0"], sets, {"k": ("sum", "v"), "n": ("count", "v"), "q": ("max", "v")})
+    assert [tuple(r) for r in plain.collect()] == [("x", "a", 1.0, 1, 1.0), ("x", "b", 2.0, 1, 2.0), ("x", None, 3.0, 2, 2.0), ("y", "a", 0.0, 0, None), ("y", None, 0.0, 0, None), (None, None, 3.0, 2, 2.0)]
+    ranked = aggregates.grouped_sets(df, ["k.1", "m0"], sets, {"k": ("sum", "v"), "n": ("count", "v"), "q": ("median", "v")}).drop("q")
+    assert key(ranked) == key(plain.drop("q"))
+    assert aggregates.group_sets("cube", ["a", "b"]) == [["a", "b"], ["b"], ["a"], []]
+    assert aggregates.grouped_sets(df.limit(0), ["m0"], [["m0"]], {"v": ("sum", "v")}).count() == 0
+
+
+def test_registered_aggregates(spark):
+    from quaestor.plans.plan import compile_plan, from_dict
+
+    aggregates.register("Width", lambda c: F.max(c) - F.min(c))
+    with pytest.raises(ValueError, match="no free name"):
+        aggregates.register("width", F.max)
+    with pytest.raises(ValueError, match="no free name"):
+        aggregates.register("sum", F.max)
+    ds = Dataset(spark.createDataFrame([("a", 1), ("a", 5), ("b", 2)], "k string, v int"))
+    plan = from_dict({"operation": "aggregate", "columns": [{"column": "v", "operation": "WIDTH"}], "groupby": ["k"]})
+    assert [tuple(r) for r in compile_plan(plan, ds).collect()] == [("a", 4), ("b", 0)]
+    del aggregates.FUNCTIONS["width"]
