@@ -20,6 +20,7 @@ from quaestor.sources.readers import RID, Dataset, numbered, sample
 from quaestor.sources.shared import shared_dir
 from quaestor.sources.split_csv import read_csv
 from quaestor.operators.vector_index import VectorIndex
+from quaestor.streaming.turns import remembered
 from quaestor.streaming.windows import tumbling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -448,6 +449,17 @@ def _ranged(s, d):
     return temporal.range_join(s.read.parquet(f"{d}/lineitem.parquet"), due, {"l_orderkey": "o_orderkey"}, "l_shipdate", ("begins", "ends"), 370 * 86_400).select("l_orderkey", "l_linenumber", "o_custkey")
 
 
+@query(
+    "remembered_turns",
+    """SELECT user_id AS conv_id, event_id AS turn, array_to_string(list_transform(list_filter(h, lambda x: x.ts >= ts - INTERVAL 600 MINUTE), lambda x: x.id), ',') AS remembered FROM (
+    SELECT user_id, event_id, ts, list({'id': event_id, 'ts': ts}) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS h FROM events)""",
+)
+def _remembered(s, d):
+    """Events as turns of their users: what a memory of ten turns and ten hours holds after each."""
+    held = remembered(s.read.parquet(f"{d}/events.parquet"), 10, 600, "user_id", "event_id", "ts")
+    return held.select("conv_id", "turn", F.array_join(F.col("remembered").cast("array<string>"), ",").alias("remembered"))
+
+
 # --- questions
 
 asked("nl_average_by", "lineitem", "What is the average l_quantity by l_returnflag?", "SELECT l_returnflag, avg(l_quantity) AS l_quantity FROM lineitem GROUP BY l_returnflag")

@@ -123,3 +123,56 @@ def test_replies_of_several_lines():
     assert joined_reply('{"response": "It "}\nnoise\n{"response": "rains.", "done": true}') == {"response": "It rains.", "done": True}
     with pytest.raises(ModelResponseError):
         joined_reply("no json")
+
+
+def _turns(seed, conversations=6, n=160):
+    import random
+    from datetime import datetime, timedelta, timezone
+
+    rng, at, rows = random.Random(seed), datetime(2024, 1, 1, tzinfo=timezone.utc), []
+    for k in range(n):
+        at += timedelta(seconds=rng.choice([0, 5, 60, 400, 900]))
+        rows.append((rng.choice([0, 0, 0, *range(conversations)]), k, at))
+    return rows
+
+
+def _replayed(rows, max_turns, max_minutes):
+    """What Memory holds after each turn."""
+    out, memories, now = [], {}, {}
+    for c, k, at in rows:
+        now["at"] = at
+        memory = memories.setdefault(c, Memory(max_turns, max_minutes, lambda: now["at"]))
+        memory.add(str(k), "answer")
+        out.append((c, k, tuple(int(t.question) for t in memory.turns)))
+    return sorted(out)
+
+
+def test_remembered_turns_of_tables_and_streams(spark, tmp_path):
+    from quaestor.streaming.turns import append_history, remembered, remembered_stream
+
+    rows = _turns(3)
+    wanted = _replayed(rows, 4, 20)
+    key = lambda df: sorted((r.conv_id, r.turn, tuple(r.remembered)) for r in df.collect())
+    df = spark.createDataFrame([(c, k, at.replace(tzinfo=None)) for c, k, at in rows] + [(None, 1, None)], "conv_id long, turn long, ts timestamp_ntz")
+    assert key(remembered(df, 4, 20)) == wanted
+    place, out, checkpoint = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    for lo in (0, 40, 80, 120):  # stopped and started again between batches
+        df.filter(f"turn >= {lo} and turn < {lo + 40} and conv_id is not null").coalesce(1).write.mode("append").parquet(place)
+        stream = spark.readStream.schema(df.schema).parquet(place)
+        query = append_history(remembered_stream(stream, 4, 20, "1 day"), out, checkpoint, available_now=True)
+        query.awaitTermination(120)
+    assert key(spark.read.parquet(out)) == wanted
+
+
+def test_state_of_quiet_conversations_goes(spark, tmp_path):
+    from datetime import datetime
+
+    from quaestor.streaming.turns import remembered_stream
+
+    place = str(tmp_path / "in")
+    for k, (c, hour) in enumerate([(1, 0), (2, 10), (2, 20), (2, 21)]):
+        spark.createDataFrame([(c, k, datetime(2024, 1, 1, hour))], "conv_id long, turn long, ts timestamp_ntz").coalesce(1).write.mode("append").parquet(place)
+    stream = spark.readStream.schema("conv_id long, turn long, ts timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(place)
+    query = remembered_stream(stream, 4, 20, "1 minute").writeStream.format("memory").queryName("quiet").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
