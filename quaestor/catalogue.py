@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.functions.columns import tokens
+from quaestor.functions.columns import STOP_WORDS, tokens
 from quaestor.models import HashingEmbedder
 from quaestor.nl.grammar import structured_plan
 from quaestor.operators import aggregates as A
@@ -449,6 +449,23 @@ def _ranged(s, d):
     return temporal.range_join(s.read.parquet(f"{d}/lineitem.parquet"), due, {"l_orderkey": "o_orderkey"}, "l_shipdate", ("begins", "ends"), 370 * 86_400).select("l_orderkey", "l_linenumber", "o_custkey")
 
 
+@query(
+    "similar_turns_each",
+    f"""WITH d AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]{{2,}}') AND x NOT IN ({", ".join(f"'{w}'" for w in STOP_WORDS)})) AS ts FROM conversations),
+    tf AS (SELECT conv_id, turn, t, count(*)::DOUBLE / any_value(len(ts)) AS tf FROM (SELECT conv_id, turn, ts, unnest(ts) AS t FROM d) GROUP BY ALL),
+    f AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+    w AS (SELECT conv_id, turn, t, tf * (ln((1 + (SELECT count(*) FROM d)) / (1 + df)::DOUBLE) + 1) AS w FROM tf JOIN f USING (t)),
+    n AS (SELECT conv_id, turn, sqrt(sum(w * w)) AS s FROM w GROUP BY ALL),
+    p AS (SELECT a.conv_id, a.turn, b.conv_id AS c, b.turn AS u, sum(a.w * b.w) AS dot FROM w a JOIN w b ON a.t = b.t AND (a.conv_id, a.turn) != (b.conv_id, b.turn) GROUP BY ALL),
+    r AS (SELECT p.*, dot / x.s / y.s AS score FROM p JOIN n x ON x.conv_id = p.conv_id AND x.turn = p.turn JOIN n y ON y.conv_id = c AND y.turn = u)
+    SELECT conv_id, turn, place, c AS other_conv, u AS other_turn, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY round(score, 12) DESC, c, u)::INT AS place
+    FROM r WHERE score > 0.3 AND score < 0.95) WHERE place <= 3""",
+)
+def _similar_each(s, d):
+    found = conversations.similar_each(s.read.parquet(f"{d}/conversations.parquet"))
+    return found.select("conv_id", "turn", "place", F.col("other.conv_id").alias("other_conv"), F.col("other.turn").alias("other_turn"), F.round("score", 6).alias("score"))
+
+
 @query(
     "remembered_turns",
     """SELECT user_id AS conv_id, event_id AS turn, array_to_string(list_transform(list_filter(h, lambda x: x.ts >= ts - INTERVAL 600 MINUTE), lambda x: x.id), ',') AS remembered FROM (
