@@ -24,7 +24,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         step = label.join(near, label["node"] == near["a"], "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         step = written(step)
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("further"))  # a label is a node, and many may have it
-        after = written(spread_join(step, jump, ["label"], "node").select("node", "old", F.least("label", "further").alias("label")))
+        after = written(spread_join(step, jump, ["label"], "node").select("node", "old", F.least("label", "further").alias("label")), release=True)
         changed = after.filter("old != label").limit(1).count()
         discard(step, *done)
         label, done = after.select("node", "label"), [after]
