@@ -19,6 +19,7 @@ from quaestor.sources.file_index import FileIndex
 from quaestor.sources.readers import RID, Dataset, numbered, sample
 from quaestor.sources.shared import shared_dir
 from quaestor.sources.split_csv import read_csv
+from quaestor.operators.kept_profile import KeptProfile
 from quaestor.operators.vector_index import VectorIndex
 from quaestor.streaming.turns import remembered
 from quaestor.streaming.windows import tumbling
@@ -90,6 +91,25 @@ def _profile(s, d):
     return profile.profile(ds(s, d, "customer"), median=False).select("position", "column", "n_rows", "n_present", "n_missing", "n_distinct")
 
 
+@query(
+    "kept_profile",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(*) AS n_rows, count({c}) AS n_present, min({c})::DOUBLE AS low, max({c})::DOUBLE AS high, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std FROM lineitem"
+        for c in ("l_quantity", "l_extendedprice", "l_discount")
+    ),
+)
+def _kept(s, d):
+    """A table that grew: its first half is profiled and kept, then the whole is, by reading the rest."""
+    place = f"{shared_dir(s)}/kept/{uuid.uuid4().hex}"
+    lines = s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_quantity", "l_extendedprice", "l_discount")
+    half = F.col("l_orderkey") % 2 == 0
+    lines.filter(half).write.parquet(place + "/table")
+    profile = KeptProfile(s, place + "/table", place + "/profile")
+    profile.update()
+    lines.filter(~half).write.mode("append").parquet(place + "/table")
+    return profile.update().filter("column != 'l_orderkey'").select("column", "n_rows", "n_present", "low", "high", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
 # --- filters
 
 planned("filter_ci_equality", "customer", QueryPlan(filters=(Filter("C_MktSegment", "=", "building"),)), "SELECT * FROM customer WHERE lower(c_mktsegment) = 'building'")

@@ -167,3 +167,46 @@ def test_an_index_of_another_state_is_refused(spark, indexed):
     assert FileIndex.open(spark, index.path).fingerprint == index.fingerprint
     ds.table.limit(3).write.mode("append").parquet(index.source)
     assert FileIndex.open(spark, index.path) is None
+
+
+def test_a_grown_table_is_profiled_by_its_new_files(spark, tmp_path):
+    import statistics
+
+    from quaestor.operators.kept_profile import KeptProfile
+
+    rng = random.Random(8)
+    rows = [(i, rng.gauss(50, 20) if i % 10 else None, f"name{rng.randint(0, 3000)}", [1]) for i in range(12_000)]
+    schema = "id long, v double, name string, nested array<int>"
+    source, kept = str(tmp_path / "t"), str(tmp_path / "kept")
+    spark.createDataFrame(rows[:8000], schema).repartition(4).write.parquet(source)
+
+    def check(held):
+        found = {r.column: r for r in KeptProfile(spark, source, kept).update().collect()}
+        values = [r[1] for r in held if r[1] is not None]
+        assert list(found) == ["id", "v", "name"] and {r.n_rows for r in found.values()} == {len(held)}
+        v, ranked = found["v"], sorted(values)
+        assert (v.n_present, v.n_missing, v.low, v.high) == (len(values), len(held) - len(values), ranked[0], ranked[-1])
+        assert v.mean == pytest.approx(statistics.fmean(values)) and v.std == pytest.approx(statistics.stdev(values))
+        assert abs(sum(x < v.median for x in values) / len(values) - 0.5) < 0.01 + 1 / len(values)
+        assert found["name"].n_distinct == pytest.approx(len({r[2] for r in held}), rel=0.03)
+        assert (found["name"].first, found["name"].last) == (min(r[2] for r in held), max(r[2] for r in held))
+
+    check(rows[:8000])
+    spark.createDataFrame(rows[8000:], schema).repartition(2).write.mode("append").parquet(source)
+    check(rows)
+    profile = KeptProfile(spark, source, kept)
+    profile.update()
+    assert profile.scanned == []
+    spark.createDataFrame(rows[:100], schema).coalesce(1).write.mode("append").parquet(source)
+    profile.update()
+    assert len(profile.scanned) == 1
+    spark.createDataFrame(rows[:50], schema).coalesce(1).write.mode("overwrite").parquet(source)  # all former files are gone
+    check(rows[:50])
+
+
+def test_kept_profile_of_empty_and_null_columns(spark, tmp_path):
+    from quaestor.operators.kept_profile import KeptProfile
+
+    spark.createDataFrame([(None, None)], "a double, b string").coalesce(1).write.parquet(str(tmp_path / "t"))
+    found = KeptProfile(spark, str(tmp_path / "t"), str(tmp_path / "k")).update().collect()
+    assert [(r.column, r.n_rows, r.n_present, r.n_distinct, r["median"], r["mean"], r.first) for r in found] == [("a", 1, 0, 0, None, None, None), ("b", 1, 0, 0, None, None, None)]
