@@ -94,7 +94,7 @@ def _profile(s, d):
 @query(
     "kept_profile",
     " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", count(*) AS n_rows, count({c}) AS n_present, min({c})::DOUBLE AS low, max({c})::DOUBLE AS high, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std FROM lineitem"
+        f"SELECT '{c}' AS \"column\", count(*) AS n_rows, count({c}) AS n_present, min({c})::DOUBLE AS low, max({c})::DOUBLE AS high, round(avg({c}), 5) AS mean, round(stddev_samp({c}), 5) AS std FROM lineitem"
         for c in ("l_quantity", "l_extendedprice", "l_discount")
     ),
 )
@@ -107,7 +107,7 @@ def _kept(s, d):
     profile = KeptProfile(s, place + "/table", place + "/profile")
     profile.update()
     lines.filter(~half).write.mode("append").parquet(place + "/table")
-    return profile.update().filter("column != 'l_orderkey'").select("column", "n_rows", "n_present", "low", "high", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+    return profile.update().filter("column != 'l_orderkey'").select("column", "n_rows", "n_present", "low", "high", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"))
 
 
 # --- filters
