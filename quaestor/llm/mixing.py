@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaestor.llm.native import apart, n_words, together
 from quaestor.llm.storage import written
+from quaestor.sources.readers import estimated_bytes
 
 WEIGHTS = (5, 2, 1)
 ADDED = ("size", "source_size", "target", "taken", "copies")
-BIN_CHARS = 3  # 4,096 bins of the draw for each source
+BIN_CHARS = 3  # at least: 4,096 bins of the draw for each source
+BIN_BYTES = 256 << 20  # of documents in a bin, about, by the optimizer's estimate; larger tables have 16 times more bins, and again
 
 
 def _draw(seed: int):
@@ -52,8 +56,8 @@ def mix(docs: DataFrame, share: float = 1.5, max_epochs: int = 2, weights: tuple
     Each source's documents are all taken ``whole`` times, and once more in the order of a
     seeded draw until the rest of the target is filled; a document goes in if its
     middle word is within the rest. The draw's first digits are bins, summed by (source, bin)
-    before any shuffle; only the one bin in which the rest runs out (a 4,096th of a source)
-    is ranked document by document, so a source with a third of all rows stays in many tasks.
+    before any shuffle; only the one bin in which the rest runs out (a 4,096th of a source, less of a large table)
+    is ranked document by document, by draws and sizes alone, so a source with a third of all rows stays in many tasks.
 
     Null text: size 0, copies as drawn, taken 0. Null source: a source of its own, the last.
     Rows with equal doc_id have equal draws and go in or stay out together. An
@@ -61,7 +65,8 @@ def mix(docs: DataFrame, share: float = 1.5, max_epochs: int = 2, weights: tuple
     """
     rows, names = apart(docs, doc_id="doc_id", text="text", _src=source)
     sized = rows.withColumns({"size": n_words(F.col("text")), "_draw": _draw(seed)})
-    sized = sized.withColumn("_bin", F.substring("_draw", 1, BIN_CHARS))
+    chars = max(BIN_CHARS, math.ceil(math.log(max(1, estimated_bytes(docs)) / BIN_BYTES, 16)))
+    sized = sized.withColumn("_bin", F.substring("_draw", 1, min(chars, 16)))
     bins = written(sized.groupBy("_src", "_bin").agg(F.sum("size").alias("n")))
     plan = targets(bins.groupBy(F.col("_src").alias("source")).agg(F.sum("n").alias("source_size")), share, max_epochs, weights)
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
@@ -76,8 +81,11 @@ def mix(docs: DataFrame, share: float = 1.5, max_epochs: int = 2, weights: tuple
     inside = F.coalesce(F.col("_bin") == F.col("_last"), F.lit(False))
     more = F.coalesce((F.col("_bin") < F.col("_last")).cast("long"), F.lit(0))
     outer = rows.filter(~inside).withColumn("copies", F.col("whole") + more)
-    upto = F.col("_before") + F.sum("size").over(Window.partitionBy("_src", "_bin").orderBy("_draw", "doc_id"))
-    inner = rows.filter(inside).withColumn("copies", F.col("whole") + (upto - F.col("size") / 2 <= F.col("rest")).cast("long"))
+    # Rows of one draw are those of one doc_id. Few fields of one bin are ranked, and the rows meet their rank again by draw.
+    drawn = rows.filter(inside).groupBy("_src", "_draw", "_before").agg(F.sum("size").alias("_n"))
+    ranked = drawn.select(F.col("_src").alias("_of"), F.col("_draw").alias("_at"), (F.col("_before") + F.sum("_n").over(Window.partitionBy("_src").orderBy("_draw"))).alias("_upto"))
+    inner = rows.filter(inside).join(written(ranked), F.col("_src").eqNullSafe(F.col("_of")) & (F.col("_draw") == F.col("_at"))).drop("_of", "_at")
+    inner = inner.withColumn("copies", F.col("whole") + (F.col("_upto") - F.col("size") / 2 <= F.col("rest")).cast("long")).drop("_upto")
     both = outer.unionByName(inner).withColumn("taken", F.col("size") * F.col("copies"))
     return together(both, names, ADDED)
 
