@@ -22,7 +22,7 @@ SHARD_TOKENS = 1_000_000
 ENCODED_SCHEMA = "doc_id long, part int, ids binary"
 #: Text bytes for each part of the order; there are at least as many parts as shuffle partitions.
 PART_BYTES = 256 << 20
-SHARD_SCHEMA = "part int, shard int, n_tokens long, first_doc long, last_doc long, ids binary, offsets binary, matrix binary"
+SHARD_SCHEMA = "part int, shard int, n_tokens long, first_doc long, last_doc long, ids binary, offsets binary, ranks binary, planes array<binary>"
 READ_SCHEMA = "doc_id long, part int, shard int, at long, n_tokens long, ids_crc32 long"
 
 
@@ -51,7 +51,7 @@ def _shards(path: str, end_id: int):
         flat[keep] = np.concatenate(tokens) if tokens else []
         matrix = WaveletMatrix.build(flat.astype(np.uint16) if flat.max(initial=0) < 1 << 16 else flat)
         offsets = np.concatenate([[0], last + 1])
-        return batch(SHARD_SCHEMA, [(part, shard, len(flat), ids[0], ids[-1], squeeze(np.array(ids, np.int64)), squeeze(offsets), squeeze(matrix.to_bytes()))])
+        return batch(SHARD_SCHEMA, [(part, shard, len(flat), ids[0], ids[-1], squeeze(np.array(ids, np.int64)), squeeze(offsets), *matrix.to_parts())])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         kind = encoder(path, added=True).kind
@@ -76,8 +76,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     """Writes docs (doc_id, text) to ``path``, a Parquet container with one row for each shard, and returns the path.
 
     A row: part and shard (their order is that of doc_id), n_tokens, the first and last doc_id, all doc_ids, where each document begins
-    within the shard, and the wavelet matrix with its rank directory of all its ids, each document followed by end_id; the last three are
-    compressed with zstd. Bounds between parts are quantiles of doc_id, so the order needs no global sort; documents of a part
+    within the shard, and the wavelet matrix of all its ids, each document followed by end_id: its rank directory as it is, and its planes in blocks that are
+    compressed with zstd apart, so that a lookup opens only those that it passes. Bounds between parts are quantiles of doc_id, so the order needs no global sort; documents of a part
     are sorted and cut to shards as they stream through a task.
 
     Null or empty text: end_id only. Null doc_id: after all others. Rows with equal doc_id follow each other,
@@ -92,13 +92,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     cuts = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], max(10_000, 10 * parts))).head()[0] if parts > 1 else []
     encoded = docs.mapInArrow(_encode(tokenizer, sorted(set(cuts or []))), ENCODED_SCHEMA)
     ordered = encoded.repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_last(), "ids")
-    ordered.mapInArrow(_shards(tokenizer, end_id), SHARD_SCHEMA).write.parquet(path)
+    ordered.mapInArrow(_shards(tokenizer, end_id), SHARD_SCHEMA).write.option("compression", "none").parquet(path)
     return path
 
 
 def open_shard(row) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
     """(doc_ids, offsets, matrix) of a row of the container."""
-    return unsqueeze(row["ids"], np.int64), unsqueeze(row["offsets"], np.int64), WaveletMatrix.from_bytes(unsqueeze(row["matrix"]))
+    return unsqueeze(row["ids"], np.int64), unsqueeze(row["offsets"], np.int64), WaveletMatrix.from_parts(row["ranks"], row["planes"])
 
 
 def read_token_files(spark, path: str) -> DataFrame:
@@ -120,7 +120,7 @@ def read_token_files(spark, path: str) -> DataFrame:
     of_part = totals.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).select("part", upto(Window.orderBy("part")).alias("before_part"))
     within = totals.select("part", "shard", upto(Window.partitionBy("part").orderBy("shard")).alias("before"))
     before = written(within.join(of_part, "part").select("part", "shard", (F.col("before") + F.col("before_part")).alias("before")))
-    docs = shards.select("part", "shard", "ids", "offsets", "matrix").mapInArrow(_each_shard(documents, READ_SCHEMA), READ_SCHEMA)
+    docs = shards.select("part", "shard", "ids", "offsets", "ranks", "planes").mapInArrow(_each_shard(documents, READ_SCHEMA), READ_SCHEMA)
     out = docs.join(before, ["part", "shard"])
     return out.select("doc_id", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
@@ -131,7 +131,7 @@ def _each_shard(apply, schema: str):
     def run(batches):
         for b in batches:
             for k in range(b.num_rows):
-                row = {c: v[0].as_py() for c, v in zip(b.schema.names, b.slice(k, 1).columns)}
+                row = {c: v[k].values if c == "planes" else v[k].as_py() for c, v in zip(b.schema.names, b.columns)}
                 yield batch(schema, apply(row, *open_shard(row)))
 
     return run

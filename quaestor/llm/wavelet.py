@@ -2,20 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 
-MAGIC = b"QWM2"
+from quaestor.llm.packs import squeeze, unsqueeze
+
+MAGIC = b"QWM3"
 WORD, SPAN = 64, 8  # bits of a word, words of an entry of the rank directory
+BLOCK_WORDS = 1024  # of a plane, compressed apart
+
+
+class Plane:
+    """Words of a bit plane in compressed blocks; one is decompressed when a word of it is asked for, and kept."""
+
+    def __init__(self, blocks: Sequence, first: int, n: int):
+        self._blocks, self._first, self._n, self.opened = blocks, first, n, {}
+
+    def __len__(self) -> int:
+        return self._n
+
+    def block(self, b: int) -> np.ndarray:
+        if b not in self.opened:
+            data = self._blocks[self._first + b]
+            self.opened[b] = unsqueeze(data if isinstance(data, bytes) else data.as_py(), np.uint64)
+        return self.opened[b]
+
+    def __getitem__(self, i: np.ndarray) -> np.ndarray:
+        of, out = i // BLOCK_WORDS, np.empty(i.shape, np.uint64)
+        for b in np.unique(of).tolist():
+            here = of == b
+            out[here] = self.block(b)[i[here] % BLOCK_WORDS]
+        return out
+
+    def whole(self) -> np.ndarray:
+        blocks = [self.block(b) for b in range(-(-self._n // BLOCK_WORDS))]
+        self.opened = {}
+        return np.concatenate(blocks) if blocks else np.empty(0, np.uint64)
 
 
 class WaveletMatrix:
     """Access, rank and select over non-negative integers of ``bits`` bits.
 
     Plane k holds bit (bits - 1 - k) of the values as ordered by all planes before it, zeros first. ``ones[k]`` is its rank
-    directory: the ones before each 512 bits, and in all. Both are stored, so opening a matrix counts nothing.
+    directory: the ones before each 512 bits, and in all. Both are stored, so opening a matrix counts nothing, and a lookup decompresses the blocks of planes that it passes.
     """
 
-    def __init__(self, n: int, planes: np.ndarray, ones: np.ndarray):
+    def __init__(self, n: int, planes: np.ndarray | list[Plane], ones: np.ndarray):
         self.n, self.planes, self.ones, self.bits = n, planes, ones, len(planes)
         self.zeros = [n - int(o[-1]) for o in ones]
 
@@ -33,6 +66,10 @@ class WaveletMatrix:
         ones = np.concatenate([np.zeros((bits, 1), np.uint32), np.cumsum(counts, axis=1, dtype=np.uint32)], axis=1)
         return cls(len(values), planes, ones)
 
+    def _whole(self, k: int) -> np.ndarray:
+        plane = self.planes[k]
+        return plane.whole() if isinstance(plane, Plane) else plane
+
     def _bit(self, k: int, i: np.ndarray) -> np.ndarray:
         return (self.planes[k][i // WORD] >> (i % WORD).astype(np.uint64)) & np.uint64(1) == 1
 
@@ -79,7 +116,8 @@ class WaveletMatrix:
         for lo in range(0, len(j), block):
             want = j[lo : lo + block]
             span = np.searchsorted(before, want, side="right") - 1
-            bits = np.unpackbits(self.planes[k].reshape(-1, SPAN)[span].view(np.uint8), axis=1, bitorder="little")
+            words = self.planes[k][span[:, None] * SPAN + np.arange(SPAN)[None]]
+            bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
             hits = np.cumsum(bits == one, axis=1, dtype=np.int16)
             out[lo : lo + block] = span * WORD * SPAN + np.argmax(hits > (want - before[span])[:, None], axis=1)
         return out
@@ -103,7 +141,7 @@ class WaveletMatrix:
         """All values, plane by plane from the last."""
         now = None
         for k in range(self.bits - 1, -1, -1):
-            bit = np.unpackbits(self.planes[k].view(np.uint8), count=self.n, bitorder="little").view(bool)
+            bit = np.unpackbits(self._whole(k).view(np.uint8), count=self.n, bitorder="little").view(bool)
             out = np.empty(self.n, np.uint32)
             if now is None:
                 out[:] = bit
@@ -114,15 +152,19 @@ class WaveletMatrix:
             now = out
         return now if now is not None else np.empty(0, np.uint32)
 
-    def to_bytes(self) -> bytes:
-        return MAGIC + np.array([self.n, self.bits], np.int64).tobytes() + self.ones.tobytes() + self.planes.tobytes()
+    def to_parts(self) -> tuple[bytes, list[bytes]]:
+        """(rank directory as it is, blocks of the planes compressed apart: all of the first plane, then of the second, and so on)."""
+        head = MAGIC + np.array([self.n, self.bits], np.int64).tobytes() + self.ones.tobytes()
+        whole = [self._whole(k) for k in range(self.bits)]
+        return head, [squeeze(p[lo : lo + BLOCK_WORDS]) for p in whole for lo in range(0, len(p), BLOCK_WORDS)]
 
     @classmethod
-    def from_bytes(cls, data: bytes) -> WaveletMatrix:
-        if data[:4] != MAGIC:
+    def from_parts(cls, head: bytes, blocks: Sequence) -> WaveletMatrix:
+        """A matrix that decompresses a block when it is first looked at. blocks: bytes, or anything with ``as_py`` that gives them."""
+        if head[:4] != MAGIC:
             raise ValueError("not a wavelet matrix")
-        n, bits = map(int, np.frombuffer(data, np.int64, 2, 4))
+        n, bits = map(int, np.frombuffer(head, np.int64, 2, 4))
         spans = -(-n // (WORD * SPAN))
-        ones = np.frombuffer(data, np.uint32, bits * (spans + 1), 20).reshape(bits, spans + 1)
-        planes = np.frombuffer(data, np.uint64, bits * spans * SPAN, 20 + ones.nbytes).reshape(bits, spans * SPAN)
-        return cls(n, planes, ones)
+        ones = np.frombuffer(head, np.uint32, bits * (spans + 1), 20).reshape(bits, spans + 1)
+        of_plane = -(-spans * SPAN // BLOCK_WORDS)
+        return cls(n, [Plane(blocks, k * of_plane, spans * SPAN) for k in range(bits)], ones)

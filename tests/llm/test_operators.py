@@ -468,11 +468,21 @@ def test_hashes_tell_spans_apart():
     assert all(len(h) == 1 for h in by_span.values()) and len(set(found.tolist())) == len(by_span)
 
 
+def test_a_lookup_opens_few_blocks():
+    """Access to one token decompresses one block of each plane; counting opens at most two of each."""
+    values = np.random.default_rng(2).integers(0, 50_000, 1_000_000).astype(np.uint16)
+    parts = WaveletMatrix.build(values).to_parts()
+    for look, most in ((lambda m: m.access([777_777])[0] == values[777_777], 1), (lambda m: m.rank(int(values[5])) == (values == values[5]).sum(), 2)):
+        m = WaveletMatrix.from_parts(*parts)
+        assert look(m)
+        assert all(len(p.opened) <= most for p in m.planes) and len(parts[1]) == 16 * m.bits
+
+
 def test_wavelet():
     rng = np.random.default_rng(4)
     for n, top in ((0, 5), (1, 1), (64, 2), (512, 3), (1000, 7), (1024, 9), (5000, 60_000)):
         values = rng.integers(0, top, n).astype(np.uint16)
-        m = WaveletMatrix.from_bytes(WaveletMatrix.build(values).to_bytes())
+        m = WaveletMatrix.from_parts(*WaveletMatrix.build(values).to_parts())
         assert (m.to_array() == values).all()
         assert (m.access(np.arange(n)) == values).all()
         for v in [*set(values[:20].tolist()), top + 1]:
