@@ -371,8 +371,20 @@ query(
         for i, (c, t) in enumerate((("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "double"), ("c_mktsegment", "string")))
     ),
 )(lambda s, d: profile.column_info(ds(s, d, "customer")).withColumn("samples", F.array_join("samples", " / ")))
-query("chunk_kinds", "SELECT 'rows' AS chunk_type, 2 AS n UNION ALL SELECT 'column', 3 UNION ALL SELECT 'statistics', 2 UNION ALL SELECT 'distribution', 1")(lambda s, d: retrieval.build_chunks(ds(s, d, "nation")).groupBy("chunk_type").agg(F.count(F.lit(1)).cast("int").alias("n")))
-query("semantic_search")(lambda s, d: retrieval.nearest(retrieval.embedded(retrieval.build_chunks(ds(s, d, "nation")), HashingEmbedder()), HashingEmbedder().embed(["column n_name distinct values"])[0]).select("chunk_id", "score"))
+_CHUNKED = ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+query(
+    "row_chunk_texts",
+    "SELECT 'rows-' || (rn // 15) AS chunk_id, min(rn)::VARCHAR AS start_row, string_agg('Row ' || (rn + 1) || ': ' || "
+    + " || ', ' || ".join(f"'{c}: ' || coalesce({c}::VARCHAR, 'null')" for c in _CHUNKED)
+    + ", chr(10) ORDER BY rn) AS text FROM (SELECT *, row_number() OVER () - 1 AS rn FROM customer) GROUP BY rn // 15",
+)(lambda s, d: retrieval.row_groups(numbered(s.read.parquet(f"{d}/customer.parquet").select(*_CHUNKED)), list(_CHUNKED)).select("chunk_id", F.col("metadata")["start_row"].alias("start_row"), "text"))
+query(
+    "chunk_kinds",
+    """SELECT 'rows' AS chunk_type, ceil(count(*) / 15.0)::INT AS n FROM customer UNION ALL SELECT 'column', ((count(*) > 0)::INT * 4) FROM customer
+    UNION ALL SELECT 'statistics', (count(c_custkey) > 0)::INT + (count(c_nationkey) > 0)::INT FROM customer
+    UNION ALL SELECT 'distribution', (count(DISTINCT c_name) BETWEEN 1 AND 50)::INT + (count(DISTINCT c_mktsegment) BETWEEN 1 AND 50)::INT FROM customer""",
+)(lambda s, d: retrieval.build_chunks(ds(s, d, "customer", *_CHUNKED)).groupBy("chunk_type").agg(F.count(F.lit(1)).cast("int").alias("n")))
+query("semantic_search")(lambda s, d: retrieval.nearest(retrieval.embedded(retrieval.build_chunks(ds(s, d, "customer", *_CHUNKED)), HashingEmbedder()), HashingEmbedder().embed(["column c_name distinct values"])[0]).select("chunk_id", "score"))
 
 # --- conversations
 
