@@ -95,5 +95,24 @@ def token_counts(docs: DataFrame, rule: str = "first", tokenizer: str | None = N
     return docs.select(F.col("doc_id").cast("long"), "text", *([edges] if edges else [])).mapInArrow(run, COUNT_SCHEMA)
 
 
+def field_token_counts(docs: DataFrame, fields: list[str], separator: str = "\n", rule: str = "first", tokenizer: str | None = None) -> DataFrame:
+    """doc_id, field, begin, end, n_tokens, n_crossing: the tokens of each field of each row, of the fields joined by the separator and encoded as one text.
+
+    A separator (not empty) belongs to the field before it, so that a row's fields add up to the tokens of the joined text. Null fields are empty; an empty last
+    field has no character and no row. docs: doc_id and the fields; columns are found as Spark finds them.
+    """
+    if not separator or len(fields) < 1:
+        raise ValueError("a separator and at least one field are needed")
+    values = [F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]
+    lengths = [F.char_length(v) + (len(separator) if i < len(fields) - 1 else 0) for i, v in enumerate(values)]
+    edges, total = [], F.lit(0)
+    for n in lengths:
+        total = total + n
+        edges.append(total)
+    joined = docs.select("doc_id", F.concat_ws(separator, *values).alias("text"), F.array(*edges).alias("edges"))
+    found = token_counts(joined, rule, tokenizer, "edges")
+    return found.select("doc_id", F.get(F.array(*map(F.lit, fields)), F.col("section")).alias("field"), "begin", "end", "n_tokens", "n_crossing")
+
+
 def op8_token_counts(spark, sf_dir: str) -> DataFrame:
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

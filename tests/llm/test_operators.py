@@ -572,6 +572,22 @@ def test_token_counts(docs, rows, rule):
     assert {r.doc_id: r.n for r in found} == wanted
 
 
+@pytest.mark.parametrize("rule", tokencounts.RULES)
+def test_token_counts_of_fields(spark, rule):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(default_path())
+    rows = [(1, "A title", "the body\nof it", "tail"), (2, None, "", "é中 only"), (3, "", None, ""), (None, "x" * 50, "y z", None)]
+    df = spark.createDataFrame(rows, "doc_id long, title string, body string, section string")
+    found = tokencounts.field_token_counts(df, ["title", "body", "section"], "\n\n", rule).collect()
+    for i, *fields in rows:
+        mine = [r for r in found if r.doc_id == i]
+        text = "\n\n".join(f or "" for f in fields)
+        assert sum(r.n_tokens for r in mine) == len(plain.encode(text, add_special_tokens=False).ids)
+        assert [r.field for r in mine] == ["title", "body", "section"][: 3 if fields[-1] else 2]
+        assert all(text[r.begin : r.end].removesuffix("\n\n") == (f or "") for r, f in zip(mine, fields))
+
+
 def test_token_counts_at_given_edges(spark):
     docs = spark.createDataFrame([(1, "hello wonderful world", [8, 100, 0]), (2, "x", None)], "doc_id long, text string, cuts array<int>")
     by_rule = {r: [tuple(x)[1:] for x in tokencounts.token_counts(docs, r, edges="cuts").filter("doc_id = 1").collect()] for r in tokencounts.RULES}
