@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -14,6 +15,7 @@ from quaestor.functions.columns import col, cosine, labelled_row
 from quaestor.models import Embedder
 from quaestor.operators.profile import profile, top_values_of
 from quaestor.sources.readers import RID, Dataset, numbered
+from quaestor.sources.shared import listed, shared_dir
 
 CHUNK_COLUMNS = ("chunk_id", "text", "chunk_type", "metadata")
 
@@ -159,26 +161,64 @@ def nearest_each(vectors: DataFrame, queries: DataFrame, k: int = 5, least: floa
     return pairs.withColumn("place", place).filter(F.col("place") <= k)
 
 
+#: Distinct chunks from which searches go by inverted lists instead of comparing with all.
+APPROXIMATE_FROM = 200_000
+
+
 class Index:
-    """Embedded chunks of one dataset, cached by its fingerprint; vectors of single questions are kept too."""
+    """Embedded chunks of one dataset, cached by its fingerprint; vectors of single questions are kept too.
 
-    def __init__(self, embedder: Embedder):
-        self.embedder, self._of, self._vectors = embedder, None, None
+    Chunks of a large table (of at least approximate_from distinct texts) are written with a vector index to a folder named by the
+    fingerprint, where another session finds them; the k nearest are then those of the lists that the index looks at.
+    """
+
+    def __init__(self, embedder: Embedder, approximate_from: int = APPROXIMATE_FROM):
+        self.embedder, self.approximate_from, self._of, self._vectors, self._lists = embedder, approximate_from, None, None, None
         self._single = lru_cache(1000)(lambda text: embedder.embed([text])[0])
 
     def build(self, ds: Dataset) -> DataFrame:
         if self._vectors is None or self._of != ds.fingerprint or not ds.fingerprint:
             self.clear()
-            self._vectors, self._of = embedded(build_chunks(ds), self.embedder).persist(), ds.fingerprint
+            self._vectors, self._of = self._kept(ds) or embedded(build_chunks(ds), self.embedder).persist(), ds.fingerprint
+            if self._lists is None and ds.fingerprint and self._vectors.select("text_md5").distinct().count() >= self.approximate_from:
+                self._keep(ds)
         return self._vectors
 
+    def _place(self, ds: Dataset) -> str:
+        """Of a table's state and the embedder that its chunks are known by."""
+        kind = getattr(self.embedder, "model", "") or type(self.embedder).__name__
+        return f"{shared_dir(ds.rows.sparkSession)}/chunks/{hashlib.md5(f'{ds.fingerprint}:{kind}'.encode()).hexdigest()}"
+
+    def _kept(self, ds: Dataset) -> DataFrame | None:
+        from quaestor.operators.vector_index import VectorIndex
+
+        spark, place = ds.rows.sparkSession, self._place(ds)
+        if not ds.fingerprint or not listed(spark, place + "/lists/about"):  # written last
+            return None
+        self._lists = VectorIndex.open(spark, place + "/lists", ds.fingerprint)
+        return spark.read.parquet(place + "/chunks") if self._lists else None
+
+    def _keep(self, ds: Dataset) -> None:
+        from quaestor.operators.vector_index import VectorIndex
+
+        place, held = self._place(ds), self._vectors
+        held.withColumn("number", F.xxhash64("text_md5")).write.mode("overwrite").parquet(place + "/chunks")
+        self._vectors = ds.rows.sparkSession.read.parquet(place + "/chunks")
+        held.unpersist()
+        self._lists = VectorIndex.build(self._vectors.dropDuplicates(["number"]), "number", "embedding", place + "/lists", ds.fingerprint)
+
     def search(self, question: str, k: int = 5, least: float = 0.3) -> DataFrame | None:
         if self._vectors is None:
             return None
         single = self._vectors.dropDuplicates(["text_md5"])
-        return nearest(single, self._single(question), k, least).select(*CHUNK_COLUMNS, "score")
+        if self._lists is None:
+            return nearest(single, self._single(question), k, least).select(*CHUNK_COLUMNS, "score")
+        asked = single.sparkSession.createDataFrame([(0, [float(x) for x in self._single(question)])], "query long, embedding array<double>")
+        found = self._lists.search(asked, k, "query", "embedding", least=least)
+        near = single.join(F.broadcast(found.select(F.col("id").alias("number"), "score")), "number")  # k rows
+        return near.orderBy(F.desc("score"), "chunk_id").select(*CHUNK_COLUMNS, "score")
 
     def clear(self) -> None:
         if self._vectors is not None:
             self._vectors.unpersist()
-        self._vectors = self._of = None
+        self._vectors = self._of = self._lists = None

@@ -210,3 +210,28 @@ def test_kept_profile_of_empty_and_null_columns(spark, tmp_path):
     spark.createDataFrame([(None, None)], "a double, b string").coalesce(1).write.parquet(str(tmp_path / "t"))
     found = KeptProfile(spark, str(tmp_path / "t"), str(tmp_path / "k")).update().collect()
     assert [(r.column, r.n_rows, r.n_present, r.n_distinct, r["median"], r["mean"], r.first) for r in found] == [("a", 1, 0, 0, None, None, None), ("b", 1, 0, 0, None, None, None)]
+
+
+def test_chunks_of_a_large_table_are_kept_with_their_lists(spark, tmp_path, monkeypatch):
+    from quaestor.models import HashingEmbedder
+    from quaestor.operators import retrieval
+    from quaestor.sources.readers import load
+
+    monkeypatch.setattr(retrieval, "shared_dir", lambda _: f"file://{tmp_path}/shared")
+    rng = random.Random(6)
+    words = ["festival", "traffic", "river", "bird", "market", "night", "rain", "stone"]
+    spark.createDataFrame([(i, " ".join(rng.choices(words, k=4))) for i in range(900)], "id long, note string").coalesce(1).write.parquet(str(tmp_path / "t"))
+    ds = load(spark, str(tmp_path / "t"))
+    exact, kept = retrieval.Index(HashingEmbedder()), retrieval.Index(HashingEmbedder(), approximate_from=10)
+    exact.build(ds)
+    kept.build(ds)
+    assert exact._lists is None and kept._lists.recall >= 0.95
+    questions = ["distribution of note", "column id numeric range mean", "Row 7 festival river", "rain and stone"]
+    best = lambda index, q: {(r.chunk_id, round(r.score, 9)) for r in index.search(q, 5, 0.0).collect()}
+    shared = sum(len(best(exact, q) & best(kept, q)) for q in questions)
+    assert shared >= 0.8 * sum(len(best(exact, q)) for q in questions)
+    built = []
+    monkeypatch.setattr(retrieval, "build_chunks", lambda _: built.append(1))
+    again = retrieval.Index(HashingEmbedder(), approximate_from=10)  # another session finds what is kept
+    again.build(ds)
+    assert not built and best(again, questions[0]) == best(kept, questions[0])
