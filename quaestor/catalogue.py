@@ -463,7 +463,7 @@ def _registered(s, d):
 
 @query(
     "asof_join",
-    """SELECT e.event_id, user_id, p.o.id AS last_id, p.o.v AS last_value FROM events e LEFT JOIN (
+    """SELECT e.event_id, user_id, coalesce(p.o.id, -1) AS last_id, p.o.v AS last_value FROM events e LEFT JOIN (
       SELECT a.event_id, max({'t': b.ts, 'id': b.event_id, 'v': b.value}) AS o
       FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts <= a.ts AND b.event_type = 'purchase' GROUP BY a.event_id) p USING (event_id)""",
 )
@@ -471,7 +471,7 @@ def _asof(s, d):
     """Each event with its user's last purchase as of its time."""
     events = s.read.parquet(f"{d}/events.parquet")
     bought = events.filter("event_type = 'purchase'").selectExpr("user_id AS buyer", "ts AS at", "event_id AS last_id", "value AS last_value")
-    return temporal.asof_join(events.select("event_id", "user_id", "ts"), bought, {"user_id": "buyer"}, ("ts", "at"), ["last_id"], 2 * 86_400).select("event_id", "user_id", "last_id", "last_value")
+    return temporal.asof_join(events.select("event_id", "user_id", "ts"), bought, {"user_id": "buyer"}, ("ts", "at"), ["last_id"], 2 * 86_400).select("event_id", "user_id", F.coalesce("last_id", F.lit(-1)).cast("long").alias("last_id"), "last_value")
 
 
 @query("range_join", "SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey AND o_orderdate + INTERVAL 30 DAY <= l_shipdate AND l_shipdate < o_orderdate + INTERVAL 400 DAY")

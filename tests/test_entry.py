@@ -4,6 +4,7 @@ import importlib
 import sys
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -32,7 +33,7 @@ def test_contract_without_the_optional_part(monkeypatch):
 
 def norm(frame):
     rows = frame[sorted(frame.columns)].astype(object).itertuples(index=False)
-    return sorted(str([None if v is None or v != v else round(float(v), 4) if isinstance(v, float) else v for v in r]) for r in rows)
+    return sorted(str([None if pd.isna(v) else round(float(v), 4) if isinstance(v, float) else v for v in r]) for r in rows)
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
