@@ -177,6 +177,7 @@ class Memory:
             f.write(self.text() + "\n")
 
     def save(self, path: str) -> None:
+        # The keys of history files.
         body = {"session_start": self.started, "current_focus": self.focus, "mentioned_entities": dict(self.mentioned), "conversation_history": [asdict(t) for t in self.turns]}
         with open(path, "w", encoding="utf-8") as f:
             json.dump(body, f, ensure_ascii=False, indent=1)
