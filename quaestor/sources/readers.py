@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quaestor.errors import DataLoadError
 from quaestor.functions.columns import is_numeric, is_text_like
-from quaestor.sources.shared import listed
+from quaestor.sources.shared import listed, shared_dir
 from quaestor.sources.split_csv import read_csv, splits
 
 RID = "_rid"
@@ -80,9 +81,14 @@ def numbered(df: DataFrame, name: str = RID) -> DataFrame:
     """df with contiguous row numbers from 0 in row order.
 
     Row ids hold (partition, place); adding up the partitions' counts makes them contiguous, so
-    no row moves. The counts are one row for each partition.
+    no row moves. The counts are one row for each partition. Rows that come out of a shuffle may come in another order when they are read again, so
+    they are written with their ids first, to the folder that the cluster shares.
     """
     placed = df.withColumn("_mid", F.monotonically_increasing_id())
+    if "Exchange" in placed._jdf.queryExecution().executedPlan().toString():
+        path = f"{shared_dir(df.sparkSession)}/numbered/{uuid.uuid4().hex}"
+        placed.write.parquet(path)
+        placed = df.sparkSession.read.parquet(path)
     part, place = F.shiftright("_mid", 33), F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
     counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))

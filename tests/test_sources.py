@@ -235,3 +235,16 @@ def test_chunks_of_a_large_table_are_kept_with_their_lists(spark, tmp_path, monk
     again = retrieval.Index(HashingEmbedder(), approximate_from=10)  # another session finds what is kept
     again.build(ds)
     assert not built and best(again, questions[0]) == best(kept, questions[0])
+
+
+def test_numbers_of_rows_behind_a_shuffle_stay(spark):
+    from pyspark.sql import functions as F
+
+    from quaestor.sources.readers import numbered
+
+    df = spark.range(500).select("id", F.rand().alias("x")).repartition(5, "x").sortWithinPartitions("x")
+    rows = numbered(df, "n")
+    first, again = (sorted((r.n, r.id, r.x) for r in rows.collect()) for _ in range(2))
+    assert first == again and [r[0] for r in first] == list(range(500))
+    plain = numbered(spark.range(0, 100, 1, 4), "n")
+    assert [(r.n, r.id) for r in plain.orderBy("n").collect()] == [(i, i) for i in range(100)]
