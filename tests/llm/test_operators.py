@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -115,6 +116,21 @@ def test_messages_of_a_level():
     assert [layout.ranges(k) for k in range(3)] == [3, 12, 48] and [layout.nodes(k) for k in range(3)] == [250, 63, 16]
 
 
+@pytest.mark.parametrize("n", [300, 560, 2568, 6000, 30_000, 3_000_000])
+def test_keys_of_a_node(n):
+    """However many packs there are, no task of any level merges more keys than a bucket is meant to hold."""
+    table = SimpleNamespace(count=lambda: n, sparkSession=SimpleNamespace(conf={"spark.sql.shuffle.partitions": "200"}))
+    layout, of_pack = packs.Layout.of(table), packs.PACK_BYTES // 6
+    assert layout.first <= packs.FAN and layout.fan <= packs.FAN
+    senders = n
+    for level in range(layout.levels):
+        last = level == layout.levels - 1
+        merged = senders if last else -(-senders // layout.nodes(level))
+        share = of_pack * (n / senders) / layout.ranges(level)  # keys that a sender sends to one range, if no two packs have any in common
+        assert merged * share <= 1.1 * packs.BUCKET_KEYS
+        senders = layout.nodes(level)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(50, 90), rng.randrange(50, 90)) for _ in range(25)]
