@@ -540,6 +540,17 @@ def test_token_files(spark, docs, rows, tmp_path):
     assert tokenfiles.read_tokens(spark, path, longest, 5, 9).head().tokens == own[longest][5:9]
 
 
+def test_token_files_of_extreme_ids(spark, tmp_path):
+    """The greatest number is a doc_id like any other, and not that of rows without one."""
+    ids = [2**63 - 1, None, -(2**63), 2**63 - 2, None, 0, 2**53 + 1, 2**53]
+    docs = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id long, text string").repartition(3)
+    path = tokenfiles.write_token_files(docs, str(tmp_path / "t"))
+    found = sorted(tokenfiles.read_token_files(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in found] == [*sorted(i for i in ids if i is not None), None, None]
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.at) for r in tokenfiles.find_token(spark, path, 0).collect()) == sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens - 1) for r in found)
+    assert len(tokenfiles.read_tokens(spark, path, 2**63 - 1).collect()) == 1
+
+
 def test_chat_round_trip(spark):
     texts = [None, "", "\\", "\\\\</turn>", "### user: x</turn>\n", r"\### Assistant: </turn> ok", "a: b", "##", "#####", "é中", "<|endoftext|>"]
     rows = [(c, t, r, x) for c in (1, None, 5) for t, (r, x) in enumerate((r, x) for r in ("assistant", "user", None, "a: ###b") for x in texts)]
