@@ -1,7 +1,7 @@
 """What a table's files hold, kept beside them: ranges of numbers, hashed values and hashed trigrams, so that a search reads only files that can have a match.
 
 File formats keep ranges of values as they are written; questions compare lowered texts, parts of texts, and texts that are numbers. Each file and
-column has bitmaps of a fixed number of bits, one for lowered values and one for the trigrams in them, made by Spark's bitmap aggregates. They may say yes where
+column has bitmaps of a fixed number of bits, one for lowered values and one for the trigrams in them, set in the tasks that read the rows and merged by Spark's bitmap aggregates. They may say yes where
 there is nothing, never no where there is something; the rows of the files they leave are filtered by the same predicates as ever.
 """
 
@@ -12,6 +12,8 @@ import uuid
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,9 @@ from quaestor.sources.shared import shared_dir
 #: Bits for a file's values and for its trigrams, in each column: 128 kB and 32 kB at most.
 BITS = {"value": 1 << 20, "gram": 1 << 18}
 _BUCKET_BITS = 1 << 15  # of one bitmap of Spark's
+#: Of bits, a byte each, that a task holds before it sends them on; the maps of a file are merged by their bits.
+HELD_BYTES = 64 << 20
+_MAPS = "file string, column string, kind string, bucket long, bits binary"
 _PATTERN = re.compile(r"[\\^$.|?*+()\[\]{}]")
 
 
@@ -34,6 +39,36 @@ def _bit(kind: str, value: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(kind), value), F.lit(BITS[kind])) + 1
 
 
+def _bitmaps(names: list[str]):
+    """Rows of _MAPS from (file, and for each name a value's bit and its trigrams' bits): a task sets bits in arrays of fixed size, so it holds and sends no more for many rows than for few."""
+
+    def run(batches):
+        held: dict[tuple[str, str, str], np.ndarray] = {}
+
+        def maps():
+            for (file, column, kind), on in held.items():
+                buckets = [(k + 1, np.packbits(x, bitorder="little").tobytes()) for k, x in enumerate(on.reshape(-1, _BUCKET_BITS)) if x.any()]
+                n = len(buckets)
+                fields = [[file] * n, [column] * n, [kind] * n, [k for k, _ in buckets], [x for _, x in buckets]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(fields, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()))], names=["file", "column", "kind", "bucket", "bits"])
+            held.clear()
+
+        for b in batches:
+            files = b.column(0).dictionary_encode()
+            for f, file in enumerate(files.dictionary.to_pylist()):
+                rows = b if len(files.dictionary) == 1 else b.filter(pa.array(files.indices.to_numpy() == f))
+                for i, column in enumerate(names):
+                    for kind, bits in (("value", rows.column(2 * i + 1).drop_null()), ("gram", rows.column(2 * i + 2).flatten())):
+                        if len(bits):
+                            on = held.setdefault((file, column, kind), np.zeros(BITS[kind], bool))
+                            on[bits.to_numpy(zero_copy_only=False) - 1] = True
+                if sum(x.nbytes for x in held.values()) > HELD_BYTES:
+                    yield from maps()
+        yield from maps()
+
+    return run
+
+
 def _number(value: object) -> float | None:
     try:
         return None if isinstance(value, bool) else float(str(value))
@@ -63,13 +98,11 @@ class FileIndex:
         ranges = [F.struct(F.lit(c).alias("column"), F.min(number(c, kinds[c] == "numeric")).alias("low"), F.max(number(c, kinds[c] == "numeric")).alias("high")) for c in names]
         path = path or f"{shared_dir(spark)}/files/{uuid.uuid4().hex}"
         rows.groupBy(F.col("_file").alias("file")).agg(F.array(*ranges).alias("r")).select("file", F.inline("r")).write.mode("overwrite").parquet(path + "/ranges")
-        values = rows.select("_file", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lower(text(c)).alias("v")) for c in names])).alias("x")).filter("x.v is not null")
-        bits = F.concat(
-            F.array(F.struct(F.lit("value").alias("kind"), _bit("value", F.col("x.v")).alias("bit"))),
-            F.transform(_grams(F.col("x.v")), lambda g: F.struct(F.lit("gram").alias("kind"), _bit("gram", g).alias("bit"))),
-        )
-        held = values.select(F.col("_file").alias("file"), "x.column", F.inline(bits))
-        maps = held.groupBy("file", "column", "kind", F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+        lowered = {c: F.lower(text(c)) for c in names}
+        bits = {c: (_bit("value", v).cast("int"), F.transform(_grams(v), lambda g: _bit("gram", g).cast("int"))) for c, v in lowered.items()}
+        bits = [F.when(lowered[c].isNotNull(), x).alias(f"{kind}{i}") for i, c in enumerate(names) for kind, x in zip(BITS, bits[c])]
+        held = rows.select(F.col("_file").alias("file"), *bits).mapInArrow(_bitmaps(names), _MAPS)
+        maps = held.groupBy("file", "column", "kind", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
         maps.write.mode("overwrite").parquet(path + "/bits")
         state = fingerprint(spark, source, table)
         spark.createDataFrame([(source, kind, state)], "source string, kind string, fingerprint string").coalesce(1).write.mode("overwrite").parquet(path + "/about")

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from quaestor.sources import split_csv
@@ -160,6 +161,41 @@ def test_searches_skip_files(indexed, term, most):
     assert len(found.inputFiles()) <= most or (most == 0 and found.count() == 0)
 
 
+def test_a_task_that_indexes_holds_bits_not_rows(spark, tmp_path, monkeypatch):
+    """No row for each trigram is sorted or hashed before the bits are set; maps that a task sends in several parts, and of a file read by several tasks, are merged."""
+    from quaestor.sources import file_index
+
+    rows = spark.range(4000).selectExpr("id", "concat('name ', id % 37) AS name", "if(id % 3 = 0, null, 'x y') AS other")
+    rows.repartitionByRange(3, "id").write.parquet(str(tmp_path / "t"))
+    sent = file_index._bitmaps(["id"])
+    batch = pa.RecordBatch.from_arrays([pa.array(["f"] * 3), pa.array([1, 40_000, None], pa.int32()), pa.array([[1, 2], None, []], pa.list_(pa.int32()))], names=["file", "value0", "gram0"])
+    assert [(b.column("kind").to_pylist(), b.column("bucket").to_pylist()) for b in sent([batch] * 50)] == [(["value"] * 2, [1, 2]), (["gram"], [1])]
+    one = file_index.FileIndex.build(spark, str(tmp_path / "t"), path=str(tmp_path / "i"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        two = file_index.FileIndex.build(spark, str(tmp_path / "t"), path=str(tmp_path / "j"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    a, b = ({(r.file, r.column, r.kind, r.bucket): bytes(r.bits) for r in spark.read.parquet(f"{x.path}/bits").collect()} for x in (one, two))
+    assert a == b and len(a) > 9
+
+
+def test_distinct_values_are_counted_in_many_tasks(spark, tmp_path, monkeypatch):
+    """A file of one block holds many rows; their distinct values aren't all held by the task that reads it."""
+    from quaestor.operators import profile
+    from quaestor.sources import readers
+
+    spark.range(5000).selectExpr("id", "concat('n', id % 1700) AS name").coalesce(1).write.parquet(str(tmp_path / "t"))
+    ds = readers.Dataset(spark.read.parquet(str(tmp_path / "t")))
+    monkeypatch.setattr(readers, "SPREAD_BYTES", 4096)
+    found = profile.profile(ds)
+    assert [(r.n_rows, r.n_distinct) for r in found.orderBy("position").collect()] == [(5000, 5000), (5000, 1700)]
+    assert "REPARTITION" in found._jdf.queryExecution().executedPlan().toString()
+    tops = profile.top_values_of(ds.rows, ["name"], 2)
+    assert [(r.value, r.n) for r in tops.orderBy("place").collect()] == [("n0", 3), ("n1", 3)]
+    assert "REPARTITION" in tops._jdf.queryExecution().executedPlan().toString()
+
+
 def test_an_index_of_another_state_is_refused(spark, indexed):
     from quaestor.sources.file_index import FileIndex
 
