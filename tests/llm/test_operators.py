@@ -551,6 +551,13 @@ def test_token_files_of_extreme_ids(spark, tmp_path):
     assert len(tokenfiles.read_tokens(spark, path, 2**63 - 1).collect()) == 1
 
 
+def test_strengths_are_fitted_on_all_training_rows(spark, docs, monkeypatch):
+    seen, sums = [], lm.fit_sums
+    monkeypatch.setattr(lm, "fit_sums", lambda *given: seen.append(sums(*given).persist()) or seen[0])
+    found = lm.lm_scores(docs.repartition(40)).collect()
+    assert {r.n for r in seen[0].collect()} == {sum(r.n_tokens for r in found if not r.held_out)} and seen[0].count() == 20
+
+
 def test_chat_round_trip(spark):
     texts = [None, "", "\\", "\\\\</turn>", "### user: x</turn>\n", r"\### Assistant: </turn> ok", "a: b", "##", "#####", "é中", "<|endoftext|>"]
     rows = [(c, t, r, x) for c in (1, None, 5) for t, (r, x) in enumerate((r, x) for r in ("assistant", "user", None, "a: ###b") for x in texts)]
