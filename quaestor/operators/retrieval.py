@@ -120,6 +120,18 @@ def nearest(vectors: DataFrame, query: list[float], k: int | None = 5, least: fl
 BLOCK = 1024
 
 
+#: Best rows that a task keeps for its queries before it sends them on.
+KEPT_BEST = 2_000_000
+
+
+def matrix(vectors: pa.Array) -> np.ndarray:
+    """Equally long vectors as a matrix of their own."""
+    size = len(vectors[0]) if len(vectors) else 0
+    if len(vectors) and not (vectors.value_lengths().to_numpy(zero_copy_only=False) == size).all():
+        raise ValueError("vectors must be equally long")
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), size)
+
+
 def _blocks(vectors: DataFrame, ids: str, vector: str, name: str) -> DataFrame:
     """Vectors by BLOCK to a row, within the tasks that hold them: nothing is shuffled."""
 
@@ -127,38 +139,68 @@ def _blocks(vectors: DataFrame, ids: str, vector: str, name: str) -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, BLOCK):
                 part = b.slice(lo, BLOCK)
-                rows = part.column(1).to_pylist()
-                yield pa.RecordBatch.from_pydict({f"{name}_ids": [part.column(0).to_pylist()], f"{name}_vectors": [rows]}, schema)
+                yield pa.RecordBatch.from_pydict({f"{name}_ids": [part.column(0).to_pylist()], f"{name}_data": [matrix(part.column(1)).tobytes()]}, schema)
 
-    schema = pa.schema([(f"{name}_ids", pa.list_(pa.int64())), (f"{name}_vectors", pa.list_(pa.list_(pa.float64())))])
+    schema = pa.schema([(f"{name}_ids", pa.list_(pa.int64())), (f"{name}_data", pa.binary())])
     chosen = vectors.select(col(ids).cast("long").alias("i"), col(vector).cast("array<double>").alias("v")).filter("i is not null and v is not null")
-    return chosen.mapInArrow(run, f"{name}_ids array<long>, {name}_vectors array<array<double>>")
+    return chosen.mapInArrow(run, f"{name}_ids array<long>, {name}_data binary")
 
 
-def nearest_each(vectors: DataFrame, queries: DataFrame, k: int = 5, least: float | None = None, ids: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query, id, score, place: for each row of ``queries`` the k rows of ``vectors`` with the highest cosine, of at least ``least``; ties by id.
+BEST_SCHEMA = "query long, id long, score double"
 
-    Exact. Blocks of queries meet blocks of vectors as matrices; a pair of blocks gives k rows a query, so what is shuffled is k rows for
-    each query and block of vectors. Rows without id or vector take no part; vectors must be equally long.
-    """
+
+def best(k: int, least: float | None, asked=None):
+    """A mapInArrow function over pairs of blocks (q_ids, q_data, v_ids, v_data): a task keeps the k best rows of each of its queries, so it sends k rows a query, not k for each
+    pair, and looks at one pair at a time. asked: gives (ids, matrix) of the queries from the first of three columns instead."""
+
+    def queries(row):
+        qi = row.column(0).flatten().to_numpy(zero_copy_only=False)
+        return qi, np.frombuffer(row.column(1)[0].as_py(), np.float64).reshape(len(qi), -1)
 
     def run(batches):
+        kept: dict[bytes, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+        def rows():
+            for qi, scores, ids in kept.values():
+                at = np.nonzero(scores >= (-np.inf if least is None else least))
+                yield pa.RecordBatch.from_pydict({"query": qi[at[0]], "id": ids[at], "score": scores[at]})
+            kept.clear()
+
         for b in batches:
-            for row in b.to_pylist():
-                q, v = np.array(row["q_vectors"], float), np.array(row["v_vectors"], float)
-                qi, vi = np.array(row["q_ids"], np.int64), np.array(row["v_ids"], np.int64)
-                size = np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1))
-                scores = (q @ v.T) / np.where(size == 0, 1e-10, size)
-                order = np.lexsort((np.broadcast_to(vi, scores.shape), -np.round(scores, 12)), axis=1)[:, :k]
-                found = np.take_along_axis(scores, order, 1)
-                keep = found >= (-np.inf if least is None else least)
-                at = np.nonzero(keep)
-                yield pa.RecordBatch.from_pydict({"query": qi[at[0]], "id": vi[order[at]], "score": found[at]})
+            for i in range(b.num_rows):
+                row = b.slice(i, 1)
+                qi, q = (asked or queries)(row)
+                vi = row.column(row.num_columns - 2).flatten().to_numpy(zero_copy_only=False)
+                v = np.frombuffer(row.column(row.num_columns - 1)[0].as_py(), np.float64).reshape(len(vi), -1)
+                for lo in range(0, len(qi), BLOCK):
+                    names, part = qi[lo : lo + BLOCK], q[lo : lo + BLOCK]
+                    size = np.outer(np.linalg.norm(part, axis=1), np.linalg.norm(v, axis=1))
+                    scores, ids = (part @ v.T) / np.where(size == 0, 1e-10, size), np.broadcast_to(vi, (len(names), len(vi)))
+                    key = names.tobytes()
+                    if key in kept:
+                        scores, ids = np.concatenate([scores, kept[key][1]], axis=1), np.concatenate([ids, kept[key][2]], axis=1)
+                    order = np.lexsort((ids, -np.round(scores, 12)), axis=1)[:, :k]
+                    kept[key] = names, np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+                if sum(x[2].size for x in kept.values()) > KEPT_BEST:
+                    yield from rows()
+        yield from rows()
+
+    return run
+
+
+def placed(scored: DataFrame, k: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 12)), "id"))
+    return scored.withColumn("place", place).filter(F.col("place") <= k)
 
+
+def nearest_each(vectors: DataFrame, queries: DataFrame, k: int = 5, least: float | None = None, ids: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query, id, score, place: for each row of ``queries`` the k rows of ``vectors`` with the highest cosine, of at least ``least``; ties by id.
+
+    Exact. Blocks of queries meet blocks of vectors as matrices, one pair at a time; what is shuffled is k rows for
+    each query and task. Rows without id or vector take no part; vectors must be equally long.
+    """
     left, right = _blocks(vectors, ids, vector, "v"), _blocks(queries, ids, vector, "q")
-    pairs = left.crossJoin(right).mapInArrow(run, "query long, id long, score double")
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 12)), "id"))
-    return pairs.withColumn("place", place).filter(F.col("place") <= k)
+    return placed(left.crossJoin(right).select("q_ids", "q_data", "v_ids", "v_data").mapInArrow(best(k, least), BEST_SCHEMA), k)
 
 
 #: Distinct chunks from which searches go by inverted lists instead of comparing with all.

@@ -12,18 +12,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaestor.functions.columns import col
-from quaestor.operators.retrieval import nearest_each
+from quaestor.operators.retrieval import BEST_SCHEMA, _blocks, best, matrix, nearest_each, placed
 from quaestor.sources.shared import shared_dir
 
 #: Rows that centroids are fitted on, at most; and rows whose searches are measured.
 SAMPLE, MEASURED = 20_000, 200
 LISTS = (1, 4096)  # at least and at most; in between, the root of the number of rows
 BLOCK = 1024
-#: Rows of queries (one for each list that it looks at) that are sent to each task, at most; more meet the lists by shuffle, each list cut into SALTS parts.
+#: Rows of queries (one for each list that it looks at) that are sent to each task, at most; more meet the lists by shuffle. SALTS: parts that a list is written in.
 BROADCAST_QUERIES, SALTS = 20_000, 16
 
 
@@ -129,20 +129,22 @@ class VectorIndex:
         """query, id, score, place: as nearest_each gives, among the vectors of the lists that are nearest to each query. As many lists as there are give the exact result."""
         asked = queries.select(col(ids).cast("long").alias("query"), col(vector).cast("array<double>").alias("q")).filter("query is not null and q is not null")
         probes = min(probes or self.probes, len(self.centres))
-        probed = asked.mapInArrow(self._probed(probes), "list int, query long, q array<double>")
         lists = self.spark.read.schema("ids array<long>, data binary, list int").parquet(self.path + "/lists")
+        if probes == len(self.centres):  # every query meets every list
+            pairs = lists.select(F.col("ids").alias("v_ids"), F.col("data").alias("v_data")).crossJoin(_blocks(asked, "query", "q", "q"))
+            return placed(pairs.select("q_ids", "q_data", "v_ids", "v_data").mapInArrow(best(k, least), BEST_SCHEMA), k)
+        probed = asked.mapInArrow(self._probed(probes), "list int, query long, q array<double>")
         n = asked.count()
         # Queries of a list come together by a cut of at most about BLOCK of them.
         cut = F.pmod(F.xxhash64("query"), F.lit(max(1, n // BLOCK)))
         by_list = probed.withColumn("cut", cut).groupBy("list", "cut").agg(F.collect_list(F.struct("query", "q")).alias("asked"))
-        if n * probes <= BROADCAST_QUERIES:
-            pairs = lists.join(F.broadcast(by_list), "list")
-        else:
-            salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-            pairs = lists.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS)).cast("int")).join(by_list.withColumn("salt", salt), ["list", "salt"])
-        scored = pairs.select("asked", "ids", "data").mapInArrow(_scored(k, least), "query long, id long, score double")
-        place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 12)), "id"))
-        return scored.withColumn("place", place).filter(F.col("place") <= k)
+        pairs = lists.join(F.broadcast(by_list) if n * probes <= BROADCAST_QUERIES else by_list, "list")
+        return placed(pairs.select("asked", "ids", "data").mapInArrow(best(k, least, _asked), BEST_SCHEMA), k)
+
+
+def _asked(row: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    queries = row.column(0).flatten()
+    return queries.field("query").to_numpy(zero_copy_only=False), matrix(queries.field("q"))
 
 
 _META = "fingerprint string, centres string, probes int, recall double"
@@ -174,21 +176,3 @@ def _blocked(batches):
                 lo = upto
     if ids:
         yield block()
-
-
-def _scored(k: int, least: float | None):
-    def run(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                vi, qi = np.array(row["ids"], np.int64), np.array([a["query"] for a in row["asked"]], np.int64)
-                v = np.frombuffer(row["data"], np.float64).reshape(len(vi), -1)
-                for lo in range(0, len(qi), BLOCK):
-                    q = np.array([a["q"] for a in row["asked"][lo : lo + BLOCK]], float)
-                    size = np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1))
-                    scores = (q @ v.T) / np.where(size == 0, 1e-10, size)
-                    order = np.lexsort((np.broadcast_to(vi, scores.shape), -np.round(scores, 12)), axis=1)[:, :k]
-                    found = np.take_along_axis(scores, order, 1)
-                    at = np.nonzero(found >= (-np.inf if least is None else least))
-                    yield pa.RecordBatch.from_pydict({"query": qi[lo : lo + BLOCK][at[0]], "id": vi[order[at]], "score": found[at]})
-
-    return run

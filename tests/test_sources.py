@@ -121,6 +121,27 @@ def test_vector_index_of_nothing(spark):
     assert VectorIndex.build(empty).search(empty).count() == 0
 
 
+def test_a_task_sends_k_rows_a_query(spark, monkeypatch):
+    """Whatever the number of blocks that a query meets in a task; lists that are joined by shuffle give what broadcast ones give."""
+    import numpy as np
+
+    from quaestor.operators import retrieval, vector_index
+
+    x = np.random.default_rng(4).normal(size=(60, 4))
+    q = (pa.array([[7, 8]] * 6, pa.list_(pa.int64())), pa.array([x[:2].tobytes()] * 6, pa.binary()))
+    v = (pa.array([list(range(10 * i, 10 * i + 10)) for i in range(6)], pa.list_(pa.int64())), pa.array([x[10 * i : 10 * i + 10].tobytes() for i in range(6)], pa.binary()))
+    pairs = pa.RecordBatch.from_arrays([*q, *v], names=["q_ids", "q_data", "v_ids", "v_data"])
+    (sent,) = retrieval.best(3, None)([pairs, pairs.slice(0, 0)])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert [(r["query"], r["id"]) for r in sent.to_pylist()] == [(7 + i, int(j)) for i in range(2) for j in np.argsort(-(unit[i] @ unit.T))[:3]]
+    vectors = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    index = vector_index.VectorIndex.build(vectors, lists=6)
+    found = [sorted(map(tuple, index.search(vectors, 3, probes=2).collect()))]
+    monkeypatch.setattr(vector_index, "BROADCAST_QUERIES", 0)
+    found.append(sorted(map(tuple, index.search(vectors, 3, probes=2).collect())))
+    assert found[0] == found[1] and len(found[0]) == 180
+
+
 @pytest.fixture()
 def indexed(spark, tmp_path):
     from quaestor.sources.file_index import FileIndex
