@@ -639,3 +639,25 @@ def test_empty_tables(spark):
         chat.read_back(chat.format_turns(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))),
     ):
         assert out.count() == 0
+
+
+def test_packs_are_scored_once_for_all_strengths(spark, docs, monkeypatch):
+    """The fit and the scores come of one look at each pack, and scores are those of the strengths fitted when they are given."""
+    seen, of, fitted = [], lm.with_replies, lm.fitted_strengths
+    monkeypatch.setattr(lm, "with_replies", lambda *given: seen.append(1) or of(*given))
+    monkeypatch.setattr(lm, "fitted_strengths", lambda *given: seen.append(fitted(*given)) or seen[-1])
+    found = {r.doc_id: r.score for r in lm.lm_scores(docs).collect()}
+    assert seen[0] == 1 and len(seen) == 2
+    strengths = tuple(x[k] for x, k in zip(lm.STRENGTHS, seen[1]))
+    monkeypatch.undo()
+    given = {r.doc_id: r.score for r in lm.lm_scores(docs, strengths=strengths).collect()}
+    assert found == pytest.approx(given, rel=1e-9)
+
+
+def test_log_sums_of_small_probabilities():
+    rng = np.random.default_rng(5)
+    prior = 10.0 ** -rng.integers(1, 90, 40)
+    runs, counts = np.array([0, 8, 16, 24, 25, 33]), [(np.zeros(40), np.zeros(40))] * 2
+    found = lm.log_sums(prior, counts, ((32.0, 512.0), (0.5,)), runs)
+    wanted = np.add.reduceat(np.log2(prior), runs)
+    assert found.shape == (2, 1, 6) and found == pytest.approx(np.stack([wanted, wanted])[:, None])
