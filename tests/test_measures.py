@@ -273,3 +273,41 @@ def test_registered_aggregates(spark):
     plan = from_dict({"operation": "aggregate", "columns": [{"column": "v", "operation": "WIDTH"}], "groupby": ["k"]})
     assert [tuple(r) for r in compile_plan(plan, ds).collect()] == [("a", 4), ("b", 0)]
     del aggregates.FUNCTIONS["width"]
+
+
+def test_similar_turns_against_brute_force(spark, monkeypatch):
+    """Several blocks and parts, equal turns, ties and turns without words; what tasks send doesn't grow with the pairs that are alike."""
+    import math
+    import random
+    from collections import Counter
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["red", "green", "blue", "plum", "pear", "fig", "kiwi", "date"]) for _ in range(rng.randint(1, 4))) + f" n{'abcdefghij'[i % 10]}x" for i in range(120)]
+    texts += ["", None, "1 2", "plum"] + texts[:30] + [f"shared words {'abcdefghijklmnopqrst'[i]}q" for i in range(20)]
+    rows = [(i // 4, i % 4, x) for i, x in enumerate(texts)]
+    monkeypatch.setattr(conversations, "BLOCK", 16)
+    sent, of = [], conversations.written
+    monkeypatch.setattr(conversations, "written", lambda *given: sent.append(of(*given)) or sent[-1])
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, text string").repartition(5)
+    found = {(r.conv_id, r.turn, r.place): (tuple(r.other), r.score) for r in conversations.similar_each(turns).collect()}
+    bags = {(c, t): [w for w in (x or "").split() if w.isalpha() and len(w) > 1] for c, t, x in rows}
+    df = Counter(w for b in bags.values() for w in set(b))
+    weights = {}
+    for key, b in bags.items():
+        w = {t: n / len(b) * (math.log((1 + len(rows)) / (1 + df[t])) + 1) for t, n in Counter(b).items()}
+        size = math.sqrt(sum(x * x for x in w.values()))
+        weights[key] = {t: x / size for t, x in w.items()}
+    wanted = {}
+    for a, x in weights.items():
+        scores = [(-round(s, 12), b, s) for b, y in weights.items() if a != b and 0.3 < (s := sum(v * y.get(t, 0.0) for t, v in x.items())) < 0.95]
+        wanted |= {(*a, k + 1): (b, s) for k, (_, b, s) in enumerate(sorted(scores)[:3])}
+    assert found.keys() == wanted.keys() and len(found) > 300
+    assert all(found[k][0] == b and found[k][1] == pytest.approx(s) for k, (b, s) in wanted.items())
+    met = next(t for t in sent if t.columns == ["bag", "of", "score"])
+    distinct = len({tuple(sorted(b)) for b in bags.values() if b})
+    assert met.groupBy("bag").count().agg({"count": "max"}).head()[0] <= 3 * 2 * conversations.PARTS and met.count() < distinct * distinct / 2
+
+
+def test_similar_turns_of_none(spark):
+    none = spark.createDataFrame([(1, 1, None), (1, 2, "7")], "conv_id long, turn long, text string")
+    assert conversations.similar_each(none).count() == 0 and conversations.similar_each(none.limit(0)).count() == 0
