@@ -4,6 +4,7 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quaestor.sources import split_csv
 from quaestor.sources.readers import RID, load
@@ -72,6 +73,34 @@ def test_empty_csv(spark, tmp_path):
     assert split_csv.read_csv(spark, str(tmp_path / "a.csv")).count() == 0
 
 
+def test_csv_scan_keeps_what_texts_hold(spark, small_blocks, tmp_path):
+    """Empty texts aren't nulls, NULs before quotes stay, and columns keep their types whatever their texts look like."""
+    from quaestor import catalogue
+
+    rng = random.Random(7)
+    rows = [(1, "", "en", "7", 0), (2, "a", "", None, None), (3, "b", None, "", 1), (None, "c", "en", "7", 1), (4, '\0"', '"\0"x', "8", 2), (5, "\0", '"', "9", 1), (6, '\\"', "a\rb", "1", 2)]
+    rows += [(i, "".join(rng.choice(["a", " ", '"', '""', "\n", ",", "\\", "\0", "é", '","']) for _ in range(rng.choice([0, 1, 2, 9, 40]))), rng.choice(["1", "", None]), "2", i) for i in range(10, 2000)]
+    docs = spark.createDataFrame(rows + [(7, None, "en", "7", None), (8, "x\r", "en", "7", 2)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.withColumn("more", F.lit(1)).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalogue.QUERIES["csv_scan"](spark, str(tmp_path))
+    assert found.schema == docs.schema and found.rdd.getNumPartitions() > 1
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, docs.filter("text is not null and doc_id is distinct from 8").collect()))
+
+
+@pytest.mark.parametrize("size", ["900", "2500", "20000"])
+def test_lines_of_other_blocks_than_were_counted_are_refused(spark, small_blocks, tmp_path, size):
+    """Spark cuts files by the settings and cores at the time of each job; lines of blocks that nothing is known of were left out before."""
+    _written(tmp_path / "a.csv", random.Random(3), 300)
+    found = split_csv.read_csv(spark, str(tmp_path))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", size)
+    try:
+        with pytest.raises(Exception, match="cut into other blocks"):
+            found.select("id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def _vectors(spark, n=3000, size=16):
     import numpy as np
 
