@@ -308,6 +308,51 @@ def test_similar_turns_against_brute_force(spark, monkeypatch):
     assert met.groupBy("bag").count().agg({"count": "max"}).head()[0] <= 3 * 2 * conversations.PARTS and met.count() < distinct * distinct / 2
 
 
+@pytest.mark.parametrize("few", [0, 1, 10**9])
+def test_heavy_words_are_looked_at_for_few_pairs(monkeypatch, few):
+    """Blocks against brute force, by lists and by matrices; pairs that can't reach a bar cost no look at the words that many turns hold."""
+    import numpy as np
+
+    from quaestor.operators import turn_blocks as T
+
+    rng = np.random.default_rng(few % 7)
+    for name, x in (("PAIRS", 1000), ("LISTED", 50), ("DENSE", 7), ("FEW", few), ("HELD", 40)):
+        monkeypatch.setattr(T, name, x)
+    listed, spans = [0], T.spans
+    monkeypatch.setattr(T, "spans", lambda begin, n: listed.__setitem__(0, listed[0] + int(n.sum())) or spans(begin, n))
+    words, bags = 1200, 400  # the first 30 words are common
+    times = [dict(zip(rng.choice(30, 5, False), rng.integers(1, 3, 5))) | dict(zip(rng.integers(30, words, 8), rng.integers(1, 3, 8))) for _ in range(bags)]
+    times[50:90] = [dict(list(t.items())[:10]) | {40 + 7 * i: 2} for i, t in enumerate(times[:10] * 4)]
+    df = np.bincount([w for t in times for w in t], minlength=words)
+    idf = np.log((1 + bags) / (1 + df)) + 1
+    full = np.array([[t.get(w, 0) for w in range(words)] for t in times]) * idf
+    full /= np.linalg.norm(full, axis=1)[:, None]
+
+    def block(lo, hi):
+        has = np.unique([w for t in times[lo:hi] for w in t])
+        flat = [(np.searchsorted(has, w), n) for t in times[lo:hi] for w, n in t.items()]
+        place, n = np.array(flat).T
+        return T.Block(T.squeezed(ids=np.arange(lo, hi), words=has, idf=idf[has], distinct=np.array([len(t) for t in times[lo:hi]], np.int32), place=place.astype(np.int32), times=n.astype(np.int32)))
+
+    scores = full @ full.T
+    blocks = [block(0, 190), block(190, 400)]
+    best = [T.Best(b.ids, 3, 0.3) for b in blocks]
+    for x, y in ((0, 0), (0, 1), (1, 1)):
+        a, b = blocks[x], blocks[y]
+        for i, j, s in T.met(a, b, 3, 0.3, 0.95, best[x].bar, best[y].bar):
+            best[x].meet(i, b.ids[j], s)
+            best[y].meet(j, a.ids[i], s)
+    found = {tuple(r[:2]): r[2] for x in best for r in zip(*x.rows().to_pydict().values())}
+    wanted = {}
+    for i, row in enumerate(scores):
+        fit = sorted((-round(s, 12), j) for j, s in enumerate(row) if j != i and 0.3 < s < 0.95)[:3]
+        wanted |= {(i, j): row[j] for _, j in fit}
+    assert len(found) > 150
+    assert found.keys() == wanted.keys() and all(found[k] == pytest.approx(v, abs=1e-12) for k, v in wanted.items())
+    shared = sum(len(a.keys() & b.keys()) for i, a in enumerate(times) for b in times[:i])
+    assert listed[0] < shared
+
+
 def test_similar_turns_of_none(spark):
     none = spark.createDataFrame([(1, 1, None), (1, 2, "7")], "conv_id long, turn long, text string")
     assert conversations.similar_each(none).count() == 0 and conversations.similar_each(none.limit(0)).count() == 0
