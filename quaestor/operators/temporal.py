@@ -55,20 +55,33 @@ def asof_join(left: DataFrame, right: DataFrame, on: dict[str, str], time: tuple
     return joined.select("_left", row.alias("_row")).select("_left.*", *[F.col("_row")[n].alias(n) for n in names.values()])
 
 
+def _by_place(df: DataFrame, mark: str, keys: list[str], times: list[str]) -> tuple[DataFrame, list[str], list[Column], list[Column]]:
+    """df with its columns named by their places, these names, and its keys and times among them; names are found in any case, as Spark finds them.
+
+    A time of another type is cast into a column of its own; all else is held once, so that a shuffle doesn't carry a key or time as a value and again for the join.
+    """
+    names = [f"{mark}{i}" for i in range(len(df.columns))]
+    place = {c.lower(): n for c, n in zip(df.columns, names)} | dict(zip(df.columns, names))
+    find = lambda c: place.get(c, place.get(c.lower(), c))
+    placed = df.select(*[col(c).alias(n) for c, n in zip(df.columns, names)])
+    kinds = dict(placed.dtypes)
+    cast = {c: f"{mark}t{i}" for i, c in enumerate(times) if kinds.get(find(c)) != "timestamp_ntz"}
+    placed = placed.withColumns({n: F.col(find(c)).cast("timestamp_ntz") for c, n in cast.items()}) if cast else placed
+    return placed, names, [F.col(find(c)) for c in keys], [F.col(cast.get(c, find(c))) for c in times]
+
+
 def range_join(points: DataFrame, intervals: DataFrame, on: dict[str, str], time: str, bounds: tuple[str, str], width: int = 86_400, prefix: str = "") -> DataFrame:
     """Each row of points with each interval of its key that holds its time: start <= time < end. Nulls meet nothing.
 
     An interval is repeated for each bucket of ``width`` seconds that it touches, so the width should be near the usual length: a wider one lets more rows meet that then don't
-    fit, a narrower one repeats intervals more often. A key and bucket meet as an equality, which Spark shuffles and, where one is hot, splits.
+    fit, a narrower one repeats intervals more often. A key and bucket meet as an equality, which Spark shuffles and, where one is hot, splits. The keys come first in it, since Spark
+    sorts by the first column's prefix before it compares rows.
     """
-    start, end = (col(b).cast("timestamp_ntz") for b in bounds)
-    held = intervals.filter(col(bounds[0]).isNotNull() & (start < end)).select(
-        F.struct(*[col(c) for c in intervals.columns]).alias("_row"), *[col(on[k]).alias(f"_k{i}") for i, k in enumerate(on)], start.alias("_s"), end.alias("_e"),
-        F.explode(F.sequence(_bucket(start, width), _bucket(end, width))).alias("_b"),
-    )
-    at = points.select(F.struct(*[col(c) for c in points.columns]).alias("_left"), *[col(k).alias(f"_p{i}") for i, k in enumerate(on)], col(time).cast("timestamp_ntz").alias("_t"))
-    at = at.withColumn("_pb", _bucket(F.col("_t"), width))
-    met = (F.col("_pb") == F.col("_b")) & (F.col("_s") <= F.col("_t")) & (F.col("_t") < F.col("_e"))
-    for i in range(len(on)):
-        met = met & (F.col(f"_p{i}") == F.col(f"_k{i}"))
-    return at.join(held, met).select("_left.*", *[F.col("_row")[c].alias(f"{prefix}{c}") for c in intervals.columns])
+    held, held_names, held_keys, (start, end) = _by_place(intervals, "_i", [*on.values()], [*bounds])
+    held = held.filter(start.isNotNull() & (start < end)).withColumn("_b", F.explode(F.sequence(_bucket(start, width), _bucket(end, width))))
+    at, names, keys, (when,) = _by_place(points, "_p", [*on], [time])
+    at = at.withColumn("_pb", _bucket(when, width))
+    met = (F.col("_pb") == F.col("_b")) & (start <= when) & (when < end)
+    for k, h in reversed([*zip(keys, held_keys)]):
+        met = (k == h) & met
+    return at.join(held, met).select(*[F.col(n).alias(c) for n, c in zip(names, points.columns)], *[F.col(n).alias(f"{prefix}{c}") for n, c in zip(held_names, intervals.columns)])

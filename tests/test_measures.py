@@ -248,6 +248,49 @@ def test_joins_by_time_against_comparing_all(spark, width):
     assert met == sorted((i, v) for i, k, t in left for j, u, e, v in spans if k is not None and j == k and t is not None and u is not None and u <= t < e)
 
 
+def test_range_join_shuffles_each_value_once(spark):
+    """Neither side of the exchange holds its key or its times a second time; what is shuffled are the columns that are asked for, the key, the times and the bucket."""
+    import re
+
+    from quaestor.operators.temporal import range_join
+
+    points = spark.range(0, 4000, 1, 4).selectExpr("id % 50 AS k", "id", "timestamp_ntz'2020-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id) AS t", "id AS unused")
+    spans = points.selectExpr("k", "id AS v", "t AS s", "t + INTERVAL 90 SECOND AS e", "unused")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = range_join(points, spans, {"k": "k"}, "t", ("s", "e"), 60, "r_").select("k", "id", "t", "r_v")
+        plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        assert sorted(map(int, re.findall(r"\) Exchange\nInput \[(\d+)\]", plan))) == [4, 5], plan  # k, id, t, bucket; k, v, s, e, bucket
+        assert df.count() == sum(1 for i in range(4000) for j in range(max(0, i - 89), i + 1) if i % 50 == j % 50)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_range_join_of_odd_rows_and_names(spark):
+    """Names of the join's own columns, other cases, both sides alike, times of other types, rows that come twice, nulls and empty tables."""
+    from datetime import date, datetime, timedelta
+
+    from quaestor.operators.temporal import range_join
+
+    day, none = datetime(2020, 3, 1), None
+    rows = [("a", date(2020, 3, 1), 1, 7), ("a", date(2020, 3, 1), 1, 7), ("a", none, 2, 8), (none, date(2020, 3, 1), 3, none), ("b", date(2020, 3, 2), none, 9), ("", date(2020, 3, 2), 5, 9), ("zz", date(2020, 3, 2), 6, 9)]
+    points = spark.createDataFrame(rows, "`_b` string, `_pb` date, `_p0` int, `_i.0` int")
+    spans = [("a", day, day + timedelta(days=1), none), ("a", day, day + timedelta(days=1), none), ("a", day, day, 1), ("a", day + timedelta(days=1), day, 2), ("a", none, day, 3), ("a", day, none, 4)]
+    spans += [("b", day, day + timedelta(days=2), 5), ("", day - timedelta(days=400), day + timedelta(days=1, seconds=1), 6), (none, day, day + timedelta(days=9), 7)]
+    held = spark.createDataFrame(spans, "`_B` string, `_i1` timestamp_ntz, e timestamp_ntz, `_p0` int")
+    found = range_join(points, held.withColumn("_i1", held["_i1"].cast("timestamp")), {"_B": "_b"}, "_PB", ("_I1", "E"), 86_400, "r_")
+    assert found.columns == ["_b", "_pb", "_p0", "_i.0", "r__B", "r__i1", "r_e", "r__p0"]
+    assert [t for _, t in found.dtypes] == ["string", "date", "int", "int", "string", "timestamp", "timestamp_ntz", "int"]
+    at = lambda d: d and datetime(d.year, d.month, d.day)
+    fit = [(*p, *s) for p in rows for s in spans if None not in (p[0], p[1], s[0], s[1], s[2]) and p[0] == s[0] and s[1] <= at(p[1]) < s[2]]
+    key = lambda r: str(tuple(r))
+    assert sorted(map(key, found.collect())) == sorted(map(key, fit)) and len(fit) == 6
+    assert range_join(points.limit(0), held, {"_b": "_B"}, "_pb", ("_i1", "e")).count() == range_join(points, held.limit(0), {"_b": "_B"}, "_pb", ("_i1", "e")).count() == 0
+    same = spark.createDataFrame([(1, day, day + timedelta(days=1)), (1, day + timedelta(hours=5), day + timedelta(hours=6)), (none, day, day + timedelta(days=1))], "k int, s timestamp_ntz, e timestamp_ntz")
+    assert range_join(same, same, {"k": "k"}, "s", ("s", "e"), 3600, "r_").count() == 3  # a table with itself
+
+
 def test_grouping_sets_with_nulls_and_odd_names(spark):
     rows = [("x", "a", 1.0), ("x", "b", 2.0), ("y", "a", None), (None, "a", 9.0), ("y", None, 9.0)]
     df = spark.createDataFrame(rows, "`k.1` string, m0 string, v double")
