@@ -334,3 +334,25 @@ def test_numbers_of_rows_behind_a_shuffle_stay(spark):
     assert first == again and [r[0] for r in first] == list(range(500))
     plain = numbered(spark.range(0, 100, 1, 4), "n")
     assert [(r.n, r.id) for r in plain.orderBy("n").collect()] == [(i, i) for i in range(100)]
+
+
+def test_row_numbers_are_counted_without_shuffling_them(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quaestor import catalogue
+
+    def found(rows, parts):
+        d = str(tmp_path / f"{len(rows)}_{parts}")
+        spark.createDataFrame(rows, "l_orderkey long, l_linenumber int").repartition(parts).write.parquet(f"{d}/lineitem.parquet")
+        return catalogue.QUERIES["row_numbers"](spark, d)
+
+    rows = [(None if i % 3 else i % 7, i % 2) for i in range(70_000)]  # nulls, and rows that come many times
+    for some, parts in ((rows, 5), (rows[:1], 1), (rows[:40], 9)):
+        assert [tuple(r) for r in found(some, parts).collect()] == [(len(some), 0, len(some) - 1)]
+    none = found([], 1)
+    assert [tuple(r) for r in none.collect()] == [(0, None, None)] and [tuple(x) for x in none.dtypes] == [("n", "bigint"), ("low", "bigint"), ("high", "bigint")]
+    assert "hashpartitioning(_rid" not in found(rows[:50], 3)._jdf.queryExecution().executedPlan().toString()
+    # Numbers that come twice, gaps and nulls still count as distinct values do.
+    odd = spark.createDataFrame([(x,) for x in (0, 0, 1, 5, 32_768, 32_769, 65_536, 65_536, 1 << 40, None)], "_rid long").repartition(4)
+    monkeypatch.setattr(catalogue, "numbered", lambda df: odd)
+    assert [tuple(r) for r in found(rows[:3], 1).collect()] == [tuple(r) for r in odd.agg(F.count_distinct("_rid"), F.min("_rid"), F.max("_rid")).collect()] == [(7, 0, 1 << 40)]
