@@ -356,3 +356,23 @@ def test_row_numbers_are_counted_without_shuffling_them(spark, tmp_path, monkeyp
     odd = spark.createDataFrame([(x,) for x in (0, 0, 1, 5, 32_768, 32_769, 65_536, 65_536, 1 << 40, None)], "_rid long").repartition(4)
     monkeypatch.setattr(catalogue, "numbered", lambda df: odd)
     assert [tuple(r) for r in found(rows[:3], 1).collect()] == [tuple(r) for r in odd.agg(F.count_distinct("_rid"), F.min("_rid"), F.max("_rid")).collect()] == [(7, 0, 1 << 40)]
+
+
+def test_numbering_moves_no_row(spark, tmp_path):
+    """However large Spark takes the counts to be; rows are numbered in their order, with nulls, rows that come twice, empty partitions and empty tables."""
+    from quaestor.sources.readers import numbered
+
+    path = str(tmp_path / "rows")
+    rows = [(None if i % 5 == 0 else i // 2, None if i % 7 == 0 else f"t{i // 2}") for i in range(600)]
+    spark.createDataFrame(rows, "a long, t string").coalesce(1).write.parquet(path)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (spark.read.parquet(path), spark.createDataFrame(rows, "a long, t string"), spark.createDataFrame([rows[0]] * 2, "a long, t string")):
+            found = numbered(df, "n")
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and "hashpartitioning(_part" not in plan, plan
+            assert [(r.a, r.t, r.n) for r in found.collect()] == [(r.a, r.t, i) for i, r in enumerate(df.collect())]
+        assert numbered(spark.read.parquet(path).limit(0), "n").collect() == []
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
